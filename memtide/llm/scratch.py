@@ -41,4 +41,4 @@ def release(df: DataFrame) -> None:
 
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``: file sizes for a scan, without a job. It sizes partitions only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memtide.llm import chatformat, linededup, packing, quality_rules, simhash, suffixdedup
+from memtide.llm import chatformat, decontam, linededup, packing, quality_rules, secrets, simhash, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents"), min_cost=10.0, min_chars=8))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), min_match=5, min_coverage=0.5)
+
+
 def tokenizer_files() -> dict[str, str]:
     """The public vocabulary and its second form; every machine of the cluster has them installed."""
     import public_tokenizers as files
@@ -49,6 +57,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op5_quality_rules, op6_line_dedup, op7_suffix_dedup, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op5_quality_rules, op6_line_dedup, op7_suffix_dedup, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.ORACLE, "op6_line_dedup": linededup.ORACLE}

@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from memtide.llm.scratch import materialize, scan_bytes
 
 GRAM = 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+PART = 1 << 16
 BLOCK_DOCS = 16384
 #: An anchor that so many blocks share is dealt by single windows.
 HOT_BLOCKS = 512
@@ -69,25 +70,30 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
 
 def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(first, last, doc, hash)``: runs of window starts that share an anchor, inside one document."""
-    if len(data) < length:
+    n = len(data) - length + 1
+    if n <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    hashes = gram_hashes(data, GRAM)
-    key = (hashes & ~_POS) | np.arange(len(hashes), dtype=np.uint64)  # equal hashes: the leftmost
-    wide, size = length - GRAM + 1, 1
-    while size * 2 <= wide:
-        key = np.minimum(key[:-size], key[size:])
-        size *= 2
-    if size < wide:
-        key = np.minimum(key[: len(key) - (wide - size)], key[wide - size :])
-    at = (key & _POS).astype(np.int64)
-    starts = np.concatenate([[0], ends[:-1]])
-    sizes = np.maximum(0, ends - starts - length + 1)
-    doc = np.repeat(np.arange(len(ends)), sizes)
-    p = np.arange(len(doc)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    at = at[p]
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])) if len(p) else np.zeros(0, np.int64)
-    last = np.concatenate([new[1:], [len(p)]]) - 1 if len(p) else new
-    return p[new], p[last], doc[new], hashes[at[new]]
+    at, hashes, wide = np.empty(n, np.int64), np.empty(len(data) - GRAM + 1, np.uint64), length - GRAM + 1
+    for begin in range(0, n, PART):  # parts stay in a core's cache
+        part = gram_hashes(data[begin : min(n, begin + PART) + length - 1], GRAM)
+        hashes[begin : begin + len(part)] = part
+        key = (part & ~_POS) | np.arange(len(part), dtype=np.uint64)  # equal hashes: the leftmost
+        size = 1
+        while size * 2 <= wide:
+            key = np.minimum(key[:-size], key[size:])
+            size *= 2
+        if size < wide:
+            key = np.minimum(key[: len(key) - (wide - size)], key[wide - size :])
+        at[begin : begin + PART] = (key & _POS).astype(np.int64) + begin
+    begins = np.concatenate([[0], ends[:-1]])
+    edges = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, begins, np.maximum(begins, ends - length + 1)])
+    first = np.unique(edges)
+    first = first[first < n]
+    last = np.concatenate([first[1:], [n]]) - 1
+    doc = np.searchsorted(ends, first, side="right")
+    inside = first + length <= ends[doc]
+    first, last, doc = first[inside], last[inside], doc[inside]
+    return first, last, doc, hashes[at[first]]
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +126,14 @@ class Block:
         self.data = np.frombuffer(self.raw, np.uint8)
         self.first, self.last, self.doc, hashes = anchor_runs(self.data, self.ends, length)
         keys = ((hashes >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
-        self.keys, self.of = np.unique(keys, return_inverse=True)
+        order = np.argsort(keys, kind="stable")
+        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        self.keys = keys[order][begin]
+        self.of = np.empty(len(keys), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        whose = self.doc[order]  # ascending for each key
+        self.twice = whose[begin] != whose[np.concatenate([begin[1:], [len(keys)]]) - 1] if len(keys) else new
         self.bucket = (self.keys >> np.uint64(32)).astype(np.int64)
 
 
@@ -134,7 +147,7 @@ def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 def suffix_classes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """``(starts, class)`` of all windows of ``length`` bytes that don't cross ``ends``; equal windows, equal class.
 
-    Windows known to be alone in a bucket have a class of their own, below zero.
+    A class is the start of its first window. Suffixes alone in their bucket are settled and not looked at again.
     """
     n = len(text)
     left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)  # bytes up to the end of the string
@@ -144,17 +157,19 @@ def suffix_classes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
         code = (code << np.uint64(8)) | padded[i : i + n].astype(np.uint64)
     depth = 8
     live = np.flatnonzero(left >= depth)
-    pointer = np.full(n + length, -1, np.int64)
-    _, pointer[live] = np.unique(code[live], return_inverse=True)
-    while depth < length:
-        step = min(depth, length - depth)  # the suffix so far on has a bucket of ``depth`` bytes too
-        live = live[left[live] >= depth + step]
-        pair = pointer[live] * np.int64(n + 1) + pointer[live + step]
-        _, refined = np.unique(pair, return_inverse=True)
-        pointer = np.full(n + length, -1, np.int64)
-        pointer[live] = refined
+    pointer = np.arange(n)  # a bucket is named by its first suffix, so names stay apart when others are refined
+    rank = code[live]
+    while True:
+        _, first, of, size = np.unique(rank, return_index=True, return_inverse=True, return_counts=True)
+        pointer[live] = live[first][of]
+        if depth == length:
+            break
+        step = min(depth, length - depth)  # the suffix ``step`` on has a bucket of ``depth`` bytes too
+        live = live[(size[of] > 1) & (left[live] >= depth + step)]
+        rank = pointer[live] * np.int64(n) + pointer[live + step]
         depth += step
-    return live, pointer[live]
+    starts = np.flatnonzero(left >= length)
+    return starts, pointer[starts]
 
 
 def _shared_anchors(blobs: pd.DataFrame) -> pd.DataFrame:
@@ -244,7 +259,7 @@ def _settle(blobs: pd.DataFrame, length: int) -> pd.DataFrame:
     ends = np.cumsum(width)
     start, klass = suffix_classes(text, ends, length)
     string = np.searchsorted(ends, start, side="right")
-    smallest = np.full(klass.max() + 1, NO_ID, np.int64)
+    smallest = np.full(len(text), NO_ID, np.int64)
     np.minimum.at(smallest, klass, least[string])
     best = np.full(len(text), NO_ID, np.int64)
     best[start] = smallest[klass]
@@ -320,10 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         for frame in frames:
             for r in frame.itertuples():
                 b = Block(r.ids, r.sizes, r.data, length, buckets)
-                low, high = np.full(len(b.keys), NO_ID, np.int64), np.full(len(b.keys), -1, np.int64)
-                np.minimum.at(low, b.of, b.doc)
-                np.maximum.at(high, b.of, b.doc)
-                rest, twice = b.keys.astype(np.uint32), low != high
+                rest, twice = b.keys.astype(np.uint32), b.twice
                 rows = [(r.block, bucket, rest[cut].tobytes(), np.packbits(twice[cut]).tobytes()) for bucket, cut in _pieces(b.bucket)]
                 yield pd.DataFrame(rows, columns=["block", "bucket", "data", "many"])
 

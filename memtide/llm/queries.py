@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memtide.llm import chatformat, decontam, linededup, packing, quality_rules, secrets, simhash, suffixdedup
+from memtide.llm import chatformat, decontam, linededup, packing, quality_bayes, quality_rules, secrets, simhash, suffixdedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,15 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.digests(chatformat.windows(turns.unionByName(tricky), budget=2048, history_budget=256, max_history=2))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bayes.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), host="source", path="lang")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +66,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op5_quality_rules, op6_line_dedup, op7_suffix_dedup, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_line_dedup, op7_suffix_dedup, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.ORACLE, "op6_line_dedup": linededup.ORACLE}

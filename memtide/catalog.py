@@ -73,13 +73,13 @@ df as (select term, count(*) as df from tf group by term),
 bm as (
   select query_id, pos, sum(times * greatest(ln((n - df + 0.5) / (df + 0.5) + 1), 0.25) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
   from tf join df using (term) join term using (term), stat group by all having score > 0),
-rr as (select query_id, pos, row_number() over (partition by query_id order by score desc, pos) as rank from vec
-  union all select query_id, pos, row_number() over (partition by query_id order by score desc, pos) from bm),
+rr as (select query_id, pos, row_number() over (partition by query_id order by round(score, 9) desc, pos) as rank from vec
+  union all select query_id, pos, row_number() over (partition by query_id order by round(score, 9) desc, pos) from bm),
 rrf as (select query_id, pos, sum(1.0::double / (60 + rank)) as score from rr group by all)
 """
 
 
-@query(f"with {MEM} select query_id, pos, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, pos) as r from vec) where r <= 10")
+@query(f"with {MEM} select query_id, pos, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as r from vec) where r <= 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = retrieval.truncate(retrieval.vector_scores(question(spark, sf_dir), memories(spark, sf_dir)), 10)
     return top.select("query_id", "pos", F.round("score", 6).alias("score"))
@@ -116,11 +116,11 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _recall_sql(combined: str, k: int) -> str:
     return f"""with recursive {MEM},
 f as (select query_id, pos, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as score from rrf window w as (partition by query_id)),
-c as (select * from (select *, row_number() over (partition by query_id order by score desc, pos) as r from f) where r <= 50),
+c as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as r from f) where r <= 50),
 l as (select c.query_id, c.pos, c.score as r, mem.embedding, pow(2.0, -(epoch(timestamp '2024-03-01' - created_at) / 86400.0) / 30) + importance + 0.5 * ln(1 + access_count) as l from c join mem using (pos)),
 n as (select *, case when max(l) over w = min(l) over w then (case when max(l) over w > 0 then 1.0 else 0.0 end) else (l - min(l) over w) / (max(l) over w - min(l) over w) end as l1 from l window w as (partition by query_id)),
 s as (select query_id, pos, embedding, {combined} as score from n),
-o as (select *, row_number() over (partition by query_id order by score desc, pos) as i from s),
+o as (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as i from s),
 g as (
   select query_id, i, [i] as kept from o where i = 1
   union all
@@ -241,7 +241,7 @@ SAMPLES = ("", "ok", "继续", "可以。OK。接下来我们讨论一下架构
 
 
 def _samples_sql() -> str:
-    return "select cast(column0 as bigint) as conv_id, cast(-1 as bigint) as turn, column1 as text from (values " + ", ".join(f"({-i - 1}, '{s}')" for i, s in enumerate(SAMPLES)) + ")"
+    return "select cast(a as bigint) as conv_id, cast(-1 as bigint) as turn, b as text from (values " + ", ".join(f"({-i - 1}, '{s}')" for i, s in enumerate(SAMPLES)) + ") as t(a, b)"
 
 
 def _with_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +303,7 @@ def _redact_sql(x: str) -> str:
 
 
 @query(f"""
-with t as (select doc_id, text from documents union all select column0, column1 from (values {", ".join(f"({-i - 1}, '" + s.replace("'", "''") + "')" for i, s in enumerate(SECRETS))})),
+with t as (select doc_id, text from documents union all select a, b from (values {", ".join(f"({-i - 1}, '" + s.replace("'", "''") + "')" for i, s in enumerate(SECRETS))}) as v(a, b)),
 r as (select doc_id, text, {_redact_sql("text")} as red from t)
 select cast(doc_id as bigint) as doc_id, sha256(red) as redacted_sha256, red <> text as changed from r""")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +318,7 @@ _DIRECT = " or ".join("x.core = '{0}' || y.core or y.core = '{0}' || x.core".for
 
 
 @query(f"""
-with t as (select conv_id * 1000 + turn as pos, text from conversations union all select column0, column1 from (values {", ".join(f"({-i - 1}, '" + s.replace("'", "''") + "')" for i, s in enumerate(CLAIMS))})),
+with t as (select conv_id * 1000 + turn as pos, text from conversations union all select a, b from (values {", ".join(f"({-i - 1}, '" + s.replace("'", "''") + "')" for i, s in enumerate(CLAIMS))}) as v(a, b)),
 r as (select pos, text, {_CORE} as core, len(list_intersect(regexp_extract_all(lower(text), '[a-z0-9'']+'), {_list(gate.NEGATIONS)})) > 0 as neg from t),
 w as (select *, list_distinct(regexp_extract_all(core, '[a-z0-9]+')) as w from r),
 p as (select x.pos as i, y.pos as j, x.text as a, y.text as b, ({_DIRECT}) as direct, x.neg <> y.neg as polar, list_sort(list_intersect(x.w, y.w)) as shared from w x join w y on x.pos < y.pos)
@@ -605,7 +605,7 @@ def upsert_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.deprecate_skills(store.upsert_skills(s, new), s.where("id % 2 = 0")).select("id", "usage_count", "deprecated")
 
 
-@query(f"""with {MEM}, r as (select * from (select pos, text, row_number() over (order by score desc, pos) as r from vec join mem using (pos) where query_id = 0) where r <= 5)
+@query(f"""with {MEM}, r as (select * from (select pos, text, row_number() over (order by round(score, 9) desc, pos) as r from vec join mem using (pos) where query_id = 0) where r <= 5)
 select 'Relevant memories:' || chr(10) || string_agg(r || '. ' || trim(replace(replace(text, chr(10), ' '), chr(13), ' '), {_TRIM}), chr(10) order by r) as block from r""")
 def recall_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
@@ -616,8 +616,12 @@ def recall_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str, columns: str) -> DataFrame:
     """``events`` replayed through the file source."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet").selectExpr(*columns.split("; "))
+    events = table(spark, sf_dir, "events")
+    reader = spark.readStream.schema(events.schema)
+    # The file source lists folders; a table of one file is found by its name in the folder above.
+    alone = any(f.endswith("/events.parquet") for f in events.inputFiles()[:1])
+    rows = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if alone else reader.parquet(f"{sf_dir}/events.parquet")
+    return rows.selectExpr(*columns.split("; "))
 
 
 def _drain(df: DataFrame, name: str) -> DataFrame:
@@ -635,7 +639,7 @@ def _drain(df: DataFrame, name: str) -> DataFrame:
 
 @query(f"with {EDGES} select * from m")
 def streaming_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stream(spark, sf_dir, "cast(user_id as string) as session; unix_micros(cast(ts as timestamp)) * 1000000 + event_id as step; event_type as item")
+    s = _stream(spark, sf_dir, "cast(user_id as string) as session; unix_micros(cast(ts as timestamp)) as step; event_id as tie; event_type as item")
     return _drain(jobs.online_transitions(s), "online_transitions").groupBy("prev", "next").agg(F.count("*").alias("cnt"))
 
 

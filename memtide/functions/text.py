@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ SPACE = r"[\s\x1c-\x1f]"
 PUNCTUATION = ".,;:!?。，；：！？·•・、'«»„“”‘’"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends; Spark's ``trim`` only knows the blank."""
     return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
@@ -80,11 +85,14 @@ def script_count(text: Column, script: str) -> Column:
 
 def detect_scripts(text: Column, threshold: float = 0.15) -> Column:
     """Scripts that hold ``threshold`` of the characters in known blocks; ``Unknown`` when there are none."""
-    bare = strip(text)
-    counts = [script_count(bare, s) for s in SCRIPT_BLOCKS]
-    total = sum(counts[1:], counts[0])
-    found = F.array_compact(F.array(*(F.when((c > 0) & (c / total >= threshold), F.lit(s)) for s, c in zip(SCRIPT_BLOCKS, counts, strict=True))))
-    return F.when(total == 0, F.array(F.lit("Unknown"))).otherwise(found)
+    names = F.array(*map(F.lit, SCRIPT_BLOCKS))
+    counts = let(strip(text), lambda bare: F.array(*(script_count(bare, s) for s in SCRIPT_BLOCKS)))
+
+    def shares(c: Column) -> Column:
+        total = F.aggregate(c, F.lit(0), lambda a, x: a + x)
+        return let(total, lambda t: F.when(t == 0, F.array(F.lit("Unknown"))).otherwise(F.filter(names, lambda _, i: (F.get(c, i) > 0) & (F.get(c, i) / t >= threshold))))
+
+    return let(counts, shares)
 
 
 def is_cjk(scripts: Column) -> Column:
@@ -94,7 +102,7 @@ def is_cjk(scripts: Column) -> Column:
 def script_groups(scripts: Column) -> Column:
     """East Asian scripts become the one group ``CJK``."""
     east = F.array(*map(F.lit, ("CJK", "Hiragana", "Katakana", "Hangul")))
-    return F.when(is_cjk(scripts), F.array_union(F.array_except(scripts, east), F.array(F.lit("CJK")))).otherwise(scripts)
+    return let(scripts, lambda s: F.when(is_cjk(s), F.array_union(F.array_except(s, east), F.array(F.lit("CJK")))).otherwise(s))
 
 
 def _in(value: Column, words: Sequence[str]) -> Column:
@@ -137,22 +145,20 @@ def _any_pack(groups: Column, packs: Sequence[RulePack]) -> Column:
     return out
 
 
-def telling_sentences(text: Column, groups: Column, packs: Sequence[RulePack] | None = None) -> Column:
-    """Sentences that are not small talk."""
-    return F.filter(sentences(text), lambda s: ~is_small_talk(s, groups, packs))
+def telling_sentences(every: Column, groups: Column, packs: Sequence[RulePack] | None = None) -> Column:
+    """Of an array of sentences those that are not small talk."""
+    return F.filter(every, lambda s: ~is_small_talk(s, groups, packs))
 
 
-def small_talk_ratio(text: Column, groups: Column, packs: Sequence[RulePack] | None = None) -> Column:
+def small_talk_ratio(every: Column, telling: Column, groups: Column, packs: Sequence[RulePack] | None = None) -> Column:
     """Share of small-talk sentences; 1 without a sentence, 0 when no pack applies."""
-    every = sentences(text)
     packs = packs if packs is not None else default_packs()
-    share = (F.size(every) - F.size(telling_sentences(text, groups, packs))) / F.size(every)
+    share = (F.size(every) - F.size(telling)) / F.size(every)
     return F.when(F.size(every) == 0, F.lit(1.0)).when(~_any_pack(groups, packs), F.lit(0.0)).otherwise(share)
 
 
 def clean_small_talk(text: Column, packs: Sequence[RulePack] | None = None) -> Column:
-    groups = script_groups(detect_scripts(text))
-    return F.array_join(telling_sentences(text, groups, packs), " ")
+    return let(script_groups(detect_scripts(text)), lambda groups: F.array_join(telling_sentences(sentences(text), groups, packs), " "))
 
 
 def chunks(text: Column, size: int = 4096) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memtide.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -25,7 +27,7 @@ def add(a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    return scale(a, 1 / F.greatest(norm(a), F.lit(1e-12)))
+    return let(a, lambda v: let(1 / F.greatest(norm(v), F.lit(1e-12)), lambda k: scale(v, k)))
 
 
 def cosine(a: Column, b: Column, zero: str = "nan") -> Column:

@@ -24,30 +24,29 @@ class FilterConfig:
     min_hook_importance: float = 0.35
 
 
-def decision(text: Column, source: str = "mcp", force: bool = False, config: FilterConfig = FilterConfig(), packs: Sequence[RulePack] | None = None) -> Column:
-    """``struct<store, score, reason>``, as one CASE. Explicit stores (``mcp``) only pass the length and gibberish tests."""
-    out = lambda store, score, reason: F.struct(F.lit(store).alias("store"), (score if isinstance(score, Column) else F.lit(float(score))).alias("score"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
-    if force:
-        return out(True, 1.0, "forced")
-    if not config.enabled:
-        return out(True, 0.5, "filtering_disabled")
-    bare = T.strip(F.coalesce(text, F.lit("")))
-    why = T.gibberish_reason(bare, config.min_density, config.max_repetition, config.max_punctuation)
-    case = F.when(bare == "", out(False, 0.0, "empty"))
-    case = case.when(F.length(bare) < (config.min_hook_length if source == "hook" else config.min_store_length), out(False, 0.0, "too_short"))
-    case = case.when(why.isNotNull(), out(False, 0.0, why))
-    if source == "mcp":
-        return case.otherwise(out(True, 0.5, "passed"))
-    groups = T.script_groups(T.detect_scripts(bare))
-    told = T.telling_sentences(bare, groups, packs)
-    score = F.when(F.size(told) > 0, T.importance(F.array_join(told, " "), groups, packs)).otherwise(F.lit(0.0))
-    case = case.when(T.small_talk_ratio(bare, groups, packs) > config.small_talk_threshold, out(False, 0.0, "mostly_small_talk"))
-    return case.when(score < config.min_hook_importance, out(False, score, "low_importance")).otherwise(out(True, score, "passed"))
-
-
-def decide(df: DataFrame, column: str = "text", **options: object) -> DataFrame:
-    """``df`` with ``store``, ``score`` and ``reason``."""
-    return df.withColumn("_d", decision(F.col(column), **options)).select(*df.columns, "_d.store", "_d.score", "_d.reason")
+def decide(df: DataFrame, column: str = "text", source: str = "mcp", force: bool = False, config: FilterConfig = FilterConfig(), packs: Sequence[RulePack] | None = None) -> DataFrame:
+    """``df`` with ``store``, ``score`` and ``reason``. Explicit stores (``mcp``) only pass the length and gibberish tests.
+
+    The parts are columns of their own, so that each is in the plan once.
+    """
+    if force or not config.enabled:
+        return df.select("*", F.lit(True).alias("store"), F.lit(1.0 if force else 0.5).alias("score"), F.lit("forced" if force else "filtering_disabled").alias("reason"))
+    bare, least = F.col("_bare"), config.min_hook_length if source == "hook" else config.min_store_length
+    out = df.withColumn("_bare", T.strip(F.coalesce(F.col(column), F.lit(""))))
+    out = out.withColumn("_why", T.gibberish_reason(bare, config.min_density, config.max_repetition, config.max_punctuation))
+    reason = F.when(bare == "", "empty").when(F.length(bare) < least, "too_short").when(F.col("_why").isNotNull(), F.col("_why"))
+    score = F.lit(0.5)
+    if source == "hook":
+        out = out.withColumns({"_groups": T.script_groups(T.detect_scripts(bare)), "_every": T.sentences(bare)})
+        out = out.withColumn("_told", T.telling_sentences(F.col("_every"), F.col("_groups"), packs))
+        out = out.withColumn("_text", F.array_join("_told", " "))
+        out = out.withColumn("_imp", F.when(F.size("_told") > 0, T.importance(F.col("_text"), F.col("_groups"), packs)).otherwise(F.lit(0.0)))
+        ratio = T.small_talk_ratio(F.col("_every"), F.col("_told"), F.col("_groups"), packs)
+        reason = reason.when(ratio > config.small_talk_threshold, "mostly_small_talk").when(F.col("_imp") < config.min_hook_importance, "low_importance")
+        score = F.col("_imp")
+    out = out.withColumn("reason", reason.otherwise("passed"))
+    told = F.col("reason").isin("passed", "low_importance")
+    return out.select(*df.columns, (F.col("reason") == "passed").alias("store"), F.when(told, score).otherwise(F.lit(0.0)).alias("score"), "reason")
 
 
 def valid_text(text: Column, max_chars: int = 10_000) -> Column:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memtide.functions.text import let
 from memtide.functions.vec import add, cosine, dot, norm, normalize, scale
 
 
@@ -65,10 +66,11 @@ def nearest(vectors: DataFrame, protos: DataFrame) -> DataFrame:
 
 def oja(p: Column, n: Column, x: Column, imp: Column, config: LearningConfig) -> Column:
     """One step of Oja's rule on a prototype that has been updated ``n`` times, back to unit length."""
-    rate = F.lit(config.base_rate) / (1 + n * config.rate_decay)
-    y = dot(p, x)
-    delta = F.zip_with(x, p, lambda a, b: imp * rate * y * (a.cast("double") - y * b))
-    return normalize(add(p, delta))
+    def moved(y: Column) -> Column:
+        k = imp * config.base_rate / (1 + n * config.rate_decay) * y
+        return let(k, lambda k: F.zip_with(p, x, lambda b, a: b + k * (a.cast("double") - y * b)))
+
+    return let(dot(p, x), lambda y: normalize(moved(y)))
 
 
 def learn(vectors: DataFrame, protos: DataFrame, step: int = 0, config: LearningConfig = LearningConfig(), decay: bool = True) -> DataFrame:

@@ -36,8 +36,8 @@ def bm25_scores(queries: DataFrame, memories: DataFrame, k1: float = 1.5, b: flo
 
 
 def rank(scores: DataFrame, *extra: str) -> DataFrame:
-    """1-based ranks, score descending, ties by position."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", *extra).orderBy(F.col("score").desc(), "pos")))
+    """1-based ranks, score descending, ties by position. Scores that agree to nine places tie, whatever the order of sums."""
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", *extra).orderBy(F.round("score", 9).desc(), "pos")))
 
 
 def reciprocal_rank_fusion(rankings: Sequence[DataFrame], k: int = 60) -> DataFrame:
@@ -84,7 +84,7 @@ def combined(retrieval: Column, lifecycle: Column, c: RecallConfig) -> Column:
 
 def truncate(scored: DataFrame, k: int, *order: Column | str) -> DataFrame:
     """The first ``k`` rows of each query; Spark cuts within tasks before it shuffles."""
-    w = Window.partitionBy("query_id").orderBy(*(order or (F.col("score").desc(), "pos")))
+    w = Window.partitionBy("query_id").orderBy(*(order or (F.round("score", 9).desc(), "pos")))
     return scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
@@ -98,8 +98,8 @@ def representatives(rows: Column, threshold: float) -> Column:
 
 def semantic_dedup(scored: DataFrame, threshold: float = 0.9) -> DataFrame:
     """``(query_id, pos, score, embedding)`` -> the representatives, best first. For a bounded number of rows a query."""
-    rows = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("key"), "pos", "embedding")))
-    return scored.groupBy("query_id").agg(rows.alias("r")).select("query_id", F.inline(representatives(F.col("r"), threshold))).select("query_id", "pos", (-F.col("key")).alias("score"))
+    rows = F.sort_array(F.collect_list(F.struct((-F.round("score", 9)).alias("key"), "pos", (-F.col("score")).alias("exact"), "embedding")))
+    return scored.groupBy("query_id").agg(rows.alias("r")).select("query_id", F.inline(representatives(F.col("r"), threshold))).select("query_id", "pos", (-F.col("exact")).alias("score"))
 
 
 def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig = RecallConfig()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from memtide.operators import gate, skills
-from memtide.operators.filtering import decision
+from memtide.operators.filtering import decide
 
 TRACKED = "workspace string, event_id bigint, cluster_key string, repeat_count bigint, template string, fixed_part string, fixed_ratio double, frustration double, ready boolean"
 
@@ -23,7 +23,7 @@ def store_queue(items: DataFrame, existing: Callable[[], DataFrame], append: Cal
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        fit = df.withColumn("_d", decision(F.col("text"))).where("_d.store").drop("_d").withColumnRenamed("id", "pos")
+        fit = decide(df).where("store").drop("store", "score", "reason").withColumnRenamed("id", "pos")
         passed = gate.duplicate_gate(fit, existing(), threshold).where("ok")
         append(passed.drop("ok", "reason", "similar_memory"))
 
@@ -79,7 +79,7 @@ class OnlineTransitions(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out = []
         before = self.last.get()[0] if self.last.exists() else None
-        for event in sorted((e for frame in rows for e in frame.itertuples()), key=lambda e: e.step):
+        for event in sorted((e for frame in rows for e in frame.itertuples()), key=lambda e: (e.step, e.tie)):
             if before is not None:
                 edge = (before, event.item)
                 n = (self.counts.getValue(edge)[0] if self.counts.containsKey(edge) else 0) + 1
@@ -95,8 +95,9 @@ class OnlineTransitions(StatefulProcessor):
 
 
 def online_transitions(events: DataFrame) -> DataFrame:
-    """``(session, step, item)`` -> ``(session, step, prev, next, cnt)``."""
-    return events.select("session", "step", "item").groupBy("session").transformWithStateInPandas(OnlineTransitions(), "session string, step bigint, prev string, next string, cnt bigint", "Update", "None")
+    """``(session, step, item[, tie])`` -> ``(session, step, prev, next, cnt)``; ``tie`` orders events of one step."""
+    tie = F.col("tie") if "tie" in events.columns else F.lit(0)
+    return events.select("session", "step", tie.cast("bigint").alias("tie"), "item").groupBy("session").transformWithStateInPandas(OnlineTransitions(), "session string, step bigint, prev string, next string, cnt bigint", "Update", "None")
 
 
 def route(events: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> DataStreamWriter:

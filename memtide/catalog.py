@@ -17,6 +17,7 @@ from memtide.functions.redact import MARK, PATTERNS, redact
 from memtide.functions.rules import SCRIPT_BLOCKS, default_packs
 from memtide.operators import filtering, gate, markov, metrics, prototypes, retrieval, skills
 from memtide.sources import embedding, store
+from memtide.sources.scan import spread
 from memtide.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +38,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "embeddings", "conversations") else df
 
 
 def _vec(column: str = "embedding") -> Column:
@@ -205,7 +207,9 @@ _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     r = lambda c, n: F.round(c, 6).alias(n)
-    return table(spark, sf_dir, "documents").select("doc_id", r(T.shannon_entropy(t), "entropy"), r(T.information_density(t), "density"), r(T.repetition_ratio(t), "repetition"), r(T.punctuation_ratio(t), "punctuation"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", T.shannon_entropy(t).alias("e"), T.distinct_chars(t).alias("k"))
+    density = F.when(F.col("k") <= 1, F.lit(0.0)).otherwise(F.col("e") / F.log2(F.col("k").cast("double")))
+    return rows.select("doc_id", r(F.col("e"), "entropy"), r(density, "density"), r(T.repetition_ratio(t), "repetition"), r(T.punctuation_ratio(t), "punctuation"))
 
 
 def _split_sql(x: str) -> str:

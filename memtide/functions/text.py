@@ -40,19 +40,30 @@ def has_content(text: Column) -> Column:
     return text.rlike(r"(?U)[\p{L}\p{N}]")
 
 
+def _kinds(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+
+
+def distinct_chars(text: Column) -> Column:
+    return F.size(_kinds(text))
+
+
+def _entropy(text: Column, kinds: Column) -> Column:
+    def bits(n: Column) -> Column:
+        plus = lambda a, c: let((n - F.length(F.replace(text, c, F.lit("")))) / n, lambda p: a - p * F.log2(p))
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(kinds, F.lit(0.0), plus))
+
+    return let(F.length(text), bits)
+
+
 def shannon_entropy(text: Column) -> Column:
     """Bits per character; 0 for an empty text."""
-    n = F.length(text)
-    kinds = F.array_distinct(F.split(text, ""))
-    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
-    bits = F.aggregate(F.filter(kinds, lambda c: c != ""), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
-    return F.when(n == 0, F.lit(0.0)).otherwise(bits)
+    return _entropy(text, _kinds(text))
 
 
 def information_density(text: Column) -> Column:
     """Entropy over its largest value for as many distinct characters; 0 for one or none."""
-    kinds = F.size(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""))
-    return F.when(kinds <= 1, F.lit(0.0)).otherwise(shannon_entropy(text) / F.log2(kinds.cast("double")))
+    return let(_kinds(text), lambda k: F.when(F.size(k) <= 1, F.lit(0.0)).otherwise(_entropy(text, k) / F.log2(F.size(k).cast("double"))))
 
 
 def repetition_ratio(text: Column) -> Column:

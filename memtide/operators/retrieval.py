@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memtide.functions.text import tokenize
+from memtide.functions.text import let, tokenize
 from memtide.functions.vec import cosine
 
 
@@ -21,18 +21,25 @@ def vector_scores(queries: DataFrame, memories: DataFrame) -> DataFrame:
 def bm25_scores(queries: DataFrame, memories: DataFrame, k1: float = 1.5, b: float = 0.75, idf_floor: float = 0.25) -> DataFrame:
     """BM25 of ``queries(query_id, text)`` over ``memories(pos, text)``; rows that score nothing are left out.
 
-    Only the queries' terms are looked up, so the vocabulary is never shuffled: tokens meet the terms in the scan's tasks
-    and leave them as one count per row and term. A term that a query repeats counts as often.
+    Only the queries' terms are looked up, so the vocabulary is never exploded or shuffled: a row keeps those of its tokens
+    that some query has, one count per term leaves each task, and scores are made within the row. A term that a query
+    repeats counts as often. The marker '' counts rows and tokens in the same pass; no token is empty.
     """
-    terms = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    docs = memories.select("pos", tokenize(F.col("text")).alias("tokens")).select("pos", "tokens", F.size("tokens").alias("dl"))
-    whole = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = docs.select("pos", "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term").groupBy("pos", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tf.join(df, "term").join(terms, "term").crossJoin(whole)
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(idf_floor))
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("query_id", "pos").agg(F.sum(part).alias("score")).where("score > 0")
+    q = queries.select("query_id", tokenize(F.col("text")).alias("q"))
+    terms = q.select(F.explode("q").alias("t")).agg(F.collect_set("t").alias("terms"))
+    docs = memories.select("pos", tokenize(F.col("text")).alias("t")).crossJoin(F.broadcast(terms))  # one row
+    docs = docs.select("pos", F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains("terms", x)).alias("t"))
+    each = docs.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"), "dl").groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("s"))
+    is_all = F.col("term") == ""
+    stats = each.agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("df"), F.max(F.when(is_all, F.col("n"))).alias("n"), F.max(F.when(is_all, F.col("s") / F.col("n"))).alias("avgdl"))
+
+    def part(total: Column, term: Column) -> Column:
+        tf, df = F.size(F.filter("t", lambda x: x == term)), F.try_element_at("df", term)
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1), F.lit(idf_floor))
+        return let(tf, lambda tf: F.when(tf == 0, total).otherwise(total + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))))
+
+    rows = docs.where(F.size("t") > 0).crossJoin(q).crossJoin(F.broadcast(stats))
+    return rows.select("query_id", "pos", F.aggregate("q", F.lit(0.0), part).alias("score")).where("score > 0")
 
 
 def rank(scores: DataFrame, *extra: str) -> DataFrame:

@@ -3,18 +3,20 @@
 Only windows of ``length`` bytes that two documents share can matter, so suffixes are sorted over candidates alone.
 
 1. Documents are packed into blocks, written once, compressed.
-2. Winnowing without loss: in every window the smallest hash of its ``GRAM``-byte strings is the window's anchor, so equal
+2. Content-defined chunks, about a kilobyte each, are compared by 128-bit digests. A chunk that a smaller document has
+   too goes as a whole, and only the smallest holder's windows are looked at further.
+3. Winnowing without loss: in every window the smallest hash of its ``GRAM``-byte strings is the window's anchor, so equal
    windows have equal anchors. A block sends each distinct anchor hash once, in four bytes, to the hash's bucket, and
    learns by one bit whether another document has it.
-3. A block sends the windows of its shared anchors, as byte strings around the anchor, with the smallest doc_id that has
+4. A block sends the windows of its shared anchors, as byte strings around the anchor, with the smallest doc_id that has
    them. Anchors that very many blocks share send single windows, dealt by the window's own hash instead.
-4. A bucket sorts the suffixes of its strings: 8-byte grams give the first buckets, and each refinement sorts on a
+5. A bucket sorts the suffixes of its strings: 8-byte grams give the first buckets, and each refinement sorts on a
    suffix's bucket and on the bucket of the suffix 8, 16, then ``length - 32`` bytes on, reusing the refined buckets.
    Suffixes alone in their bucket are settled. A last bucket is one distinct window, and its smallest doc_id settles
    which copies go.
-5. The blocks cover their bytes with the windows found.
+6. The blocks cover their bytes with the windows found.
 
-Equality is always of bytes; hashes only deal out and preselect. What a key gathers is bounded by the number of blocks.
+Equality of windows is of bytes, that of chunks of digests; other hashes only deal out and preselect. What a key gathers is bounded by the number of blocks.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ GRAM = 20
 BLOCK_BYTES = 4 << 20
 PART = 1 << 16
 BLOCK_DOCS = 16384
+#: A chunk ends, on average, at every such anchor.
+CHUNK_RUNS = 64
 #: An anchor that so many blocks share is dealt by single windows.
 HOT_BLOCKS = 512
 NO_ID = np.iinfo(np.int64).max
@@ -100,7 +104,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
     def block() -> pa.RecordBatch:
-        row = {"block": [(part << 32) + seq], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [np.array([len(x) for x in texts], np.int64).tobytes()], "data": [zstandard.ZstdCompressor(level=1).compress(b"".join(texts))]}
+        row = {"block": [(part << 32) + seq], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [np.array([len(x) for x in texts], np.int64).tobytes()], "data": [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]}
         return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())]))
 
     for batch in batches:
@@ -135,6 +139,29 @@ class Block:
         whose = self.doc[order]  # ascending for each key
         self.twice = whose[begin] != whose[np.concatenate([begin[1:], [len(keys)]]) - 1] if len(keys) else new
         self.bucket = (self.keys >> np.uint64(32)).astype(np.int64)
+        self._cut_chunks(hashes, length, buckets)
+
+    def _cut_chunks(self, hashes: np.ndarray, length: int, buckets: int) -> None:
+        """Runs into chunks; ``digests`` are distinct, by bucket, with the smallest doc_id of the block that has each."""
+        opens = hashes % np.uint64(CHUNK_RUNS) == 0
+        opens[:1] = True
+        opens[1:] |= self.doc[1:] != self.doc[:-1]
+        begin = np.flatnonzero(opens)
+        self.chunk_of = np.cumsum(opens) - 1
+        self.chunk_start = self.first[begin]
+        self.chunk_windows = self.last[np.concatenate([begin[1:], [len(opens)]]) - 1] - self.chunk_start + 1 if len(begin) else begin
+        self.chunk_doc = self.doc[begin]
+        raw, seen = self.raw, {}
+        of = [seen.setdefault(hashlib.blake2b(raw[a : a + n + length - 1], digest_size=16).digest(), len(seen)) for a, n in zip(self.chunk_start.tolist(), self.chunk_windows.tolist(), strict=True)]
+        home = np.array([int.from_bytes(d[:6], "little") % buckets for d in seen], np.int64)
+        order = np.argsort(home, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        every = list(seen)
+        self.digests, self.digest_bucket = [every[i] for i in order], home[order]
+        self.chunk_digest = place[np.array(of, np.int64)]
+        self.digest_doc = np.full(len(order), NO_ID, np.int64)
+        np.minimum.at(self.digest_doc, self.chunk_digest, self.ids[self.chunk_doc])
 
 
 def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -172,20 +199,45 @@ def suffix_classes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
     return starts, pointer[starts]
 
 
+def _ask(block: Block, number: int) -> pd.DataFrame:
+    """What a block asks each bucket about: its anchors and its chunks."""
+    rest = block.keys.astype(np.uint32)
+    anchors = {b: (rest[cut].tobytes(), np.packbits(block.twice[cut]).tobytes()) for b, cut in _pieces(block.bucket)}
+    chunks = {b: b"".join(block.digests[cut]) + block.digest_doc[cut].tobytes() for b, cut in _pieces(block.digest_bucket)}
+    rows = [(number, b, *anchors.get(b, (b"", b"")), chunks.get(b, b"")) for b in sorted({*anchors, *chunks})]
+    return pd.DataFrame(rows, columns=["block", "bucket", "data", "many", "chunks"])
+
+
+def _shared_chunks(blobs: pd.Series) -> list[np.ndarray]:
+    """A bucket's digests of all blocks -> for each block's whether a document smaller than the block's holders has it."""
+    digests, docs, least = [], [], {}
+    for blob in blobs:
+        n = len(blob) // 24
+        digests.append([blob[16 * i : 16 * i + 16] for i in range(n)])
+        docs.append(np.frombuffer(blob, np.int64, n, 16 * n).tolist())
+        for d, doc in zip(digests[-1], docs[-1], strict=True):
+            if doc < least.get(d, NO_ID):
+                least[d] = doc
+    return [np.array([least.get(d, NO_ID) < doc for d, doc in zip(ds, own, strict=True)], bool) for ds, own in zip(digests, docs, strict=True)]
+
+
 def _shared_anchors(blobs: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's anchors of all blocks -> per block two bits each: another document has it, very many blocks have it."""
+    """A bucket's anchors of all blocks -> per block two bits each: another document has it, very many blocks have it.
+
+    And a bit for each chunk.
+    """
     parts = [np.frombuffer(x, np.uint32) for x in blobs["data"]]
     many = [np.frombuffer(x, np.uint8) for x in blobs["many"]]
     _, of, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     twice = np.bincount(of, weights=np.concatenate([np.unpackbits(m, count=len(p)) for m, p in zip(many, parts, strict=True)]), minlength=len(n)) > 0
     code = ((n > 1) | twice).astype(np.uint8) + (n >= HOT_BLOCKS).astype(np.uint8)
     out, at = [], 0
-    for block, bucket, part in zip(blobs["block"], blobs["bucket"], parts, strict=True):
+    for block, bucket, part, chunks in zip(blobs["block"], blobs["bucket"], parts, _shared_chunks(blobs["chunks"]), strict=True):
         mine = code[of[at : at + len(part)]]
         at += len(part)
-        if mine.any():
-            out.append((block, bucket, np.packbits(np.concatenate([mine > 0, mine > 1])).tobytes()))
-    return pd.DataFrame(out, columns=["block", "bucket", "data"])
+        if mine.any() or chunks.any():
+            out.append((block, bucket, np.packbits(np.concatenate([mine > 0, mine > 1])).tobytes(), np.packbits(chunks).tobytes()))
+    return pd.DataFrame(out, columns=["block", "bucket", "data", "chunks"])
 
 
 def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buckets: int) -> list[tuple]:
@@ -196,7 +248,14 @@ def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buc
         if bucket in got:
             bits = np.unpackbits(np.frombuffer(got[bucket], np.uint8), count=2 * (cut.stop - cut.start))
             code[cut] = bits[: len(bits) // 2] + bits[len(bits) // 2 :]
-    run = code[block.of]
+    held = np.zeros(len(block.digests), bool)
+    got = dict(zip(reply["bucket"], reply["chunks"], strict=True))
+    for bucket, cut in _pieces(block.digest_bucket):
+        if bucket in got:
+            held[cut] = np.unpackbits(np.frombuffer(got[bucket], np.uint8), count=cut.stop - cut.start)
+    whole = held[block.chunk_digest] | (block.ids[block.chunk_doc] > block.digest_doc[block.chunk_digest])
+    spans = np.stack([block.chunk_start[whole], block.chunk_windows[whole]]).astype(np.uint32)
+    run = np.where(whole[block.chunk_of], 0, code[block.of])
     cool, hot = np.flatnonzero(run == 1), np.flatnonzero(run == 2)
     start, stop, doc, bucket = block.first[cool], block.last[cool] + length, block.doc[cool], block.bucket[block.of[cool]]
     if len(hot):  # one string a window
@@ -205,7 +264,7 @@ def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buc
         whole = gram_hashes(block.data, length)[p]
         start, stop, doc = np.concatenate([start, p]), np.concatenate([stop, p + length]), np.concatenate([doc, np.repeat(block.doc[hot], sizes)])
         bucket = np.concatenate([bucket, ((whole >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)])
-    if not len(start):
+    if not len(start) and not spans.size:
         return []
     # Equal strings of a block are sent once, with the smallest doc_id.
     seen: dict[bytes, int] = {}
@@ -226,15 +285,16 @@ def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buc
     order = np.argsort(home, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     rows = []
     for b, cut in _pieces(home[order]):
         chosen = order[cut]
         packed = least[chosen].tobytes() + np.array([len(strings[i]) for i in chosen], np.uint16).tobytes() + b"".join(strings[i] for i in chosen)
         rows.append((number, b, 1, len(chosen).to_bytes(4, "little") + press.compress(packed)))
-    kept = np.stack([start, stop - start, doc, rank[of]]).astype(np.int64)
+    kept = np.stack([start, stop - start, doc, rank[of]]).astype(np.uint32)
     sent = np.stack([home[order], least[order]])
-    rows.append((number, -1, 0, press.compress(np.array([kept.shape[1], sent.shape[1]], np.int64).tobytes() + kept.astype(np.uint32).tobytes() + sent.tobytes())))
+    sizes = np.array([kept.shape[1], sent.shape[1], spans.shape[1]], np.int64)
+    rows.append((number, -1, 0, press.compress(sizes.tobytes() + kept.tobytes() + sent.tobytes() + spans.tobytes())))
     return rows
 
 
@@ -281,9 +341,12 @@ def _covered(block: Block, marks: pd.DataFrame, length: int) -> np.ndarray:
     kept = marks.loc[marks["kind"] == 0, "data"]
     if len(kept):
         plain = zstandard.ZstdDecompressor().decompressobj().decompress(kept.iloc[0])
-        n, m = np.frombuffer(plain, np.int64, 2)
-        start, size, doc, rank = np.frombuffer(plain, np.uint32, 4 * n, 16).reshape(4, n).astype(np.int64)
-        home, least = np.frombuffer(plain, np.int64, 2 * m, 16 + 16 * n).reshape(2, m)
+        n, m, k = np.frombuffer(plain, np.int64, 3).tolist()
+        start, size, doc, rank = np.frombuffer(plain, np.uint32, 4 * n, 24).reshape(4, n).astype(np.int64)
+        home, least = np.frombuffer(plain, np.int64, 2 * m, 24 + 16 * n).reshape(2, m)
+        span, wide = np.frombuffer(plain, np.uint32, 2 * k, 24 + 16 * n + 16 * m).reshape(2, k).astype(np.int64)
+        np.add.at(edge, span, 1)
+        np.add.at(edge, span + wide - 1 + length, -1)
         width = np.zeros(m, np.int64)
         width[rank] = size - length + 1
         begin = np.cumsum(width) - width
@@ -334,13 +397,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
     def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                b = Block(r.ids, r.sizes, r.data, length, buckets)
-                rest, twice = b.keys.astype(np.uint32), b.twice
-                rows = [(r.block, bucket, rest[cut].tobytes(), np.packbits(twice[cut]).tobytes()) for bucket, cut in _pieces(b.bucket)]
-                yield pd.DataFrame(rows, columns=["block", "bucket", "data", "many"])
+                yield _ask(Block(r.ids, r.sizes, r.data, length, buckets), r.block)
 
-    sent = blocks.mapInPandas(anchors, "block bigint, bucket bigint, data binary, many binary")
-    reply = sent.groupBy("bucket").applyInPandas(_shared_anchors, "block bigint, bucket bigint, data binary")
+    sent = blocks.mapInPandas(anchors, "block bigint, bucket bigint, data binary, many binary, chunks binary")
+    reply = sent.groupBy("bucket").applyInPandas(_shared_anchors, "block bigint, bucket bigint, data binary, chunks binary")
 
     def candidates(mine: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         rows = []

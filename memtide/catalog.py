@@ -115,7 +115,7 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.weighted_fusion([retrieval.vector_scores(q, m), retrieval.bm25_scores(q, m)], [0.7, 0.3]).select("query_id", "pos", F.round("score", 6).alias("score"))
 
 
-def _recall_sql(combined: str, k: int) -> str:
+def _recall_sql(combined: str, k: int, similarity: float = 0.3) -> str:
     return f"""with recursive {MEM},
 f as (select query_id, pos, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as score from rrf window w as (partition by query_id)),
 c as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as r from f) where r <= 50),
@@ -126,7 +126,7 @@ o as (select *, row_number() over (partition by query_id order by round(score, 9
 g as (
   select query_id, i, [i] as kept from o where i = 1
   union all
-  select o.query_id, o.i, case when exists (select 1 from o p where p.query_id = o.query_id and list_contains(g.kept, p.i) and list_cosine_similarity(p.embedding, o.embedding) >= 0.3) then g.kept else list_append(g.kept, o.i) end
+  select o.query_id, o.i, case when exists (select 1 from o p where p.query_id = o.query_id and list_contains(g.kept, p.i) and list_cosine_similarity(p.embedding, o.embedding) >= {similarity}) then g.kept else list_append(g.kept, o.i) end
   from g join o on o.query_id = g.query_id and o.i = g.i + 1),
 e as (select query_id, arg_max(kept, i) as kept from g group by query_id),
 z as (select o.query_id, o.pos, o.score, row_number() over (partition by o.query_id order by o.score desc, o.pos) as rank from o join e on o.query_id = e.query_id and list_contains(e.kept, o.i))
@@ -143,7 +143,7 @@ def recall_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.recall(question(spark, sf_dir), memories(spark, sf_dir), life(), retrieval.RecallConfig(top_k=20, similarity=0.3, additive=True))
 
 
-@query()
+@query(_recall_sql("r * (1 + 0.3 * l1)", 5, 0.9))
 def recall_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.recall(question(spark, sf_dir), memories(spark, sf_dir), life())
 
@@ -394,10 +394,20 @@ def learn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prototypes.learn_report(vectors(spark, sf_dir), protos(spark, sf_dir))
 
 
-@query()
+@query(f"""with recursive {PROTO},
+n as (select id, arg_max(proto_id, (round(sim, 12), -proto_id)) as proto_id from sim group by id),
+o as (select n.proto_id, v.e, row_number() over (partition by n.proto_id order by n.id) as i from n join v using (id)),
+f as (
+  select proto_id, 0::bigint as i, vec as v, 1.0::double as s from pr
+  union all
+  select proto_id, i, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))), least(s + 1 / (1 + 0.2 * (i - 1)), 5.0) from (
+    select f.proto_id, o.i, f.s, list_transform(range(1, len(f.v) + 1), lambda d: f.v[d] + 0.1 / (1 + 0.01 * f.i) * list_dot_product(f.v, o.e) * (o.e[d] - list_dot_product(f.v, o.e) * f.v[d])) as raw
+    from f join o on o.proto_id = f.proto_id and o.i = f.i + 1)),
+z as (select proto_id, max(i) as n, arg_max(v, i) as v, arg_max(s, i) as s from f group by proto_id)
+select proto_id, n as access_count, cast(case when n > 0 then 1 else -1 end as int) as created_step, round(s * 0.995, 6) as strength, unnest(range(len(v))) as dim, round(0.995 * unnest(v), 6) as value from z""")
 def oja_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prototypes.learn(vectors(spark, sf_dir), protos(spark, sf_dir), step=1)
-    return out.select("proto_id", "access_count", "created_step", F.round("strength", 6).alias("strength"), F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 6))
+    return out.select("proto_id", "access_count", "created_step", F.round("strength", 6).alias("strength"), F.posexplode("vec").alias("dim", "value")).withColumns({"value": F.round("value", 6), "dim": F.col("dim").cast("bigint")})
 
 
 @query(f"""with {PROTO}, w as (select *, exp(sim) / sum(exp(sim)) over (partition by id) as w from sim),

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memtide.llm import chatformat, decontam, linededup, packing, quality_bayes, quality_rules, secrets, simhash, suffixdedup, toxicity
+from memtide.sources.scan import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "conversations") else df
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,7 +174,7 @@ def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 def suffix_classes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """``(starts, class)`` of all windows of ``length`` bytes that don't cross ``ends``; equal windows, equal class.
 
-    A class is the start of its first window. Suffixes alone in their bucket are settled and not looked at again.
+    A class is the start of one of its windows. Suffixes alone in their bucket are settled and not looked at again.
     """
     n = len(text)
     left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)  # bytes up to the end of the string
@@ -184,15 +184,22 @@ def suffix_classes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
         code = (code << np.uint64(8)) | padded[i : i + n].astype(np.uint64)
     depth = 8
     live = np.flatnonzero(left >= depth)
-    pointer = np.arange(n)  # a bucket is named by its first suffix, so names stay apart when others are refined
+    pointer = np.arange(n)  # a bucket is named by one of its suffixes, so names stay apart when others are refined
     rank = code[live]
     while True:
-        _, first, of, size = np.unique(rank, return_index=True, return_inverse=True, return_counts=True)
-        pointer[live] = live[first][of]
+        order = np.argsort(rank)
+        ranked = rank[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(rank) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        many = np.diff(np.append(begin, len(rank)))
+        bucket = np.cumsum(new) - 1
+        pointer[live[order]] = live[order[begin]][bucket]
+        size = np.empty(len(rank), np.int64)
+        size[order] = many[bucket]
         if depth == length:
             break
         step = min(depth, length - depth)  # the suffix ``step`` on has a bucket of ``depth`` bytes too
-        live = live[(size[of] > 1) & (left[live] >= depth + step)]
+        live = live[(size > 1) & (left[live] >= depth + step)]
         rank = pointer[live] * np.int64(n) + pointer[live + step]
         depth += step
     starts = np.flatnonzero(left >= length)

@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from memtide.llm.scratch import materialize, scan_bytes
 
 GRAM = 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PART = 1 << 16
+#: Strings of a bucket are settled in so many parts, one after the other.
+PARTS = 8
 BLOCK_DOCS = 16384
 #: A chunk ends, on average, at every such anchor.
 CHUNK_RUNS = 64
@@ -72,15 +74,22 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
         done *= 2
 
 
+def hashes_at(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """``gram_hashes(data, size)[starts]`` without the rest."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(size):
+        out = out * _STEP + _mix(data[starts + i].astype(np.uint64) + np.uint64(1))
+    return _mix(out)
+
+
 def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(first, last, doc, hash)``: runs of window starts that share an anchor, inside one document."""
     n = len(data) - length + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    at, hashes, wide = np.empty(n, np.int64), np.empty(len(data) - GRAM + 1, np.uint64), length - GRAM + 1
+    at, wide = np.empty(n, np.int32), length - GRAM + 1
     for begin in range(0, n, PART):  # parts stay in a core's cache
         part = gram_hashes(data[begin : min(n, begin + PART) + length - 1], GRAM)
-        hashes[begin : begin + len(part)] = part
         key = (part & ~_POS) | np.arange(len(part), dtype=np.uint64)  # equal hashes: the leftmost
         size = 1
         while size * 2 <= wide:
@@ -88,7 +97,7 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nda
             size *= 2
         if size < wide:
             key = np.minimum(key[: len(key) - (wide - size)], key[wide - size :])
-        at[begin : begin + PART] = (key & _POS).astype(np.int64) + begin
+        at[begin : begin + PART] = (key & _POS).astype(np.int32) + np.int32(begin)
     begins = np.concatenate([[0], ends[:-1]])
     edges = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, begins, np.maximum(begins, ends - length + 1)])
     first = np.unique(edges)
@@ -97,7 +106,7 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nda
     doc = np.searchsorted(ends, first, side="right")
     inside = first + length <= ends[doc]
     first, last, doc = first[inside], last[inside], doc[inside]
-    return first, last, doc, hashes[at[first]]
+    return first, last, doc, hashes_at(data, at[first].astype(np.int64), GRAM)
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,12 +274,14 @@ def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buc
     run = np.where(whole[block.chunk_of], 0, code[block.of])
     cool, hot = np.flatnonzero(run == 1), np.flatnonzero(run == 2)
     start, stop, doc, bucket = block.first[cool], block.last[cool] + length, block.doc[cool], block.bucket[block.of[cool]]
+    part = (block.keys[block.of[cool]] % np.uint64(PARTS)).astype(np.int64)
     if len(hot):  # one string a window
         sizes = block.last[hot] - block.first[hot] + 1
         p = np.repeat(block.first[hot] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        whole = gram_hashes(block.data, length)[p]
+        whole = hashes_at(block.data, p, length)
         start, stop, doc = np.concatenate([start, p]), np.concatenate([stop, p + length]), np.concatenate([doc, np.repeat(block.doc[hot], sizes)])
         bucket = np.concatenate([bucket, ((whole >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)])
+        part = np.concatenate([part, (whole % np.uint64(PARTS)).astype(np.int64)])
     if not len(start) and not spans.size:
         return []
     # Equal strings of a block are sent once, with the smallest doc_id.
@@ -287,8 +298,8 @@ def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buc
         of[i] = k
     least = np.full(len(strings), NO_ID, np.int64)
     np.minimum.at(least, of, block.ids[doc])
-    home = np.empty(len(strings), np.int64)
-    home[of] = bucket
+    home, parts = np.empty(len(strings), np.int64), np.empty(len(strings), np.uint8)
+    home[of], parts[of] = bucket, part
     order = np.argsort(home, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -296,7 +307,7 @@ def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buc
     rows = []
     for b, cut in _pieces(home[order]):
         chosen = order[cut]
-        packed = least[chosen].tobytes() + np.array([len(strings[i]) for i in chosen], np.uint16).tobytes() + b"".join(strings[i] for i in chosen)
+        packed = least[chosen].tobytes() + np.array([len(strings[i]) for i in chosen], np.uint16).tobytes() + parts[chosen].tobytes() + b"".join(strings[i] for i in chosen)
         rows.append((number, b, 1, len(chosen).to_bytes(4, "little") + press.compress(packed)))
     kept = np.stack([start, stop - start, doc, rank[of]]).astype(np.uint32)
     sent = np.stack([home[order], least[order]])
@@ -307,16 +318,36 @@ def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buc
 
 def _settle(blobs: pd.DataFrame, length: int) -> pd.DataFrame:
     """A bucket's strings of all blocks -> per block a bit for every window of its strings: a smaller document has it."""
-    docs, sizes, strings, count = [], [], [], []
+    docs, sizes, parts, strings, count = [], [], [], [], []
     for blob in blobs["data"]:
         n = int.from_bytes(blob[:4], "little")
         plain = zstandard.ZstdDecompressor().decompressobj().decompress(blob[4:])
         docs.append(np.frombuffer(plain, np.int64, n))
         sizes.append(np.frombuffer(plain, np.uint16, n, 8 * n).astype(np.int64))
-        edges = np.concatenate([[0], np.cumsum(sizes[-1])]) + 10 * n
+        parts.append(np.frombuffer(plain, np.uint8, n, 10 * n))
+        edges = np.concatenate([[0], np.cumsum(sizes[-1])]) + 11 * n
         strings += [plain[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         count.append(n)
-    docs, sizes = np.concatenate(docs), np.concatenate(sizes)
+    docs, sizes, parts = np.concatenate(docs), np.concatenate(sizes), np.concatenate(parts)
+    windows = sizes - length + 1
+    place = np.cumsum(windows) - windows
+    gone = np.zeros(int(windows.sum()), bool)
+    for part in range(PARTS):
+        rows = np.flatnonzero(parts == part)
+        if len(rows):
+            _settle_part([strings[i] for i in rows.tolist()], docs[rows], windows[rows], place[rows], gone, length)
+    out, at = [], 0
+    edge = np.append(place, len(gone))
+    for block, bucket, n in zip(blobs["block"], blobs["bucket"], count, strict=True):
+        mine = gone[edge[at] : edge[at + n]]
+        at += n
+        if mine.any():
+            out.append((block, bucket, 1, np.packbits(mine).tobytes()))
+    return pd.DataFrame(out, columns=["block", "bucket", "kind", "data"])
+
+
+def _settle_part(strings: list[bytes], docs: np.ndarray, windows: np.ndarray, place: np.ndarray, gone: np.ndarray, length: int) -> None:
+    """Marks in ``gone``, at each string's ``place``, the windows that a smaller document has."""
     number: dict[bytes, int] = {}
     of = np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(strings))
     least = np.full(len(number), NO_ID, np.int64)
@@ -325,26 +356,17 @@ def _settle(blobs: pd.DataFrame, length: int) -> pd.DataFrame:
     width = np.fromiter(map(len, number), np.int64, len(number))
     ends = np.cumsum(width)
     start, klass = suffix_classes(text, ends, length)
-    string = np.searchsorted(ends, start, side="right")
     smallest = np.full(len(text), NO_ID, np.int64)
-    np.minimum.at(smallest, klass, least[string])
+    np.minimum.at(smallest, klass, least[np.searchsorted(ends, start, side="right")])
     best = np.full(len(text), NO_ID, np.int64)
     best[start] = smallest[klass]
-    out, at = [], 0
-    begin = ends - width
-    for block, bucket, n in zip(blobs["block"], blobs["bucket"], count, strict=True):
-        mine, windows = of[at : at + n], sizes[at : at + n] - length + 1
-        total = windows.sum()
-        p = np.repeat(begin[mine] - (np.cumsum(windows) - windows), windows) + np.arange(total)
-        gone = best[p] < np.repeat(docs[at : at + n], windows)
-        at += n
-        if gone.any():
-            out.append((block, bucket, 1, np.packbits(gone).tobytes()))
-    return pd.DataFrame(out, columns=["block", "bucket", "kind", "data"])
+    before = np.cumsum(windows) - windows
+    inside = np.arange(int(windows.sum())) - np.repeat(before, windows)
+    gone[np.repeat(place, windows) + inside] = best[np.repeat((ends - width)[of], windows) + inside] < np.repeat(docs, windows)
 
 
 def _covered(block: Block, marks: pd.DataFrame, length: int) -> np.ndarray:
-    edge = np.zeros(len(block.data) + 1, np.int64)
+    edge = np.zeros(len(block.data) + 1, np.int32)
     kept = marks.loc[marks["kind"] == 0, "data"]
     if len(kept):
         plain = zstandard.ZstdDecompressor().decompressobj().decompress(kept.iloc[0])
@@ -372,7 +394,7 @@ def _covered(block: Block, marks: pd.DataFrame, length: int) -> np.ndarray:
         p = (np.repeat(start, windows) + inside)[gone[np.repeat(begin[rank], windows) + inside] | later]
         np.add.at(edge, p, 1)
         np.add.at(edge, p + length, -1)
-    return np.cumsum(edge)[:-1] > 0
+    return np.cumsum(edge, dtype=np.int32)[:-1] > 0
 
 
 def _report(block: Block, covered: np.ndarray, with_text: bool) -> pd.DataFrame:

@@ -12,9 +12,19 @@ from memtide.functions.text import let, tokenize
 from memtide.functions.vec import cosine
 
 
+MAX_QUERIES = 10_000
+
+
+def query_batch(queries: DataFrame) -> DataFrame:
+    """The queries, marked to go to every task; a batch is a bounded parameter, and a larger one is refused."""
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: split them into batches")
+    return F.broadcast(queries)
+
+
 def vector_scores(queries: DataFrame, memories: DataFrame) -> DataFrame:
     """Cosine of every query with every memory; the few queries go to the memories' tasks."""
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
+    q = query_batch(queries.select("query_id", F.col("embedding").alias("_q")))
     return memories.select("pos", "embedding").crossJoin(q).select("query_id", "pos", cosine(F.col("embedding"), F.col("_q")).alias("score"))
 
 
@@ -33,13 +43,16 @@ def bm25_scores(queries: DataFrame, memories: DataFrame, k1: float = 1.5, b: flo
     is_all = F.col("term") == ""
     stats = each.agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("df"), F.max(F.when(is_all, F.col("n"))).alias("n"), F.max(F.when(is_all, F.col("s") / F.col("n"))).alias("avgdl"))
 
-    def part(total: Column, term: Column) -> Column:
-        tf, df = F.size(F.filter("t", lambda x: x == term)), F.try_element_at("df", term)
+    def part(tokens: Column, total: Column, term: Column) -> Column:
+        tf, df = F.size(F.filter(tokens, lambda x: x == term)), F.try_element_at("df", term)
         idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1), F.lit(idf_floor))
         return let(tf, lambda tf: F.when(tf == 0, total).otherwise(total + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))))
 
-    rows = docs.where(F.size("t") > 0).crossJoin(q).crossJoin(F.broadcast(stats))
-    return rows.select("query_id", "pos", F.aggregate("q", F.lit(0.0), part).alias("score")).where("score > 0")
+    rows = docs.where(F.size("t") > 0).crossJoin(query_batch(q)).crossJoin(F.broadcast(stats))
+    score = let(F.col("t"), lambda t: F.aggregate("q", F.lit(0.0), lambda a, x: part(t, a, x)))
+    # The explode keeps the filter from moving into the joins, where scores would be made again.
+    scored = rows.select("pos", F.explode(F.filter(F.array(F.struct("query_id", score.alias("score"))), lambda x: x["score"] > 0)).alias("x"))
+    return scored.select("x.query_id", "pos", "x.score")
 
 
 def rank(scores: DataFrame, *extra: str) -> DataFrame:

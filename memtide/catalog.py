@@ -16,6 +16,7 @@ from memtide.functions.lifecycle import becomes_stale, content_dedup, lifecycle_
 from memtide.functions.redact import MARK, PATTERNS, redact
 from memtide.functions.rules import SCRIPT_BLOCKS, default_packs
 from memtide.operators import filtering, gate, markov, metrics, prototypes, retrieval, skills
+from memtide.plans.lineage import drain
 from memtide.sources import embedding, store
 from memtide.sources.scan import spread
 from memtide.streaming import jobs
@@ -638,26 +639,25 @@ def _stream(spark: SparkSession, sf_dir: str, columns: str) -> DataFrame:
     return rows.selectExpr(*columns.split("; "))
 
 
-def _drain(df: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over all there is and returns what it emitted."""
+def _drain(df: DataFrame) -> DataFrame:
+    """:func:`drain` with the state store that the stateful operators need."""
     spark = df.sparkSession
-    key, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        writer = df.writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True)
-        writer.start().awaitTermination()
+        return drain(df)
     finally:
         spark.conf.set(key, old) if old else spark.conf.unset(key)
-    return spark.table(name)
 
 
 @query(f"with {EDGES} select * from m")
 def streaming_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir, "cast(user_id as string) as session; unix_micros(cast(ts as timestamp)) as step; event_id as tie; event_type as item")
-    return _drain(jobs.online_transitions(s), "online_transitions").groupBy("prev", "next").agg(F.count("*").alias("cnt"))
+    return _drain(jobs.online_transitions(s)).groupBy("prev", "next").agg(F.count("*").alias("cnt"))
 
 
 @query()
 def streaming_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir, "cast(user_id % 10 as string) as workspace; event_id; 'Shell' as tool; concat('run ', event_type, ' --user ', user_id) as command")
-    return _drain(jobs.track(s), "tracked_commands")
+    return _drain(jobs.track(s))

@@ -1,15 +1,36 @@
-"""Checkpoints in the folder that the cluster names."""
+"""Tables that cut lineage, in the folder that the cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder. A local one is made only for a local session that has none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="memtide-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; a local folder is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="memtide-"))
-    return df.checkpoint()
+    """``df`` written once to the shared folder and read from there."""
+    path = f"{shared_folder(df.sparkSession)}/memtide/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drain(stream: DataFrame, mode: str = "update") -> DataFrame:
+    """Runs a stream over all there is; what it emitted is in the shared folder, a batch that is tried again once."""
+    spark, root = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/memtide/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{root}/out/batch=-1")
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).option("basePath", f"{root}/out").parquet(f"{root}/out/*").select(*stream.columns)

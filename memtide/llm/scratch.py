@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from memtide.plans.lineage import shared_folder
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session. One is made only where none is set, which is a local test session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="memtide-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/") + "/memtide"
+    return f"{shared_folder(spark)}/memtide"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memtide.functions.text import strip
@@ -49,8 +49,8 @@ def summarize(text: Column, role: Column, max_chars: int = 150) -> Column:
 
 
 def tool_command(tool: Column, tool_input: Column) -> Column:
-    """A shell tool's command; otherwise its input as JSON."""
-    return F.when(tool == "Shell", F.coalesce(F.get_json_object(tool_input, "$.command"), F.lit(""))).otherwise(tool_input)
+    """A shell tool's command; otherwise its input as JSON with sorted keys, or as it is if it doesn't parse."""
+    return F.when(tool == "Shell", F.coalesce(F.get_json_object(tool_input, "$.command"), F.lit(""))).otherwise(F.coalesce(F.to_json(F.try_parse_json(tool_input)), tool_input))
 
 
 def tool_result(payload: Column) -> Column:
@@ -72,5 +72,11 @@ def recall_lines(texts: Column) -> Column:
     return F.when(F.size(texts) == 0, "").otherwise(F.concat(F.lit("Relevant memories:\n"), F.array_join(lines, "\n")))
 
 
+def recall_block(recalled: DataFrame, cutoff: float = 0.7) -> DataFrame:
+    """``(query_id, rank, score, text)`` -> ``(query_id, block)`` of the rows that score above ``cutoff``."""
+    rows = F.sort_array(F.collect_list(F.when(F.col("score") > cutoff, F.struct("rank", "text"))))
+    return recalled.groupBy("query_id").agg(rows.alias("r")).select("query_id", recall_lines(F.col("r.text")).alias("block"))
+
+
 def context_memory(name: Column, content: Column) -> Column:
     return F.concat(F.lit("[Project Context from "), name, F.lit("]\n"), strip(content))

@@ -73,3 +73,17 @@ def prediction_suite(edges: DataFrame, pairs: DataFrame, n_items: int) -> DataFr
     best = markov.predict_next(edges).select("prev", F.col("next").alias("guess"))
     hit = pairs.join(best, "prev", "left").agg(F.avg(F.coalesce(F.col("next") == F.col("guess"), F.lit(False)).cast("double")).alias("top1"))
     return hit.crossJoin(markov.surprise(edges, pairs, n_items).agg(F.avg("surprise").alias("mean_surprise")))
+
+
+#: What the suites must reach, as (name, least value).
+PASS_MARKS = (("strength_ratio", 0.6), ("top1", 0.4), ("residual_gain", 0.0))
+
+
+def verdicts(values: dict[str, float]) -> dict[str, bool]:
+    """Which of the measured values reach their mark."""
+    return {name: values[name] >= least for name, least in PASS_MARKS if name in values}
+
+
+def write_report(metrics: DataFrame, path: str) -> None:
+    """The metrics as one JSON file, a line a group."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)

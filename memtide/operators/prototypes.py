@@ -6,6 +6,7 @@ number of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,8 +74,11 @@ def oja(p: Column, n: Column, x: Column, imp: Column, config: LearningConfig) ->
     return let(dot(p, x), lambda y: normalize(moved(y)))
 
 
-def learn(vectors: DataFrame, protos: DataFrame, step: int = 0, config: LearningConfig = LearningConfig(), decay: bool = True) -> DataFrame:
-    """``vectors(id, embedding[, importance])`` -> the new prototype table.
+Rule = Callable[[Column, Column, Column, Column, LearningConfig], Column]
+
+
+def learn(vectors: DataFrame, protos: DataFrame, step: int = 0, config: LearningConfig = LearningConfig(), decay: bool = True, rule: Rule = oja) -> DataFrame:
+    """``vectors(id, embedding[, importance])`` -> the new prototype table. ``rule`` makes the new vector of one update.
 
     Rows are assigned against the matrix before the batch and then fold, in order of id, into their prototype; updates of
     different prototypes don't touch. Decay follows once.
@@ -84,7 +88,7 @@ def learn(vectors: DataFrame, protos: DataFrame, step: int = 0, config: Learning
     runs = mine.groupBy("proto_id").agg(F.sort_array(F.collect_list(F.struct("id", "embedding", "importance"))).alias("x"))
     old = protos.join(runs, "proto_id", "left")
     start = F.struct(F.transform("vec", lambda v: v.cast("double")).alias("v"), F.col("access_count").cast("bigint").alias("n"), F.col("strength").cast("double").alias("s"))
-    fold = F.aggregate("x", start, lambda a, r: F.struct(oja(a["v"], a["n"], r["embedding"], r["importance"].cast("double"), config).alias("v"), (a["n"] + 1).alias("n"), F.least(a["s"] + 1 / (1 + 0.2 * a["n"]), F.lit(config.max_strength)).alias("s")))
+    fold = F.aggregate("x", start, lambda a, r: F.struct(rule(a["v"], a["n"], r["embedding"], r["importance"].cast("double"), config).alias("v"), (a["n"] + 1).alias("n"), F.least(a["s"] + 1 / (1 + 0.2 * a["n"]), F.lit(config.max_strength)).alias("s")))
     new = old.withColumn("f", F.coalesce(fold, start))
     hit = F.col("x").isNotNull()
     k = config.decay if decay else 1.0

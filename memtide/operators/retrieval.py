@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,13 +122,18 @@ def semantic_dedup(scored: DataFrame, threshold: float = 0.9) -> DataFrame:
     return scored.groupBy("query_id").agg(rows.alias("r")).select("query_id", F.inline(representatives(F.col("r"), threshold))).select("query_id", "pos", (-F.col("exact")).alias("score"))
 
 
-def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig = RecallConfig()) -> DataFrame:
+Scorer = Callable[[DataFrame, DataFrame], DataFrame]
+Fusion = Callable[[Sequence[DataFrame]], DataFrame]
+
+
+def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig = RecallConfig(), scorers: Sequence[Scorer] = (vector_scores, bm25_scores), fuse: Fusion = reciprocal_rank_fusion) -> DataFrame:
     """Hybrid recall of ``queries(query_id, text, embedding)`` over ``memories(pos, text, embedding, ...)``.
 
     ``lifecycle`` is a score over columns of ``memories``. Returns ``(query_id, rank, pos, score)``. Text and vectors are
-    read by the scorers alone; only the candidates are joined back with theirs.
+    read by the scorers alone; only the candidates are joined back with theirs. Any function of queries and memories
+    that returns ``(query_id, pos, score)`` is a scorer, any of rankings a fusion.
     """
-    fused = reciprocal_rank_fusion([vector_scores(queries, memories), bm25_scores(queries, memories)])
+    fused = fuse([score(queries, memories) for score in scorers])
     fused = fused.withColumn("score", min_max("score")).where(F.col("score") >= config.min_score)
     few = truncate(fused, config.candidates)
     few = few.join(memories.select("pos", "embedding", lifecycle.alias("life")), "pos")

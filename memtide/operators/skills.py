@@ -124,10 +124,17 @@ def match_templates(commands: DataFrame, skills: DataFrame) -> DataFrame:
     return commands.join(first, "event_id", "left")
 
 
-def confidence_fold(outcomes: DataFrame, start: float = 0.8) -> DataFrame:
-    """``(skill_id, event_id, ok)`` -> confidence and counters after all outcomes in order, and whether the skill ends."""
+def confidence_fold(outcomes: DataFrame, start: float | DataFrame = 0.8) -> DataFrame:
+    """``(skill_id, event_id, ok)`` -> confidence and counters after all outcomes in order, and whether the skill ends.
+
+    ``start`` is a confidence, or a table ``(id, confidence, usage_count, failure_count)`` to go on from.
+    """
     rows = outcomes.groupBy("skill_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "ok"))).alias("o"))
-    zero = F.struct(F.lit(start).alias("c"), F.lit(0).alias("u"), F.lit(0).alias("f"), F.lit(False).alias("d"))
+    if isinstance(start, DataFrame):
+        rows = rows.join(start.withColumnRenamed("id", "skill_id"), "skill_id")
+        first = F.struct(F.col("confidence").alias("c"), F.col("usage_count").cast("int").alias("u"), F.col("failure_count").cast("int").alias("f"), F.lit(False).alias("d"))
+    else:
+        first = F.struct(F.lit(start).alias("c"), F.lit(0).alias("u"), F.lit(0).alias("f"), F.lit(False).alias("d"))
 
     def step(a: Column, x: Column) -> Column:
         ok = x["ok"]
@@ -135,7 +142,7 @@ def confidence_fold(outcomes: DataFrame, start: float = 0.8) -> DataFrame:
         u, f = a["u"] + ok.cast("int"), a["f"] + (~ok).cast("int")
         return F.struct(c.alias("c"), u.alias("u"), f.alias("f"), (a["d"] | (f >= 5) | ((u >= 5) & (c < 0.5))).alias("d"))
 
-    done = rows.select("skill_id", F.aggregate("o", zero, step).alias("a"))
+    done = rows.select("skill_id", F.aggregate("o", first, step).alias("a"))
     return done.select("skill_id", F.col("a.c").alias("confidence"), F.col("a.u").alias("usage_count"), F.col("a.f").alias("failure_count"), F.col("a.d").alias("deprecated"))
 
 

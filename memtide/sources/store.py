@@ -57,7 +57,7 @@ def deprecate_skills(skills: DataFrame, ids: DataFrame) -> DataFrame:
 class Store:
     """Tables of a workspace under one root. A write makes a new version and then points the manifest at it."""
 
-    TABLES = {"memories": schemas.MEMORY, "prototypes": schemas.PROTOTYPE, "skills": schemas.SKILL, "transitions": schemas.EDGE}
+    TABLES = {"memories": schemas.MEMORY, "prototypes": schemas.PROTOTYPE, "skills": schemas.SKILL, "transitions": schemas.EDGE, "events": schemas.EVENT}
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from memtide.functions.redact import redact
 from memtide.operators import gate, skills
 from memtide.operators.filtering import decide
+from memtide.plans.lineage import cut
+from memtide.sources.store import Store, bounded, upsert_skills
 
 TRACKED = "workspace string, event_id bigint, cluster_key string, repeat_count bigint, template string, fixed_part string, fixed_ratio double, frustration double, ready boolean"
 
@@ -110,3 +113,30 @@ def route(events: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> D
         df.unpersist()
 
     return events.writeStream.foreachBatch(batch)
+
+
+def mine_skills(events: DataFrame, tables: Store, window: int = 50, now: str = "1970-01-01T00:00:00") -> DataStreamWriter:
+    """Tool events ``(event_id, workspace, tool, command, ok)`` -> the store's skills, batch by batch.
+
+    Commands are redacted and kept, the last ``window`` of each workspace. Clusters that are ready become skills and are
+    forgotten; outcomes of safe commands change the confidence of the skill they fit; skills whose cluster has another
+    template by now get a new version.
+    """
+
+    def batch(df: DataFrame, _: int) -> None:
+        new = cut(df.withColumn("command", redact(F.col("command"))).select("event_id", "workspace", "tool", "command", "ok"))
+        last = tables.read("events").unionByName(new).withColumn("pos", F.col("event_id"))
+        last = cut(bounded(last, window).drop("pos").withColumn("cluster_key", skills.cluster_key(F.col("tool"), F.col("command"))))
+        found = cut(skills.skeletons(last, window))
+        ready = cut(skills.ready_clusters(found))
+        known = cut(tables.read("skills"))
+        fresh = skills.extract_skills(ready, F.lit(now)).join(known.select("id"), "id", "left_anti").select(*known.columns)
+        outcomes = cut(skills.validate(new, known.withColumn("position", F.monotonically_increasing_id())))
+        start = known.join(outcomes.select(F.col("skill_id").alias("id")).distinct(), "id", "left_semi")
+        folded = skills.confidence_fold(outcomes, start=known.select("id", "confidence", "usage_count", "failure_count")).withColumnRenamed("skill_id", "id")
+        changed = start.drop("confidence", "usage_count", "failure_count", "deprecated").join(folded, "id").withColumn("last_used", F.lit(now)).select(*known.columns)
+        revised = skills.revise(known.where(~F.col("deprecated")), found).select(*known.columns).join(known.select("id"), "id", "left_anti").select(*known.columns)
+        tables.write("skills", upsert_skills(known, changed).unionByName(fresh).unionByName(revised))
+        tables.write("events", last.join(ready.select("cluster_key"), "cluster_key", "left_anti").select("event_id", "workspace", "tool", "command", "ok"))
+
+    return events.writeStream.foreachBatch(batch)

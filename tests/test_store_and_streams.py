@@ -109,3 +109,39 @@ def test_streams_equal_batches(spark, tmp_path) -> None:
     assert any(ready for _, ready in seen) and seen[0] == (1, False)
     after = next(i for i, (_, ready) in enumerate(seen) if ready) + 1
     assert after == len(seen) or seen[after][0] == 1  # a ready cluster is forgotten
+
+
+def test_skill_mining_stream(spark, tmp_path) -> None:
+    rows = [(i, "w", "Shell", f"git log --grep DEV{i} --all --oneline --stat", i % 4 > 0) for i in range(12)]
+    schema = "event_id bigint, workspace string, tool string, command string, ok boolean"
+    tables = store.Store(spark, f"file://{tmp_path}/ws")
+    for part in range(2):
+        spark.createDataFrame(rows if part == 0 else [(100 + i, *r[1:]) for i, r in enumerate(rows)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
+    for part in range(2):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / str(part)))
+        jobs.mine_skills(stream, tables).option("checkpointLocation", str(tmp_path / f"ck{part}")).trigger(availableNow=True).start().awaitTermination()
+    found = tables.read("skills").collect()
+    assert len(found) == 1 and found[0]["template"].startswith("git log --grep {")
+    assert found[0]["usage_count"] == 9 and found[0]["failure_count"] == 3
+    assert tables.read("events").count() == 0
+
+
+def test_replace_learns_one_by_one(spark, tmp_path) -> None:
+    engine = MemoryEngine(spark, f"file://{tmp_path}/ws2", embedding.HashEngine, n_prototypes=2)
+    items = spark.createDataFrame([(0, "We use Spark for it"), (1, "The port is 8080 now")], "pos bigint, text string")
+    assert engine.replace(items, datetime(2024, 1, 1)) == 2
+    assert engine.tables.read("prototypes").agg(F.sum("access_count")).first()[0] == 2
+
+
+def test_custom_scorer_and_block(spark) -> None:
+    from memtide.functions.hooks import recall_block, tool_command
+    from memtide.operators import retrieval
+
+    m = spark.createDataFrame([(i, f"text {i}", [1.0, float(i)]) for i in range(3)], "pos bigint, text string, embedding array<double>")
+    q = spark.createDataFrame([(0, "x", [1.0, 0.0])], "query_id bigint, text string, embedding array<double>")
+    by_pos = lambda queries, memories: memories.select(F.lit(0).cast("bigint").alias("query_id"), "pos", F.col("pos").cast("double").alias("score"))
+    out = retrieval.recall(q, m, F.lit(1.0), retrieval.RecallConfig(similarity=1.0), scorers=[by_pos]).join(m.select("pos", "text"), "pos")
+    assert out.orderBy("rank").first()["pos"] == 2
+    assert recall_block(out, 0.7).first()["block"].startswith("Relevant memories:\n1. text 2")
+    row = spark.createDataFrame([("Read", '{"b": 1, "a": 2}')], "t string, i string")
+    assert row.select(tool_command(F.col("t"), F.col("i"))).first()[0] == '{"a":2,"b":1}'

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memtide.sources import schemas
 
 #: Instruction files of projects, in order of preference.
-CONTEXT_FILES = ("AGENTS.md", "CLAUDE.md", ".claude.md")
+CONTEXT_FILES = ("AGENTS.md", "CLAUDE.md", ".cursorrules", ".claude.md")
 
 
 def memories_json(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memtide.functions.text import let, tokenize
 from memtide.functions.vec import cosine
+from memtide.plans.lineage import cut
 
 
 MAX_QUERIES = 10_000
@@ -60,9 +61,27 @@ def rank(scores: DataFrame, *extra: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", *extra).orderBy(F.round("score", 9).desc(), "pos")))
 
 
-def reciprocal_rank_fusion(rankings: Sequence[DataFrame], k: int = 60) -> DataFrame:
-    """Sum of 1 / (k + rank) over the rankings; a union and one aggregation stand for the outer join."""
-    parts = [rank(r.select("query_id", "pos", "score")) for r in rankings]
+def rank_by_ranges(scores: DataFrame, partitions: int) -> DataFrame:
+    """:func:`rank` for rankings too long for one task: rows are dealt by range over query, score and position.
+
+    A row's rank is its place in its range plus the counts of the query's ranges before, of which there are few.
+    """
+    keys = ["query_id", F.round("score", 9).desc(), "pos"]
+    dealt = cut(scores.repartitionByRange(partitions, *keys).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("query_id", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("query_id", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*keys[1:]))
+    return dealt.withColumn("_place", place).join(before, ["query_id", "_part"]).select(*scores.columns, (F.col("_before") + F.col("_place")).alias("rank"))
+
+
+def reciprocal_rank_fusion(rankings: Sequence[DataFrame], k: int = 60, partitions: int | None = None) -> DataFrame:
+    """Sum of 1 / (k + rank) over the rankings; a union and one aggregation stand for the outer join.
+
+    Without ``partitions`` a query's ranking is one sort; with it the ranking is dealt over so many tasks.
+    """
+    place = (lambda r: rank_by_ranges(r, partitions)) if partitions else rank
+    parts = [place(r.select("query_id", "pos", "score")) for r in rankings]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
@@ -77,12 +96,20 @@ def min_max(column: str, by: str = "query_id", flat: str = "one") -> Column:
     return F.when(high == low, same).otherwise((F.col(column) - low) / (high - low))
 
 
+def normalized(scores: DataFrame) -> DataFrame:
+    """``score`` scaled to [0, 1] within its query, equal scores to 1. Bounds are aggregated and sent back, so no task
+    gathers a query's rows."""
+    bounds = scores.groupBy("query_id").agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    scaled = F.when(F.col("_high") == F.col("_low"), F.lit(1.0)).otherwise((F.col("score") - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    return scores.join(bounds, "query_id").select("query_id", "pos", scaled.alias("score"))
+
+
 def weighted_fusion(rankings: Sequence[DataFrame], weights: Sequence[float]) -> DataFrame:
     if len(rankings) != len(weights):
         raise ValueError("as many weights as rankings are needed")
     whole = None
     for ranking, weight in zip(rankings, weights, strict=True):
-        part = ranking.select("query_id", "pos", (min_max("score") * weight).alias("score"))
+        part = normalized(ranking).select("query_id", "pos", (F.col("score") * weight).alias("score"))
         whole = part if whole is None else whole.unionByName(part)
     return whole.groupBy("query_id", "pos").agg(F.sum("score").alias("score"))
 
@@ -134,7 +161,7 @@ def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: R
     that returns ``(query_id, pos, score)`` is a scorer, any of rankings a fusion.
     """
     fused = fuse([score(queries, memories) for score in scorers])
-    fused = fused.withColumn("score", min_max("score")).where(F.col("score") >= config.min_score)
+    fused = normalized(fused).where(F.col("score") >= config.min_score)
     few = truncate(fused, config.candidates)
     few = few.join(memories.select("pos", "embedding", lifecycle.alias("life")), "pos")
     few = few.withColumn("life", min_max("life", flat="sign"))

@@ -127,3 +127,11 @@ def test_grouped_metrics(spark) -> None:
     assert got["overall", None] == 0.6667 and got["by_type", "a"] == 1.0
     g = spark.createDataFrame([("q", ["a", "b"])], "question_id string, session_ids array<string>")
     assert metrics.set_hits(g, g).first()["recall_hit"]
+
+
+def test_rank_by_ranges(spark) -> None:
+    df = spark.range(2000).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("pos"), (F.col("id") * 7919 % 50).cast("double").alias("score"))
+    ranks = lambda d: {(r["query_id"], r["pos"]): r["rank"] for r in d.collect()}
+    assert ranks(retrieval.rank_by_ranges(df, 6)) == ranks(retrieval.rank(df))
+    fused = lambda **k: {(r["query_id"], r["pos"]): r["score"] for r in retrieval.reciprocal_rank_fusion([df], **k).collect()}
+    assert fused(partitions=4) == fused()

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memtide.functions import hooks
@@ -204,7 +204,7 @@ s2 as (select *, case when len(kinds) <= 1 then 0 else entropy / log2(len(kinds)
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-@query(f"with src as (select doc_id, text as bare from documents), {_STATS.replace(_PUNCT, _PUNCT)} select doc_id, round(entropy, 6) as entropy, round(density, 6) as density, round(repetition::double, 6) as repetition, round(punctuation::double, 6) as punctuation from s2")
+@query(f"with src as (select doc_id, text as bare from documents), {_STATS} select doc_id, round(entropy, 6) as entropy, round(density, 6) as density, round(repetition::double, 6) as repetition, round(punctuation::double, 6) as punctuation from s2")
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     r = lambda c, n: F.round(c, 6).alias(n)

@@ -64,7 +64,7 @@ class ToxicModel:
             for word, n in Counter(_words((text or "").lower())).items():
                 found = known.get(word)
                 if found is None:
-                    if len(known) > 500_000:
+                    if len(known) > 100_000:
                         known.clear()
                     found = known[word] = tuple(f for f in features_of(word) if f in weights or f ^ _TWICE in weights)
                 for f in found:
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.array(document_features(t), np.uint32).tobytes() for t in batch.column(2).to_pylist()]
+            packed = [np.array(document_features(t), np.uint32).tobytes() for t in (x.as_py() for x in batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "p", "f"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("_id"))
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -176,6 +176,6 @@ def reject(docs: DataFrame, model: ToxicModel, threshold: float = 0.5, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([of(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([of(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memtide.llm import decontam, linededup, packing, simhash, toxicity
+from memtide.llm import decontam, linededup, nearcopies, packing, toxicity
 from memtide.llm.queries import tokenizer_files
 from memtide.llm.scratch import materialize
 
@@ -24,16 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; of rows that repeat it, one."""
-    groups = materialize(simhash.near_duplicates(docs, shingle=3, budget=2).select("doc_id", "component_id"), "groups")
-    losers = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti")
-    ids = groups.where("doc_id is not null")
-    repeated = ids.groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    """Of each group of near copies (five-word similarity of 0.8 or more) the row with the smallest doc_id stays."""
+    return nearcopies.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,8 +20,11 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?)"
+#: A scheme word before the value, unless what follows it is a context of its own.
+_SCHEME = rf"""(?:(?:bearer|basic|token)\x20+(?![\w-]*{_NAMES}["']?\x20*[:=]))?"""
 #: Credential contexts of the costed values: more names, quoted values of any characters, and unquoted ones up to a blank.
-_CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?)["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;]+))""", re.ASCII)
+_CONTEXT = re.compile(rf"""(?i:{_NAMES}["']?\x20*(?::=|=>|[:=])\x20*(?:"{_SCHEME}([^"\n]+)"|'{_SCHEME}([^'\n]+)'|{_SCHEME}([^\s"'<>,;]+)))""", re.ASCII)
 
 #: Words that guessers try first, commonest first, and the rows of the usual keyboards.
 WORDS = """
@@ -90,6 +93,15 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether ``spans`` together hold all of ``[start, end)``."""
+    for a, _, b in sorted(spans):
+        if a > start:
+            break
+        start = max(start, b)
+    return start >= end
+
+
 def scan_text(text: str, min_cost: float = 10.0, min_chars: int = 8) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of all findings, by start and then kind; ends are exclusive, in code points."""
     found: list[tuple[int, int, int]] = []
@@ -103,7 +115,8 @@ def scan_text(text: str, min_cost: float = 10.0, min_chars: int = 8) -> list[tup
         base = list(found)
         for m in _CONTEXT.finditer(text):
             start, end = m.span(m.lastindex)
-            if end - start >= min_chars and not any(a < end and start < b for a, _, b in base) and guess_cost(text[start:end]) >= min_cost:
+            bare = end if m.lastindex < 3 else start + len(text[start:end].rstrip(")]}.:!?"))  # closers after an unquoted value are not its rest
+            if end - start >= min_chars and not _covered(start, bare, base) and guess_cost(text[start:end]) >= min_cost:
                 found.append((start, 3, end))
     return sorted(found)
 
@@ -112,7 +125,8 @@ def scan(docs: DataFrame, min_cost: float = 10.0, min_chars: int = 8) -> DataFra
     """``(doc_id, text)`` -> one row each: ``(doc_id, findings)``, an array of ``(kind, start, end)``.
 
     Null and empty texts have none. Rows that repeat are scanned each; a null doc_id stays null; extra columns are ignored.
-    Values shorter than ``min_chars``, or that touch a base span, are not costed.
+    Values shorter than ``min_chars``, or that base spans hold whole, are not costed; one that they hold in part is costed
+    whole and its span added. A scheme word (Bearer, Basic, Token) before a value is not part of it.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

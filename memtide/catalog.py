@@ -88,6 +88,18 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "pos", F.round("score", 6).alias("score"))
 
 
+@query("""
+with e as (select vec_id, embedding::double[] as embedding from embeddings),
+q as (select * from e where vec_id % 50 = 0),
+vec as (select q.vec_id as query_id, e.vec_id as pos, list_dot_product(q.embedding, e.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(e.embedding, e.embedding))) as score from q, e)
+select query_id, pos, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as r from vec) where r <= 10""")
+def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding whose id is divisible by 50 against every embedding, whether a document has its id or not."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), _vec().alias("embedding"))
+    q = e.where("pos % 50 = 0").withColumnRenamed("pos", "query_id")
+    return retrieval.truncate(retrieval.vector_scores(q, e), 10).select("query_id", "pos", F.round("score", 6).alias("score"))
+
+
 @query("""
 with toks as (select doc_id as pos, regexp_extract_all(lower(text), '[a-z0-9]+|[^\\x00-\\x7f]') as t from documents),
 stat as (select count(*) as n, avg(len(t)) as avgdl from toks),

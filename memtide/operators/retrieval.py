@@ -16,17 +16,27 @@ from memtide.plans.lineage import cut
 MAX_QUERIES = 10_000
 
 
-def query_batch(queries: DataFrame) -> DataFrame:
-    """The queries, marked to go to every task; a batch is a bounded parameter, and a larger one is refused."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: split them into batches")
-    return F.broadcast(queries)
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in blocks of about ``MAX_QUERIES`` at most, each marked to go to every task; one block if they fit."""
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        return [F.broadcast(queries)]
+    blocks = -(-n // max(1, MAX_QUERIES // 2))  # dealt by hash, so aimed at half
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return [F.broadcast(queries.where(place == i)) for i in range(blocks)]
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
 
 
 def vector_scores(queries: DataFrame, memories: DataFrame) -> DataFrame:
-    """Cosine of every query with every memory; the few queries go to the memories' tasks."""
-    q = query_batch(queries.select("query_id", F.col("embedding").alias("_q")))
-    return memories.select("pos", "embedding").crossJoin(q).select("query_id", "pos", cosine(F.col("embedding"), F.col("_q")).alias("score"))
+    """Cosine of every query with every memory; the queries go to the memories' tasks in blocks."""
+    blocks = query_blocks(queries.select("query_id", F.col("embedding").alias("_q")))
+    return _union([memories.select("pos", "embedding").crossJoin(q).select("query_id", "pos", cosine(F.col("embedding"), F.col("_q")).alias("score")) for q in blocks])
 
 
 def bm25_scores(queries: DataFrame, memories: DataFrame, k1: float = 1.5, b: float = 0.75, idf_floor: float = 0.25) -> DataFrame:
@@ -49,7 +59,7 @@ def bm25_scores(queries: DataFrame, memories: DataFrame, k1: float = 1.5, b: flo
         idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1), F.lit(idf_floor))
         return let(tf, lambda tf: F.when(tf == 0, total).otherwise(total + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))))
 
-    rows = docs.where(F.size("t") > 0).crossJoin(query_batch(q)).crossJoin(F.broadcast(stats))
+    rows = _union([docs.where(F.size("t") > 0).crossJoin(block) for block in query_blocks(q)]).crossJoin(F.broadcast(stats))
     score = let(F.col("t"), lambda t: F.aggregate("q", F.lit(0.0), lambda a, x: part(t, a, x)))
     # The explode keeps the filter from moving into the joins, where scores would be made again.
     scored = rows.select("pos", F.explode(F.filter(F.array(F.struct("query_id", score.alias("score"))), lambda x: x["score"] > 0)).alias("x"))

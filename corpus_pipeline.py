@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Learning and tokenizing can't be written in SQL; tests hold the stages against brute force.
+#: Learning and tokenizing can't be written in SQL; tests hold near_dedup against brute force, the other stages only by counts.
 ORACLE_SQL = None
 
 

@@ -1,10 +1,9 @@
 """Line deduplication on DataFrame operations alone.
 
-Hashes of the long lines are dealt by range over (hash, document descending, position) and sorted so inside each
-partition. A run of one hash is streamed once: its first document keeps its lines and, when the run spans enough
-documents, the later ones lose theirs. As the range covers document and position too, a line that a third of all
-documents share is cut into many partitions; the few facts a partition needs of the run before and after it (how many
-documents it had) come from one row per hash and partition. The result is a compressed bitmap per document, not text.
+Hashes of the long lines are dealt by range and sorted by hash, document (descending) and position. The sorted run of one
+hash is streamed once by a window: its first document keeps its lines, and when the run holds enough documents the later
+ones lose theirs. A line that a large share of all rows holds is cut, by ranges of documents, into several runs; only
+such runs are tied together afterwards, from one row a run. The result is a compressed bitmap per document, not text.
 """
 
 from __future__ import annotations
@@ -30,59 +29,90 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``(doc_id, text)`` -> ``(h, g, doc_id, pos)`` for every line whose key has ``min_chars`` code points or more.
+    """``(doc_id, text, ...)`` -> ``(h, g, doc_id, t, pos, ...)`` for every line whose key has ``min_chars`` code points.
 
-    ``h`` and ``g`` are two 64-bit hashes with different seeds: 128 bits tell keys apart at any corpus size.
+    ``h`` and ``g`` are two 64-bit hashes with different seeds: 128 bits tell keys apart at any corpus size. ``t`` is a
+    hash of the text; with the id it names a row, so rows that share an id and differ in text stay apart.
     """
-    lines = docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(F.length("line") >= min_chars)
-    keys = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keys.select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"), "doc_id", "pos")
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), *more, F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(F.length("line") >= min_chars)
+    keys = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
+    return keys.select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"), "doc_id", "t", "pos", *more)
+
+
+def _placed(docs: DataFrame, steps: int) -> DataFrame:
+    """``place``: in which of ``steps`` ranges of about as many documents an id lies, the largest ids first."""
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / steps for i in range(1, steps)], 10_000).alias("c")).first()["c"] or []
+    at = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
+    return docs.withColumn("place", at)
 
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partitions: int | None = None) -> DataFrame:
-    """``(doc_id, text)`` -> ``(doc_id, dropped)`` for the documents that lose lines.
+    """``(doc_id, text)`` -> ``(doc_id, t, dropped)`` for the rows that lose lines; ``t`` is a hash of the text.
 
     ``dropped`` is the complement of the keep bitmap, as a sorted array of ``(word, bits)``: bit i of ``word`` stands for
     line ``64 * word + i``. Words without a dropped line are left out, and so are documents that keep every line.
     """
     n = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = materialize(line_hashes(docs.where("doc_id is not null"), min_chars), "lines")
-    keys = ["h", "g", F.col("doc_id").desc(), "pos"]
-    dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(F.spark_partition_id().alias("part"), "h", "g", "doc_id", "pos")
-    dealt = materialize(dealt, "dealt")
-    # One row per hash and partition: its documents. A document that straddles two partitions is counted in the first.
-    runs = dealt.groupBy("h", "g", "part").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("first"), F.min("doc_id").alias("last"))
-    run = Window.partitionBy("h", "g").orderBy("part")
-    runs = runs.withColumn("docs", F.col("docs") - F.coalesce(F.lag("last").over(run) == F.col("first"), F.lit(False)).cast("int"))
-    whole = Window.partitionBy("h", "g")
-    runs = runs.select("h", "g", "part", F.sum("docs").over(whole).alias("docs"), F.max("first").over(whole).alias("keeper")).where(F.col("docs") >= min_docs)
-    lost = dealt.join(runs, ["h", "g", "part"]).where("doc_id <> keeper")
-    words = lost.groupBy("doc_id", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    steps = min(4096, max(2, 2 * n))
+    rows = materialize(line_hashes(_placed(docs.where("doc_id is not null").select("doc_id", "text"), steps), min_chars), "lines", "none")
+    total = rows.count()
+    # Keys that hold over a quarter of a partition's share, by a sample that sees every partition's share 256 times. The
+    # sample decides only how finely a run is cut, never what is dropped. There are at most about 4 n such keys.
+    rate = max(1, total // (256 * n))
+    seen = rows.where(F.pmod(F.xxhash64("doc_id", "pos", "h"), F.lit(rate)) == 0).groupBy("h", "g").agg(F.count("*").alias("c"))
+    hot = seen.where(F.col("c") * rate * 4 * n > total).select("h", "g", F.least(F.lit(steps), F.ceil(F.col("c") * rate * 4 * n / total)).cast("int").alias("cut"))
+    rows = rows.join(F.broadcast(hot), ["h", "g"], "left").withColumn("part", F.coalesce(F.expr(f"place * cut div {steps}"), F.lit(0)).cast("int"))
+    # The windows read the range partitions as they are: no further exchange.
+    dealt = rows.repartitionByRange(n, "h", "g", "part")
+    run = Window.partitionBy("h", "g", "part").orderBy(F.col("doc_id").desc(), "t", "pos")
+    dealt = dealt.withColumn("new", F.when(F.lag("doc_id").over(run) == F.col("doc_id"), 0).otherwise(1))
+    dealt = dealt.withColumns({"rank": F.sum("new").over(run), "docs": F.sum("new").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    found = dealt.where(F.col("cut").isNotNull() | ((F.col("docs") >= min_docs) & (F.col("rank") > 1)))
+    found = materialize(found.select("h", "g", "part", "docs", F.col("cut").isNotNull().alias("hot"), "doc_id", "t", "pos"), "found", "none")
+    # A document lies in one range of documents, so the runs of a cut key share none: one row a key, as few as ``hot``.
+    runs = found.where("hot").groupBy("h", "g", "part").agg(F.max("docs").alias("docs"), F.max("doc_id").alias("first"))
+    whole = runs.groupBy("h", "g").agg(F.sum("docs").alias("docs"), F.max("first").alias("keeper")).where(F.col("docs") >= min_docs)
+    lost = found.where("not hot").select("doc_id", "t", "pos")
+    lost = lost.unionByName(found.where("hot").join(F.broadcast(whole.drop("docs")), ["h", "g"]).where("doc_id <> keeper").select("doc_id", "t", "pos"))
+    words = lost.repartition(n, "doc_id", "t").groupBy("doc_id", "t", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    return words.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Columns of ``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``; null text counts as one empty line."""
-    marked = docs.join(bitmaps.hint("shuffle_hash"), "doc_id", "left")
-    lines = lines_of(F.col("text"))
-    marked = marked.withColumn("_dense", F.when(F.col("dropped").isNotNull(), F.expr("transform(sequence(0, array_max(dropped.word)), w -> coalesce(element_at(map_from_entries(dropped), w), 0L))")))
-    kept = F.filter(lines, lambda line, i: F.coalesce(F.get("_dense", F.call_function("shiftright", i, F.lit(6))), F.lit(0).cast("bigint")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i % 64)) == 0)
-    text = F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    """Rows of ``docs`` as ``(row, kept_text, n_lines, n_dropped)``; ``row`` is a struct of all their columns.
+
+    A null text counts as one empty line.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("_t"))
+    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("t").alias("_text"), "dropped")
+    marked = rows.join(marks.hint("shuffle_hash"), (F.col("row.doc_id") == F.col("_id")) & (F.col("_t") == F.col("_text")), "left")
+    text = F.coalesce("row.text", F.lit(""))
+    marked = marked.withColumn("dense", F.when(F.col("dropped").isNotNull(), F.expr("transform(sequence(0, array_max(dropped.word)), w -> coalesce(element_at(map_from_entries(dropped), w), 0L))")))
+    kept = F.filter(lines_of(F.col("row.text")), lambda line, i: F.coalesce(F.get("dense", F.call_function("shiftright", i, F.lit(6))), F.lit(0).cast("bigint")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i % 64)) == 0)
     n_dropped = F.coalesce(F.aggregate("dropped", F.lit(0).cast("bigint"), lambda a, w: a + F.bit_count(w["bits"])), F.lit(0).cast("bigint"))
-    n_lines = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]+", "")).cast("bigint") + 1
-    return marked.select(*docs.columns, text.alias("kept_text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    n_lines = F.length(F.regexp_replace(text, "[^\n]+", "")).cast("bigint") + 1
+    return marked.select("row", F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept_text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """Documents with ``kept_text``, ``n_lines`` and ``n_dropped``; one row per input row, extra columns kept.
+def without_repeats(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """One row ``(row, kept_text, n_lines, n_dropped)`` per input row; ``row`` holds all of its columns, whatever their names.
 
     A line's key is the line without ASCII white space at its ends and with A-Z lowered. Keys of ``min_chars`` code
     points or more that ``min_docs`` documents or more hold lose all their lines but those of the largest doc_id.
-    Null and empty texts are one empty line. Rows that repeat a doc_id are one document each time: the same lines go from
-    every one of them that shares its positions. Rows without doc_id keep their lines and are nobody's copy.
+    Null and empty texts are one empty line. Rows that share a doc_id are one document where documents are counted, and
+    each of them loses its own lines. Rows without doc_id keep their lines and are nobody's copy. No rows give none.
+    """
+    return apply_bitmaps(docs, drop_bitmaps(docs, min_chars, min_docs))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """As :func:`without_repeats`, with the columns of ``docs`` side by side.
+
+    The three result columns take the place of columns of ``docs`` with their names.
     """
-    base = docs.drop("kept_text", "n_lines", "n_dropped", "dropped", "_dense")
-    return apply_bitmaps(base, drop_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
+    kept = [c for c in docs.columns if c.lower() not in ("kept_text", "n_lines", "n_dropped")]
+    return without_repeats(docs, min_chars, min_docs).select(*(F.col(f"row.`{c}`") for c in kept), "kept_text", "n_lines", "n_dropped")
 
 
 ORACLE = r"""

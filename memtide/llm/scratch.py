@@ -3,26 +3,36 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from memtide.plans.lineage import shared_folder
 
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
 
 def scratch_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/memtide"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to shared storage and return a reader over it.
 
-    A lost executor then costs a re-read of files rather than a re-run of everything upstream.
+    A lost executor then costs a re-read of files rather than a re-run of everything upstream. Tables of hashes are
+    written with ``compression="none"``: codecs gain nothing on them and hold native buffers for each column.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    (writer.option("compression", compression) if compression else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._memtide_path = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
@@ -35,6 +45,40 @@ def release(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Every table made inside is deleted at the end, whether or not the work succeeded."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        for table in made:
+            release(table)
+
+
+def settled(df: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """The result of ``df()``, written; the tables that were made on the way are deleted."""
+    outer = _made.get()
+    with scope():
+        out = materialize(df(), tag)
+        _made.get().remove(out)
+    if outer is not None:
+        outer.append(out)
+    return out
+
+
+def settles(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query that leaves its result behind and none of its tables."""
+
+    @wraps(query)
+    def run(*args: object) -> DataFrame:
+        return settled(lambda: query(*args), query.__name__)
+
+    return run
+
+
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``: file sizes for a scan, without a job. It sizes partitions only."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

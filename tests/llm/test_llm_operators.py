@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -261,14 +262,31 @@ def test_line_dedup(spark, docs, none) -> None:
         want[i] = (len(lines), len(lines) - len(keep), "\n".join(keep))
     for parts in (1, 7):
         maps = linededup.drop_bitmaps(docs.select("doc_id", "text"), partitions=parts)
-        got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in linededup.apply_bitmaps(docs.select("doc_id", "text"), maps).collect()}
+        got = {r["row"]["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in linededup.apply_bitmaps(docs.select("doc_id", "text"), maps).collect()}
         assert got == want
     assert sum(d for _, d, _ in want.values()) > 10
-    clash = docs.withColumn("kept_text", F.lit(1)).withColumn("dropped", F.lit(2))
-    assert linededup.dedup_lines(clash).count() == len(rows) and linededup.dedup_lines(none).count() == 0
+    assert linededup.dedup_lines(none).count() == 0
     assert linededup.dedup_lines(frame(spark, [(None, "x" * 30), (1, "x" * 30), (2, "x" * 30), (3, "x" * 30)])).where("doc_id is null").first()["n_dropped"] == 0
 
 
+def test_line_dedup_keeps_columns_and_rows_of_one_id(spark, docs) -> None:
+    clash = docs.withColumns({"kept_text": F.lit(1), "dropped": F.lit(2), "_dense": F.lit(3), "t": F.lit(4)})
+    out = linededup.dedup_lines(clash)
+    assert out.columns == [*(c for c in clash.columns if c != "kept_text"), "kept_text", "n_lines", "n_dropped"] and out.where("dropped = 2 and t = 4").count() == docs.count()
+    assert linededup.without_repeats(clash).select("row.*").columns == clash.columns
+    a, b = "a" * 30, "only here, never repeated anywhere"
+    rows = [(1, a), (1, b), (2, a), (3, a), (3, f"{a}\n{b}x"), (1, a)]
+    got = sorted((r["doc_id"], r["kept_text"], r["n_dropped"]) for r in linededup.dedup_lines(frame(spark, rows)).collect())
+    assert got == [(1, "", 1), (1, "", 1), (1, b, 0), (2, "", 1), (3, a, 0), (3, f"{a}\n{b}x", 0)]
+
+
+def test_line_dedup_cuts_the_run_of_a_common_line(spark) -> None:
+    rows = [(i, f"the line that every document has\n{'one of two lines in all' if i % 3 else 'a line of its own kind: %d' % i}") for i in range(3000)]
+    maps = {r["doc_id"]: r["dropped"] for r in linededup.drop_bitmaps(frame(spark, rows).repartition(5), partitions=9).collect()}
+    for i, _ in rows:
+        assert (maps[i][0]["bits"] if i in maps else 0) == (i != 2999) + 2 * (i % 3 != 0 and i != 2999)
+
+
 # 7
 
 
@@ -361,8 +379,8 @@ def test_guess_cost_is_the_least() -> None:
 # 9
 
 
-def slow_tiling(a: list[int], b: list[int], k: int) -> int:
-    ua, ub, total = [False] * len(a), [False] * len(b), 0
+def slow_tiling(a: list[int], b: list[int], k: int) -> list[tuple[int, int, int]]:
+    ua, ub, tiles = [False] * len(a), [x == 0 for x in b], []
     while True:
         best, at = 0, []
         for i in range(len(a)):
@@ -375,31 +393,70 @@ def slow_tiling(a: list[int], b: list[int], k: int) -> int:
                 elif n and n == best:
                     at.append((i, j))
         if best < k:
-            return total
+            return tiles
         for i, j in at:
             if not any(ua[i : i + best]) and not any(ub[j : j + best]):
                 ua[i : i + best] = ub[j : j + best] = [True] * best
-                total += best
+                tiles.append((i, j, best))
 
 
 def test_tiling() -> None:
     rnd = random.Random(1)
-    for _ in range(150):
-        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(1, 40))] for _ in range(2))
+    for round_ in range(300):
+        letters = rnd.choice([1, 2, 4])
+        a, b = ([rnd.randrange(letters) + 1 for _ in range(rnd.randrange(1, 40))] for _ in range(2))
         if rnd.random() < 0.5:
-            b = b[:8] + a[len(a) // 2 :] + b[8:16] + a[: len(a) // 2]
-        assert sum(n for _, _, n in decontam.tile(a, b, 3)) == slow_tiling(a, b, 3)
+            b = b[:8] + a[len(a) // 2 :] + [0] + b[8:16] + a[: len(a) // 2]
+        k = 1 + round_ % 4
+        assert decontam.tile(np.array(a, np.uint64), np.array(b, np.uint64), k) == slow_tiling(a, b, k)
+
+
+def test_tiling_of_a_repetitive_pair_is_quick() -> None:
+    item = np.full(2000, 7, np.uint64)
+    doc = np.array(([7] * 99 + [0]) * 200, np.uint64)
+    began = time.process_time()
+    tiles = decontam.tile(item, doc, 5)
+    assert time.process_time() - began < 1
+    assert [n for _, _, n in tiles] == [99] * 20 + [20] and [(p, q) for p, q, _ in tiles] == [(99 * i, 100 * i) for i in range(21)]
+    few = decontam.tile(item[:120], doc[:400], 5)
+    assert few == slow_tiling([7] * 120, doc[:400].tolist(), 5)
+
+
+def slow_contaminated(rows, items, k: int = 5, share: float = 0.5) -> dict:
+    tokens = lambda t: [w for run in re.findall(r"\w+", (t or "").lower()) for w in re.findall("[\u4e00-\u9fff\u3040-\u30ff]|[^\u4e00-\u9fff\u3040-\u30ff]+", run)]
+    number: dict[str, int] = {}
+    ids = lambda t: [number.setdefault(w, len(number) + 1) for w in tokens(t)]
+    out = {}
+    for item_id, t in items:
+        a = ids(t)
+        for doc_id, text in rows:
+            n = sum(m for _, _, m in slow_tiling(a, ids(text), min(k, len(a)))) if a else 0
+            if a and n >= share * len(a):
+                out[doc_id, item_id] = n / len(a)
+    return out
 
 
 def test_decontamination(spark, docs, none) -> None:
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
-    w = item.split()
-    rows = [*odd_texts(), (300, f"Before, {item.upper()}! after"), (301, " ".join(w[10:] + ["filler"] * 50 + w[:10])), (302, " ".join(w[:6])), (303, " ".join(reversed(w)))]
-    bench = spark.createDataFrame([(1, item, 0), (2, "too short", 0), (3, None, 0), (4, item, 0)], "item_id bigint, text string, doc_id int")
-    for tokens in (4_000_000, 10):  # one block, and several
-        got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontam.contaminated(frame(spark, rows), bench, block_tokens=tokens).collect()}
-        assert got == {(300, 1): 1.0, (301, 1): 1.0, (300, 4): 1.0, (301, 4): 1.0}
+    w, more = item.split(), "one common opening of five words " + " ".join(f"item{i}" for i in range(8))
+    chinese = "\u7532\u4e59\u4e19\u4e01\u620a\u5df1\u5e9a\u8f9b\u58ec\u7678"
+    rows = [*((i, t if i != 109 else "ab " * 50) for i, t in odd_texts(20)), (300, f"Before, {item.upper()}! after"), (301, " ".join(w[10:] + ["filler"] * 50 + w[:10])), (302, " ".join(w[:6])), (303, " ".join(reversed(w))), (304, f"x{chinese[5:]}\u3002{chinese[:5]}y"), (305, "it is too short by far"), (306, "short, too")]
+    rows += [(400 + i, "one common opening of five words and then something else") for i in range(30)] + [(450, "then " + more)]
+    items = [(1, item), (2, "too short"), (3, None), (4, item), (5, chinese), (6, more), (7, "?!")]
+    bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id bigint, text string, doc_id int")
+    want = slow_contaminated(rows, items)
+    assert {(300, 1), (301, 4), (304, 5), (305, 2), (450, 6)} <= set(want) and (306, 2) not in want and (302, 1) not in want
+    for unfiltered in (False, True):
+        with pytest.MonkeyPatch.context() as patch:
+            if unfiltered:  # as for a benchmark too large to send
+                patch.setattr(decontam, "MAX_SENT", 0)
+            got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontam.contaminated(frame(spark, rows), bench).collect()}
+        assert got == want
     assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
+    twice = decontam.contaminated(frame(spark, [(None, item), (5, item), (5, "other words"), (5, item)]), bench).where("item_id = 1")
+    assert sorted((r["doc_id"] for r in twice.collect()), key=str) == [5, 5, None]
+    left = decontam.reject(frame(spark, [(None, item), (None, None), (5, item), (5, "other words"), (None, "clean")]).withColumnsRenamed({"fp": "t", "word": "row"}), bench)
+    assert left.columns[-2:] == ["t", "row"] and sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == [(5, "other words"), (None, "clean"), (None, None)]
 
 
 # 10

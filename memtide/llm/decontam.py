@@ -238,7 +238,9 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, min_match: int, min_coverage:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "t", "item_id", "n_tiles", "matched_tokens", "item_tokens", "coverage"])
 
-    return pairs.select("doc_id", "t", "item_id", "tokens", "line").mapInArrow(run, "doc_id bigint, t bigint, item_id bigint, n_tiles int, matched_tokens int, item_tokens int, coverage double")
+    # Few bytes and much work: dealt out by rows, not by size.
+    pairs = pairs.select("doc_id", "t", "item_id", "tokens", "line").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.mapInArrow(run, "doc_id bigint, t bigint, item_id bigint, n_tiles int, matched_tokens int, item_tokens int, coverage double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverage: float = 0.5) -> DataFrame:

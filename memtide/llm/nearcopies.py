@@ -1,31 +1,64 @@
-"""Near copies by similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+"""Near copies by similarity, on the trie self-join of SimHash fingerprints: the join's links are confirmed on the texts.
 
-SimHash distances of such pairs reach 11 of 64 bits, where a trie walk prunes next to nothing and the work grows with the
-square of the table. Candidates therefore come from MinHash bands: a pair at the threshold shares one of 40 bands of 7
-minima with a probability of 0.9999, more similar ones still more surely. No link rests on a band: every one is confirmed
-by the exact similarity of both texts. Members of a band meet its smallest member first; what that leaves in different
-components meets pair by pair, so no candidate pair that could join two components goes untested.
+Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At 0.8 a bit of their SimHash
+differs with a probability of 0.15, far beyond the two bits that a single print can be searched for. So a text has many
+prints, its faces: signs of random projections of its shingles. A face's budget is one bit in the first ones, as many of
+those as tell the table's texts apart, and what 0.8 makes likely in all 64. One face finds a pair rarely, all of them
+together miss one at the threshold with the probability ``MISS``; their number follows from the count of texts.
+
+No link rests on prints: every one is confirmed by the exact similarity of both texts. Within a group of the walk a print
+first meets its smallest partner; what that leaves in different components of one cluster meets pair by pair, so no
+candidate pair that could join two components goes untested.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memtide.llm.components import connected_components
+from memtide.llm.rows import by_size
 from memtide.llm.scratch import materialize, release
+from memtide.llm.simhash import BITS, GROUP, Budget, forest, linked_pairs, sorted_group, trie_groups
 
-BANDS, WIDTH, SEED = 40, 7, 42
+MISS = 0.005
 BLOCK = 128
-_RANDOM = np.random.default_rng(SEED)
-_FLIP = _RANDOM.integers(0, 1 << 32, (BANDS * WIDTH, 1), dtype=np.uint32)
-_TIMES = _RANDOM.integers(0, 1 << 32, (BANDS * WIDTH, 1), dtype=np.uint32) | np.uint32(1)
+MAX_SENT = 1_000_000
+
+
+def faces_for(n: int, similarity: float) -> tuple[int, Budget]:
+    """How many faces ``n`` texts get, and the budget of a face."""
+    differs = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi  # of two sets of one size, the worst case
+    first = min(BITS, max(12, math.ceil(math.log2(max(1, n))) + 6))
+    rest = BITS - first
+    most = 1 + math.ceil(rest * differs + 2.5 * math.sqrt(rest * differs * (1 - differs)))
+    found = 0.98 * ((1 - differs) ** first + first * differs * (1 - differs) ** (first - 1))
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - found))), [(first, 1), (BITS, most)]
+
+
+def face_prints(sets: list[np.ndarray], faces: int) -> np.ndarray:
+    """Sorted shingle hashes of each text -> a row of ``faces`` 64-bit prints.
+
+    Shingles vote with a sign in a hashed place of a vector; a Walsh-Hadamard transform turns that into votes for all bits.
+    """
+    places = 1 << max(6, (BITS * faces - 1).bit_length())
+    votes = np.empty((len(sets), places), np.float32)
+    for i, hashes in enumerate(sets):
+        votes[i] = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), 1.0 - 2.0 * (hashes >> np.uint64(63)).astype(float), places)
+    half = 1
+    while half < places:
+        pair = votes.reshape(len(sets), -1, 2, half)
+        votes = np.stack([pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]], axis=2).reshape(len(sets), places)
+        half *= 2
+    bits = votes[:, np.random.default_rng(places).permutation(places)[: BITS * faces]] > 0
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u8").astype(np.uint64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,33 +81,45 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One signed 64-bit key a band, from the minima of ``BANDS * WIDTH`` permutations."""
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * WIDTH, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 512):
-        np.minimum(least, (((low[at : at + 512] ^ _FLIP) * _TIMES)).min(axis=1), out=least)
-    raw = least.tobytes()
-    step = WIDTH * 4
-    return np.fromiter((xxhash.xxh3_64_intdigest(raw[i * step : (i + 1) * step], i) for i in range(BANDS)), np.uint64, BANDS).view(np.int64)
-
-
-def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """All columns, and ``h`` (the text up to case and white space), ``bands`` and a row key."""
+def _sketched(docs: DataFrame, shingle: int, faces: int) -> DataFrame:
+    """Per row ``(r, h, faces)``: all its columns, a hash of its text up to case and white space, and its prints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, bands = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, BANDS), np.int64)
-            texts = batch.column(batch.schema.get_field_index("text"))
-            for i in range(batch.num_rows):
-                words = words_of(texts[i].as_py())
-                h[i] = xxhash.xxh3_64_intdigest(b" ".join(words))
-                bands[i] = band_keys(shingles(words, shingle))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64)), lists], names=[*batch.schema.names, "h", "bands"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, h bigint, bands array<bigint>").withColumn("row", F.monotonically_increasing_id())
+            for at in range(0, batch.num_rows, 32):
+                part = batch.slice(at, 32)
+                words = [words_of(t.as_py()) for t in part.column(1)]
+                h = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
+                prints = face_prints([shingles(w, shingle) for w in words], faces)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, prints.size + 1, faces, dtype=np.int32)), pa.array(prints.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h.view(np.int64)), lists], names=["r", "h", "faces"])
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"r {rows.schema['r'].dataType.simpleString()}, h bigint, faces array<bigint>").withColumn("row", F.monotonically_increasing_id())
+
+
+def _candidates(prints: DataFrame, faces: int, budget: Budget) -> DataFrame:
+    """``(face, fp, head)`` -> ``(u, v, direct)``: a link of each print to its smallest partner in a group, and other
+    edges that keep all candidates of a group connected."""
+
+    def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        order, every, mine = sorted_group(group)
+        head = group["head"].to_numpy()[order]
+        none = len(every)
+        label, partner = np.arange(none), np.full(none, none)
+        for p, q in linked_pairs(every[mine], every, budget, int(key[0]) // faces):
+            p = mine[p]
+            p, q = p[p != q], q[p != q]
+            label = forest(label, p, q)
+            np.minimum.at(partner, p, q)
+            np.minimum.at(partner, q, p)
+        u = np.flatnonzero(partner < none)
+        w = np.flatnonzero(label != np.arange(none))
+        frame = pd.DataFrame({"u": np.concatenate([head[u], head[w]]), "v": np.concatenate([head[partner[u]], head[label[w]]])})
+        frame["direct"] = np.arange(len(frame)) < len(u)
+        return frame[frame["u"] != frame["v"]]
+
+    return trie_groups(prints, budget, faces).groupBy(*GROUP).applyInPandas(walk, "u bigint, v bigint, direct boolean")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -96,16 +141,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: flo
 
 
 def _across(parted: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links between different components of the classes that share bands: ``(key, h, label)`` -> ``(u, v)``.
+    """Links between different components inside clusters of candidates: ``(cluster, h, part)`` -> ``(u, v)``.
 
-    Classes that bands connect form a cluster. It is dealt in blocks of about ``BLOCK`` classes and every pair of blocks is
-    a group of its own, so no task gathers a cluster; a group counts common shingles by postings.
+    A cluster is dealt in blocks of about ``BLOCK`` texts and every pair of blocks is a group of its own, so no task
+    gathers a cluster; a group counts common shingles by postings.
     """
-    tied = connected_components(parted.select(F.col("h").alias("u"), F.min("h").over(Window.partitionBy("key")).alias("v")).distinct())
-    nodes = parted.select("h", "label").distinct().join(tied.select(F.col("node").alias("h"), F.col("label").alias("cluster")), "h", "left")
-    nodes = nodes.select("h", F.col("label").alias("part"), F.coalesce("cluster", "h").alias("cluster"))
-    blocks = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    dealt = nodes.join(blocks, "cluster").select("cluster", "h", "part", F.expr("cast(pmod(xxhash64(h), n) as int)").alias("block"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"))
+    blocks = parted.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    dealt = parted.join(blocks, "cluster").select("cluster", "h", "part", F.expr("cast(pmod(xxhash64(h), n) as int)").alias("block"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"))
     dealt = dealt.select("cluster", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "h", "part").join(texts, "h")
 
     def test(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -130,36 +172,46 @@ def _across(parted: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return dealt.groupBy("cluster", "i", "j").applyInPandas(test, "u bigint, v bigint")
 
 
+def near_links(classes: DataFrame, texts_of: DataFrame, faces: int, budget: Budget, shingle: int, similarity: float) -> DataFrame:
+    """``(h, row, faces)``, a row a text, and ``(row, text)`` -> ``(u, v)``: edges of the components of all confirmed links."""
+    every = classes.select(F.posexplode("faces").alias("face", "fp"), "h")
+    prints = materialize(every.groupBy("face", "fp").agg(F.min("h").alias("head"), F.max("h").alias("tail")), "prints", "none")
+    found = _candidates(prints.select("face", "fp", "head"), faces, budget)
+    # Texts that share a whole print meet its smallest one.
+    equal = materialize(prints.where("head <> tail").select("face", "fp", "head"), "equal", "none")
+    alike = every.join(by_size(equal, MAX_SENT), ["face", "fp"]).where("h <> head").select(F.col("h").alias("u"), F.col("head").alias("v"), F.lit(True).alias("direct"))
+    ends = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "direct")
+    candidates = materialize(ends(found.unionByName(alike)).groupBy("u", "v").agg(F.max("direct").alias("direct")), "candidates", "none")
+    release(prints)
+
+    nodes = candidates.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+    texts = materialize(classes.select("h", "row").join(nodes, "h", "left_semi").join(texts_of, "row").select("h", "text"), "texts")
+    links = materialize(_confirmed(candidates.where("direct").select("u", "v"), texts, shingle, similarity), "links")
+    tied = connected_components(candidates.select("u", "v")).select(F.col("node").alias("h"), F.col("label").alias("cluster"))
+    labels = connected_components(links).select(F.col("node").alias("h"), F.col("label").alias("part"))
+    parted = texts.select("h").join(tied, "h", "left").join(labels, "h", "left").select("h", F.coalesce("cluster", "h").alias("cluster"), F.coalesce("part", "h").alias("part"))
+    parted = materialize(parted, "parted", "none")
+    # A cluster of two has no pair that was not confirmed or refused already.
+    open_ = parted.groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("cluster")
+    more = _across(parted.join(open_, "cluster", "left_semi"), texts, shingle, similarity)
+    return materialize(links.unionByName(more), "links")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies, with all its columns: the one with the smallest doc_id.
 
     Verdicts are by row, not by doc_id: of rows that tie on doc_id one stays, rows of one doc_id whose texts are no near
     copies all stay, and a null doc_id comes after every other. Texts equal up to case and white space, and texts without
-    words (null ones too), are copies of each other. Groups are connected components over the links.
+    words (null ones too), are copies of each other. Groups are connected components over the links. Extra columns may
+    have any names; an empty table gives an empty one.
     """
-    keyed = materialize(_sketched(docs, shingle), "keyed")
-    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
-    classes = materialize(keyed.groupBy("h").agg(F.min(rank).alias("first")), "classes")
-
-    in_band = Window.partitionBy("key")
-    members = keyed.select("h", F.explode("bands").alias("key"))
-    members = members.select("key", "h", F.min("h").over(in_band).alias("head"), F.max("h").over(in_band).alias("tail"))
-    members = materialize(members.where("head <> tail").select("key", "h", "head").distinct(), "members")
-
-    stars = materialize(members.where("h <> head").select(F.col("h").alias("u"), F.col("head").alias("v")).distinct(), "stars")
-    nodes = classes.join(members.select("h").distinct(), "h", "left_semi").select("h", F.col("first.row").alias("row"))
-    texts = materialize(keyed.select("row", "text").join(nodes, "row").select("h", "text"), "texts")
-    links = materialize(_confirmed(stars, texts, shingle, similarity), "links")
-
-    labels = connected_components(links).select(F.col("node").alias("h"), "label")
-    parted = members.join(labels, "h", "left").select("key", "h", F.coalesce("label", "h").alias("label"))
-    parted = parted.withColumns({"low": F.min("label").over(in_band), "high": F.max("label").over(in_band)}).where("low <> high")
-    parted = materialize(parted.select("key", "h", "label"), "parted")
-    more = materialize(_across(parted, texts, shingle, similarity), "links")
-
-    final = connected_components(links.unionByName(more)).select(F.col("node").alias("h"), "label")
-    placed = classes.join(final, "h", "left").select(F.coalesce("label", "h").alias("label"), "first")
+    faces, budget = faces_for(docs.count(), similarity)
+    keyed = materialize(_sketched(docs, shingle, faces), "keyed")
+    rank = F.struct(F.col("r.doc_id").isNull().alias("late"), F.col("r.doc_id").alias("doc_id"), "row")
+    firsts = materialize(keyed.select("h", rank.alias("rank")).groupBy("h").agg(F.min("rank").alias("first")), "classes")
+    classes = materialize(keyed.select("row", "h", "faces").join(firsts.select(F.col("first.row").alias("row")), "row", "left_semi"), "faces", "none")
+    links = near_links(classes, keyed.select("row", F.col("r.text").cast("string").alias("text")), faces, budget, shingle, similarity)
+    final = connected_components(links).select(F.col("node").alias("h"), "label")
+    placed = firsts.join(final, "h", "left").select(F.coalesce("label", "h").alias("label"), "first")
     winners = placed.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    for t in (members, stars, texts, parted, links, more):
-        release(t)
-    return keyed.join(winners, "row", "left_semi").select(*docs.columns)
+    return keyed.join(winners, "row", "left_semi").select("r.*")

@@ -1,11 +1,11 @@
 """SimHash near-duplicates by a self-join of the binary trie of fingerprints.
 
 Fingerprints are walked as a binary trie. A pair of nodes carries the bits in which the two prefixes differ and is
-dropped as soon as they exceed the budget. The first levels are done by Spark: a node is the top ``depth`` bits, node
-pairs within the budget are listed from the table of nodes, pairs that hold too many fingerprints are split by four more
-bits, and every node's fingerprints meet those of its surviving partners in one bounded group. The rest of the walk is
-vectorised numpy in that group. Each group returns a spanning forest of its links, never all pairs, and a
-connected-components pass joins the forests.
+dropped as soon as they exceed the budget, which may be smaller for the first bits. The first levels are done by Spark: a
+node is the top ``depth`` bits, node pairs within the budget are listed from the table of nodes, pairs that hold too many
+fingerprints are split by four more bits, and every node's fingerprints meet those of its surviving partners in bounded
+groups. The rest of the walk is vectorised numpy in that group. Each group returns a spanning forest of its links, never
+all pairs, and a connected-components pass joins the forests.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memtide.llm.components import connected_components
@@ -26,6 +26,7 @@ from memtide.llm.scratch import materialize, release
 
 BITS = 64
 SEED = 42
+GROUP = ("part", "node", "chunk")
 
 
 def fingerprint(data: bytes | None, shingle: int = 3) -> int:
@@ -57,13 +58,22 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def linked_pairs(own: np.ndarray, other: np.ndarray, budget: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two sorted uint64 arrays whose values differ in at most ``budget`` bits, by the trie walk.
+#: ``(depth, bits)``: at most so many differing bits in the first ``depth`` bits; depths rise, and the last is BITS.
+Budget = list[tuple[int, int]]
 
-    ``depth``: the walk starts there, from every pair of prefixes of so many bits.
+
+def allowed(budget: Budget, depth: int) -> int:
+    return min(bits for at, bits in budget if at >= depth)
+
+
+def linked_pairs(own: np.ndarray, other: np.ndarray, budget: Budget, depth: int = 0, limit: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of two sorted uint64 arrays whose values are within the budget, by the trie walk, a part at a time.
+
+    ``depth``: the walk starts there, from every pair of prefixes of so many bits. About ``limit`` node pairs are looked
+    at together, so that the memory is bounded however many pairs there are.
     """
     if not len(own) or not len(other):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
 
     def nodes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         top = x >> np.uint64(BITS - depth) if depth else np.zeros(len(x), np.uint64)
@@ -73,11 +83,15 @@ def linked_pairs(own: np.ndarray, other: np.ndarray, budget: int, depth: int = 0
     (va, la, ha), (vx, lx, hx) = nodes(own), nodes(other)
     i, j = np.repeat(np.arange(len(va)), len(vx)), np.tile(np.arange(len(vx)), len(va))
     diff = np.bitwise_count(va[i] ^ vx[j]).astype(np.int64)
-    keep = diff <= budget
-    i, j, diff = i[keep], j[keep], diff[keep]
-    a0, a1, x0, x1 = la[i], ha[i], lx[j], hx[j]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for level in range(depth, BITS + 1):
+    near = diff <= allowed(budget, depth)
+    i, j = i[near], j[near]
+    waiting = [(depth, (la[i], ha[i], lx[j], hx[j], diff[near]))]
+    while waiting:
+        level, front = waiting.pop()
+        if len(front[0]) > limit:
+            waiting += [(level, tuple(v[at : at + limit] for v in front)) for at in range(0, len(front[0]), limit)]
+            continue
+        a0, a1, x0, x1, diff = front
         na, nx = a1 - a0, x1 - x0
         few = na * nx <= 16
         if few.any():  # so few are compared directly
@@ -85,95 +99,119 @@ def linked_pairs(own: np.ndarray, other: np.ndarray, budget: int, depth: int = 0
             of = np.repeat(np.arange(len(size)), size)
             k = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
             p, q = fa[of] + k // wide[of], fx[of] + k % wide[of]
-            near = np.bitwise_count(own[p] ^ other[q]) <= budget
-            found.append((p[near], q[near]))
+            apart = own[p] ^ other[q]
+            near = np.ones(len(p), bool)
+            for at, bits in budget:
+                near &= np.bitwise_count(apart >> np.uint64(BITS - at)) <= bits
+            yield p[near], q[near]
         a0, a1, x0, x1, diff = (v[~few] for v in (a0, a1, x0, x1, diff))
         if not len(a0):
-            break
-        bit = np.uint64(BITS - 1 - level)
+            continue
+        half = np.uint64(1 << (BITS - 1 - level))
 
-        def split(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64 = bit) -> np.ndarray:
-            ones = np.concatenate([[0], np.cumsum((x >> bit) & np.uint64(1)).astype(np.int64)])
-            return hi - (ones[hi] - ones[lo])
+        def split(x: np.ndarray, lo: np.ndarray, half: np.uint64 = half) -> np.ndarray:
+            return np.searchsorted(x, (x[lo] & ~(half | (half - np.uint64(1)))) | half)
 
-        am, xm = split(own, a0, a1), split(other, x0, x1)
+        am, xm = split(own, a0), split(other, x0)
         a0, a1, x0, x1, diff = (np.concatenate(v) for v in ((a0, am, a0, am), (am, a1, am, a1), (x0, xm, xm, x0), (xm, x1, x1, xm), (diff, diff, diff + 1, diff + 1)))
-        keep = (a1 > a0) & (x1 > x0) & (diff <= budget)
-        a0, a1, x0, x1, diff = (v[keep] for v in (a0, a1, x0, x1, diff))
-    return np.concatenate([x for x, _ in found] or [np.zeros(0, np.int64)]), np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)])
+        keep = (a1 > a0) & (x1 > x0) & (diff <= allowed(budget, level + 1))
+        if keep.any():
+            waiting.append((level + 1, tuple(v[keep] for v in (a0, a1, x0, x1, diff))))
 
 
-def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` nodes over the edges ``(u, v)``."""
-    label = np.arange(n)
+def forest(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``label``, the smallest index reachable so far, after the edges ``(u, v)`` are added."""
+    u, v = label[u], label[v]
+    u, v = u[u != v], v[u != v]
+    now = np.arange(len(label))
     while len(u):
-        least = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, label[u], least)
-        np.minimum.at(new, label[v], least)
+        least = np.minimum(now[u], now[v])
+        new = now.copy()
+        np.minimum.at(new, now[u], least)
+        np.minimum.at(new, now[v], least)
         while (new[new] != new).any():
             new = new[new]
-        if (new == label).all():
+        if (new == now).all():
             break
-        label = new
-    return label
+        now = new
+    return now[label]
 
 
-def _prefix(depth: int | F.Column, column: str = "fp") -> F.Column:
-    return F.shiftrightunsigned(F.col(column), BITS - depth)
+def _prefix(depth: int, column: str = "fp") -> F.Column:
+    return F.shiftrightunsigned(F.col(column), BITS - depth) if depth else F.lit(0).cast("bigint")
 
 
-def _node_pairs(prints: DataFrame, depth: int, budget: int, group_cap: int) -> list[tuple[int, DataFrame]]:
-    """``(depth, pairs)`` per level; pairs has ``(a, b)`` with ``a <= b``. Pairs above ``group_cap`` prints are split on."""
-    masks = [0, *(sum(1 << i for i in bits) for k in range(1, budget + 1) for bits in combinations(range(depth), k))]
-    nodes = materialize(prints.groupBy(_prefix(depth).alias("a")).agg(F.count("*").alias("n")), "trie")
-    b_nodes = nodes.select(F.col("a").alias("b"), F.col("n").alias("nb"))
-    pairs = nodes.select("a", "n", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    pairs = pairs.select("a", "n", F.col("a").bitwiseXOR(F.col("mask")).alias("b"), F.bit_count("mask").alias("diff")).where("a <= b").join(b_nodes, "b")
+def _node_pairs(prints: DataFrame, depth: int, budget: Budget, group_cap: int) -> list[tuple[int, DataFrame]]:
+    """``(depth, pairs)`` per level; pairs has ``(face, a, b)`` with ``a <= b``. Pairs above ``group_cap`` prints are split on."""
+    masks = [0, *(sum(1 << i for i in bits) for k in range(1, allowed(budget, depth) + 1) for bits in combinations(range(depth), k))]
+    nodes = materialize(prints.groupBy("face", _prefix(depth).alias("a")).agg(F.count("*").alias("n")), "trie")
+    b_nodes = nodes.select("face", F.col("a").alias("b"), F.col("n").alias("nb"))
+    pairs = nodes.select("face", "a", "n", F.explode(F.array(*(F.lit(m).cast("bigint") for m in masks))).alias("mask"))
+    pairs = pairs.select("face", "a", "n", F.col("a").bitwiseXOR(F.col("mask")).alias("b"), F.bit_count("mask").alias("diff")).where("a <= b").join(b_nodes, ["face", "b"])
     out, step = [], 4
     while True:
-        pairs = materialize(pairs.select("a", "b", "diff", "n", "nb"), "pairs")
+        pairs = materialize(pairs.select("face", "a", "b", "diff", "n", "nb"), "pairs")
         heavy = pairs.where((F.col("n") + F.col("nb") > group_cap) & F.lit(depth < BITS))
         out.append((depth, pairs.where((F.col("n") + F.col("nb") <= group_cap) | F.lit(depth >= BITS))))
         if heavy.isEmpty():
             return out
-        depth = min(BITS, depth + step)
-        kids = materialize(prints.groupBy(_prefix(depth).alias("k")).agg(F.count("*").alias("nk")), "trie")
+        step = min(step, BITS - depth)
+        depth += step
+        kids = materialize(prints.groupBy("face", _prefix(depth).alias("k")).agg(F.count("*").alias("nk")), "trie")
         kids = kids.withColumn("p", F.shiftrightunsigned("k", step))
-        left = heavy.select("a", "b", "diff").join(kids.select(F.col("p").alias("a"), F.col("k").alias("ka"), F.col("nk").alias("n")), "a")
-        both = left.join(kids.select(F.col("p").alias("b"), F.col("k").alias("kb"), F.col("nk").alias("nb")), "b")
+        left = heavy.select("face", "a", "b", "diff").join(kids.select("face", F.col("p").alias("a"), F.col("k").alias("ka"), F.col("nk").alias("n")), ["face", "a"])
+        both = left.join(kids.select("face", F.col("p").alias("b"), F.col("k").alias("kb"), F.col("nk").alias("nb")), ["face", "b"])
         mask = F.col("ka").bitwiseXOR(F.col("kb")).bitwiseAND(F.lit((1 << step) - 1))
-        pairs = both.withColumn("diff", F.col("diff") + F.bit_count(mask)).where((F.col("diff") <= budget) & ((F.col("a") < F.col("b")) | (F.col("ka") <= F.col("kb"))))
-        pairs = pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "diff", F.when(F.col("ka") <= F.col("kb"), F.col("n")).otherwise(F.col("nb")).alias("n"), F.when(F.col("ka") <= F.col("kb"), F.col("nb")).otherwise(F.col("n")).alias("nb"))
+        pairs = both.withColumn("diff", F.col("diff") + F.bit_count(mask)).where((F.col("diff") <= allowed(budget, depth)) & ((F.col("a") < F.col("b")) | (F.col("ka") <= F.col("kb"))))
+        pairs = pairs.select("face", F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "diff", F.when(F.col("ka") <= F.col("kb"), F.col("n")).otherwise(F.col("nb")).alias("n"), F.when(F.col("ka") <= F.col("kb"), F.col("nb")).otherwise(F.col("n")).alias("nb"))
 
 
-def trie_links(prints: DataFrame, budget: int = 2, leaf: int = 2048, group_cap: int = 1 << 20) -> DataFrame:
-    """Distinct ``fp`` -> ``(u, v)``: edges whose components are those of all links within ``budget`` bits.
+def trie_groups(prints: DataFrame, budget: Budget, faces: int = 1, leaf: int = 1 << 16, group_cap: int = 1 << 20) -> DataFrame:
+    """``(face, fp, ...)``, distinct by the two -> ``(part, node, chunk, own, fp, ...)``: the groups in which the walk goes on.
 
-    ``leaf`` prints a node is aimed at; the depth follows from the count of prints, so a node's size does not grow.
+    Each holds a node's prints (``own``) and those of nodes within the budget of it; ``part`` is depth * faces + face. The
+    depth follows from the count of prints, so that a node has about ``leaf`` of them at any size; a node whose partners
+    have more than ``group_cap`` together is dealt out as several groups.
     """
-    n = prints.count()
-    depth = min(40, max(8, math.ceil(math.log2(max(1, n) / leaf)))) if n else 8
+    spark = prints.sparkSession
+    n = -(-prints.count() // faces)
+    spread = math.ceil(math.log2(max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) / faces)))
+    depth = min(40, max(min(6, spread), math.ceil(math.log2(max(1, n) / leaf)))) if n else 0
+    more = [c for c in prints.columns if c != "face"]
     dealt = None
     for level, pairs in _node_pairs(prints, depth, budget, group_cap):
-        placed = prints.select(_prefix(level).alias("node"), "fp")
-        own = placed.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("node", "fp", F.lit(True).alias("own"))
-        far = placed.withColumnRenamed("node", "b").join(pairs.where("a <> b").select("a", "b"), "b").select(F.col("a").alias("node"), "fp", F.lit(False).alias("own"))
-        rows = own.unionByName(far).withColumn("depth", F.lit(level))
+        before = Window.partitionBy("face", "a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        pairs = pairs.select("face", "a", "b", F.floor(F.coalesce(F.sum("nb").over(before), F.lit(0)) / group_cap).alias("chunk"))
+        placed = prints.withColumn("node", _prefix(level))
+        own = placed.join(pairs.select("face", F.col("a").alias("node"), "chunk").distinct(), ["face", "node"]).withColumn("own", F.lit(True))
+        far = placed.withColumnRenamed("node", "b").join(pairs.where("a <> b"), ["face", "b"]).withColumnRenamed("a", "node").withColumn("own", F.lit(False))
+        rows = own.unionByName(far.select(own.columns)).select((F.col("face") + level * faces).cast("int").alias("part"), "node", "chunk", "own", *more)
         dealt = rows if dealt is None else dealt.unionByName(rows)
+    return dealt
+
+
+def trie_links(prints: DataFrame, budget: int = 2, leaf: int = 1 << 16, group_cap: int = 1 << 20) -> DataFrame:
+    """Distinct ``fp`` -> ``(u, v)``: edges whose components are those of all links within ``budget`` bits."""
+    within = [(BITS, budget)]
+    dealt = trie_groups(prints.select(F.lit(0).alias("face"), "fp"), within, 1, leaf, group_cap)
 
     def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        every, mine = group["fp"].to_numpy(np.int64).view(np.uint64), group["own"].to_numpy(bool)
-        order = np.argsort(every, kind="stable")
-        every, mine = every[order], np.flatnonzero(mine[order])
-        p, q = linked_pairs(every[mine], every, budget, int(key[0]))
-        p = mine[p]
-        label = forest(len(every), p[p != q], q[p != q])
+        _, every, mine = sorted_group(group)
+        label = np.arange(len(every))
+        for p, q in linked_pairs(every[mine], every, within, int(key[0])):
+            label = forest(label, mine[p], q)
         tied = np.flatnonzero(label != np.arange(len(every)))
         signed = every.view(np.int64)
         return pd.DataFrame({"u": signed[tied], "v": signed[label[tied]]})
 
-    return dealt.groupBy("depth", "node").applyInPandas(walk, "u bigint, v bigint")
+    return dealt.groupBy(*GROUP).applyInPandas(walk, "u bigint, v bigint")
+
+
+def sorted_group(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of a group's prints, the prints in that order, and the places of its node's own ones."""
+    every = group["fp"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(every, kind="stable")
+    return order, every[order], np.flatnonzero(group["own"].to_numpy(bool)[order])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:

@@ -96,13 +96,16 @@ def test_trie_walk_and_splitting(spark) -> None:
         prints |= {x, x ^ 1 << rnd.randrange(64), x ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64)}
         prints |= {7 << 60 | rnd.getrandbits(4)}  # a crowded node
     every = np.array(sorted(prints), np.uint64)
-    p, q = simhash.linked_pairs(every, every, 2)
+    p, q = map(np.concatenate, zip(*simhash.linked_pairs(every, every, [(64, 2)], limit=50), strict=True))
     near = {(i, j) for i in range(len(every)) for j in range(len(every)) if (int(every[i]) ^ int(every[j])).bit_count() <= 2}
     assert set(zip(p.tolist(), q.tolist(), strict=True)) == near
+    p2, q2 = map(np.concatenate, zip(*simhash.linked_pairs(every, every, [(20, 1), (64, 9)]), strict=True))
+    apart = lambda i, j: int(every[i]) ^ int(every[j])
+    assert set(zip(p2.tolist(), q2.tolist(), strict=True)) == {(i, j) for i in range(len(every)) for j in range(len(every)) if apart(i, j).bit_count() <= 9 and (apart(i, j) >> 44).bit_count() <= 1}
     table = spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "fp bigint")
-    want = simhash.forest(len(every), p, q)
-    for cap in (1 << 20, 8):  # the second splits nodes again and again
-        links = components.connected_components(simhash.trie_links(table, group_cap=cap))
+    want = simhash.forest(np.arange(len(every)), p, q)
+    for leaf, cap in ((1 << 16, 1 << 20), (8, 1 << 20), (8, 8), (64, 100)):  # small caps split nodes and groups again and again
+        links = components.connected_components(simhash.trie_links(table, leaf=leaf, group_cap=cap))
         label = {r["node"]: r["label"] for r in links.collect()}
         signed = every.view(np.int64).tolist()
         groups = defaultdict(set)

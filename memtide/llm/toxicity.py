@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memtide.llm.scratch import materialize, release
+
 _words = re.compile(r"[^\W\d_]+").findall
 PREFIXES = (5, 6, 7)
 FOLDS = 5
@@ -93,20 +95,18 @@ def nnpu_fit(pos: np.ndarray, unl: np.ndarray, prior: float, ridge: float = 1e-4
     return theta
 
 
-def choose_features(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int, least_z: float) -> np.ndarray:
+def choose_features(sampled: DataFrame, n_pos: int, n_unl: int, prior: float, most: int, least_z: float) -> np.ndarray:
     """Features most of whose holders must be toxic, ``prior * P(feature | toxic) / P(feature) >= 1/2``, by standard score.
 
-    The sample has very many features, so a score below ``least_z`` is taken for chance. Ties are settled by hash.
+    The sample has very many features, so a score below ``least_z`` is taken for chance. Ties are settled by hash. The
+    counts stay in Spark; at most ``most`` features come back.
     """
-    ids, n_pos = np.unique(np.concatenate(pos), return_counts=True)
-    every, n_unl = np.unique(np.concatenate(unl), return_counts=True)
-    at = np.minimum(np.searchsorted(every, ids), len(every) - 1)
-    seen = np.where(every[at] == ids, n_unl[at], 0)
-    p, u = n_pos / len(pos), seen / len(unl)
-    floor = np.maximum(u, 0.5 / len(unl))
-    z = (p - u) / np.sqrt(floor * (1 - np.minimum(floor, 0.999)) / len(pos))
-    right = np.flatnonzero((n_pos >= 3) & (prior * p >= 0.5 * u) & (z >= least_z))
-    return ids[right[np.lexsort((ids[right], -z[right]))][:most]]
+    counts = sampled.select("p", F.explode("f").alias("f")).groupBy("f").agg(F.sum(F.col("p").cast("int")).alias("a"), F.sum((~F.col("p")).cast("int")).alias("b"))
+    rates = counts.where("a >= 3").select("f", (F.col("a") / n_pos).alias("p"), (F.col("b") / n_unl).alias("u")).where(prior * F.col("p") >= 0.5 * F.col("u"))
+    floor = F.greatest(F.col("u"), F.lit(0.5 / n_unl))
+    z = (F.col("p") - F.col("u")) / F.sqrt(floor * (1 - F.least(floor, F.lit(0.999))) / n_pos)
+    rows = rates.select("f", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.round("z", 9).desc(), "f").limit(most).collect()
+    return np.array([r["f"] for r in rows], np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 12000, max_features: int = 600, least_z: float = 3.5, bags: int = 3) -> ToxicModel:
@@ -128,26 +128,31 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.array(document_features(t), np.uint32).tobytes() for t in (x.as_py() for x in batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "p", "f"])
+            found = pa.array([np.array(document_features(t.as_py()), np.int64) for t in batch.column(2)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["doc_id", "p", "f"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("_id"))
-    rows = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "p", "text").mapInArrow(run, "doc_id bigint, p boolean, f binary").toPandas()
-    rows = rows.drop_duplicates().sort_values(["doc_id", "p"])
-    of = lambda part: [np.frombuffer(x, np.uint32) for x in rows.loc[rows["p"] == part, "f"]]
-    positives, unlabelled = of(True), of(False)
-    if not positives or not unlabelled:
+    sampled = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "p", "text").mapInArrow(run, "doc_id bigint, p boolean, f array<bigint>")
+    sampled = materialize(sampled.distinct(), "sampled")
+    sizes = {r["p"]: r["n"] for r in sampled.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         return ToxicModel()
-    chosen = choose_features(positives, unlabelled, prior, max_features, least_z)
-    place = {int(f): i for i, f in enumerate(chosen)}
+    chosen = choose_features(sampled, sizes[True], sizes[False], prior, max_features, least_z)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.packbits(np.isin(chosen, f.values.to_numpy())).tobytes() for f in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "p", "bits"])
+
+    # A bit for each chosen feature: all that reaches the driver of a text, however long it is.
+    rows = sampled.mapInArrow(marks, "doc_id bigint, p boolean, bits binary").toPandas().sort_values(["doc_id", "p", "bits"])
 
-    def matrix(texts: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(texts), len(chosen)), np.float32)
-        for r, ids in enumerate(texts):
-            out[r, [place[f] for f in ids[np.isin(ids, chosen)].tolist()]] = 1
-        return out
+    def matrix(part: bool) -> np.ndarray:
+        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(chosen)) for x in rows.loc[rows["p"] == part, "bits"]]
+        return np.array(bits, np.float32).reshape(len(bits), len(chosen))
 
-    x_pos, x_unl = matrix(positives), matrix(unlabelled)
+    release(sampled)
+    x_pos, x_unl = matrix(True), matrix(False)
     fits = [nnpu_fit(x_pos, x_unl[np.arange(len(x_unl)) % bags != b] if bags > 1 and len(x_unl) > 10 * bags else x_unl, prior) for b in range(bags)]
     theta = np.mean(fits, axis=0)
     return ToxicModel({int(f): float(w) for f, w in zip(chosen, theta[:-1], strict=True)}, float(theta[-1]), prior)

@@ -3,8 +3,9 @@
 Ratios of each document go, as whole numbers, into log-linear histograms per language and source. A histogram is a
 mergeable quantile sketch: adding counts bin by bin merges two of them exactly, in any order, and a bin is at most 1/16
 wide, so every quantile is within that. The sketches of a language and of the corpus are sums of those of the groups.
-A group with few documents borrows its language's cut-offs, a small language the corpus's. A document is dropped when
-one ratio lies beyond the fences ``q75 + k * (q75 - q25) + slack`` (and likewise below, for word length).
+The fences ``q75 + k * (q75 - q25) + slack`` (and likewise below, for word length) of a language are drawn towards the
+corpus's as if ``PRIOR`` documents had those, and a group's towards its language's, so that a group speaks for itself the
+more the larger it is. A document is dropped when one ratio lies beyond a fence of its group.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ RULES = {
     "word_len_cm": (200, 200),  # mean characters of a word, times 100
 }
 FENCE = 3
-MIN_GROUP = 200
+#: Documents that the parent's fences count for.
+PRIOR = 200
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -67,8 +69,8 @@ def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, each.alias("x")).groupBy(*keys, F.col("x.ratio").alias("ratio"), sketch_bin(F.col("x.value")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def cutoffs(sketch: DataFrame, fence: int = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
-    """Sketches by lang and source -> ``(lang, source, hi_*, lo_*)``, each group with its own or borrowed cut-offs."""
+def cutoffs(sketch: DataFrame, fence: int = FENCE, prior: int = PRIOR) -> DataFrame:
+    """Sketches by lang and source -> ``(lang, source, hi_*, lo_*)``, each group's own cut-offs drawn to its parents'."""
     levels = F.expr("explode(array(named_struct('level', 0, 'a', lang, 'b', source), named_struct('level', 1, 'a', lang, 'b', cast(null as string)), named_struct('level', 2, 'a', cast(null as string), 'b', cast(null as string))))")
     merged = sketch.select(levels.alias("g"), "ratio", "bin", "n").groupBy("g.level", "g.a", "g.b", "ratio", "bin").agg(F.sum("n").alias("n"))
     group = ["level", "a", "b", "ratio"]
@@ -84,14 +86,14 @@ def cutoffs(sketch: DataFrame, fence: int = FENCE, min_group: int = MIN_GROUP) -
             pick.append(here(F.col("q25") - fence * spread - below).alias(f"lo_{name}"))
     wide = q.groupBy("level", "a", "b").agg(F.max("total").alias("total"), *pick)
     names = [c for c in wide.columns if c[:3] in ("hi_", "lo_")]
-    own, lang, every = (wide.where(f"level = {i}").select("a", "b", "total", F.struct(*names).alias(f"c{i}")) for i in range(3))
-    joined = own.join(F.broadcast(every.select("c2")), F.lit(True), "left")  # one row
-    joined = joined.alias("o").join(lang.select(F.col("a").alias("la"), F.col("total").alias("lt"), "c1"), F.col("a").eqNullSafe(F.col("la")), "left")
-    chosen = F.when(F.col("total") >= min_group, F.col("c0")).when(F.col("lt") >= min_group, F.col("c1")).otherwise(F.col("c2"))
-    return joined.select(F.col("a").alias("lang"), F.col("b").alias("source"), chosen.alias("c")).select("lang", "source", "c.*")
+    own, lang, every = (wide.where(f"level = {i}").select("a", "b", "total", *(F.col(c).alias(f"{c}_{i}") for c in names)) for i in range(3))
+    joined = own.join(F.broadcast(every.drop("a", "b", "total")), F.lit(True), "left")  # one row
+    joined = joined.alias("o").join(lang.select(F.col("a").alias("la"), F.col("total").alias("lt"), *(f"{c}_1" for c in names)), F.col("a").eqNullSafe(F.col("la")), "left")
+    drawn = lambda n, own, parent: F.coalesce((F.col(n) * F.col(own) + prior * parent) / (F.col(n) + prior), parent)
+    return joined.select(F.col("a").alias("lang"), F.col("b").alias("source"), *(drawn("total", f"{c}_0", drawn("lt", f"{c}_1", F.col(f"{c}_2").cast("double"))).alias(c) for c in names))
 
 
-def quality_rules(docs: DataFrame, fence: int = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
+def quality_rules(docs: DataFrame, fence: int = FENCE, prior: int = PRIOR) -> DataFrame:
     """``(doc_id, text, lang, source)`` -> per row ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``.
 
     ``base_failed``: fewer than 10 words, or over a fifth of the words in repeated windows of five. ``kept`` is false for
@@ -102,7 +104,7 @@ def quality_rules(docs: DataFrame, fence: int = FENCE, min_group: int = MIN_GROU
     """
     stats = ratios(base_stats(docs)).withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
     stats = materialize(stats, "stats")
-    limits = cutoffs(sketches(stats.where(~F.col("base_failed")), ["lang", "source"]), fence, min_group)
+    limits = cutoffs(sketches(stats.where(~F.col("base_failed")), ["lang", "source"]), fence, prior)
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     judged = stats.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     beyond = F.lit(False)
@@ -116,8 +118,10 @@ def quality_rules(docs: DataFrame, fence: int = FENCE, min_group: int = MIN_GROU
 def _oracle() -> str:
     space = r"[\x20\x09-\x0D]"
     ratio = ", ".join(f"('{r}', {r})" for r in RULES)
-    beyond = " or ".join(f"coalesce(s.{r} > (case when o.total >= {MIN_GROUP} then o.{r} when l.total >= {MIN_GROUP} then l.{r} else e.{r} end), false)" for r in RULES)
-    low = f"coalesce(s.word_len_cm < (case when o.total >= {MIN_GROUP} then o.low when l.total >= {MIN_GROUP} then l.low else e.low end), false)"
+    lang = lambda c: f"coalesce((l.total * l.{c} + {PRIOR} * cast(e.{c} as double)) / (l.total + {PRIOR}), cast(e.{c} as double))"
+    own = lambda c: f"coalesce((o.total * o.{c} + {PRIOR} * {lang(c)}) / (o.total + {PRIOR}), {lang(c)})"
+    beyond = " or ".join(f"coalesce(s.{r} > {own(r)}, false)" for r in RULES)
+    low = f"coalesce(s.word_len_cm < {own('low')}, false)"
     wide = ", ".join(f"max(q75 + {FENCE} * (q75 - q25) + {RULES[r][0]}) filter (where ratio = '{r}') as {r}" for r in RULES)
     return rf"""
 with w as (

@@ -21,6 +21,10 @@ from memtide.llm.scratch import materialize
 from memtide.llm.toxicity import fold
 
 N_FEATURES = 10
+#: Strength of a prior over sites that differ no more than chance would have it: every site follows its parent.
+ALIKE = 1e12
+#: Sites that may be sent to every task together.
+MAX_SENT = 500_000
 UNIT = 1_000_000  # probabilities are summed as whole millionths: exact in any order
 _SYMBOLS = np.frombuffer(b"#*$%&|<>{}[]\\^~_=", np.uint8)
 
@@ -114,7 +118,28 @@ def concentration(groups: DataFrame, rate: Column) -> float:
         return 100.0
     v = row["v"] / row["n"]
     between = (row["d"] - (row["k"] - 1) * v) / (row["n"] - row["nn"] / row["n"])
-    return float(min(1e5, max(2.0, v / between - 1))) if between > 0 else 1e5
+    return float(min(ALIKE, max(2.0, v / between - 1))) if between > 0 else ALIKE
+
+
+def by_url(docs: DataFrame, url: str = "url") -> DataFrame:
+    """``docs`` with ``host`` and ``path`` of a URL: the lower-cased host, and the first part of the path ('/' if none).
+
+    Both are null where the URL can't be read. They take the place of columns with their names.
+    """
+    host = F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
+    part = F.regexp_extract(F.coalesce(F.try_parse_url(F.col(url), F.lit("PATH")), F.lit("")), r"\A/*([^/]*)", 1)
+    return docs.withColumns({"host": host, "path": F.when(host.isNotNull(), F.concat(F.lit("/"), part))})
+
+
+def _with_sites(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """``rows`` with the rates of their site. Too many sites are shuffled, but large ones never: those go to every task."""
+    same = F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))
+    if sites.count() <= MAX_SENT:
+        return rows.join(F.broadcast(sites), same)
+    least = rows.count() // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    large, small = sites.where(F.col("n") >= least), sites.where(F.col("n") < least)  # four a partition at most are large
+    rest = rows.join(F.broadcast(large.select("_h", "_p")), same, "left_anti")
+    return rows.join(F.broadcast(large), same).unionByName(rest.join(small, same))
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_labelled: int = 20000) -> DataFrame:
@@ -137,9 +162,9 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     hosts = hosts.withColumn("host_rate", (F.col("s") / UNIT + k_host * rate) / (F.col("n") + k_host))
     within = paths.join(hosts.select(F.col("host").alias("_host"), "host_rate"), F.col("host").eqNullSafe(F.col("_host")))
     k_path = concentration(within, F.col("host_rate"))
-    sites = within.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_rate", ((F.col("s") / UNIT + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"))
-    sites = sites.withColumn("path_rate", F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), "path_rate")))
-    joined = rows.join(sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
+    shrunk = (F.col("s") / UNIT + k_path * F.col("host_rate")) / (F.col("n") + k_path)
+    sites = within.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "n", "host_rate", F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), shrunk)).alias("path_rate"))
+    joined = _with_sites(rows, materialize(sites, "sites"))
     logit = F.col("llr") + F.ln(F.col("path_rate") / (1 - F.col("path_rate")))
     score = F.round(1 / (1 + F.exp(-logit)), 6)
     return joined.select("doc_id", score.alias("score"), F.col("llr").alias("evidence"), "host_rate", "path_rate", (score >= 0.5).alias("kept"))

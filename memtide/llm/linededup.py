@@ -53,10 +53,13 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partit
     ``dropped`` is the complement of the keep bitmap, as a sorted array of ``(word, bits)``: bit i of ``word`` stands for
     line ``64 * word + i``. Words without a dropped line are left out, and so are documents that keep every line.
     """
-    n = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    steps = min(4096, max(2, 2 * n))
+    spark = docs.sparkSession
+    shuffles, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    steps = min(4096, max(2, 2 * (partitions or shuffles)))
     rows = materialize(line_hashes(_placed(docs.where("doc_id is not null").select("doc_id", "text"), steps), min_chars), "lines", "none")
     total = rows.count()
+    # At least 200 thousand lines a partition where there are fewer than the session's partitions, at most four million.
+    n = partitions or max(min(shuffles, max(cores, total // 200_000)), total // 4_000_000, 1)
     # Keys that hold over a quarter of a partition's share, by a sample that sees every partition's share 256 times. The
     # sample decides only how finely a run is cut, never what is dropped. There are at most about 4 n such keys.
     rate = max(1, total // (256 * n))

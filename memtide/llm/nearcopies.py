@@ -99,8 +99,8 @@ def _sketched(docs: DataFrame, shingle: int, faces: int) -> DataFrame:
 
 
 def _candidates(prints: DataFrame, faces: int, budget: Budget) -> DataFrame:
-    """``(face, fp, head)`` -> ``(u, v, direct)``: a link of each print to its smallest partner in a group, and other
-    edges that keep all candidates of a group connected."""
+    """``(face, fp, head)`` -> ``(u, v, direct)``: a link of each print to its smallest partner in a group, and the few
+    other edges that keep all candidates of a group connected."""
 
     def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         order, every, mine = sorted_group(group)
@@ -114,7 +114,8 @@ def _candidates(prints: DataFrame, faces: int, budget: Budget) -> DataFrame:
             np.minimum.at(partner, p, q)
             np.minimum.at(partner, q, p)
         u = np.flatnonzero(partner < none)
-        w = np.flatnonzero(label != np.arange(none))
+        stars = forest(np.arange(none), u, partner[u])
+        w = np.flatnonzero((stars == np.arange(none)) & (label != stars))  # stars that a further edge ties to others
         frame = pd.DataFrame({"u": np.concatenate([head[u], head[w]]), "v": np.concatenate([head[partner[u]], head[label[w]]])})
         frame["direct"] = np.arange(len(frame)) < len(u)
         return frame[frame["u"] != frame["v"]]

@@ -55,7 +55,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents"), min_cost=10.0, min_chars=8))
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.digests(secrets.scan(docs, min_cost=10.0, min_chars=8, words=secrets.corpus_words(docs, most=50_000)))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The cost of a value is the least number of guesses, as a power of ten, over all ways to cut it into dictionary words,
 dates, repeats, sequences and keyboard walks, and single characters guessed by brute force; a dynamic programme over the
-positions finds it. Values that cost much are secrets; ``changeme2024`` and ``qwerty123`` are not.
+positions finds it. Values that cost much are secrets; ``changeme2024`` and ``qwerty123`` are not. The dictionary is a list
+of common passwords and then the words of the documents themselves, by the number of documents that have them.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,62 +38,88 @@ purple silver golden money freedom killer pepper ginger charlie thomas robert da
 january february march april june july august september october november december
 """.split()
 KEYS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("4@301!|$57+", "aaeoiilsstt")
 _NEXT = {(row[i], row[i + 1]) for row in KEYS for i in range(len(row) - 1)}
-_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:[12]\d|3[01]|0?[1-9])|(?:[12]\d|3[01]|0?[1-9])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
+_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII).fullmatch
+#: Longest word of the dictionary, longest block that is told again, longest part of a run that is no whole run.
+LONGEST, BLOCK, PART = 24, 16, 64
 
 
-def _runs(value: str) -> Iterator[tuple[int, int, float]]:
-    """Repeats of one character and steps along a key row, either way: ``(start, end, cost)`` of the maximal ones."""
-    low = value.lower()
+def ranks_of(words: Iterable[str] = ()) -> dict[str, int]:
+    """Ranks from 1: the fixed words and then ``words`` in their order."""
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *words]))}
+
+
+def _runs(low: str) -> list[tuple[int, int, int]]:
+    """``(start, end, base)``: longest runs, three or more, of one character or of steps along a key row, either way."""
+    out = []
     for step in (0, 1, -1):
-        at = 0
-        while at < len(low) - 2:
-            end = at + 1
-            while end < len(low) and (low[end] == low[end - 1] if step == 0 else ((low[end - 1], low[end])[::step]) in _NEXT):
-                end += 1
-            if end - at >= 3:
-                yield at, end, math.log10((40 if step == 0 else 100) * (end - at))
-            at = max(at + 1, end - 1)
-
-
-def guess_cost(value: str) -> float:
-    """Least log10 of guesses over all segmentations of ``value``; 0 for an empty one. Linear in its length."""
-    n = len(value)
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost)
-    for start, end, cost in _runs(value):
-        for a in range(start, end - 2):  # any end part of a run is a run
-            if a == start or end - a <= 16:
-                spans[end].append((a, cost))
-        for b in range(start + 3, end):
-            if b - start <= 16:
-                spans[b].append((start, cost))
-    for a in range(n):
-        if value[a].isdigit() and (found := _DATE.match(value, a)):
-            spans[found.end()].append((a, math.log10(365 * 100) if found.end() - a > 4 else 2.0))
-    lower = value.lower()
-    plain = lower.translate(_LEET)
-    for b in range(3, n + 1):
-        for a in range(max(0, b - _LONGEST), b - 2):
-            rank = _RANK.get(plain[a:b])
-            if rank:
-                part = value[a:b]
-                bends = (part != part.lower()) + (lower[a:b] != plain[a:b])
-                spans[b].append((a, math.log10(10 * rank) + bends * math.log10(4)))
-    for b in range(2, n + 1):  # a block told twice or more: the block and a small count
-        for width in range(2, min(16, b // 2) + 1):
-            if value[b - width : b] == value[b - 2 * width : b - width]:
-                spans[b].append((b - width, 0.5))
+        same = [low[i] == low[i - 1] if step == 0 else (low[i - 1], low[i])[::step] in _NEXT for i in range(1, len(low))]
+        start = 0
+        for i in range(1, len(low) + 1):
+            if i == len(low) or not same[i - 1]:
+                if i - start >= 3:
+                    out.append((start, i, 40 if step == 0 else 100))
+                start = i
+    return out
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
+    """Least log10 of guesses over all segmentations of ``value``; 0 for an empty one.
+
+    Pieces are: a single character; a word of the dictionary (3 to ``LONGEST`` letters, capitals and look-alike characters
+    cost extra); a date or a year; a part of a run, of 3 to ``PART`` characters or the whole run; and a block of 2 to
+    ``BLOCK`` characters told again, once or more, right after itself. The work grows in proportion to the length.
+    """
+    ranks = ranks_of() if ranks is None else ranks
+    n, low = len(value), value.lower()
+    plain = low.translate(_LEET) if len(low) == n else value
+    low = low if len(low) == n else value
+    runs = _runs(low)
+    ending: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    for start, end, base in runs:
+        for b in range(start + 3, end + 1):
+            ending[b].append((start, base))
+    matched = [0] * (BLOCK + 1)  # by width: how many characters up to here equal the one so far back
     best = [0.0] + [math.inf] * n
     for b in range(1, n + 1):
         c = value[b - 1]
-        single = 1.0 if c.isdigit() else 1.2 if c.islower() else 1.4
-        best[b] = min([best[b - 1] + single, *(best[a] + cost for a, cost in spans[b])])
+        least = best[b - 1] + (1.0 if c.isdigit() else 1.2 if c.islower() else 1.4)
+        for start, base in ending[b]:
+            for a in range(max(start, b - PART), b - 2):
+                least = min(least, best[a] + math.log10(base * (b - a)))
+            least = min(least, best[start] + math.log10(base * (b - start)))
+        for a in range(max(0, b - 10), b - 3):
+            if value[a].isdigit() and c.isdigit() and _DATE(value, a, b):
+                least = min(least, best[a] + (2.0 if b - a == 4 else math.log10(36500)))
+        for a in range(max(0, b - LONGEST), b - 2):
+            rank = ranks.get(plain[a:b])
+            if rank:
+                bends = (value[a:b] != low[a:b]) + (low[a:b] != plain[a:b])
+                least = min(least, best[a] + math.log10(10 * rank) + bends * math.log10(4))
+        for width in range(2, min(BLOCK, b - 1) + 1):
+            matched[width] = matched[width] + 1 if value[b - 1] == value[b - 1 - width] else 0
+            for times in range(1, min(matched[width] // width, PART) + 1):
+                least = min(least, best[b - times * width] + math.log10(1 + times))
+            if (times := matched[width] // width) > PART:
+                least = min(least, best[b - times * width] + math.log10(1 + times))
+        best[b] = least
     return best[n]
 
 
+def corpus_words(docs: DataFrame, most: int = 50_000, least_docs: int = 3) -> list[str]:
+    """Words of letters in ``text``, lower-cased, by the number of documents that have them; the commonest ``most``.
+
+    All documents count. Values in credential contexts don't, so that a secret that is copied often is not a word.
+    """
+    # A blank keeps what stands before and after apart.
+    prose = F.regexp_replace(F.col("text").cast("string"), _CONTEXT.pattern, " ")
+    text = F.when(F.col("text").rlike("[:=]"), prose).otherwise(F.col("text").cast("string"))
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])\p{{L}}{{3,{LONGEST}}}(?![\p{{L}}\p{{N}}_])"), F.lit(0))
+    counts = docs.select(F.explode(F.array_distinct(found)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+    return [r["w"] for r in counts.orderBy(F.col("n").desc(), "w").limit(most).collect()]  # at most ``most`` short strings
+
+
 def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
     """Whether ``spans`` together hold all of ``[start, end)``."""
     for a, _, b in sorted(spans):
@@ -102,7 +129,7 @@ def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
     return start >= end
 
 
-def scan_text(text: str, min_cost: float = 10.0, min_chars: int = 8) -> list[tuple[int, int, int]]:
+def scan_text(text: str, min_cost: float = 10.0, min_chars: int = 8, ranks: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of all findings, by start and then kind; ends are exclusive, in code points."""
     found: list[tuple[int, int, int]] = []
     named = ":" in text or "=" in text
@@ -116,23 +143,27 @@ def scan_text(text: str, min_cost: float = 10.0, min_chars: int = 8) -> list[tup
         for m in _CONTEXT.finditer(text):
             start, end = m.span(m.lastindex)
             bare = end if m.lastindex < 3 else start + len(text[start:end].rstrip(")]}.:!?"))  # closers after an unquoted value are not its rest
-            if end - start >= min_chars and not _covered(start, bare, base) and guess_cost(text[start:end]) >= min_cost:
+            if end - start >= min_chars and not _covered(start, bare, base) and guess_cost(text[start:end], ranks) >= min_cost:
                 found.append((start, 3, end))
     return sorted(found)
 
 
-def scan(docs: DataFrame, min_cost: float = 10.0, min_chars: int = 8) -> DataFrame:
+def scan(docs: DataFrame, min_cost: float = 10.0, min_chars: int = 8, words: Iterable[str] = ()) -> DataFrame:
     """``(doc_id, text)`` -> one row each: ``(doc_id, findings)``, an array of ``(kind, start, end)``.
 
+    ``words`` extend the dictionary, commonest first, see :func:`corpus_words`; they go to every task.
+
     Null and empty texts have none. Rows that repeat are scanned each; a null doc_id stays null; extra columns are ignored.
     Values shorter than ``min_chars``, or that base spans hold whole, are not costed; one that they hold in part is costed
     whole and its span added. A scheme word (Bearer, Basic, Token) before a value is not part of it.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(list(words))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = ranks_of(sent.value)
         for batch in batches:
-            rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan_text(t or "", min_cost, min_chars)] for t in batch.column(1).to_pylist()]
+            rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan_text(t or "", min_cost, min_chars, ranks)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "findings"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, findings array<struct<kind: string, start: int, end: int>>")

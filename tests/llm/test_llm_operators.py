@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -417,10 +418,77 @@ def test_guess_cost_is_the_least() -> None:
         assert secrets.guess_cost(easy) < 7
     for hard in ("9f8a7c6b5d4e3f2a", "hX9$kL2#mQ7!"):
         assert secrets.guess_cost(hard) > 10
-    rnd = random.Random(6)
-    for _ in range(50):
-        a, b = ("".join(rnd.choice("abc12") for _ in range(6)) for _ in range(2))
-        assert secrets.guess_cost(a + b) <= secrets.guess_cost(a) + secrets.guess_cost(b) + 1e-9
+
+
+def piece_cost(value: str, a: int, b: int, ranks: dict[str, int]) -> float:
+    """Of ``value[a:b]`` as one piece; infinite if it is none."""
+    part, costs = value[a:b], [math.inf]
+    low = part.lower()
+    if b - a == 1:
+        costs.append(1.0 if part.isdigit() else 1.2 if part.islower() else 1.4)
+    look = low.translate(str.maketrans("4@301!|$57+", "aaeoiilsstt"))
+    if look in ranks and b - a >= 3:
+        costs.append(math.log10(10 * ranks[look]) + math.log10(4) * ((part != low) + (look != low)))
+    if b - a >= 3:
+        costs += [math.log10(40 * (b - a))] * (len(set(low)) == 1)
+        for row in secrets.KEYS:
+            costs += [math.log10(100 * (b - a))] * (low in row or low[::-1] in row)
+    digits = re.sub("[-/._]", "", part)
+    for form in ("%Y", "%Y%m%d", "%d%m%Y"):
+        if digits.isdigit() and len(digits) >= 4 and part[0].isdigit() and part[-1].isdigit():
+            for y, m, d in [(y, m, d) for y in range(1900, 2100) if str(y) in digits for m in range(1, 13) for d in range(1, 32)]:
+                for mm in {str(m), f"{m:02}"}:
+                    for dd in {str(d), f"{d:02}"}:
+                        for sep in "", "-", "/", ".", "_":
+                            if form == "%Y" and part == str(y):
+                                costs.append(2.0)
+                            elif part in (f"{y}{sep}{mm}{sep}{dd}", f"{dd}{sep}{mm}{sep}{y}"):
+                                costs.append(math.log10(36500))
+    for width in range(2, a + 1):
+        if (b - a) % width == 0 and part == value[a - width : a] * ((b - a) // width):
+            costs.append(math.log10(1 + (b - a) // width))
+    return min(costs)
+
+
+def test_guess_cost_agrees_with_all_segmentations() -> None:
+    rnd, ranks = random.Random(6), secrets.ranks_of(["zebra", "corpus"])
+    values = ["P@ssw0rd99", "qwertzebra", "2021qwe321", "abababxabx", "1/2/1999aa", "aAaAbBcCdD", "corpuscorp", "12-12-2012", "passwor", "Admin1admin", "lkjhgaaab9"]
+    values += ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 11))) for letters in ("ab1", "qwe12", "aA4@sS", "0123", "love12") for _ in range(12)]
+    for value in values:
+        n = len(value)
+        cost = {(a, b): piece_cost(value, a, b, ranks) for a in range(n) for b in range(a + 1, n + 1)}
+
+        def every(a: int, value: str = value, n: int = n, cost: dict = cost) -> float:
+            return 0.0 if a == n else min(cost[a, b] + every(b) for b in range(a + 1, n + 1) if cost[a, b] < math.inf)
+
+        assert abs(secrets.guess_cost(value, ranks) - every(0)) < 1e-9, value
+
+
+def test_guess_cost_of_long_values() -> None:
+    assert secrets.guess_cost("-" * 30_000) < 7 and secrets.guess_cost("abcd" * 5000) < 9
+    rnd = random.Random(1)
+    assert secrets.guess_cost("x9K!" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(5000))) > 5000
+
+
+def test_planted_secrets_and_ordinary_words(spark) -> None:
+    rnd = random.Random(11)
+    words = [w for w in "authentication documentation environment placeholder credentials configuration process your goes development production internal response request header service account number repository deployment pipeline customer standard optional required variable function parameter".split()]
+    prose = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(40)]
+    ordinary = [f"{name}{rnd.choice([': ', '=', ' = '])}{rnd.choice(words)}{sep}{rnd.choice(words)}" for name in ("password", "credentials", "auth", "pwd") for sep in ("-", "_", ".") for _ in range(25)]
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#%&*"
+    hidden = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(10, 24))) for _ in range(200)]
+    planted = [f'{rnd.choice(prose)} {rnd.choice(["pwd", "client_secret", "passphrase", "private_key"])}: "{x}" and so on' for x in hidden]
+    rows = list(enumerate([*prose, *ordinary, *planted, *planted[:5] * 20]))
+    docs = frame(spark, rows)
+    dictionary = secrets.corpus_words(docs)
+    assert {"authentication", "documentation"} <= set(dictionary) and not {x.lower() for x in hidden} & set(dictionary)
+    found = {r["doc_id"]: [(f["start"], f["end"]) for f in r["findings"]] for r in secrets.scan(docs, words=dictionary).collect()}
+    base = len(prose) + len(ordinary)
+    right = sum(any(x in rows[base + i][1][a:b] for a, b in found[base + i]) for i, x in enumerate(hidden))
+    # The fixed patterns take any value of six characters or more; only the costed ones are held against ordinary words.
+    wrong = sum(any(k == 3 for _, k, _ in secrets.scan_text(t, ranks=secrets.ranks_of(dictionary))) for _, t in rows[:base])
+    bare = sum(any(k == 3 for _, k, _ in secrets.scan_text(t)) for _, t in rows[:base])
+    assert right >= 0.99 * len(hidden) and wrong == 0 < bare
 
 
 # 9

@@ -627,6 +627,17 @@ def test_plan_is_best_fit_decreasing() -> None:
         assert len(used) == len(gaps) and max(used.values()) <= capacity and sum(used.values()) == sum(lengths)
 
 
+def test_plan_stays_within_its_bound() -> None:
+    rnd = random.Random(3)
+    for capacity in (64, 257, 2048):
+        tables = [{n: 10**9 for n in range(1, capacity + 1)}, {n: rnd.randrange(1, 10**6) for n in range(1, capacity + 1)}, {n: 1 for n in range(1, capacity + 1)}, {n: (capacity - n) ** 3 + 1 for n in range(1, capacity + 1)}]
+        tables += [{n: int(10 ** rnd.uniform(0, 9)) for n in range(1, capacity + 1) if rnd.random() < 0.7} for _ in range(4)]
+        for counts in tables:
+            plan = packing.best_fit_plan(counts, capacity)
+            assert len(plan) <= packing.plan_bound(capacity)
+            assert sum(end - first for _, first, end, *_ in plan) == sum(counts.values())
+
+
 def test_ranks_share_a_length(spark) -> None:
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 50 + 1).cast("bigint").alias("length"), F.lit(0).cast("bigint").alias("ids_crc32"))
     ranks = packing.ranked_by_length(df, 6)

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from memtide.llm.scratch import materialize
 from memtide.llm.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -37,7 +38,7 @@ def test_stages(spark) -> None:
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     first = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.materialize(stage(spark, docs, str(DATA)), "stage")
+        out = materialize(stage(spark, docs, str(DATA)), "stage")
         assert out.columns == first.columns and 0 < out.count() <= docs.count()
         assert out.join(docs, "doc_id", "left_anti").count() == 0
         docs = out

@@ -55,16 +55,17 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partit
     """
     spark = docs.sparkSession
     shuffles, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    steps = min(4096, max(2, 2 * (partitions or shuffles)))
+    steps = min(4096, max(2, 2 * shuffles, 2 * (partitions or 0)))
     rows = materialize(line_hashes(_placed(docs.where("doc_id is not null").select("doc_id", "text"), steps), min_chars), "lines", "none")
     total = rows.count()
     # At least 200 thousand lines a partition where there are fewer than the session's partitions, at most four million.
     n = partitions or max(min(shuffles, max(cores, total // 200_000)), total // 4_000_000, 1)
-    # Keys that hold over a quarter of a partition's share, by a sample that sees every partition's share 256 times. The
-    # sample decides only how finely a run is cut, never what is dropped. There are at most about 4 n such keys.
-    rate = max(1, total // (256 * n))
+    # Keys that hold over a quarter of a share, by a sample that sees every share 256 times. The sample decides only how
+    # finely a run is cut, never what is dropped. There are at most about four times as many such keys as shares.
+    shares = max(n, shuffles)
+    rate = max(1, total // (256 * shares))
     seen = rows.where(F.pmod(F.xxhash64("doc_id", "pos", "h"), F.lit(rate)) == 0).groupBy("h", "g").agg(F.count("*").alias("c"))
-    hot = seen.where(F.col("c") * rate * 4 * n > total).select("h", "g", F.least(F.lit(steps), F.ceil(F.col("c") * rate * 4 * n / total)).cast("int").alias("cut"))
+    hot = seen.where(F.col("c") * rate * 4 * shares > total).select("h", "g", F.least(F.lit(steps), F.ceil(F.col("c") * rate * 4 * shares / total)).cast("int").alias("cut"))
     rows = rows.join(F.broadcast(hot), ["h", "g"], "left").withColumn("part", F.coalesce(F.expr(f"place * cut div {steps}"), F.lit(0)).cast("int"))
     # The windows read the range partitions as they are: no further exchange.
     dealt = rows.repartitionByRange(n, "h", "g", "part")

@@ -120,7 +120,8 @@ def _candidates(prints: DataFrame, faces: int, budget: Budget) -> DataFrame:
         frame["direct"] = np.arange(len(frame)) < len(u)
         return frame[frame["u"] != frame["v"]]
 
-    return trie_groups(prints, budget, faces).groupBy(*GROUP).applyInPandas(walk, "u bigint, v bigint, direct boolean")
+    # A print has few partners here, so that larger nodes spare copies.
+    return trie_groups(prints, budget, faces, leaf=1 << 18).groupBy(*GROUP).applyInPandas(walk, "u bigint, v bigint, direct boolean")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -144,33 +145,47 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: flo
 def _across(parted: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links between different components inside clusters of candidates: ``(cluster, h, part)`` -> ``(u, v)``.
 
-    A cluster is dealt in blocks of about ``BLOCK`` texts and every pair of blocks is a group of its own, so no task
-    gathers a cluster; a group counts common shingles by postings.
+    A cluster is dealt in blocks of about ``BLOCK`` texts: a large component has blocks of its own, small ones share some.
+    Each pair of blocks is a group, but for two of the same component, which have nothing to test. So no task gathers a
+    cluster, and the groups follow the texts outside the largest component. A group counts common shingles by postings.
     """
-    blocks = parted.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    dealt = parted.join(blocks, "cluster").select("cluster", "h", "part", F.expr("cast(pmod(xxhash64(h), n) as int)").alias("block"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"))
-    dealt = dealt.select("cluster", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "h", "part").join(texts, "h")
+    sizes = parted.groupBy("cluster", "part").agg(F.count("*").alias("n")).withColumn("pure", F.when(F.col("n") >= BLOCK, F.col("part")))
+    blocks = sizes.groupBy("cluster", "pure").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("m"))
+    told = sizes.join(blocks.select(F.col("cluster").alias("_c"), F.col("pure").alias("_p"), "m"), (F.col("cluster") == F.col("_c")) & F.col("pure").eqNullSafe(F.col("_p"))).select("cluster", "part", "pure", "m")
+    nodes = materialize(parted.join(told, ["cluster", "part"]).select("cluster", "h", "part", "pure", F.expr("cast(pmod(xxhash64(h), m) as int)").alias("block")), "nodes", "none")
+    each = blocks.select("cluster", "pure", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("block"), F.struct(F.col("pure").isNotNull().alias("own"), F.coalesce("pure", F.lit(0)).alias("pure")).alias("kind"))
+    left, right = (each.select("cluster", *(F.col(c).alias(f"{c}_{k}") for c in ("pure", "block", "kind"))) for k in "ab")
+    later = (F.col("kind_a") < F.col("kind_b")) | ((F.col("kind_a") == F.col("kind_b")) & F.col("pure_a").isNull() & (F.col("block_a") <= F.col("block_b")))
+    pairs = materialize(left.join(right, "cluster").where(later).select("cluster", "pure_a", "block_a", "pure_b", "block_b"), "pairs", "none")
+
+    def side(k: str) -> DataFrame:
+        own = nodes.select(F.col("cluster").alias("_c"), "h", "part", F.col("pure").alias("_p"), F.col("block").alias("_b"))
+        met = pairs.join(own, (F.col("cluster") == F.col("_c")) & F.col(f"pure_{k}").eqNullSafe(F.col("_p")) & (F.col(f"block_{k}") == F.col("_b")))
+        return met.select("cluster", "pure_a", "block_a", "pure_b", "block_b", "h", "part", F.lit(k == "a").alias("first"))
+
+    itself = F.col("pure_a").eqNullSafe(F.col("pure_b")) & (F.col("block_a") == F.col("block_b"))
+    dealt = side("a").withColumn("itself", itself).unionByName(side("b").where(~itself).withColumn("itself", F.lit(False))).join(texts, "h")
 
     def test(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        h, part, block = (group[c].to_numpy() for c in ("h", "part", "block"))
+        h, part, first = (group[c].to_numpy() for c in ("h", "part", "first"))
+        second = first if group["itself"].iloc[0] else ~first
         sets = [shingles(words_of(t), shingle) for t in group["text"]]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         _, term = np.unique(np.concatenate(sets), return_inverse=True)
         order = np.argsort(term, kind="stable")
-        holder, first = np.repeat(np.arange(len(sets)), size)[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
+        holder, begin = np.repeat(np.arange(len(sets)), size)[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         ends = np.cumsum(size)
-        for a in np.flatnonzero(block == key[1]):
+        for a in np.flatnonzero(first):
             mine = term[ends[a] - size[a] : ends[a]]
-            low, many = first[mine], first[mine + 1] - first[mine]
+            low, many = begin[mine], begin[mine + 1] - begin[mine]
             at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
             common = np.bincount(holder[at], minlength=len(sets))
-            near = (common / (size[a] + size - common) >= similarity) & (block == key[2]) & (part != part[a])
-            b = np.flatnonzero(near)
+            b = np.flatnonzero((common / (size[a] + size - common) >= similarity) & second & (part != part[a]))
             found.append((np.full(len(b), h[a]), h[b]))
         return pd.DataFrame({"u": np.concatenate([u for u, _ in found]), "v": np.concatenate([v for _, v in found])})
 
-    return dealt.groupBy("cluster", "i", "j").applyInPandas(test, "u bigint, v bigint")
+    return dealt.groupBy("cluster", "pure_a", "block_a", "pure_b", "block_b").applyInPandas(test, "u bigint, v bigint")
 
 
 def near_links(classes: DataFrame, texts_of: DataFrame, faces: int, budget: Budget, shingle: int, similarity: float) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from memtide.llm import simhash
+from memtide.llm import nearcopies, simhash
 
 FIELDS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -51,6 +51,21 @@ def test_stage_links_what_brute_force_links(spark) -> None:
     assert sorted(i for i, _ in keep(spark, list(enumerate(texts)))) == want
 
 
+def test_links_across_components_of_large_clusters(spark, monkeypatch) -> None:
+    """Texts a fixed step apart: each is a near copy of its neighbours alone, and the candidates tie them all together."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 4)
+    rng = random.Random(3)
+    line = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    texts = [" ".join(line[i * 6 : i * 6 + 100]) for i in range(40)] + [" ".join(line[300 + i * 14 : 400 + i * 14]) for i in range(12)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h bigint, text string")
+    sets = [nearcopies.shingles(nearcopies.words_of(t)) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if nearcopies.jaccard(sets[i], sets[j]) >= 0.8}
+    for part in (lambda i: i, lambda i: min(i, 6), lambda i: i // 9):
+        parted = spark.createDataFrame([(7, i, part(i)) for i in range(len(texts))], "cluster bigint, h bigint, part bigint")
+        got = {(max(r["u"], r["v"]), min(r["u"], r["v"])) for r in nearcopies._across(parted, rows, 5, 0.8).collect()}
+        assert got == {(i, j) for i, j in near if part(i) != part(j)}
+
+
 def test_verdicts_are_by_row(spark) -> None:
     a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "a text of quite another kind here")
     assert sorted(keep(spark, [(3, a), (3, b), (4, b.upper()), (None, a), (None, c), (5, c), (None, "no copy of this is anywhere")]), key=repr) == sorted([(3, a), (3, b), (5, c), (None, "no copy of this is anywhere")], key=repr)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from memtide.plans.lineage import shared_folder
 
+FILE_BYTES = 256 << 20
 _made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 
@@ -23,9 +24,11 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
     """Write ``df`` once to shared storage and return a reader over it.
 
     A lost executor then costs a re-read of files rather than a re-run of everything upstream. Tables of hashes are
-    written with ``compression="none"``: codecs gain nothing on them and hold native buffers for each column.
+    written with ``compression="none"``: codecs gain nothing on them and hold native buffers for each column. Few bytes
+    make few files: two for each core, or one for each ``FILE_BYTES`` that Catalyst expects, whichever is more.
     """
     spark = df.sparkSession
+    df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, min(scan_bytes(df) // FILE_BYTES, 1_000_000)))
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write
     (writer.option("compression", compression) if compression else writer).parquet(path)

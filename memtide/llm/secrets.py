@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memtide.llm.scratch import materialize, release
+
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -117,7 +119,14 @@ def corpus_words(docs: DataFrame, most: int = 50_000, least_docs: int = 3) -> li
     text = F.when(F.col("text").rlike("[:=]"), prose).otherwise(F.col("text").cast("string"))
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])\p{{L}}{{3,{LONGEST}}}(?![\p{{L}}\p{{N}}_])"), F.lit(0))
     counts = docs.select(F.explode(F.array_distinct(found)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
-    return [r["w"] for r in counts.orderBy(F.col("n").desc(), "w").limit(most).collect()]  # at most ``most`` short strings
+    counts = written = materialize(counts, "words")
+    total = counts.count()
+    if total > most:  # words as frequent as the last that would fit are left out together, so that no more than fit are sent
+        cut = counts.agg(F.percentile_approx("n", 1 - most / total, 100_000).alias("n")).first()["n"]
+        counts = counts.where(F.col("n") > cut)
+    rows = counts.orderBy(F.col("n").desc(), "w").limit(most).collect()  # at most ``most`` short strings
+    release(written)
+    return [r["w"] for r in rows]
 
 
 def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:

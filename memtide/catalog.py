@@ -1,6 +1,7 @@
 """Every operator as a query over the driver's tables, and the same in SQL where SQL can say it.
 
-``documents`` that have a vector in ``embeddings`` stand for memories: position and vector by id, one hour between them.
+All ``embeddings`` stand for memories, with the text of the document of the same id or none: position and vector by id, one
+hour between them. The searches ask every one whose id is divisible by 50.
 """
 
 from __future__ import annotations
@@ -48,26 +49,33 @@ def _vec(column: str = "embedding") -> Column:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    joined = d.join(e, F.col("doc_id") == F.col("vec_id"))
-    return joined.select(F.col("doc_id").alias("pos"), "text", _vec().alias("embedding"), F.expr("timestampadd(HOUR, cast(doc_id as int), timestamp_ntz'2024-01-01 00:00:00')").alias("created_at"), (F.col("doc_id") % 7).alias("access_count"), (F.col("doc_id") % 3 + 1).cast("double").alias("importance"), F.lit(False).alias("stale"))
+    d, e = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "embeddings")
+    joined = e.join(d, F.col("doc_id") == F.col("vec_id"), "left")
+    n = F.col("vec_id")
+    return joined.select(n.alias("pos"), F.coalesce("text", F.lit("")).alias("text"), _vec().alias("embedding"), F.expr("timestampadd(HOUR, cast(vec_id as int), timestamp_ntz'2024-01-01 00:00:00')").alias("created_at"), (n % 7).alias("access_count"), (n % 3 + 1).cast("double").alias("importance"), F.lit(False).alias("stale"))
+
+
+#: What the searches say, by turns.
+QUESTIONS = (QUERY_TEXT, "les et que der die", "onan la missingterm", "die und les the")
 
 
 def question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id in (0, 1)")
-    return e.select(F.col("vec_id").alias("query_id"), _vec().alias("embedding"), F.when(F.col("vec_id") == 0, QUERY_TEXT).otherwise("les et que der die").alias("text"))
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    told = F.get(F.array(*map(F.lit, QUESTIONS)), ((F.col("vec_id") / 50) % len(QUESTIONS)).cast("int"))
+    return e.select(F.col("vec_id").alias("query_id"), _vec().alias("embedding"), told.alias("text"))
 
 
 def life() -> Column:
     return lifecycle_score(F.col("created_at"), F.col("importance"), F.col("access_count"), F.col("stale"), F.expr(NOW))
 
 
-MEM = """
+MEM = f"""
 mem as (
-  select d.doc_id as pos, d.text, e.embedding::double[] as embedding, timestamp '2024-01-01' + to_hours(d.doc_id) as created_at, d.doc_id % 7 as access_count, cast(d.doc_id % 3 + 1 as double) as importance
-  from documents d join embeddings e on d.doc_id = e.vec_id),
-q as (select vec_id as query_id, embedding::double[] as embedding, case when vec_id = 0 then 'the and of onan onan la der missingterm' else 'les et que der die' end as text from embeddings where vec_id in (0, 1)),
-vec as (select q.query_id, mem.pos, list_dot_product(q.embedding, mem.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(mem.embedding, mem.embedding))) as score from q, mem),
+  select e.vec_id as pos, coalesce(d.text, '') as text, e.embedding::double[] as embedding, timestamp '2024-01-01' + to_hours(e.vec_id) as created_at, e.vec_id % 7 as access_count, cast(e.vec_id % 3 + 1 as double) as importance
+  from embeddings e left join documents d on d.doc_id = e.vec_id),
+q as (select vec_id as query_id, embedding::double[] as embedding, {list(QUESTIONS)}[1 + (vec_id // 50) % {len(QUESTIONS)}] as text from embeddings where vec_id % 50 = 0),
+"""
+MEM += """vec as (select q.query_id, mem.pos, list_dot_product(q.embedding, mem.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(mem.embedding, mem.embedding))) as score from q, mem),
 toks as (select pos, regexp_extract_all(lower(text), '[a-z0-9]+|[^\\x00-\\x7f]') as t from mem),
 stat as (select count(*) as n, avg(len(t)) as avgdl from toks),
 term as (select query_id, term, count(*) as times from (select query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[^\\x00-\\x7f]')) as term from q) group by all),
@@ -82,36 +90,26 @@ rrf as (select query_id, pos, sum(1.0::double / (60 + rank)) as score from rr gr
 """
 
 
-@query(f"with {MEM} select query_id, pos, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as r from vec) where r <= 10")
-def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = retrieval.truncate(retrieval.vector_scores(question(spark, sf_dir), memories(spark, sf_dir)), 10)
-    return top.select("query_id", "pos", F.round("score", 6).alias("score"))
-
-
 @query("""
 with e as (select vec_id, embedding::double[] as embedding from embeddings),
 q as (select * from e where vec_id % 50 = 0),
 vec as (select q.vec_id as query_id, e.vec_id as pos, list_dot_product(q.embedding, e.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(e.embedding, e.embedding))) as score from q, e)
 select query_id, pos, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as r from vec) where r <= 10""")
-def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding whose id is divisible by 50 against every embedding, whether a document has its id or not."""
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), _vec().alias("embedding"))
-    q = e.where("pos % 50 = 0").withColumnRenamed("pos", "query_id")
-    return retrieval.truncate(retrieval.vector_scores(q, e), 10).select("query_id", "pos", F.round("score", 6).alias("score"))
+    return retrieval.vector_top(question(spark, sf_dir), e, 10).select("query_id", "pos", F.round("score", 6).alias("score"))
 
 
-@query("""
-with toks as (select doc_id as pos, regexp_extract_all(lower(text), '[a-z0-9]+|[^\\x00-\\x7f]') as t from documents),
-stat as (select count(*) as n, avg(len(t)) as avgdl from toks),
-term as (select term, count(*) as times from (select unnest(regexp_extract_all('the and of onan onan la der missingterm', '[a-z0-9]+')) as term) group by term),
-tf as (select pos, dl, term, count(*) as tf from (select pos, len(t) as dl, unnest(t) as term from toks) where term in (select term from term) group by all),
-df as (select term, count(*) as df from tf group by term)
-select pos, round(sum(times * greatest(ln((n - df + 0.5) / (df + 0.5) + 1), 0.25) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
-from tf join df using (term) join term using (term), stat group by pos""")
+@query(f"""
+with {MEM}, dtoks as (select doc_id as pos, regexp_extract_all(lower(text), '[a-z0-9]+|[^\\x00-\\x7f]') as t from documents),
+dstat as (select count(*) as n, avg(len(t)) as avgdl from dtoks),
+dtf as (select pos, dl, term, count(*) as tf from (select pos, len(t) as dl, unnest(t) as term from dtoks) where term in (select term from term) group by all),
+ddf as (select term, count(*) as df from dtf group by term)
+select query_id, pos, round(sum(times * greatest(ln((n - df + 0.5) / (df + 0.5) + 1), 0.25) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+from dtf join ddf using (term) join term using (term), dstat group by query_id, pos""")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame([(0, QUERY_TEXT)], "query_id bigint, text string")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
-    return retrieval.bm25_scores(q, docs).select("pos", F.round("score", 6).alias("score"))
+    return retrieval.bm25_scores(question(spark, sf_dir), docs).select("query_id", "pos", F.round("score", 6).alias("score"))
 
 
 @query(f"with {MEM} select query_id, pos, round(score, 9) as score from rrf")
@@ -163,8 +161,8 @@ def recall_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with e as (select vec_id, label, embedding::double[] as v from embeddings),
-n as (select c.vec_id as pos, x.vec_id as other, list_cosine_similarity(c.v, x.v) as s from e c, e x where c.label < 5 and x.label >= 5 and list_cosine_similarity(c.v, x.v) >= 0.3),
-b as (select pos, cast(arg_max(other, (s, -other)) as varchar) as similar_memory from n group by pos)
+n as (select c.vec_id as pos, x.vec_id as other, list_cosine_similarity(c.v, x.v) as s from e c, e x where c.label < 5 and x.label >= 5 and round(list_cosine_similarity(c.v, x.v), 9) >= 0.3),
+b as (select pos, cast(arg_max(other, (round(s, 9), -other)) as varchar) as similar_memory from n group by pos)
 select e.vec_id as pos, b.pos is null as ok, case when b.pos is not null then 'duplicate' end as reason, similar_memory from e left join b on e.vec_id = b.pos where label < 5""")
 def duplicate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("text"), _vec().alias("embedding"), "label")
@@ -183,8 +181,9 @@ def content_dedup_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with a as (select doc_id as pos, text, lang as created_at, 0 as src from documents where lang in ('en', 'fr') union all select doc_id, text, lang, 1 from documents),
-r as (select *, row_number() over (partition by sha256(text || '::' || created_at) order by src, pos) as r from a)
-select pos + src * 1099511627776 as pos, created_at, sha256(text || '::' || created_at) as key from r where r = 1""")
+r as (select *, row_number() over (partition by sha256(text || '::' || created_at) order by src, pos) as r from a),
+k as (select pos, created_at, sha256(text || '::' || created_at) as key, src from r where r = 1)
+select case when src = 0 then pos else (select max(doc_id) from documents where lang in ('en', 'fr')) + row_number() over (partition by src order by pos) end as pos, created_at, key from k""")
 def merge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text", F.col("lang").alias("created_at"))
     return store.merge_memories(d.where("created_at in ('en', 'fr')"), d).select("pos", "created_at", memory_key(F.col("text"), F.col("created_at")).alias("key"))

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+class PredictionPolicy(Protocol):
+    """What a predictor of the next item needs. ``edges`` is its whole state, a table it makes itself."""
+
+    def update(self, edges: DataFrame, events: DataFrame) -> DataFrame: ...
+
+    def predict(self, edges: DataFrame) -> DataFrame: ...
+
+    def surprise(self, edges: DataFrame, pairs: DataFrame) -> DataFrame: ...
+
+    def reset(self, edges: DataFrame) -> DataFrame: ...
+
+
 def transitions(events: DataFrame, session: str = "session", order: tuple[str, ...] = ("step",), item: str = "item") -> DataFrame:
     """Counts of consecutive items within a session."""
     prev = F.lag(item).over(Window.partitionBy(session).orderBy(*order))
@@ -29,3 +43,23 @@ def surprise(edges: DataFrame, pairs: DataFrame, n_items: int, smoothing: float
 def self_surprise(edges: DataFrame, items: DataFrame, n_items: int, smoothing: float = 1.0) -> DataFrame:
     """The surprise of an item after itself, as the learn report gives it."""
     return surprise(edges, items.select(F.col("item").alias("prev"), F.col("item").alias("next")), n_items, smoothing).select(F.col("prev").alias("item"), "surprise")
+
+
+class FirstOrder:
+    """The default policy: transition counts with additive smoothing over ``n_items``."""
+
+    def __init__(self, n_items: int, smoothing: float = 1.0) -> None:
+        self.n_items, self.smoothing = n_items, smoothing
+
+    def update(self, edges: DataFrame, events: DataFrame) -> DataFrame:
+        """``edges`` and the transitions of ``events(session, step, item)``, added up."""
+        return edges.unionByName(transitions(events)).groupBy("prev", "next").agg(F.sum("cnt").alias("cnt"))
+
+    def predict(self, edges: DataFrame) -> DataFrame:
+        return predict_next(edges)
+
+    def surprise(self, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+        return surprise(edges, pairs, self.n_items, self.smoothing)
+
+    def reset(self, edges: DataFrame) -> DataFrame:
+        return edges.limit(0)

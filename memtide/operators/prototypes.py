@@ -1,19 +1,21 @@
 """The prototype matrix: activation, plastic encoding and winner-take-all learning.
 
 Prototypes are a table ``(proto_id, vec, strength, access_count, created_step, last_access_step)`` of a configured, small
-number of rows.
+number of rows. They are sent to the vectors' tasks as long as they have at most ``MAX_CELLS`` numbers, and joined beyond.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memtide.functions.text import let
-from memtide.functions.vec import add, cosine, dot, norm, normalize, scale
+from memtide.functions.vec import add, cosine, norm, normalize, scale
 
 
 @dataclass(frozen=True)
@@ -28,9 +30,18 @@ class LearningConfig:
     max_strength: float = 5.0
 
 
+#: Numbers in a prototype table that is sent to every task: 32 MB.
+MAX_CELLS = 4_000_000
+
+
+def _cells(protos: DataFrame) -> int:
+    return protos.agg(F.sum(F.size("vec"))).first()[0] or 0
+
+
 def similarities(vectors: DataFrame, protos: DataFrame) -> DataFrame:
     """``(id, proto_id, sim)`` of ``vectors(id, embedding)``; a zero vector is similar to nothing."""
     p = protos.select("proto_id", "vec")
+    p = F.broadcast(p) if _cells(p) <= MAX_CELLS else p
     return vectors.select("id", "embedding").crossJoin(p).select("id", "proto_id", "vec", cosine(F.col("embedding"), F.col("vec"), "zero").alias("sim"))
 
 
@@ -46,17 +57,48 @@ def activation_weights(vectors: DataFrame, protos: DataFrame, config: LearningCo
 
 
 def lookup(vectors: DataFrame, protos: DataFrame, config: LearningConfig = LearningConfig()) -> DataFrame:
-    """``(id, residual)``: the weighted sum of the prototypes as they are, scaled."""
-    rows = F.sort_array(F.collect_list(F.struct("proto_id", scale(F.col("vec"), F.col("weight")).alias("v"))))
-    summed = activation_weights(vectors, protos, config).groupBy("id").agg(rows.alias("r"))
-    zero = F.transform(F.col("r")[0]["v"], lambda _: F.lit(0.0))
-    return summed.select("id", scale(F.aggregate("r", zero, lambda a, x: add(a, x["v"])), config.residual_scale).alias("residual"))
+    """``(id, residual)``: the weighted sum of the prototypes as they are, scaled. A product of matrices a batch."""
+    return _weighted(vectors, protos, config, base=False).withColumnRenamed("v", "residual")
 
 
 def encode(vectors: DataFrame, protos: DataFrame, config: LearningConfig = LearningConfig()) -> DataFrame:
     """``(id, encoding)``: base plus residual."""
-    joined = vectors.select("id", "embedding").join(lookup(vectors, protos, config), "id")
-    return joined.select("id", add(F.col("embedding"), F.col("residual")).alias("encoding"))
+    return _weighted(vectors, protos, config, base=True).withColumnRenamed("v", "encoding")
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows at unit length; a zero row stays zero."""
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length == 0, 1.0, length)
+
+
+def _weighted(vectors: DataFrame, protos: DataFrame, config: LearningConfig, base: bool) -> DataFrame:
+    """``(id, v)``, on the vectors' partitions as they are; the sums are those of :func:`activation_weights`."""
+    spark, kind = vectors.sparkSession, vectors.select("id").schema["id"].dataType.simpleString()
+    if _cells(protos) > MAX_CELLS:
+        parts = activation_weights(vectors, protos, config).select("id", F.posexplode(scale(F.col("vec"), F.col("weight"))).alias("d", "x"))
+        sums = parts.groupBy("id", "d").agg(F.sum("x").alias("x")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("r"))
+        v = scale(F.col("r.x"), config.residual_scale)
+        return vectors.join(sums, "id").select("id", (add(F.col("embedding"), v) if base else v).alias("v"))
+    rows = protos.select("proto_id", "vec").orderBy("proto_id").collect()  # at most MAX_CELLS numbers
+    sent = spark.sparkContext.broadcast(np.array([r["vec"] for r in rows], float))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            if not batch.num_rows or not len(table):
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            sims = _unit(x) @ _unit(table).T
+            e = np.exp(sims / config.temperature)
+            if config.top_k is not None and config.top_k < len(table):
+                least = np.partition(np.round(sims, 12), -config.top_k, axis=1)[:, -config.top_k]
+                e = np.where(np.round(sims, 12) >= least[:, None], e, 0.0)
+            v = (e / e.sum(axis=1, keepdims=True)) @ table * config.residual_scale + (x if base else 0.0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "v"])
+
+    return vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").mapInArrow(run, f"id {kind}, v array<double>")
 
 
 def nearest(vectors: DataFrame, protos: DataFrame) -> DataFrame:
@@ -65,34 +107,56 @@ def nearest(vectors: DataFrame, protos: DataFrame) -> DataFrame:
     return best.select("id", (-F.col("b.n")).alias("proto_id"), F.col("b.sim").alias("sim"))
 
 
-def oja(p: Column, n: Column, x: Column, imp: Column, config: LearningConfig) -> Column:
-    """One step of Oja's rule on a prototype that has been updated ``n`` times, back to unit length."""
-    def moved(y: Column) -> Column:
-        k = imp * config.base_rate / (1 + n * config.rate_decay) * y
-        return let(k, lambda k: F.zip_with(p, x, lambda b, a: b + k * (a.cast("double") - y * b)))
+Rule = Callable[[np.ndarray, int, np.ndarray, float, LearningConfig], np.ndarray]
+
 
-    return let(dot(p, x), lambda y: normalize(moved(y)))
+def oja(p: np.ndarray, n: int, x: np.ndarray, importance: float, config: LearningConfig) -> np.ndarray:
+    """One step of Oja's rule on a prototype that has been updated ``n`` times, back to unit length."""
+    y = float(p @ x)
+    moved = p + importance * config.base_rate / (1 + n * config.rate_decay) * y * (x - y * p)
+    return moved / max(float(np.linalg.norm(moved)), 1e-12)
 
 
-Rule = Callable[[Column, Column, Column, Column, LearningConfig], Column]
+FOLDED = "proto_id int, _vec array<double>, _n bigint, _s double"
 
 
 def learn(vectors: DataFrame, protos: DataFrame, step: int = 0, config: LearningConfig = LearningConfig(), decay: bool = True, rule: Rule = oja) -> DataFrame:
     """``vectors(id, embedding[, importance])`` -> the new prototype table. ``rule`` makes the new vector of one update.
 
     Rows are assigned against the matrix before the batch and then fold, in order of id, into their prototype; updates of
-    different prototypes don't touch. Decay follows once.
+    different prototypes don't touch. Decay follows once. The rows of a prototype are streamed, so a popular one takes no
+    more memory than another.
     """
     rows = vectors if "importance" in vectors.columns else vectors.withColumn("importance", F.lit(1.0))
-    mine = nearest(rows, protos).select("id", "proto_id").join(rows.select("id", "embedding", "importance"), "id")
-    runs = mine.groupBy("proto_id").agg(F.sort_array(F.collect_list(F.struct("id", "embedding", "importance"))).alias("x"))
-    old = protos.join(runs, "proto_id", "left")
-    start = F.struct(F.transform("vec", lambda v: v.cast("double")).alias("v"), F.col("access_count").cast("bigint").alias("n"), F.col("strength").cast("double").alias("s"))
-    fold = F.aggregate("x", start, lambda a, r: F.struct(rule(a["v"], a["n"], r["embedding"], r["importance"].cast("double"), config).alias("v"), (a["n"] + 1).alias("n"), F.least(a["s"] + 1 / (1 + 0.2 * a["n"]), F.lit(config.max_strength)).alias("s")))
-    new = old.withColumn("f", F.coalesce(fold, start))
-    hit = F.col("x").isNotNull()
-    k = config.decay if decay else 1.0
-    return new.select("proto_id", scale(F.col("f.v"), k).alias("vec"), (F.col("f.s") * k).alias("strength"), F.col("f.n").alias("access_count"), F.when(hit & (F.col("created_step") < 0), F.lit(step)).otherwise(F.col("created_step")).alias("created_step"), F.when(hit, F.lit(step)).otherwise(F.col("last_access_step")).alias("last_access_step"))
+    mine = nearest(rows, protos).select("id", F.col("proto_id").cast("int").alias("proto_id")).join(rows.select("id", "embedding", "importance"), "id")
+    start = protos.select(F.col("proto_id").cast("int").alias("proto_id"), F.col("vec").cast("array<double>").alias("v"), F.col("access_count").cast("bigint").alias("n"), F.col("strength").cast("double").alias("s"))
+    ordered = mine.withColumn("first", F.lit(0)).select("proto_id", "first", "id", F.col("embedding").cast("array<double>").alias("v"), F.col("importance").cast("double").alias("s"), F.lit(0).cast("bigint").alias("n"))
+    # A prototype's own row opens its run.
+    opened = start.select("proto_id", F.lit(-1).alias("first"), F.lit(None).cast(mine.schema["id"].dataType).alias("id"), "v", "s", "n")
+    n_parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = ordered.unionByName(opened).repartition(n_parts, "proto_id").sortWithinPartitions("proto_id", "first", "id")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, now, state, hit = ["proto_id", "_vec", "_n", "_s"], None, None, False
+        for frame in frames:
+            done = []
+            for proto, first, v, s, n in zip(*(frame[c] for c in ("proto_id", "first", "v", "s", "n")), strict=True):
+                if first < 0:
+                    done += [(now, *state)] if hit else []
+                    now, state, hit = proto, (np.asarray(v, float), int(n), float(s)), False
+                    continue
+                p, count, strength = state
+                state = rule(p, count, np.asarray(v, float), float(s), config), count + 1, min(strength + 1 / (1 + 0.2 * count), config.max_strength)
+                hit = True
+            yield pd.DataFrame(done, columns=names)
+        if hit:
+            yield pd.DataFrame([(now, *state)], columns=names)
+
+    moved = runs.mapInPandas(fold, FOLDED)
+    new = protos.join(moved, "proto_id", "left")
+    hit, k = F.col("_n").isNotNull(), config.decay if decay else 1.0
+    vec = F.coalesce("_vec", F.col("vec").cast("array<double>"))
+    return new.select("proto_id", scale(vec, k).alias("vec"), (F.coalesce("_s", F.col("strength").cast("double")) * k).alias("strength"), F.coalesce("_n", F.col("access_count").cast("bigint")).alias("access_count"), F.when(hit & (F.col("created_step") < 0), F.lit(step)).otherwise(F.col("created_step")).alias("created_step"), F.when(hit, F.lit(step)).otherwise(F.col("last_access_step")).alias("last_access_step"))
 
 
 def decayed(protos: DataFrame, steps: int = 1, factor: float = 0.995) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memtide.functions.text import let, tokenize
 from memtide.functions.vec import cosine
+from memtide.operators.matrix import matrix_top
 from memtide.plans.lineage import cut
 
 
@@ -39,16 +40,21 @@ def vector_scores(queries: DataFrame, memories: DataFrame) -> DataFrame:
     return _union([memories.select("pos", "embedding").crossJoin(q).select("query_id", "pos", cosine(F.col("embedding"), F.col("_q")).alias("score")) for q in blocks])
 
 
-def bm25_scores(queries: DataFrame, memories: DataFrame, k1: float = 1.5, b: float = 0.75, idf_floor: float = 0.25) -> DataFrame:
+def vector_top(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
+    """The ``k`` memories with the largest cosine of every query; each batch of memories sends on ``k`` a query at most."""
+    return truncate(matrix_top(queries, memories, k), k)
+
+
+def bm25_scores(queries: DataFrame, memories: DataFrame, k1: float = 1.5, b: float = 0.75, idf_floor: float = 0.25, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
     """BM25 of ``queries(query_id, text)`` over ``memories(pos, text)``; rows that score nothing are left out.
 
     Only the queries' terms are looked up, so the vocabulary is never exploded or shuffled: a row keeps those of its tokens
     that some query has, one count per term leaves each task, and scores are made within the row. A term that a query
-    repeats counts as often. The marker '' counts rows and tokens in the same pass; no token is empty.
+    repeats counts as often; ``tokenizer`` makes an array of a text column. The marker '' counts rows and tokens in the same pass; no token is empty.
     """
-    q = queries.select("query_id", tokenize(F.col("text")).alias("q"))
+    q = queries.select("query_id", tokenizer(F.col("text")).alias("q"))
     terms = q.select(F.explode("q").alias("t")).agg(F.collect_set("t").alias("terms"))
-    docs = memories.select("pos", tokenize(F.col("text")).alias("t")).crossJoin(F.broadcast(terms))  # one row
+    docs = memories.select("pos", tokenizer(F.col("text")).alias("t")).crossJoin(F.broadcast(terms))  # one row
     docs = docs.select("pos", F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains("terms", x)).alias("t"))
     each = docs.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"), "dl").groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("s"))
     is_all = F.col("term") == ""
@@ -163,14 +169,27 @@ Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 Fusion = Callable[[Sequence[DataFrame]], DataFrame]
 
 
-def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig = RecallConfig(), scorers: Sequence[Scorer] = (vector_scores, bm25_scores), fuse: Fusion = reciprocal_rank_fusion) -> DataFrame:
+#: Scores of a query that are ranked in one task; longer rankings are dealt by ranges.
+RANKED_AT_ONCE = 1_000_000
+
+
+def rank_fusion(queries: DataFrame, memories: DataFrame) -> Fusion:
+    """Reciprocal rank fusion, whose rankings are dealt by ranges once they are long."""
+    n = memories.count()
+    if n <= RANKED_AT_ONCE:
+        return reciprocal_rank_fusion
+    parts = max(int(memories.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * queries.count() // RANKED_AT_ONCE)
+    return lambda rankings: reciprocal_rank_fusion(rankings, partitions=parts)
+
+
+def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig = RecallConfig(), scorers: Sequence[Scorer] = (vector_scores, bm25_scores), fuse: Fusion | None = None) -> DataFrame:
     """Hybrid recall of ``queries(query_id, text, embedding)`` over ``memories(pos, text, embedding, ...)``.
 
     ``lifecycle`` is a score over columns of ``memories``. Returns ``(query_id, rank, pos, score)``. Text and vectors are
     read by the scorers alone; only the candidates are joined back with theirs. Any function of queries and memories
-    that returns ``(query_id, pos, score)`` is a scorer, any of rankings a fusion.
+    that returns ``(query_id, pos, score)`` is a scorer, any of rankings a fusion; the default is :func:`rank_fusion`.
     """
-    fused = fuse([score(queries, memories) for score in scorers])
+    fused = (fuse or rank_fusion(queries, memories))([score(queries, memories) for score in scorers])
     fused = normalized(fused).where(F.col("score") >= config.min_score)
     few = truncate(fused, config.candidates)
     few = few.join(memories.select("pos", "embedding", lifecycle.alias("life")), "pos")

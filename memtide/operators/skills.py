@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate, chain, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -42,44 +44,49 @@ def looks_variable(token: Column) -> Column:
 _variable = re.compile(r"[0-9a-fA-F-]{4,}|\d+|.*[/\\].*", re.DOTALL).fullmatch
 
 
+def _literal(words: list[str], others: Iterable[list[str]]) -> set[int]:
+    """Places of ``words`` that lie in a matching block with every one of ``others``."""
+    places = set(range(len(words)))
+    for other in others:
+        blocks = SequenceMatcher(None, words, other).get_matching_blocks()
+        places.intersection_update(chain.from_iterable(range(b.a, b.a + b.size) for b in blocks))
+    return places
+
+
 def skeleton(commands: list[str]) -> tuple[str, str, float, int]:
     """Template, its literal part, the literal share of the mean length, and the number of slots.
 
-    Words of the first command that every other one shares, by ``difflib`` matching blocks, are literal; runs of the
-    others are slots named after their first word, or ``var`` if that looks like a value.
+    Literal are the words of the first command that all others share; a run of other words is a slot, numbered from the
+    second on, with the name of its first word, or ``var`` for a word that looks like a value. One command is all literal.
     """
-    if not commands:
-        return "", "", 0.0, 0
-    if len(commands) == 1:
-        return commands[0], commands[0], 1.0, 0
+    if len(commands) < 2:
+        only = "".join(commands)
+        return only, only, float(len(commands)), 0
     words = commands[0].split()
-    if not words:
-        return "", "", 0.0, 0
-    shared = set(range(len(words)))
-    for other in set(commands[1:]):
-        shared &= {b.a + i for b in SequenceMatcher(None, words, other.split()).get_matching_blocks() for i in range(b.size)}
-    out, slots = [], 0
-    for i, word in enumerate(words):
-        if i in shared:
-            out.append(word)
-        elif i == 0 or i - 1 in shared:
-            slots += 1
-            out.append("{" + ("var" if _variable(word) else word) + (str(slots) if slots > 1 else "") + "}")
-    fixed = " ".join(words[i] for i in sorted(shared))
-    mean = sum(map(len, commands)) / len(commands)
-    return " ".join(out), fixed, len(fixed) / mean if mean else 0.0, slots
+    literal = _literal(words, {tuple(c.split()): c.split() for c in commands[1:]}.values())
+    runs = [(fixed, [words[i] for i in places]) for fixed, places in groupby(range(len(words)), literal.__contains__)]
+    slots = accumulate(not fixed for fixed, _ in runs)
+    names = ["var" if _variable(run[0]) else run[0] for _, run in runs]
+    told = [" ".join(run) if fixed else f"{{{name}{slot if slot > 1 else ''}}}" for (fixed, run), name, slot in zip(runs, names, slots, strict=True)]
+    constant = " ".join(" ".join(run) for fixed, run in runs if fixed)
+    length = sum(map(len, commands))
+    return " ".join(told), constant, len(constant) * len(commands) / length if length else 0.0, sum(not fixed for fixed, _ in runs)
 
 
 def skeletons(commands: DataFrame, window: int = 50) -> DataFrame:
-    """``(cluster_key, event_id, command)`` -> one skeleton per cluster over its last ``window`` events."""
-    w = Window.partitionBy("cluster_key").orderBy(F.col("event_id").desc())
+    """``([workspace,] cluster_key, event_id, command)`` -> one skeleton per workspace and cluster over its last ``window``
+    events."""
+    keys = [c for c in ("workspace", "cluster_key") if c in commands.columns]
+    w = Window.partitionBy(*keys).orderBy(F.col("event_id").desc())
     last = commands.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= window)  # bounds every group
+    names = [*keys, "n", "template", "fixed_part", "fixed_ratio", "variable_count"]
 
     def of(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("event_id")["command"].tolist()
-        return pd.DataFrame([(key[0], len(ordered), *skeleton(ordered))], columns=["cluster_key", "n", "template", "fixed_part", "fixed_ratio", "variable_count"])
+        return pd.DataFrame([(*key, len(ordered), *skeleton(ordered))], columns=names)
 
-    return last.select("cluster_key", "event_id", "command").groupBy("cluster_key").applyInPandas(of, SKELETON_SCHEMA)
+    schema = ", ".join([*(f"{k} string" for k in keys if k != "cluster_key"), SKELETON_SCHEMA])
+    return last.select(*keys, "event_id", "command").groupBy(*keys).applyInPandas(of, schema)
 
 
 def frustration(n: Column, fixed_part: Column, fixed_ratio: Column, min_repetitions: int = 5) -> Column:
@@ -100,11 +107,12 @@ def ready_clusters(found: DataFrame, min_ratio: float = 0.6, threshold: float =
 
 
 def extract_skills(ready: DataFrame, now: Column) -> DataFrame:
-    """Skeletons -> new skills, keyed by cluster and version."""
+    """Skeletons -> new skills, keyed by workspace, if there is one, cluster and version."""
+    named = F.concat_ws("\n", *(c for c in ("workspace", "cluster_key") if c in ready.columns))
     alias = F.col("variable_count") == 0
     kind = F.when(alias, "alias").otherwise("workflow")
     return ready.select(
-        F.concat_ws("_", kind, F.sha2("cluster_key", 256).substr(1, 12)).alias("id"), kind.alias("type"), F.col("cluster_key").alias("name"), F.col("template").alias("trigger_pattern"),
+        F.concat_ws("_", kind, F.sha2(named, 256).substr(1, 12)).alias("id"), kind.alias("type"), F.col("cluster_key").alias("name"), F.col("template").alias("trigger_pattern"),
         F.when(alias, F.col("template")).alias("expansion"), F.when(~alias, F.col("template")).alias("template"), F.array().cast("array<string>").alias("required_context"), F.col("fixed_ratio").alias("confidence"),
         F.lit(0).alias("usage_count"), F.lit(0).alias("failure_count"), F.lit(1).alias("version"), F.lit(False).alias("deprecated"), now.cast("string").alias("created_at"), F.lit("").alias("last_used"),
     )
@@ -124,26 +132,40 @@ def match_templates(commands: DataFrame, skills: DataFrame) -> DataFrame:
     return commands.join(first, "event_id", "left")
 
 
+FOLDED = "confidence double, usage_count int, failure_count int, deprecated boolean"
+
+
 def confidence_fold(outcomes: DataFrame, start: float | DataFrame = 0.8) -> DataFrame:
     """``(skill_id, event_id, ok)`` -> confidence and counters after all outcomes in order, and whether the skill ends.
 
-    ``start`` is a confidence, or a table ``(id, confidence, usage_count, failure_count)`` to go on from.
+    ``start`` is a confidence, or a table ``(id, confidence, usage_count, failure_count)`` to go on from. Outcomes are
+    streamed in order, so a skill with very many takes no more memory than one with few.
     """
-    rows = outcomes.groupBy("skill_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "ok"))).alias("o"))
     if isinstance(start, DataFrame):
-        rows = rows.join(start.withColumnRenamed("id", "skill_id"), "skill_id")
-        first = F.struct(F.col("confidence").alias("c"), F.col("usage_count").cast("int").alias("u"), F.col("failure_count").cast("int").alias("f"), F.lit(False).alias("d"))
+        first = start.select(F.col("id").alias("skill_id"), F.col("confidence").cast("double").alias("c"), F.col("usage_count").cast("int").alias("u"), F.col("failure_count").cast("int").alias("f"))
+        rows = outcomes.select("skill_id", "event_id", "ok").join(first, "skill_id")
     else:
-        first = F.struct(F.lit(start).alias("c"), F.lit(0).alias("u"), F.lit(0).alias("f"), F.lit(False).alias("d"))
-
-    def step(a: Column, x: Column) -> Column:
-        ok = x["ok"]
-        c = F.when(ok, F.least(F.lit(1.0), 0.9 * a["c"] + 0.1)).otherwise(F.greatest(F.lit(0.0), 0.95 * a["c"] - 0.05))
-        u, f = a["u"] + ok.cast("int"), a["f"] + (~ok).cast("int")
-        return F.struct(c.alias("c"), u.alias("u"), f.alias("f"), (a["d"] | (f >= 5) | ((u >= 5) & (c < 0.5))).alias("d"))
-
-    done = rows.select("skill_id", F.aggregate("o", first, step).alias("a"))
-    return done.select("skill_id", F.col("a.c").alias("confidence"), F.col("a.u").alias("usage_count"), F.col("a.f").alias("failure_count"), F.col("a.d").alias("deprecated"))
+        rows = outcomes.select("skill_id", "event_id", "ok", F.lit(float(start)).alias("c"), F.lit(0).alias("u"), F.lit(0).alias("f"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, names = None, None, ["skill_id", *(c.split()[0] for c in FOLDED.split(", "))]
+        for frame in frames:
+            done = []
+            for skill, ok, c, u, f in zip(*(frame[k] for k in ("skill_id", "ok", "c", "u", "f")), strict=True):
+                if state is None or skill != now:
+                    done += [(now, *state)] if state is not None else []
+                    now, state = skill, (c, u, f, False)
+                c, u, f, ended = state
+                c = min(1.0, 0.9 * c + 0.1) if ok else max(0.0, 0.95 * c - 0.05)
+                u, f = u + bool(ok), f + (not ok)
+                state = c, u, f, ended or f >= 5 or (u >= 5 and c < 0.5)
+            yield pd.DataFrame(done, columns=names)
+        if state is not None:
+            yield pd.DataFrame([(now, *state)], columns=names)
+
+    n = int(outcomes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = rows.schema["skill_id"].dataType.simpleString()
+    return rows.where("skill_id is not null and ok is not null").repartition(n, "skill_id").sortWithinPartitions("skill_id", "event_id", "ok").mapInPandas(fold, f"skill_id {kind}, {FOLDED}")
 
 
 def validate(events: DataFrame, skills: DataFrame) -> DataFrame:

@@ -23,7 +23,17 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read from there."""
     path = f"{shared_folder(df.sparkSession)}/memtide/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._memtide_cut = path
+    return out
+
+
+def uncut(df: DataFrame) -> None:
+    """Delete a table that :func:`cut` made and that nothing will read again."""
+    path = getattr(df, "_memtide_cut", None)
+    if path:
+        target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def drain(stream: DataFrame, mode: str = "update") -> DataFrame:

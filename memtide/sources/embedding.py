@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -32,22 +33,48 @@ class HashEngine:
         return out / np.maximum(1e-12, np.linalg.norm(out, axis=1, keepdims=True))
 
 
+class TooLong(ValueError):
+    """The server refuses a text, or a batch, for its size."""
+
+
 class HttpEngine:
-    """A server that answers ``{"input": [...]}`` with vectors. Texts too long for it are halved and their means taken."""
+    """A server that answers ``{"input": [...]}`` with vectors, one request a batch.
+
+    If it refuses a batch for its size the texts go one by one, and one too long is halved and the means are taken.
+    ``api_key``, or the environment variable named ``key_variable``, goes along as a bearer token.
+    """
 
-    def __init__(self, url: str, model: str, parse: Callable[[dict], list[list[float]]], timeout: float = 60.0) -> None:
-        self.url, self.model, self.parse, self.timeout = url, model, parse, timeout
+    def __init__(self, url: str, model: str, parse: Callable[[dict], list[list[float]]], timeout: float = 60.0, api_key: str | None = None, key_variable: str | None = None, batch: int = 128) -> None:
+        self.url, self.model, self.parse, self.timeout, self.batch = url, model, parse, timeout, batch
+        self.api_key, self.key_variable = api_key, key_variable
 
     def _post(self, texts: Sequence[str]) -> np.ndarray:
         import json
+        import os
+        import urllib.error
         import urllib.request
 
-        request = urllib.request.Request(self.url, json.dumps({"model": self.model, "input": list(texts)}).encode(), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-            return np.array(self.parse(json.load(answer)), float)
+        key = self.api_key or os.environ.get(self.key_variable or "", "")
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        request = urllib.request.Request(self.url, json.dumps({"model": self.model, "input": list(texts)}).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                return np.array(self.parse(json.load(answer)), float)
+        except urllib.error.HTTPError as error:
+            said = error.read(2000).decode(errors="replace")
+            if error.code == 413 or re.search("too (?:large|long)|maximum context|context (?:length|size)|exceed", said, re.IGNORECASE):
+                raise TooLong(f"{error.code}: {said}") from error
+            raise
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
-        return np.stack([halving(lambda t: self._post([t])[0], t) for t in texts]) if texts else np.zeros((0, 0))
+        parts = []
+        for at in range(0, len(texts), self.batch):
+            some = list(texts[at : at + self.batch])
+            try:
+                parts.append(self._post(some))
+            except TooLong:
+                parts.append(np.stack([halving(lambda t: self._post([t])[0], t) for t in some]))
+        return np.concatenate(parts) if parts else np.zeros((0, 0))
 
 
 def halving(encode_one: Callable[[str], np.ndarray], text: str, least: int = 64) -> np.ndarray:
@@ -61,6 +88,10 @@ def halving(encode_one: Callable[[str], np.ndarray], text: str, least: int = 64)
         return (halving(encode_one, text[:half], least) + halving(encode_one, text[half:], least)) / 2
 
 
+def _data(answer: dict) -> list[list[float]]:
+    return [row["embedding"] for row in answer["data"]]
+
+
 def _sentence_transformer(model: str = "all-MiniLM-L6-v2", **_: object) -> Engine:
     from sentence_transformers import SentenceTransformer  # optional
 
@@ -69,9 +100,9 @@ def _sentence_transformer(model: str = "all-MiniLM-L6-v2", **_: object) -> Engin
 
 BACKENDS: dict[str, Callable[..., Engine]] = {
     "hash": lambda dim=64, **_: HashEngine(dim),
-    "llama-server": lambda url, model="default", **_: HttpEngine(url, model, lambda r: [d["embedding"] for d in r["data"]]),
-    "deepseek": lambda url, model="default", **_: HttpEngine(url, model, lambda r: [d["embedding"] for d in r["data"]]),
-    "ollama": lambda url, model="default", **_: HttpEngine(url, model, lambda r: r["embeddings"]),
+    "llama-server": lambda url, model="default", **o: HttpEngine(url, model, _data, **o),
+    "deepseek": lambda url, model="default", **o: HttpEngine(url, model, _data, **{"key_variable": "DEEPSEEK_API_KEY"} | o),
+    "ollama": lambda url, model="default", **o: HttpEngine(url, model, lambda r: r["embeddings"], **o),
     "sentence-transformers": _sentence_transformer,
 }
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
+from collections.abc import Callable
+from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memtide.functions.lifecycle import memory_key
+from memtide.functions.vec import norm
+from memtide.plans.lineage import cut
+from memtide.plans.ranks import numbered
 from memtide.sources import schemas
 
 _NAME = re.compile(r"[a-zA-Z0-9_-]+").fullmatch
@@ -29,11 +36,15 @@ def sandboxed(root: str, relative: str) -> str:
 
 
 def merge_memories(disk: DataFrame, memory: DataFrame) -> DataFrame:
-    """Ordered union by text and time of creation: rows on disk win, positions are dealt anew in order."""
+    """Ordered union by text and time of creation: rows on disk win and keep their positions; new rows, in their order,
+    get the positions after the largest on disk."""
     both = disk.withColumn("_src", F.lit(0)).unionByName(memory.withColumn("_src", F.lit(1)))
     first = Window.partitionBy(memory_key(F.col("text"), F.col("created_at").cast("string"))).orderBy("_src", "pos")
-    kept = both.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return kept.drop("_n").withColumn("pos", F.col("pos") + F.col("_src") * (F.lit(1).cast("bigint") * (1 << 40))).drop("_src")
+    kept = both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    new = numbered(kept.where("_src = 1").drop("_src"), "_at", "pos", F.xxhash64("text"))
+    end = disk.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("_end"))  # one row
+    new = new.crossJoin(F.broadcast(end)).withColumn("pos", F.col("_end") + F.col("_at")).select(*disk.columns)
+    return kept.where("_src = 0").select(*disk.columns).unionByName(new)
 
 
 def bounded(memories: DataFrame, most: int = 10_000, by: str = "workspace") -> DataFrame:
@@ -42,6 +53,14 @@ def bounded(memories: DataFrame, most: int = 10_000, by: str = "workspace") -> D
     return memories.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most).drop("_n")
 
 
+def update_skills(old: DataFrame, new: DataFrame) -> DataFrame:
+    """As :func:`upsert_skills`, for skills that must be there: an id that is not is an error."""
+    absent = [r["id"] for r in new.join(old.select("id"), "id", "left_anti").select("id").limit(5).collect()]
+    if absent:
+        raise KeyError(f"no skill {absent[0]!r}" if len(absent) == 1 else f"no skills {absent}")
+    return upsert_skills(old, new)
+
+
 def upsert_skills(old: DataFrame, new: DataFrame) -> DataFrame:
     """Skills of ``new`` replace those with the same id and go to the end; creation times stay."""
     born = old.select("id", F.col("created_at").alias("_born"))
@@ -54,10 +73,36 @@ def deprecate_skills(skills: DataFrame, ids: DataFrame) -> DataFrame:
     return skills.join(gone, "id", "left").withColumn("deprecated", F.col("deprecated") | F.coalesce("_gone", F.lit(False))).select(*skills.columns)
 
 
+class Repository(Protocol):
+    """What the facade needs of a store: tables by name, and snapshots of all of them."""
+
+    def read(self, table: str) -> DataFrame: ...
+
+    def write(self, table: str, df: DataFrame) -> None: ...
+
+    def merge(self, memories: DataFrame) -> None: ...
+
+    def recover(self) -> dict[str, str]: ...
+
+    def step(self) -> int: ...
+
+    def set_step(self, value: int) -> None: ...
+
+    def checkpoint(self, name: str) -> str: ...
+
+    def checkpoints(self) -> list[str]: ...
+
+    def restore(self, name: str) -> None: ...
+
+    def forget(self) -> None: ...
+
+    def status(self) -> dict[str, object]: ...
+
+
 class Store:
-    """Tables of a workspace under one root. A write makes a new version and then points the manifest at it."""
+    """Tables of a workspace under one root. A write makes a new version and then a new manifest that points at it."""
 
-    TABLES = {"memories": schemas.MEMORY, "prototypes": schemas.PROTOTYPE, "skills": schemas.SKILL, "transitions": schemas.EDGE, "events": schemas.EVENT}
+    TABLES = {"memories": schemas.MEMORY, "prototypes": schemas.PROTOTYPE, "skills": schemas.SKILL, "transitions": schemas.EDGE, "events": schemas.EVENT, "counters": schemas.COUNTER}
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -65,26 +110,64 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _manifest(self, name: str) -> str:
+    def _folder(self, name: str) -> str:
         return sandboxed(self.root, f"_manifests/{valid_name(name)}")
 
+    def _latest(self, name: str) -> tuple[int, dict[str, str]]:
+        """The number and the pointers of the newest manifest that can be read; number 0 if there is none.
+
+        A manifest is a file of its own, so a writer that dies half-way leaves the one before in force.
+        """
+        folder = self._path(self._folder(name))
+        found = [s.getPath() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        numbers = sorted((int(p.getName()) for p in found if p.getName().isdigit()), reverse=True)
+        for number in numbers:
+            rows = self.spark.read.text(f"{self._folder(name)}/{number:012d}", wholetext=True).collect()  # a few hundred bytes
+            try:
+                pointers = json.loads(rows[0]["value"]) if rows else None
+            except ValueError:
+                pointers = None
+            if isinstance(pointers, dict):
+                return numbers[0], pointers
+        return numbers[0] if numbers else 0, {}
+
     def _pointers(self, name: str) -> dict[str, str]:
-        target = self._manifest(name)
-        if not self._fs.exists(self._path(target)):
-            return {}
-        rows = self.spark.read.schema("table string, version string").json(target).where("table is not null").collect()  # a row a table
-        return {r["table"]: r["version"] for r in rows}
-
-    def _point(self, name: str, pointers: dict[str, str]) -> None:
-        target, fresh = self._manifest(name), f"{self._manifest(name)}.{uuid.uuid4().hex}"
-        self.spark.createDataFrame(sorted(pointers.items()), "table string, version string").coalesce(1).write.json(fresh)
-        self._fs.delete(self._path(target), True)
-        self._fs.rename(self._path(fresh), self._path(target))
+        return self._latest(name)[1]
+
+    def _point(self, name: str, pointers: dict[str, str], after: int | None = None) -> bool:
+        """Write the manifest that follows number ``after``; False if another writer was first."""
+        number = (self._latest(name)[0] if after is None else after) + 1
+        try:
+            out = self._fs.create(self._path(f"{self._folder(name)}/{number:012d}"), False)
+        except Py4JJavaError as error:
+            if "already exists" in str(error.java_exception):
+                return False
+            raise
+        out.write(bytearray(json.dumps(pointers, sort_keys=True).encode()))
+        out.close()
+        return True
+
+    def _change(self, table: str, make: Callable[[dict[str, str]], DataFrame], tries: int = 20) -> None:
+        """Write ``make(pointers)`` as the new version of a table; made anew when another writer was first."""
+        for _ in range(tries):
+            number, pointers = self._latest("current")
+            version = uuid.uuid4().hex
+            make(pointers).write.parquet(sandboxed(self.root, f"{table}/{version}"))
+            while True:
+                if self._point("current", pointers | {table: version}, number):
+                    return
+                number, now = self._latest("current")
+                if now.get(table) != pointers.get(table):
+                    break  # the table itself was changed meanwhile
+                pointers = now
+        raise RuntimeError(f"{table}: other writers were first {tries} times")
 
     def read(self, table: str, name: str = "current") -> DataFrame:
-        """The current version; an empty table where there is none or its files can't be read."""
-        version = self._pointers(name).get(table)
-        schema = self.TABLES[table]
+        """The current version; an empty table where there is none."""
+        return self._read(table, self._pointers(name))
+
+    def _read(self, table: str, pointers: dict[str, str]) -> DataFrame:
+        version, schema = pointers.get(table), self.TABLES[table]
         path = version and sandboxed(self.root, f"{table}/{version}")
         if not path or not self._fs.exists(self._path(path)):
             return self.spark.createDataFrame([], schema)
@@ -94,18 +177,33 @@ class Store:
             raise ValueError(f"{table} lacks {sorted(missing)}")
         return found
 
+    def recover(self) -> dict[str, str]:
+        """Reset tables whose files can't be read to empty ones; what failed, by table. The others stay as they are."""
+        errors = {}
+        for table in self.TABLES:
+            try:
+                self.read(table).count()
+            except Exception as error:  # noqa: BLE001  whatever the reader says of broken files
+                errors[table] = f"{type(error).__name__}: {str(error).splitlines()[0][:300]}"
+                self.write(table, self.spark.createDataFrame([], self.TABLES[table]))
+        return errors
+
     def write(self, table: str, df: DataFrame) -> None:
         version = uuid.uuid4().hex
         df.write.parquet(sandboxed(self.root, f"{table}/{version}"))
-        self._point("current", self._pointers("current") | {table: version})
+        while True:
+            number, pointers = self._latest("current")
+            if self._point("current", pointers | {table: version}, number):
+                return
 
     def merge(self, memories: DataFrame, most: int = 10_000) -> None:
         """Read, merge, bound and write: rows that another writer has stored meanwhile stay."""
-        merged = merge_memories(self.read("memories"), memories)
-        self.write("memories", bounded(merged.withColumn("workspace", F.lit(0)), most).drop("workspace"))
+        new = cut(memories)
+        self._change("memories", lambda now: merge_memories(self._read("memories", now), new).orderBy(F.col("pos").desc()).limit(most))
 
     def checkpoint(self, name: str) -> str:
-        self._point(valid_name(name), self._pointers("current"))
+        while not self._point(valid_name(name), self._pointers("current")):
+            pass
         return name
 
     def checkpoints(self) -> list[str]:
@@ -118,15 +216,27 @@ class Store:
         """Back to a checkpoint; tables it lacks become empty."""
         if name not in self.checkpoints():
             raise FileNotFoundError(f"no checkpoint {name!r}; there are {self.checkpoints()}")
-        self._point("current", self._pointers(name))
+        while not self._point("current", self._pointers(name)):
+            pass
 
     def forget(self) -> None:
         """Empty memories and prototypes; what was stored does not come back."""
         for table in ("memories", "prototypes"):
             self.write(table, self.spark.createDataFrame([], self.TABLES[table]))
 
+    def step(self) -> int:
+        """How many times the prototypes have learned."""
+        return self.read("counters").where("name = 'step'").agg(F.coalesce(F.sum("value"), F.lit(0))).first()[0]
+
+    def set_step(self, value: int) -> None:
+        rest = self.read("counters").where("name <> 'step'")
+        self.write("counters", rest.unionByName(self.spark.createDataFrame([("step", value)], schemas.COUNTER)))
+
     def status(self) -> dict[str, object]:
-        return {"memory_count": self.read("memories").count(), "prototypes": self.read("prototypes").count(), "skills": self.read("skills").count(), "checkpoints": self.checkpoints()}
+        """Counts, the share of prototypes in use, the step and the checkpoints in order of their names."""
+        protos = self.read("prototypes")
+        used = protos.agg(F.avg((norm(F.col("vec")) > 0.03).cast("double"))).first()[0]
+        return {"workspace": self.root, "memory_count": self.read("memories").count(), "prototypes": protos.count(), "capacity_usage": used or 0.0, "skills": self.read("skills").count(), "step": self.step(), "checkpoints": self.checkpoints()}
 
     def export_json(self, path: str) -> None:
         self.read("memories").write.mode("overwrite").json(path)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from memtide.functions.redact import redact
 from memtide.operators import gate, skills
 from memtide.operators.filtering import decide
-from memtide.plans.lineage import cut
+from memtide.plans.lineage import cut, uncut
 from memtide.sources.store import Store, bounded, upsert_skills
 
 TRACKED = "workspace string, event_id bigint, cluster_key string, repeat_count bigint, template string, fixed_part string, fixed_ratio double, frustration double, ready boolean"
@@ -51,8 +51,9 @@ class Tracker(StatefulProcessor):
         for event in sorted((e for frame in rows for e in frame.itertuples()), key=lambda e: e.event_id):
             last = [*last, (int(event.event_id), event.cluster_key, event.command)][-self.window :]
             same = [c for _, k, c in last if k == event.cluster_key]
-            template, fixed, ratio, _ = skills.skeleton(same)
-            score = max(0, len(same) - self.least) * len(fixed) * ratio if len(same) >= self.least else 0.0
+            # Below the least repetitions nothing can be ready, and no skeleton is made.
+            template, fixed, ratio, _ = skills.skeleton(same) if len(same) >= self.least else ("", "", 0.0, 0)
+            score = max(0, len(same) - self.least) * len(fixed) * ratio
             ready = ratio >= self.min_ratio and score >= self.threshold
             out.append((key[0], int(event.event_id), event.cluster_key, len(same), template, fixed, float(ratio), float(score), ready))
             if ready:
@@ -115,28 +116,40 @@ def route(events: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> D
     return events.writeStream.foreachBatch(batch)
 
 
-def mine_skills(events: DataFrame, tables: Store, window: int = 50, now: str = "1970-01-01T00:00:00") -> DataStreamWriter:
+def mine_skills(events: DataFrame, tables: Store, window: int = 50, now: str = "1970-01-01T00:00:00", inject: Callable[[str], None] | None = None) -> DataStreamWriter:
     """Tool events ``(event_id, workspace, tool, command, ok)`` -> the store's skills, batch by batch.
 
     Commands are redacted and kept, the last ``window`` of each workspace. Clusters that are ready become skills and are
     forgotten; outcomes of safe commands change the confidence of the skill they fit; skills whose cluster has another
-    template by now get a new version.
+    template by now get a new version. Clusters are those of one workspace. ``inject`` gets the block of active skills
+    that goes into an agent's context.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        new = cut(df.withColumn("command", redact(F.col("command"))).select("event_id", "workspace", "tool", "command", "ok"))
-        last = tables.read("events").unionByName(new).withColumn("pos", F.col("event_id"))
-        last = cut(bounded(last, window).drop("pos").withColumn("cluster_key", skills.cluster_key(F.col("tool"), F.col("command"))))
-        found = cut(skills.skeletons(last, window))
-        ready = cut(skills.ready_clusters(found))
-        known = cut(tables.read("skills"))
+        made = []
+
+        def kept(table: DataFrame) -> DataFrame:
+            made.append(cut(table))
+            return made[-1]
+
+        by = ["workspace", "cluster_key"]
+        new = kept(df.withColumn("command", redact(F.col("command"))).select("event_id", "workspace", "tool", "command", "ok"))
+        last = tables.read("events").join(new.select("event_id", "workspace"), ["event_id", "workspace"], "left_anti").select(*new.columns).unionByName(new)  # a batch may come twice
+        last = kept(bounded(last.withColumn("pos", F.col("event_id")), window).drop("pos").withColumn("cluster_key", skills.cluster_key(F.col("tool"), F.col("command"))))
+        found = kept(skills.skeletons(last, window))
+        ready = kept(skills.ready_clusters(found))
+        known = kept(tables.read("skills"))
         fresh = skills.extract_skills(ready, F.lit(now)).join(known.select("id"), "id", "left_anti").select(*known.columns)
-        outcomes = cut(skills.validate(new, known.withColumn("position", F.monotonically_increasing_id())))
+        outcomes = kept(skills.validate(new, known.withColumn("position", F.monotonically_increasing_id())))
         start = known.join(outcomes.select(F.col("skill_id").alias("id")).distinct(), "id", "left_semi")
         folded = skills.confidence_fold(outcomes, start=known.select("id", "confidence", "usage_count", "failure_count")).withColumnRenamed("skill_id", "id")
         changed = start.drop("confidence", "usage_count", "failure_count", "deprecated").join(folded, "id").withColumn("last_used", F.lit(now)).select(*known.columns)
         revised = skills.revise(known.where(~F.col("deprecated")), found).select(*known.columns).join(known.select("id"), "id", "left_anti").select(*known.columns)
         tables.write("skills", upsert_skills(known, changed).unionByName(fresh).unionByName(revised))
-        tables.write("events", last.join(ready.select("cluster_key"), "cluster_key", "left_anti").select("event_id", "workspace", "tool", "command", "ok"))
+        tables.write("events", last.join(ready.select(*by), by, "left_anti").select("event_id", "workspace", "tool", "command", "ok"))
+        if inject is not None:
+            inject(skills.format_skills(skills.select_skills(tables.read("skills"))).first()["formatted"])
+        for table in made:
+            uncut(table)
 
     return events.writeStream.foreachBatch(batch)

@@ -24,7 +24,7 @@ def test_more_queries_than_a_block_score_the_same(spark, monkeypatch) -> None:
 
 @pytest.mark.skipif(not DATA.is_dir(), reason="no driver tables")
 def test_all_vectors_are_asked_and_searched(spark) -> None:
-    out = QUERIES["vector_topk_all"](spark, str(DATA)).collect()
+    out = QUERIES["vector_topk"](spark, str(DATA)).collect()
     ids = {r["vec_id"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()}
     asked = {i for i in ids if i % 50 == 0}
     assert {r["query_id"] for r in out} == asked and len(out) == 10 * len(asked)

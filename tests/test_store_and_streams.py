@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memtide.engine import MemoryEngine
 from memtide.operators import markov
-from memtide.sources import embedding, readers, store
+from memtide.sources import embedding, readers, schemas, store
 from memtide.streaming import jobs
 
 
@@ -23,13 +23,13 @@ def test_engine_round_trip(spark, tmp_path) -> None:
     found = engine.recall(["We decided to use Spark for the backend"], now=datetime(2024, 1, 2)).orderBy("rank").collect()
     assert found[0]["text"].startswith("We decided")
     engine.checkpoint("one")
-    assert engine.consolidate(step=1).first()["updated"] == 3
+    assert engine.consolidate().first()["updated"] == 3 and engine.status()["step"] == 1
     engine.touch(engine.tables.read("memories").select("pos"))
     assert {r["lifecycle"]["access_count"] for r in engine.tables.read("memories").collect()} == {1}
     engine.forget()
     assert engine.status()["memory_count"] == 0
     engine.restore("one")
-    assert engine.status() == {"memory_count": 3, "prototypes": 0, "skills": 0, "checkpoints": ["one"]}
+    assert engine.status() == {"workspace": f"file://{tmp_path}/ws", "memory_count": 3, "prototypes": 0, "capacity_usage": 0.0, "prototype_capacity": 4, "skills": 0, "step": 0, "checkpoints": ["one"], "load_errors": []}
     assert engine.listing().first()["memory_count"] == 3
     with pytest.raises(FileNotFoundError):
         engine.restore("two")
@@ -40,6 +40,94 @@ def test_engine_round_trip(spark, tmp_path) -> None:
         store.sandboxed("/r", "../x")
 
 
+def test_positions_stay_unique_over_stores(spark, tmp_path) -> None:
+    engine = MemoryEngine(spark, f"file://{tmp_path}/ws", embedding.HashEngine, n_prototypes=4)
+    told = ["We decided to use Spark for the backend", "The port of the service is 8080", "The team prefers small commits", "Backups run every night at two"]
+    for day, text in enumerate(told):
+        assert engine.store(spark.createDataFrame([(0, text)], "pos bigint, text string"), datetime(2024, 1, 1 + day)) == 1
+    rows = engine.tables.read("memories").orderBy("pos").collect()
+    assert [(r["pos"], r["text"]) for r in rows] == list(enumerate(told))
+    found = engine.recall([told[2]], now=datetime(2024, 1, 9)).orderBy("rank").collect()
+    assert [r["rank"] for r in found] == list(range(1, len(found) + 1)) and len({r["text"] for r in found}) == len(found) and found[0]["text"] == told[2]
+    engine.touch(spark.createDataFrame([(1,)], "pos bigint"))
+    assert [r["lifecycle"]["access_count"] for r in engine.tables.read("memories").orderBy("pos").collect()] == [0, 1, 0, 0]
+
+
+def test_processed_items_are_learned(spark, tmp_path) -> None:
+    engine = MemoryEngine(spark, f"file://{tmp_path}/ws", embedding.HashEngine, n_prototypes=4, prediction=markov.FirstOrder(4))
+    items = spark.createDataFrame([(0, "We decided to use Spark for the backend"), (1, "The port of the service is 8080"), (2, "")], "pos bigint, text string")
+    assert engine.process(items, datetime(2024, 1, 1)) == 2
+    assert engine.process(items, datetime(2024, 1, 1)) == 0  # a batch that comes again
+    status = engine.status()
+    assert (status["memory_count"], status["step"], status["prototypes"]) == (2, 1, 2) and status["capacity_usage"] == 1.0
+    assert engine.tables.read("transitions").agg(F.sum("cnt")).first()[0] == 1
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(5, "A third memory that is of another kind")], "pos bigint, text string").write.json(f"{tmp_path}/in/a")
+    stream = spark.readStream.schema("pos bigint, text string").json(f"{tmp_path}/in/*")
+    engine.store_queue(stream).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert engine.status()["memory_count"] == 3 and engine.status()["step"] == 2
+
+
+def test_manifests_outlive_crashes_and_other_writers(spark, tmp_path) -> None:
+    root = f"{tmp_path}/ws"
+    one, two = store.Store(spark, f"file://{root}"), store.Store(spark, f"file://{root}")
+    row = lambda i, t: spark.createDataFrame([(i, t)], "pos bigint, text string").selectExpr("pos", "text", "array(1.0d) as embedding", "timestamp_ntz'2024-01-01 00:00:00' as created_at", f"cast(null as {schemas.MESSAGE}) as source", f"cast(null as {schemas.LIFECYCLE}) as lifecycle", "cast(null as map<string,string>) as metadata")
+    one.merge(row(0, "a"))
+    (tmp_path / "ws/_manifests/current/000000000009").write_text('{"memories": "brok')  # a writer died half-way
+    assert [r["text"] for r in two.read("memories").collect()] == ["a"]
+    two.merge(row(0, "b"))
+    assert sorted((r["pos"], r["text"]) for r in one.read("memories").collect()) == [(0, "a"), (1, "b")]
+    number, pointers = one._latest("current")
+    assert one._point("current", pointers, number) and not two._point("current", pointers, number)
+    made = []
+
+    def late(now: dict) -> object:
+        if not made:
+            made.append(1)
+            two.merge(row(0, "c"))  # another writer is first
+        return store.merge_memories(one._read("memories", now), row(0, "d"))
+
+    one._change("memories", late)
+    assert sorted((r["pos"], r["text"]) for r in one.read("memories").collect()) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    version = one._pointers("current")["memories"]
+    for file in (tmp_path / "ws/memories" / version).glob("*.parquet"):
+        file.write_bytes(b"not parquet")
+    errors = two.recover()
+    assert set(errors) == {"memories"} and one.read("memories").count() == 0
+    with pytest.raises(KeyError):
+        store.update_skills(one.read("skills"), spark.createDataFrame([["no"] + [None] * 13], schemas.SKILL))
+
+
+def test_http_engine(monkeypatch) -> None:
+    import io
+    import urllib.error
+    import urllib.request
+
+    asked = []
+
+    def answer(request, timeout):
+        texts = json.loads(request.data)["input"]
+        asked.append((len(texts), request.headers.get("Authorization")))
+        if any(len(t) > 200 for t in texts):
+            raise urllib.error.HTTPError("u", 400, "bad", {}, io.BytesIO(b'{"error": "input exceeds the maximum context length"}'))
+        return io.BytesIO(json.dumps({"data": [{"embedding": [float(len(t)), 1.0]} for t in texts]}).encode())
+
+    monkeypatch.setattr(urllib.request, "urlopen", answer)
+    monkeypatch.setenv("DEEPSEEK_API_KEY", "k")
+    engine = embedding.create_engine("deepseek", url="http://x", batch=3)
+    assert engine.encode(["a", "bb", "ccc", "dddd"]).tolist() == [[1, 1], [2, 1], [3, 1], [4, 1]]
+    assert asked == [(3, "Bearer k"), (1, "Bearer k")]
+    assert engine.encode(["x" * 400, "y"]).tolist() == [[200, 1], [1, 1]]
+    assert embedding.create_engine("llama-server", url="http://x").encode([]).shape == (0, 0)
+
+    def refused(request, timeout):
+        raise urllib.error.HTTPError("u", 401, "no", {}, io.BytesIO(b"key"))
+
+    monkeypatch.setattr(urllib.request, "urlopen", refused)
+    with pytest.raises(urllib.error.HTTPError):
+        engine.encode(["a" * 300])
+
+
 def test_readers(spark, tmp_path) -> None:
     (tmp_path / "t.jsonl").write_text("\n".join([json.dumps({"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "hi"}]}}), "{bad", "", json.dumps({"type": "message", "role": "system", "content": [{"type": "input_text", "text": "no"}]}), json.dumps({"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "a"}, {"type": "image"}, {"type": "output_text", "text": "b"}]})]))
     assert [(r["role"], r["content"]) for r in readers.transcript(spark, str(tmp_path / "t.jsonl")).collect()] == [("user", "hi"), ("assistant", "a\nb")]

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from memtide.catalog import ORACLES, QUERIES
+from memtide.catalog_stores import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

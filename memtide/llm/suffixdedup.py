@@ -9,7 +9,8 @@ Only windows of ``length`` bytes that two documents share can matter, so suffixe
    windows have equal anchors. A block sends each distinct anchor hash once, in four bytes, to the hash's bucket, and
    learns by one bit whether another document has it.
 4. A block sends the windows of its shared anchors, as byte strings around the anchor, with the smallest doc_id that has
-   them. Anchors that very many blocks share send single windows, dealt by the window's own hash instead.
+   them. The windows of anchors that very many blocks share are rows of their own, reduced to their smallest doc_id by a
+   grouped aggregation, so that a passage of all documents gathers nowhere.
 5. A bucket sorts the suffixes of its strings: 8-byte grams give the first buckets, and each refinement sorts on a
    suffix's bucket and on the bucket of the suffix 8, 16, then ``length - 32`` bytes on, reusing the refined buckets.
    Suffixes alone in their bucket are settled. A last bucket is one distinct window, and its smallest doc_id settles
@@ -42,8 +43,10 @@ PARTS = 8
 BLOCK_DOCS = 16384
 #: A chunk ends, on average, at every such anchor.
 CHUNK_RUNS = 64
-#: An anchor that so many blocks share is dealt by single windows.
+#: The windows of an anchor that so many blocks share are aggregated one by one.
 HOT_BLOCKS = 512
+#: Stands for the bucket of such windows.
+HOT = -2
 NO_ID = np.iinfo(np.int64).max
 _POS = np.uint64((1 << 28) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -109,7 +112,7 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nda
     return first, last, doc, hashes_at(data, at[first].astype(np.int64), GRAM)
 
 
-def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     part, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
     def block() -> pa.RecordBatch:
@@ -119,7 +122,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = text.as_py() or b""
-            if ids and (size + len(data) > BLOCK_BYTES or len(ids) >= BLOCK_DOCS):
+            if ids and (size + len(data) > block_bytes or len(ids) >= BLOCK_DOCS):
                 yield block()
                 seq, ids, texts, size = seq + 1, [], [], 0
             ids.append(NO_ID if doc_id is None else doc_id)
@@ -237,7 +240,7 @@ def _shared_chunks(blobs: pd.Series) -> list[np.ndarray]:
     return [np.array([least.get(d, NO_ID) < doc for d, doc in zip(ds, own, strict=True)], bool) for ds, own in zip(digests, docs, strict=True)]
 
 
-def _shared_anchors(blobs: pd.DataFrame) -> pd.DataFrame:
+def _shared_anchors(blobs: pd.DataFrame, hot_blocks: int = HOT_BLOCKS) -> pd.DataFrame:
     """A bucket's anchors of all blocks -> per block two bits each: another document has it, very many blocks have it.
 
     And a bit for each chunk.
@@ -246,7 +249,7 @@ def _shared_anchors(blobs: pd.DataFrame) -> pd.DataFrame:
     many = [np.frombuffer(x, np.uint8) for x in blobs["many"]]
     _, of, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     twice = np.bincount(of, weights=np.concatenate([np.unpackbits(m, count=len(p)) for m, p in zip(many, parts, strict=True)]), minlength=len(n)) > 0
-    code = ((n > 1) | twice).astype(np.uint8) + (n >= HOT_BLOCKS).astype(np.uint8)
+    code = ((n > 1) | twice).astype(np.uint8) + (n >= hot_blocks).astype(np.uint8)
     out, at = [], 0
     for block, bucket, part, chunks in zip(blobs["block"], blobs["bucket"], parts, _shared_chunks(blobs["chunks"]), strict=True):
         mine = code[of[at : at + len(part)]]
@@ -256,8 +259,9 @@ def _shared_anchors(blobs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "bucket", "data", "chunks"])
 
 
-def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buckets: int) -> list[tuple]:
-    """Rows ``(block, bucket, kind, data)``: kind 1, strings for a bucket; kind 0, what the block keeps for the end."""
+def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int) -> list[tuple]:
+    """Rows ``(block, bucket, kind, data)``: kind 1, strings for a bucket; kind 2, windows that very many blocks have;
+    kind 0, what the block keeps for the end."""
     code = np.zeros(len(block.keys), np.uint8)
     got = dict(zip(reply["bucket"], reply["data"], strict=True))
     for bucket, cut in _pieces(block.bucket):
@@ -278,10 +282,8 @@ def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buc
     if len(hot):  # one string a window
         sizes = block.last[hot] - block.first[hot] + 1
         p = np.repeat(block.first[hot] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        whole = hashes_at(block.data, p, length)
         start, stop, doc = np.concatenate([start, p]), np.concatenate([stop, p + length]), np.concatenate([doc, np.repeat(block.doc[hot], sizes)])
-        bucket = np.concatenate([bucket, ((whole >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)])
-        part = np.concatenate([part, (whole % np.uint64(PARTS)).astype(np.int64)])
+        bucket, part = (np.concatenate([x, np.full(len(p), y)]) for x, y in ((bucket, HOT), (part, 0)))
     if not len(start) and not spans.size:
         return []
     # Equal strings of a block are sent once, with the smallest doc_id.
@@ -308,7 +310,7 @@ def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buc
     for b, cut in _pieces(home[order]):
         chosen = order[cut]
         packed = least[chosen].tobytes() + np.array([len(strings[i]) for i in chosen], np.uint16).tobytes() + parts[chosen].tobytes() + b"".join(strings[i] for i in chosen)
-        rows.append((number, b, 1, len(chosen).to_bytes(4, "little") + press.compress(packed)))
+        rows.append((number, b, 2 if b == HOT else 1, len(chosen).to_bytes(4, "little") + press.compress(packed)))
     kept = np.stack([start, stop - start, doc, rank[of]]).astype(np.uint32)
     sent = np.stack([home[order], least[order]])
     sizes = np.array([kept.shape[1], sent.shape[1], spans.shape[1]], np.int64)
@@ -316,6 +318,27 @@ def _candidates(block: Block, number: int, reply: pd.DataFrame, length: int, buc
     return rows
 
 
+def _hot_windows(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Rows of kind 2 -> ``(block, place, window, doc)``, a row a window."""
+    for frame in frames:
+        for block, blob in zip(frame["block"], frame["data"], strict=True):
+            n = int.from_bytes(blob[:4], "little")
+            plain = zstandard.ZstdDecompressor().decompressobj().decompress(blob[4:])
+            windows = [plain[a : a + length] for a in range(11 * n, 11 * n + n * length, length)]
+            yield pd.DataFrame({"block": block, "place": np.arange(n, dtype=np.int32), "window": windows, "doc": np.frombuffer(plain, np.int64, n)})
+
+
+def _hot_marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(block, places)`` of the windows that a smaller document has -> marks as those of a bucket."""
+    for frame in frames:
+        rows = []
+        for block, places in zip(frame["block"], frame["places"], strict=True):
+            bits = np.zeros(int(max(places)) + 1, bool)
+            bits[np.asarray(places, np.int64)] = True
+            rows.append((block, HOT, 1, np.packbits(bits).tobytes()))
+        yield pd.DataFrame(rows, columns=["block", "bucket", "kind", "data"])
+
+
 def _settle(blobs: pd.DataFrame, length: int) -> pd.DataFrame:
     """A bucket's strings of all blocks -> per block a bit for every window of its strings: a smaller document has it."""
     docs, sizes, parts, strings, count = [], [], [], [], []
@@ -409,19 +432,22 @@ def _report(block: Block, covered: np.ndarray, with_text: bool) -> pd.DataFrame:
     return out.astype({"doc_id": "Int64"})
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None, with_text: bool = False, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """``(doc_id, text)`` -> per row ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept])``.
 
     Every byte goes that a string of ``length`` bytes covers which also starts in a document with a smaller doc_id;
     strings are judged on the input, overlap, and never cross documents. ``kept`` is bytes: a cut may split a character.
     Null texts are empty. Rows that repeat a doc_id are one document to each other and lose nothing by it. A row without
     doc_id counts as larger than any other. An empty table gives an empty one.
+
+    A block sends a row to every bucket that it has an anchor for, so rows grow with blocks times buckets: with executors
+    that hold more, larger ``block_bytes`` and fewer ``buckets`` spare them.
     """
     if length < 33 or length > 64:
         raise ValueError("length must be 33 to 64")
     spark = docs.sparkSession
     buckets = buckets or max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), scan_bytes(docs) // (64 << 20))
-    blocks = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("t")).mapInArrow(_to_blocks, "block bigint, ids binary, sizes binary, data binary"), "blocks")
+    blocks = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("t")).mapInArrow(lambda x: _to_blocks(x, block_bytes), "block bigint, ids binary, sizes binary, data binary"), "blocks")
 
     def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -429,19 +455,22 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
                 yield _ask(Block(r.ids, r.sizes, r.data, length, buckets), r.block)
 
     sent = blocks.mapInPandas(anchors, "block bigint, bucket bigint, data binary, many binary, chunks binary")
-    reply = sent.groupBy("bucket").applyInPandas(_shared_anchors, "block bigint, bucket bigint, data binary, chunks binary")
+    reply = sent.groupBy("bucket").applyInPandas(lambda g: _shared_anchors(g, hot_blocks), "block bigint, bucket bigint, data binary, chunks binary")
 
     def candidates(mine: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r in mine.itertuples():
             if len(reply):
-                rows += _candidates(Block(r.ids, r.sizes, r.data, length, buckets), r.block, reply, length, buckets)
+                rows += _candidates(Block(r.ids, r.sizes, r.data, length, buckets), r.block, reply, length)
         return pd.DataFrame(rows, columns=["block", "bucket", "kind", "data"])
 
     schema = "block bigint, bucket bigint, kind int, data binary"
     strings = materialize(blocks.groupBy("block").cogroup(reply.groupBy("block")).applyInPandas(candidates, schema), "strings")
     settled = strings.where("kind = 1").groupBy("bucket").applyInPandas(lambda g: _settle(g, length), schema)
-    marks = strings.where("kind = 0").unionByName(settled)
+    hot = strings.where("kind = 2").mapInPandas(lambda x: _hot_windows(x, length), "block bigint, place int, window binary, doc bigint")
+    least = hot.groupBy("window").agg(F.min("doc").alias("least"))
+    beaten = hot.join(least, "window").where("least < doc").groupBy("block").agg(F.collect_list("place").alias("places"))  # a block's own windows
+    marks = strings.where("kind = 0").unionByName(settled).unionByName(beaten.mapInPandas(_hot_marks, schema))
 
     def finish(mine: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         done = []

@@ -370,20 +370,33 @@ def test_suffix_dedup(spark, docs, none) -> None:
 @pytest.mark.parametrize(("block_bytes", "hot"), [(3000, 10**9), (3000, 2), (10**9, 512)])
 def test_suffix_dedup_blocks(monkeypatch, block_bytes: int, hot: int) -> None:
     """Small blocks, hot anchors, and one block, without Spark."""
-    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", block_bytes)
-    monkeypatch.setattr(suffixdedup, "HOT_BLOCKS", hot)
     monkeypatch.setattr(suffixdedup, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("X", (), {"partitionId": lambda self: 0})())}))
     rows = odd_texts(120, seed=8)
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([(t or "").encode() for _, t in rows], pa.binary())], names=["a", "b"])
-    blocks = {r.block: suffixdedup.Block(r.ids, r.sizes, r.data, 50, 16) for b in suffixdedup._to_blocks(iter([batch])) for r in b.to_pandas().itertuples()}
+    blocks = {r.block: suffixdedup.Block(r.ids, r.sizes, r.data, 50, 16) for b in suffixdedup._to_blocks(iter([batch]), block_bytes) for r in b.to_pandas().itertuples()}
     asked = pd.concat([suffixdedup._ask(b, n) for n, b in blocks.items()])
-    told = pd.concat([suffixdedup._shared_anchors(g) for _, g in asked.groupby("bucket")])
-    strings = pd.DataFrame([x for n, b in blocks.items() for x in suffixdedup._candidates(b, n, told[told["block"] == n], 50, 16)], columns=["block", "bucket", "kind", "data"])
+    told = pd.concat([suffixdedup._shared_anchors(g, hot) for _, g in asked.groupby("bucket")])
+    strings = pd.DataFrame([x for n, b in blocks.items() for x in suffixdedup._candidates(b, n, told[told["block"] == n], 50)], columns=["block", "bucket", "kind", "data"])
     marks = pd.concat([strings[strings["kind"] == 0], *(suffixdedup._settle(g, 50) for _, g in strings[strings["kind"] == 1].groupby("bucket"))])
+    single = [*suffixdedup._hot_windows(iter([strings[strings["kind"] == 2]]), 50)]
+    assert bool(single) == (hot == 2)
+    if single:
+        rows_of = pd.concat(single)
+        rows_of = rows_of[rows_of["doc"] > rows_of.groupby("window")["doc"].transform("min")]
+        marks = pd.concat([marks, *suffixdedup._hot_marks(iter([rows_of.groupby("block")["place"].apply(list).rename("places").reset_index()]))])
     out = pd.concat([suffixdedup._report(b, suffixdedup._covered(b, marks[marks["block"] == n], 50), False) for n, b in blocks.items()])
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.itertuples()} == slow_repeats(rows)
 
 
+def test_suffix_dedup_of_a_passage_in_all_blocks(spark) -> None:
+    passage = "a passage that every one of the documents has, word for word, and that is longer than a window"
+    rows = [(i, f"{'q%d ' % i * 30}{passage}{' z%d' % i * 20}") for i in range(80)] + [(None, passage), (7, passage)]
+    got = sorted(((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in suffixdedup.remove_repeats(frame(spark, rows).repartition(4), block_bytes=900, hot_blocks=3).collect()), key=str)
+    want = slow_repeats([r for r in rows if r[0] is not None][:80])
+    assert [x for x in got if x[0] not in (None, 7)] == sorted(((i, n, h) for i, (_, n, _, h) in want.items() if i != 7), key=str)
+    assert [x[1] for x in got if x[0] is None] == [len(passage)] and sorted(x[1] for x in got if x[0] == 7) == [len(passage), want[7][1]]
+
+
 def test_suffix_classes() -> None:
     rnd = random.Random(4)
     texts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 90))) for _ in range(30)] + [b"a" * 200]

@@ -24,11 +24,9 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
     """Write ``df`` once to shared storage and return a reader over it.
 
     A lost executor then costs a re-read of files rather than a re-run of everything upstream. Tables of hashes are
-    written with ``compression="none"``: codecs gain nothing on them and hold native buffers for each column. Few bytes
-    make few files: two for each core, or one for each ``FILE_BYTES`` that Catalyst expects, whichever is more.
+    written with ``compression="none"``: codecs gain nothing on them and hold native buffers for each column.
     """
-    spark = df.sparkSession
-    df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, min(scan_bytes(df) // FILE_BYTES, 1_000_000)))
+    spark, df = df.sparkSession, sized(df)
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write
     (writer.option("compression", compression) if compression else writer).parquet(path)
@@ -39,6 +37,12 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
     return out
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, or one for each ``FILE_BYTES`` that Catalyst expects if that is
+    more: few bytes make few files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, min(scan_bytes(df) // FILE_BYTES, 1_000_000)))
+
+
 def release(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that nothing will read again."""
     path = getattr(df, "_memtide_path", None)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memtide.llm import decontam, linededup, nearcopies, packing, toxicity
 from memtide.llm.queries import tokenizer_files
-from memtide.llm.scratch import release, settled
+from memtide.llm.scratch import release, settled, sized
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row is judged by its own text; a null or empty one has the score of no word and stays.
     """
-    return toxicity.reject(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return sized(toxicity.reject(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     short = linededup.without_repeats(docs, min_chars=20, min_docs=3)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
-    return short.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return sized(short.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +36,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that repeat one stays; rows that share an id and differ in text are judged apart; a null id comes last. Texts
     without a word, null ones too, are copies of each other.
     """
-    return nearcopies.keep_one(docs, shingle=5, similarity=0.8)
+    return sized(nearcopies.keep_one(docs, shingle=5, similarity=0.8))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold half of a benchmark item or more go, each judged by its own text; null and empty texts stay."""
-    return decontam.reject(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_match=5, min_coverage=0.5)
+    return sized(decontam.reject(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_match=5, min_coverage=0.5))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 2048; every row is packed, one without text as its end alone."""
-    return packing.pack(packing.token_pieces(docs, **tokenizer_files(), capacity=2048), capacity=2048)
+    return sized(packing.pack(packing.token_pieces(docs, **tokenizer_files(), capacity=2048), capacity=2048))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

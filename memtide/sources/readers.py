@@ -69,11 +69,18 @@ def haystack_turns(samples: DataFrame) -> DataFrame:
     return sessions.select("question_id", F.get("haystack_session_ids", F.col("s")).alias("session_id"), F.posexplode("turns").alias("turn", "t")).select("question_id", "session_id", "turn", "t.role", "t.content")
 
 
+#: The sentences of the learning suites, five of each theme.
+THEMES = {
+    "fruit": ("苹果富含维生素 C", "香蕉是钾的良好来源", "橙子味道酸甜", "葡萄可以直接食用", "草莓是红色的浆果"),
+    "code": ("Python 支持异步编程", "Rust 的所有权系统保证内存安全", "函数式编程强调不可变性", "单元测试能提高代码质量", "Docker 容器化简化了部署"),
+    "history": ("秦始皇统一了六国", "唐朝是中国古代强盛的朝代", "丝绸之路连接了东西方", "明朝郑和下西洋", "清朝末年发生了鸦片战争"),
+}
+
+
 def theme_corpus(spark: SparkSession) -> DataFrame:
     """A small built-in corpus: ``(theme, id, text)``."""
-    themes = {"fruit": ("苹果又脆又甜", "香蕉软而香", "橙子富含维生素", "葡萄一串一串的", "西瓜夏天最解渴"), "code": ("函数返回一个值", "循环遍历列表", "变量保存状态", "类封装了方法", "测试验证行为"), "weather": ("今天阳光很好", "明天可能下雨", "山上已经下雪", "傍晚起了大风", "早晨雾很浓")}
-    rows = [(t, i * 5 + j, s) for i, (t, every) in enumerate(themes.items()) for j, s in enumerate(every)]
-    return spark.createDataFrame(rows, "theme string, id bigint, text string")
+    rows = [(theme, text) for theme, every in THEMES.items() for text in every]
+    return spark.createDataFrame([(theme, i, text) for i, (theme, text) in enumerate(rows)], "theme string, id bigint, text string")
 
 
 def hook_events(spark: SparkSession, folder: str, max_chars: int = 10 << 20) -> DataFrame:

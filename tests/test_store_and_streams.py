@@ -68,6 +68,22 @@ def test_processed_items_are_learned(spark, tmp_path) -> None:
     assert engine.status()["memory_count"] == 3 and engine.status()["step"] == 2
 
 
+def test_hook_handlers(spark, tmp_path) -> None:
+    engine = MemoryEngine(spark, f"file://{tmp_path}/ws", embedding.HashEngine, n_prototypes=4)
+    assert engine.on_session_start() == {"memory_count": 0, "capacity_usage": 0.0}
+    told = "We decided to always use the Spark engine for the important backend jobs"
+    stop = [{"messages": [{"role": "user", "content": "old"}, {"role": "user", "content": told}, {"role": "assistant", "content": "ok"}], "last_assistant_message": "The goal is confirmed: password=hunter2hunter must never be logged"}, {"last_assistant_message": ""}, {}]
+    payloads = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(stop)], "event_id bigint, payload string")
+    assert engine.on_stop(payloads, datetime(2024, 1, 1)) == 2
+    texts = [r["text"] for r in engine.tables.read("memories").orderBy("pos").collect()]
+    assert texts[0] == told and "[REDACTED]" in texts[1] and "hunter2" not in texts[1]
+    assert engine.on_stop(payloads, datetime(2024, 1, 1)) <= 1 and engine.status()["checkpoints"] == ["session"]  # what was learned meanwhile may move a vector
+    asked = spark.createDataFrame([(1, json.dumps({"prompt": told})), (2, "{}")], "event_id bigint, payload string")
+    got = {r["event_id"]: r["block"] for r in engine.on_prompt(asked, cutoff=0.0, now=datetime(2024, 1, 2)).collect()}
+    assert got[1].startswith(f"Relevant memories:\n1. {told}") and got[2] == ""
+    assert engine.on_session_start()["memory_count"] >= 2
+
+
 def test_manifests_outlive_crashes_and_other_writers(spark, tmp_path) -> None:
     root = f"{tmp_path}/ws"
     one, two = store.Store(spark, f"file://{root}"), store.Store(spark, f"file://{root}")

@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,17 +152,15 @@ def _items(benchmark: DataFrame, min_match: int) -> DataFrame:
     """``(irow, item_id, tokens, seeds)``, a row for each benchmark row with a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 33
         for batch in batches:
-            tokens = [token_hashes(t) for t in batch.column(1).to_pylist()]
+            tokens = [token_hashes(t) for t in batch.column(2).to_pylist()]
             seeds = [seed_hashes(t, min(min_match, len(t))) if len(t) else t for t in tokens]
             full = pa.array([len(t) > 0 for t in tokens])
             signed = lambda rows: pa.array([x.view(np.int64) for x in rows], pa.list_(pa.int64()))
-            columns = [pa.array(np.arange(at, at + batch.num_rows)), batch.column(0), signed(tokens), signed(seeds)]
-            at += batch.num_rows
+            columns = [batch.column(0), batch.column(1), signed(tokens), signed(seeds)]
             yield pa.RecordBatch.from_arrays([c.filter(full) for c in columns], names=["irow", "item_id", "tokens", "seeds"])
 
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = benchmark.select(F.monotonically_increasing_id().alias("irow"), F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     return materialize(rows.mapInArrow(run, "irow bigint, item_id bigint, tokens array<bigint>, seeds array<bigint>"), "items", "none")
 
 
@@ -171,17 +168,15 @@ def _lines(docs: DataFrame, sizes: list[int], known: Filter | None) -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 33
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                found = list(shared_lines(part.column(2).to_pylist(), sizes, sent.value))
+                found = list(shared_lines(part.column(3).to_pylist(), sizes, sent.value))
                 take = pa.array([i for i, _, _ in found], pa.int64())
                 signed = lambda rows: pa.array([x.view(np.int64) for x in rows], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(at + begin + take.to_numpy()), part.column(0).take(take), part.column(1).take(take), signed([s for _, s, _ in found]), signed([x for _, _, x in found])], names=["row", "doc_id", "t", "seeds", "line"])
-            at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in range(3)), signed([s for _, s, _ in found]), signed([x for _, _, x in found])], names=["row", "doc_id", "t", "seeds", "line"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("t"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("t"), F.col("text").cast("string").alias("text"))
     return materialize(rows.mapInArrow(run, "row bigint, doc_id bigint, t bigint, seeds array<bigint>, line array<bigint>"), "lines", "none")
 
 

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -120,10 +119,10 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 def ranked_by_length(pieces: DataFrame, partitions: int) -> DataFrame:
     """``pieces`` with ``rank``: a row's place, from 0, among the rows of its length."""
-    columns = pieces.columns
+    columns = [*pieces.columns, "part"]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, seen = TaskContext.get().partitionId(), None, 0
+        last, seen = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -133,10 +132,10 @@ def ranked_by_length(pieces: DataFrame, partitions: int) -> DataFrame:
             first = np.maximum.accumulate(np.where(new, place, -1))
             local = np.where(first >= 0, place - first, place + seen)
             last, seen = lengths[-1], int(local[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(local.astype(np.int64))], names=[*columns, "part", "place"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local.astype(np.int64))], names=[*columns, "place"])
 
     keys = [F.col("length").desc(), "doc_id", "piece", "start", "ids_crc32"]
-    dealt = pieces.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    dealt = pieces.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
     rows = materialize(dealt.mapInArrow(number, StructType([*pieces.schema.fields, StructField("part", IntegerType()), StructField("place", LongType())])), "ranked")
     per = rows.groupBy("length", "part").agg(F.count("*").alias("n"))  # a range partition holds few lengths
     before = per.selectExpr("length", "part", "coalesce(sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding), 0) as before")

@@ -29,7 +29,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,14 +112,15 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nda
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    part, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+    """``(part, doc_id, text)`` of one partition, whose number is ``part`` -> its blocks."""
+    part, seq, ids, texts, size = 0, 0, [], [], 0
 
     def block() -> pa.RecordBatch:
         row = {"block": [(part << 32) + seq], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [np.array([len(x) for x in texts], np.int64).tobytes()], "data": [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]}
         return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())]))
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for part, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             data = text.as_py() or b""
             if ids and (size + len(data) > block_bytes or len(ids) >= BLOCK_DOCS):
                 yield block()
@@ -447,7 +447,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         raise ValueError("length must be 33 to 64")
     spark = docs.sparkSession
     buckets = buckets or max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), scan_bytes(docs) // (64 << 20))
-    blocks = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("t")).mapInArrow(lambda x: _to_blocks(x, block_bytes), "block bigint, ids binary, sizes binary, data binary"), "blocks")
+    blocks = materialize(docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("t")).mapInArrow(lambda x: _to_blocks(x, block_bytes), "block bigint, ids binary, sizes binary, data binary"), "blocks")
 
     def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -358,7 +358,7 @@ def slow_repeats(rows: list[tuple[int, str | None]], n: int = 50) -> dict[int, t
 
 def test_suffix_dedup(spark, docs, none) -> None:
     want = slow_repeats(odd_texts())
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixdedup.remove_repeats(docs.repartition(3)).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixdedup.remove_repeats(docs.repartition(11)).collect()}
     assert got == want and sum(w[1] for w in want.values()) > 1000
     assert suffixdedup.remove_repeats(none).count() == 0
     twice = suffixdedup.remove_repeats(docs.where("doc_id = 7").unionByName(docs.where("doc_id = 7"))).collect()
@@ -368,11 +368,10 @@ def test_suffix_dedup(spark, docs, none) -> None:
 
 
 @pytest.mark.parametrize(("block_bytes", "hot"), [(3000, 10**9), (3000, 2), (10**9, 512)])
-def test_suffix_dedup_blocks(monkeypatch, block_bytes: int, hot: int) -> None:
+def test_suffix_dedup_blocks(block_bytes: int, hot: int) -> None:
     """Small blocks, hot anchors, and one block, without Spark."""
-    monkeypatch.setattr(suffixdedup, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("X", (), {"partitionId": lambda self: 0})())}))
     rows = odd_texts(120, seed=8)
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([(t or "").encode() for _, t in rows], pa.binary())], names=["a", "b"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), pa.array([i for i, _ in rows], pa.int64()), pa.array([(t or "").encode() for _, t in rows], pa.binary())], names=["p", "a", "b"])
     blocks = {r.block: suffixdedup.Block(r.ids, r.sizes, r.data, 50, 16) for b in suffixdedup._to_blocks(iter([batch]), block_bytes) for r in b.to_pandas().itertuples()}
     asked = pd.concat([suffixdedup._ask(b, n) for n, b in blocks.items()])
     told = pd.concat([suffixdedup._shared_anchors(g, hot) for _, g in asked.groupby("bucket")])
@@ -578,7 +577,7 @@ def test_decontamination(spark, docs, none) -> None:
         with pytest.MonkeyPatch.context() as patch:
             if unfiltered:  # as for a benchmark too large to send
                 patch.setattr(decontam, "MAX_SENT", 0)
-            got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontam.contaminated(frame(spark, rows), bench).collect()}
+            got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontam.contaminated(frame(spark, rows).repartition(11), bench.repartition(6)).collect()}
         assert got == want
     assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
     twice = decontam.contaminated(frame(spark, [(None, item), (5, item), (5, "other words"), (5, item)]), bench).where("item_id = 1")

@@ -56,7 +56,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partit
     spark = docs.sparkSession
     shuffles, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     steps = min(4096, max(2, 2 * shuffles, 2 * (partitions or 0)))
-    rows = materialize(line_hashes(_placed(docs.where("doc_id is not null").select("doc_id", "text"), steps), min_chars), "lines", "none")
+    rows = materialize(line_hashes(_placed(docs.where("doc_id is not null").select("doc_id", "text"), steps), min_chars), "lines", "none", few=True)
     total = rows.count()
     # At least 200 thousand lines a partition where there are fewer than the session's partitions, at most four million.
     n = partitions or max(min(shuffles, max(cores, total // 200_000)), total // 4_000_000, 1)

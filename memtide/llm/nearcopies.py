@@ -191,7 +191,7 @@ def _across(parted: DataFrame, texts: DataFrame, shingle: int, similarity: float
 def near_links(classes: DataFrame, texts_of: DataFrame, faces: int, budget: Budget, shingle: int, similarity: float) -> DataFrame:
     """``(h, row, faces)``, a row a text, and ``(row, text)`` -> ``(u, v)``: edges of the components of all confirmed links."""
     every = classes.select(F.posexplode("faces").alias("face", "fp"), "h")
-    prints = materialize(every.groupBy("face", "fp").agg(F.min("h").alias("head"), F.max("h").alias("tail")), "prints", "none")
+    prints = materialize(every.groupBy("face", "fp").agg(F.min("h").alias("head"), F.max("h").alias("tail")), "prints", "none", few=True)
     found = _candidates(prints.select("face", "fp", "head"), faces, budget)
     # Texts that share a whole print meet its smallest one.
     equal = materialize(prints.where("head <> tail").select("face", "fp", "head"), "equal", "none")
@@ -225,7 +225,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     keyed = materialize(_sketched(docs, shingle, faces), "keyed")
     rank = F.struct(F.col("r.doc_id").isNull().alias("late"), F.col("r.doc_id").alias("doc_id"), "row")
     firsts = materialize(keyed.select("h", rank.alias("rank")).groupBy("h").agg(F.min("rank").alias("first")), "classes")
-    classes = materialize(keyed.select("row", "h", "faces").join(firsts.select(F.col("first.row").alias("row")), "row", "left_semi"), "faces", "none")
+    classes = materialize(keyed.select("row", "h", "faces").join(firsts.select(F.col("first.row").alias("row")), "row", "left_semi"), "faces", "none", few=True)
     links = near_links(classes, keyed.select("row", F.col("r.text").cast("string").alias("text")), faces, budget, shingle, similarity)
     final = connected_components(links).select(F.col("node").alias("h"), "label")
     placed = firsts.join(final, "h", "left").select(F.coalesce("label", "h").alias("label"), "first")

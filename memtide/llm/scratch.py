@@ -20,13 +20,14 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/memtide"
 
 
-def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str | None = None, few: bool = False) -> DataFrame:
     """Write ``df`` once to shared storage and return a reader over it.
 
     A lost executor then costs a re-read of files rather than a re-run of everything upstream. Tables of hashes are
-    written with ``compression="none"``: codecs gain nothing on them and hold native buffers for each column.
+    written with ``compression="none"``: codecs gain nothing on them and hold native buffers for each column. ``few``:
+    in few files; not for rows from Python workers, whose Arrow buffers a task keeps until its last partition is done.
     """
-    spark, df = df.sparkSession, sized(df)
+    spark, df = df.sparkSession, sized(df) if few else df
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write
     (writer.option("compression", compression) if compression else writer).parquet(path)
@@ -38,9 +39,9 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, or one for each ``FILE_BYTES`` that Catalyst expects if that is
-    more: few bytes make few files."""
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, min(scan_bytes(df) // FILE_BYTES, 1_000_000)))
+    """``df`` in two partitions for each core, or one for each ``FILE_BYTES`` that Catalyst expects if that is more: few
+    bytes make few files."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(scan_bytes(df) // FILE_BYTES, 1_000_000)))
 
 
 def release(df: DataFrame) -> None:

@@ -173,10 +173,10 @@ def trie_groups(prints: DataFrame, budget: Budget, faces: int = 1, leaf: int = 1
     depth follows from the count of prints, so that a node has about ``leaf`` of them at any size; a node whose partners
     have more than ``group_cap`` together is dealt out as several groups.
     """
-    spark = prints.sparkSession
     n = -(-prints.count() // faces)
-    spread = math.ceil(math.log2(max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) / faces)))
-    depth = min(40, max(min(6, spread), math.ceil(math.log2(max(1, n) / leaf)))) if n else 0
+    # One face is cut at least as finely as the session's partitions ask for, up to 64 nodes; many are many groups anyway.
+    partitions = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")) if faces == 1 else 0
+    depth = min(40, max(min(6, (2 * partitions).bit_length()), math.ceil(math.log2(max(1, n) / leaf)))) if n else 0
     more = [c for c in prints.columns if c != "face"]
     dealt = None
     for level, pairs in _node_pairs(prints, depth, budget, group_cap):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from memtide.llm.rows import by_size, text_key, without
 from memtide.llm.scratch import materialize
+from memtide.llm.workers import frugal
 
 #: Blocks of scripts that are written without blanks; each of their characters is a token.
 _ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
@@ -151,6 +152,7 @@ def shared_lines(texts: list[str | None], sizes: list[int], known: Filter | None
 def _items(benchmark: DataFrame, min_match: int) -> DataFrame:
     """``(irow, item_id, tokens, seeds)``, a row for each benchmark row with a token."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = [token_hashes(t) for t in batch.column(2).to_pylist()]
@@ -167,6 +169,7 @@ def _items(benchmark: DataFrame, min_match: int) -> DataFrame:
 def _lines(docs: DataFrame, sizes: list[int], known: Filter | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
@@ -217,6 +220,7 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, min_match: int, min_coverage:
     sent = items.agg(F.sum(F.size("tokens"))).first()[0] or 0
     pairs = meets.join(lines.select("row", "doc_id", "t", "line"), "row").join(F.broadcast(told) if sent <= MAX_SENT else told, "irow")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

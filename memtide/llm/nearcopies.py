@@ -27,6 +27,7 @@ from memtide.llm.components import connected_components
 from memtide.llm.rows import by_size
 from memtide.llm.scratch import materialize, release
 from memtide.llm.simhash import BITS, GROUP, Budget, forest, linked_pairs, sorted_group, trie_groups
+from memtide.llm.workers import frugal, give_back
 
 MISS = 0.005
 BLOCK = 128
@@ -84,6 +85,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _sketched(docs: DataFrame, shingle: int, faces: int) -> DataFrame:
     """Per row ``(r, h, faces)``: all its columns, a hash of its text up to case and white space, and its prints."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
@@ -118,6 +120,9 @@ def _candidates(prints: DataFrame, faces: int, budget: Budget) -> DataFrame:
         w = np.flatnonzero((stars == np.arange(none)) & (label != stars))  # stars that a further edge ties to others
         frame = pd.DataFrame({"u": np.concatenate([head[u], head[w]]), "v": np.concatenate([head[partner[u]], head[label[w]]])})
         frame["direct"] = np.arange(len(frame)) < len(u)
+        if none > 20_000:
+            del every, mine, label, partner, order
+            give_back()
         return frame[frame["u"] != frame["v"]]
 
     # A print has few partners here, so that larger nodes spare copies.
@@ -128,6 +133,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     """Those of the distinct pairs ``(u, v)`` whose texts are as similar as asked."""
     both = pairs.join(texts.select(F.col("h").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("h").alias("v"), F.col("text").alias("tv")), "v")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, None
         for batch in batches:

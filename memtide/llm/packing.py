@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from memtide.llm.scratch import materialize, release
+from memtide.llm.workers import frugal
 
 #: Where both tokenizer libraries are known to split alike; any other text takes the slower one.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*").fullmatch
@@ -57,6 +58,7 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None = None,
     are cut so that every piece but the first is full.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(json_path, ranks_path, pattern)
         for batch in batches:
@@ -121,6 +123,7 @@ def ranked_by_length(pieces: DataFrame, partitions: int) -> DataFrame:
     """``pieces`` with ``rank``: a row's place, from 0, among the rows of its length."""
     columns = [*pieces.columns, "part"]
 
+    @frugal
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, 0
         for batch in batches:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from memtide.llm.scratch import materialize
 from memtide.llm.toxicity import fold
+from memtide.llm.workers import frugal
 
 N_FEATURES = 10
 #: Strength of a prior over sites that differ no more than chance would have it: every site follows its parent.
@@ -86,6 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000) -> Shap
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumnRenamed("doc_id", "_id"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [np.array(shape(t or "")).tobytes() for t in batch.column(2).to_pylist()]
@@ -101,6 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000) -> Shap
 def evidence(docs: DataFrame, model: ShapeModel | None) -> DataFrame:
     """``(doc_id, host, path, text)`` -> ``(doc_id, host, path, llr)``; without a model the evidence is 0."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([shape(t or "") for t in batch.column(3).to_pylist()]).reshape(-1, N_FEATURES)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memtide.llm.scratch import materialize, release
+from memtide.llm.workers import frugal
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -169,6 +170,7 @@ def scan(docs: DataFrame, min_cost: float = 10.0, min_chars: int = 8, words: Ite
     sent = docs.sparkSession.sparkContext.broadcast(list(words))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(sent.value)
         for batch in batches:

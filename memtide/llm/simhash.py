@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from memtide.llm.components import connected_components
 from memtide.llm.scratch import materialize, release
+from memtide.llm.workers import frugal
 
 BITS = 64
 SEED = 42
@@ -50,6 +51,7 @@ def fingerprint(data: bytes | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``(doc_id, text)`` -> ``(doc_id, fp)``; ``fp`` is the fingerprint's bit pattern as a signed bigint."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
@@ -66,7 +68,7 @@ def allowed(budget: Budget, depth: int) -> int:
     return min(bits for at, bits in budget if at >= depth)
 
 
-def linked_pairs(own: np.ndarray, other: np.ndarray, budget: Budget, depth: int = 0, limit: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(own: np.ndarray, other: np.ndarray, budget: Budget, depth: int = 0, limit: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of two sorted uint64 arrays whose values are within the budget, by the trie walk, a part at a time.
 
     ``depth``: the walk starts there, from every pair of prefixes of so many bits. About ``limit`` node pairs are looked

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memtide.llm.scratch import materialize, release
+from memtide.llm.workers import frugal
 
 _words = re.compile(r"[^\W\d_]+").findall
 PREFIXES = (5, 6, 7)
@@ -126,6 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
     unl = known.orderBy(*order).limit(max_unlabelled).select("doc_id", F.lit(False).alias("p"))
     sample = F.broadcast(pos.unionByName(unl).withColumnRenamed("doc_id", "_id"))  # at most max_positive + max_unlabelled rows
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([np.array(document_features(t.as_py()), np.int64) for t in batch.column(2)], pa.list_(pa.int64()))
@@ -139,6 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
         return ToxicModel()
     chosen = choose_features(sampled, sizes[True], sizes[False], prior, max_features, least_z)
 
+    @frugal
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [np.packbits(np.isin(chosen, f.values.to_numpy())).tobytes() for f in batch.column(2)]
@@ -165,6 +168,7 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFra
     scored each; extra columns are ignored; an empty table gives an empty one.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in batches:
@@ -178,6 +182,7 @@ def reject(docs: DataFrame, model: ToxicModel, threshold: float = 0.5, text: str
     """The rows of ``docs``, all columns, whose text scores below ``threshold``; rows never leave their partition."""
     at = docs.columns.index(text)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in batches:

@@ -79,7 +79,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partit
     whole = runs.groupBy("h", "g").agg(F.sum("docs").alias("docs"), F.max("first").alias("keeper")).where(F.col("docs") >= min_docs)
     lost = found.where("not hot").select("doc_id", "t", "pos")
     lost = lost.unionByName(found.where("hot").join(F.broadcast(whole.drop("docs")), ["h", "g"]).where("doc_id <> keeper").select("doc_id", "t", "pos"))
-    words = lost.repartition(n, "doc_id", "t").groupBy("doc_id", "t", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    words = lost.repartition("doc_id", "t").groupBy("doc_id", "t", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memtide.llm import chatformat, decontam, linededup, packing, quality_bayes, quality_rules, secrets, simhash, suffixdedup, toxicity
+from memtide.llm import chatformat, decontam, innertop, linededup, packing, quality_bayes, quality_rules, secrets, simhash, suffixdedup, toxicity, vectorcodes, whitening
 from memtide.llm.scratch import settles
 from memtide.sources.scan import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in ("documents", "conversations") else df
+    return spread(df) if name in ("documents", "conversations", "embeddings") else df
 
 
 @settles
@@ -76,6 +76,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_line_dedup, op7_suffix_dedup, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
+@settles
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.digests(vectorcodes.compress(_table(spark, sf_dir, "embeddings"), parts=4, codes=256, rounds=4, scale=1024))
+
+
+@settles
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+@settles
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return innertop.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_line_dedup, op7_suffix_dedup, op8_secret_scan, op9_decontamination, op10_best_fit_packing, op11_vector_codes, op12_whitening, op13_top_products)}
 
-ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.ORACLE, "op6_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.ORACLE, "op6_line_dedup": linededup.ORACLE, "op11_vector_codes": vectorcodes.ORACLE, "op13_top_products": innertop.ORACLE}

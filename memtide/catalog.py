@@ -26,7 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 NOW = "timestamp_ntz'2024-03-01 00:00:00'"
-QUERY_TEXT = "the and of onan onan la der missingterm"
 
 
 def query(sql: str | None = None) -> Callable:
@@ -55,34 +54,32 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(n.alias("pos"), F.coalesce("text", F.lit("")).alias("text"), _vec().alias("embedding"), F.expr("timestampadd(HOUR, cast(vec_id as int), timestamp_ntz'2024-01-01 00:00:00')").alias("created_at"), (n % 7).alias("access_count"), (n % 3 + 1).cast("double").alias("importance"), F.lit(False).alias("stale"))
 
 
-#: What the searches say, by turns.
-QUESTIONS = (QUERY_TEXT, "les et que der die", "onan la missingterm", "die und les the")
-
-
 def question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
-    told = F.get(F.array(*map(F.lit, QUESTIONS)), ((F.col("vec_id") / 50) % len(QUESTIONS)).cast("int"))
-    return e.select(F.col("vec_id").alias("query_id"), _vec().alias("embedding"), told.alias("text"))
+    """Every memory whose id is divisible by 50, asked for by its own vector and whole text."""
+    return memories(spark, sf_dir).where("pos % 50 = 0").select(F.col("pos").alias("query_id"), "embedding", "text")
 
 
 def life() -> Column:
     return lifecycle_score(F.col("created_at"), F.col("importance"), F.col("access_count"), F.col("stale"), F.expr(NOW))
 
 
+#: Contributions are whole billionths, so that sums don't depend on their order.
+BM25 = "sum(round((times * greatest(ln((n - df + 0.5) / (df + 0.5) + 1), 0.25)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * 1000000000)::bigint)::bigint / 1000000000.0::double"
+
 MEM = f"""
 mem as (
   select e.vec_id as pos, coalesce(d.text, '') as text, e.embedding::double[] as embedding, timestamp '2024-01-01' + to_hours(e.vec_id) as created_at, e.vec_id % 7 as access_count, cast(e.vec_id % 3 + 1 as double) as importance
   from embeddings e left join documents d on d.doc_id = e.vec_id),
-q as (select vec_id as query_id, embedding::double[] as embedding, {list(QUESTIONS)}[1 + (vec_id // 50) % {len(QUESTIONS)}] as text from embeddings where vec_id % 50 = 0),
+q as (select pos as query_id, embedding, text from mem where pos % 50 = 0),
 """
-MEM += """vec as (select q.query_id, mem.pos, list_dot_product(q.embedding, mem.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(mem.embedding, mem.embedding))) as score from q, mem),
+MEM += f"""vec as (select q.query_id, mem.pos, list_dot_product(q.embedding, mem.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(mem.embedding, mem.embedding))) as score from q, mem),
 toks as (select pos, regexp_extract_all(lower(text), '[a-z0-9]+|[^\\x00-\\x7f]') as t from mem),
 stat as (select count(*) as n, avg(len(t)) as avgdl from toks),
 term as (select query_id, term, count(*) as times from (select query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[^\\x00-\\x7f]')) as term from q) group by all),
 tf as (select pos, dl, term, count(*) as tf from (select pos, len(t) as dl, unnest(t) as term from toks) where term in (select term from term) group by all),
 df as (select term, count(*) as df from tf group by term),
 bm as (
-  select query_id, pos, sum(times * greatest(ln((n - df + 0.5) / (df + 0.5) + 1), 0.25) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
+  select query_id, pos, {BM25} as score
   from tf join df using (term) join term using (term), stat group by all having score > 0),
 rr as (select query_id, pos, row_number() over (partition by query_id order by round(score, 9) desc, pos) as rank from vec
   union all select query_id, pos, row_number() over (partition by query_id order by round(score, 9) desc, pos) from bm),
@@ -97,19 +94,28 @@ vec as (select q.vec_id as query_id, e.vec_id as pos, list_dot_product(q.embeddi
 select query_id, pos, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as r from vec) where r <= 10""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), _vec().alias("embedding"))
-    return retrieval.vector_top(question(spark, sf_dir), e, 10).select("query_id", "pos", F.round("score", 6).alias("score"))
+    return retrieval.vector_top(e.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), e, 10).select("query_id", "pos", F.round("score", 6).alias("score"))
 
 
-@query(f"""
-with {MEM}, dtoks as (select doc_id as pos, regexp_extract_all(lower(text), '[a-z0-9]+|[^\\x00-\\x7f]') as t from documents),
-dstat as (select count(*) as n, avg(len(t)) as avgdl from dtoks),
-dtf as (select pos, dl, term, count(*) as tf from (select pos, len(t) as dl, unnest(t) as term from dtoks) where term in (select term from term) group by all),
-ddf as (select term, count(*) as df from dtf group by term)
-select query_id, pos, round(sum(times * greatest(ln((n - df + 0.5) / (df + 0.5) + 1), 0.25) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
-from dtf join ddf using (term) join term using (term), dstat group by query_id, pos""")
+_BM25_DOCS = rf"""
+with toks as (select doc_id as pos, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[^\x00-\x7f]') as t from documents),
+stat as (select count(*) as n, avg(len(t)) as avgdl from toks),
+tf as materialized (select pos, dl, term, count(*) as tf from (select pos, len(t) as dl, unnest(t) as term from toks) group by all),
+df as (select term, count(*) as df from tf group by term),
+s as (select q.pos as query_id, tf.pos, {BM25} as score from tf join df using (term) join (select pos, term, tf as times from tf where pos % 50 = 0) q using (term), stat group by all)
+"""
+
+
+@query(f"{_BM25_DOCS} select query_id, pos, round(score, 6) as score from s")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
-    return retrieval.bm25_scores(question(spark, sf_dir), docs).select("query_id", "pos", F.round("score", 6).alias("score"))
+    return retrieval.bm25_scores(docs.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), docs).select("query_id", "pos", F.round("score", 6).alias("score"))
+
+
+@query(f"{_BM25_DOCS} select query_id, pos, round(score, 6) as score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as rank from s) where rank <= 50")
+def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
+    return retrieval.bm25_top(docs.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), docs, 50).select("query_id", "pos", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"with {MEM} select query_id, pos, round(score, 9) as score from rrf")

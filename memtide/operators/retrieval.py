@@ -4,27 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memtide.functions.text import let, tokenize
+from memtide.functions.text import tokenize
 from memtide.functions.vec import cosine
-from memtide.operators.matrix import matrix_top
-from memtide.plans.lineage import cut
-
-
-MAX_QUERIES = 10_000
-
-
-def query_blocks(queries: DataFrame) -> list[DataFrame]:
-    """The queries in blocks of about ``MAX_QUERIES`` at most, each marked to go to every task; one block if they fit."""
-    n = queries.count()
-    if n <= MAX_QUERIES:
-        return [F.broadcast(queries)]
-    blocks = -(-n // max(1, MAX_QUERIES // 2))  # dealt by hash, so aimed at half
-    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return [F.broadcast(queries.where(place == i)) for i in range(blocks)]
+from memtide.operators import postings
+from memtide.operators.matrix import matrix_places, matrix_scores, matrix_top
+from memtide.plans.lineage import cut, settled
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -35,9 +24,8 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def vector_scores(queries: DataFrame, memories: DataFrame) -> DataFrame:
-    """Cosine of every query with every memory; the queries go to the memories' tasks in blocks."""
-    blocks = query_blocks(queries.select("query_id", F.col("embedding").alias("_q")))
-    return _union([memories.select("pos", "embedding").crossJoin(q).select("query_id", "pos", cosine(F.col("embedding"), F.col("_q")).alias("score")) for q in blocks])
+    """Cosine of every query with every memory, as products of matrices; the queries go to the memories' tasks in blocks."""
+    return matrix_scores(queries, memories)
 
 
 def vector_top(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
@@ -48,28 +36,20 @@ def vector_top(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
 def bm25_scores(queries: DataFrame, memories: DataFrame, k1: float = 1.5, b: float = 0.75, idf_floor: float = 0.25, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
     """BM25 of ``queries(query_id, text)`` over ``memories(pos, text)``; rows that score nothing are left out.
 
-    Only the queries' terms are looked up, so the vocabulary is never exploded or shuffled: a row keeps those of its tokens
-    that some query has, one count per term leaves each task, and scores are made within the row. A term that a query
-    repeats counts as often; ``tokenizer`` makes an array of a text column. The marker '' counts rows and tokens in the same pass; no token is empty.
+    A term that a query repeats counts as often; ``tokenizer`` makes an array of a text column. See :mod:`.postings`.
     """
-    q = queries.select("query_id", tokenizer(F.col("text")).alias("q"))
-    terms = q.select(F.explode("q").alias("t")).agg(F.collect_set("t").alias("terms"))
-    docs = memories.select("pos", tokenizer(F.col("text")).alias("t")).crossJoin(F.broadcast(terms))  # one row
-    docs = docs.select("pos", F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains("terms", x)).alias("t"))
-    each = docs.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"), "dl").groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("s"))
-    is_all = F.col("term") == ""
-    stats = each.agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("df"), F.max(F.when(is_all, F.col("n"))).alias("n"), F.max(F.when(is_all, F.col("s") / F.col("n"))).alias("avgdl"))
-
-    def part(tokens: Column, total: Column, term: Column) -> Column:
-        tf, df = F.size(F.filter(tokens, lambda x: x == term)), F.try_element_at("df", term)
-        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1), F.lit(idf_floor))
-        return let(tf, lambda tf: F.when(tf == 0, total).otherwise(total + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))))
-
-    rows = _union([docs.where(F.size("t") > 0).crossJoin(block) for block in query_blocks(q)]).crossJoin(F.broadcast(stats))
-    score = let(F.col("t"), lambda t: F.aggregate("q", F.lit(0.0), lambda a, x: part(t, a, x)))
-    # The explode keeps the filter from moving into the joins, where scores would be made again.
-    scored = rows.select("pos", F.explode(F.filter(F.array(F.struct("query_id", score.alias("score"))), lambda x: x["score"] > 0)).alias("x"))
-    return scored.select("x.query_id", "pos", "x.score")
+    asked = postings.ask(queries, postings.build_index(memories, k1, b, idf_floor, tokenizer))
+    return postings.scores(asked).select("query_id", "pos", (F.col("n") / postings.UNIT).alias("score"))
+
+
+def bm25_top(queries: DataFrame, memories: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, idf_floor: float = 0.25, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
+    """``(query_id, pos, score, rank)``: the ``k`` best of :func:`bm25_scores`, the others left out below a bound."""
+
+    def found() -> DataFrame:
+        asked = postings.ask(queries, postings.build_index(memories, k1, b, idf_floor, tokenizer))
+        return postings.top(asked, k).select("query_id", "pos", (F.col("n") / postings.UNIT).alias("score"), "rank")
+
+    return settled(found)
 
 
 def rank(scores: DataFrame, *extra: str) -> DataFrame:
@@ -145,10 +125,11 @@ def combined(retrieval: Column, lifecycle: Column, c: RecallConfig) -> Column:
     return (1 - w) * retrieval + w * lifecycle if c.additive else retrieval * (1 + w * lifecycle)
 
 
-def truncate(scored: DataFrame, k: int, *order: Column | str) -> DataFrame:
-    """The first ``k`` rows of each query; Spark cuts within tasks before it shuffles."""
+def truncate(scored: DataFrame, k: int, *order: Column | str, keep: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each query; Spark cuts within tasks before it shuffles. ``keep`` names the place from 1."""
     w = Window.partitionBy("query_id").orderBy(*(order or (F.round("score", 9).desc(), "pos")))
-    return scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    few = scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    return few.withColumnRenamed("_n", keep) if keep else few.drop("_n")
 
 
 def representatives(rows: Column, threshold: float) -> Column:
@@ -169,30 +150,141 @@ Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 Fusion = Callable[[Sequence[DataFrame]], DataFrame]
 
 
-#: Scores of a query that are ranked in one task; longer rankings are dealt by ranges.
-RANKED_AT_ONCE = 1_000_000
+class Ranking(Protocol):
+    """A ranking of rows for each query that is not written out: its ends, and the places of given rows."""
+
+    def first(self, k: int) -> DataFrame:
+        """``(query_id, pos, rank)`` of the first ``k``."""
+
+    def last(self, k: int) -> DataFrame:
+        """``(query_id, pos, rank)`` of the last ``k``; the very last has rank 1."""
+
+    def places(self, pairs: DataFrame, most: int) -> DataFrame:
+        """``(query_id, pos, rank)`` of those of ``pairs(query_id, pos)`` that are ranked, at most ``most`` a query."""
+
+    def lengths(self) -> DataFrame:
+        """``(query_id, n)``: how many rows are ranked."""
+
+
+class VectorRanking:
+    """By cosine, ties by position."""
+
+    def __init__(self, queries: DataFrame, memories: DataFrame) -> None:
+        self.queries, self.rows = queries.select("query_id", "embedding"), memories.select("pos", "embedding").where("embedding is not null")
 
+    def first(self, k: int) -> DataFrame:
+        return truncate(matrix_top(self.queries, self.rows, k), k, keep="rank").select("query_id", "pos", "rank")
 
-def rank_fusion(queries: DataFrame, memories: DataFrame) -> Fusion:
-    """Reciprocal rank fusion, whose rankings are dealt by ranges once they are long."""
-    n = memories.count()
-    if n <= RANKED_AT_ONCE:
-        return reciprocal_rank_fusion
-    parts = max(int(memories.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * queries.count() // RANKED_AT_ONCE)
-    return lambda rankings: reciprocal_rank_fusion(rankings, partitions=parts)
+    def last(self, k: int) -> DataFrame:
+        ends = matrix_top(self.queries, self.rows, k, last=True)
+        return truncate(ends, k, F.round("score", 9).asc(), F.col("pos").desc(), keep="rank").select("query_id", "pos", "rank")
 
+    def places(self, pairs: DataFrame, most: int) -> DataFrame:
+        return matrix_places(self.queries, self.rows, pairs, most)
 
-def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig = RecallConfig(), scorers: Sequence[Scorer] = (vector_scores, bm25_scores), fuse: Fusion | None = None) -> DataFrame:
+    def lengths(self) -> DataFrame:
+        sizes = self.rows.groupBy(F.size("embedding").alias("_d")).agg(F.count("*").alias("n"))
+        return self.queries.where("embedding is not null").select("query_id", F.size("embedding").alias("_d")).join(F.broadcast(sizes), "_d").select("query_id", "n")
+
+
+class TermRanking:
+    """By BM25 over an index; rows without a term of the query are not ranked."""
+
+    def __init__(self, queries: DataFrame, memories: DataFrame) -> None:
+        self.asked = postings.ask(queries, postings.build_index(memories))
+
+    def first(self, k: int) -> DataFrame:
+        return postings.top(self.asked, k).select("query_id", "pos", "rank")
+
+    def last(self, k: int) -> DataFrame:
+        return postings.bottom(self.asked, k).select("query_id", "pos", "rank")
+
+    def places(self, pairs: DataFrame, most: int) -> DataFrame:
+        return postings.places(self.asked, pairs)
+
+    def lengths(self) -> DataFrame:
+        return postings.matched(self.asked)
+
+
+def _fused(rankings: Sequence[Ranking], pairs: DataFrame, known: Sequence[DataFrame], most: int, c: int) -> DataFrame:
+    """``(query_id, pos, score)`` of ``pairs`` by their places, some of which are ``known``, a table for each ranking."""
+    parts = []
+    for ranking, told in zip(rankings, known, strict=True):
+        missing = cut(pairs.join(told, ["query_id", "pos"], "left_anti"))
+        parts += [told.join(pairs, ["query_id", "pos"], "left_semi"), ranking.places(missing, most)]
+    return _union([p.select("query_id", "pos", "rank") for p in parts]).groupBy("query_id", "pos").agg(F.sum(F.lit(1.0) / (c + F.col("rank"))).alias("score"))
+
+
+def top_fusion(rankings: Sequence[Ranking], k: int, c: int = 60) -> DataFrame:
+    """``(query_id, pos, score)``: a superset of the ``k`` best by the sum of 1 / (c + rank), with exact scores.
+
+    The first P = m * (c + k) - c rows of each of m rankings are read. A row in none of these prefixes has m / (c + P + 1)
+    at most, which is less than 1 / (c + k), and that the ``k`` first rows of any ranking have; so one reading is enough,
+    whatever the rankings' lengths. Of the rows read, those whose bound stays below the k-th best are dropped, and the rest
+    asked for in the other rankings.
+    """
+    m = len(rankings)
+    prefix = m * (c + k) - c
+    known = [cut(r.first(prefix).select("query_id", "pos", "rank")) for r in rankings]
+    seen = _union(known).groupBy("query_id", "pos").agg(F.sum(F.lit(1.0) / (c + F.col("rank"))).alias("least"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("least")))  # m prefixes
+    seen = cut(seen.withColumn("_r", place).withColumn("bound", F.col("least") + (m - F.col("n")) / (c + prefix + 1)))
+    kth = seen.where(F.col("_r") == k).select("query_id", F.col("least").alias("kth"))
+    pairs = cut(seen.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-9)).select("query_id", "pos"))
+    return _fused(rankings, pairs, known, m * prefix, c)
+
+
+def least_fusion(rankings: Sequence[Ranking], total: int, c: int = 60) -> DataFrame:
+    """``(query_id, low)``: the smallest sum of 1 / (c + rank) that any ranked row has, of ``total`` rows that there are.
+
+    The last P rows of each ranking are read. A row in none of them is ranked before, so a ranking of n rows that has it
+    adds 1 / (c + n - P) at least; a ranking of all rows surely has it, others need not. Queries whose smallest sum so far
+    is above what is left for such rows are asked again with eight times P, until P is the whole length. P starts at twice
+    the root of n: the rows there are in one ranking's end at random places of the other, one of which is near its end.
+    """
+    lengths = [cut(r.lengths()) for r in rankings]
+    open_ = cut(_union(lengths).groupBy("query_id").agg(F.max("n").alias("n")))
+    longest = open_.agg(F.max("n")).first()[0] or 0
+    depth, done = max(64, int(2 * longest**0.5)), []
+    while not open_.isEmpty():
+        known = []
+        for ranking, n in zip(rankings, lengths, strict=True):
+            ends = ranking.last(depth).join(open_, "query_id", "left_semi").withColumnRenamed("rank", "_r")
+            known.append(cut(ends.join(n, "query_id").select("query_id", "pos", (F.col("n") - F.col("_r") + 1).alias("rank"))))
+        pairs = cut(_union(known).select("query_id", "pos").distinct())
+        low = _fused(rankings, pairs, known, len(rankings) * depth, c).groupBy("query_id").agg(F.min("score").alias("low"))
+        left = F.when(F.col("n") > depth, 1.0 / (c + F.col("n") - depth)).otherwise(F.lit(float("inf")))
+        bounds = _union(lengths).withColumns({"left": left, "all": F.col("n") == total}).groupBy("query_id").agg(F.sum(F.when(F.col("all"), F.col("left"))).alias("sure"), F.min("left").alias("any"))
+        told = cut(low.join(bounds, "query_id").select("query_id", "low", (F.col("low") <= F.coalesce("sure", "any")).alias("ok")))
+        done.append(told.where("ok").select("query_id", "low"))
+        open_ = cut(open_.join(told.where("ok"), "query_id", "left_anti")) if depth < longest else open_.limit(0)
+        depth *= 8
+    return _union(done) if done else open_.select("query_id", F.lit(0.0).alias("low"))
+
+
+def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig = RecallConfig(), scorers: Sequence[Scorer] | None = None, fuse: Fusion | None = None) -> DataFrame:
     """Hybrid recall of ``queries(query_id, text, embedding)`` over ``memories(pos, text, embedding, ...)``.
 
-    ``lifecycle`` is a score over columns of ``memories``. Returns ``(query_id, rank, pos, score)``. Text and vectors are
-    read by the scorers alone; only the candidates are joined back with theirs. Any function of queries and memories
-    that returns ``(query_id, pos, score)`` is a scorer, any of rankings a fusion; the default is :func:`rank_fusion`.
+    ``lifecycle`` is a score over columns of ``memories``. Returns ``(query_id, rank, pos, score)``, written. By default
+    cosine and BM25 are fused by reciprocal ranks, and only the ends of either ranking are read (:func:`top_fusion`,
+    :func:`least_fusion`). Otherwise any function of queries and memories that returns ``(query_id, pos, score)`` is a
+    scorer, any of rankings a fusion, and every score is ranked.
     """
-    fused = (fuse or rank_fusion(queries, memories))([score(queries, memories) for score in scorers])
-    fused = normalized(fused).where(F.col("score") >= config.min_score)
-    few = truncate(fused, config.candidates)
-    few = few.join(memories.select("pos", "embedding", lifecycle.alias("life")), "pos")
+    return settled(lambda: _recall(queries, memories, lifecycle, config, scorers, fuse))
+
+
+def _recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig, scorers: Sequence[Scorer] | None, fuse: Fusion | None) -> DataFrame:
+    queries, memories = cut(queries.select("query_id", "text", "embedding")), cut(memories.withColumn("_life", lifecycle).select("pos", "text", "embedding", "_life"))
+    if scorers is None and fuse is None:
+        rankings = [VectorRanking(queries, memories), TermRanking(queries, memories)]
+        best = cut(top_fusion(rankings, config.candidates))
+        ends = best.groupBy("query_id").agg(F.max("score").alias("_high")).join(least_fusion(rankings, memories.count()), "query_id")
+        scaled = F.when(F.col("_high") == F.col("low"), F.lit(1.0)).otherwise((F.col("score") - F.col("low")) / (F.col("_high") - F.col("low")))
+        fused = best.join(ends, "query_id").select("query_id", "pos", scaled.alias("score"))
+    else:
+        fused = normalized((fuse or reciprocal_rank_fusion)([score(queries, memories) for score in scorers or (vector_scores, bm25_scores)]))
+    few = truncate(fused.where(F.col("score") >= config.min_score), config.candidates)
+    few = few.join(memories.select("pos", "embedding", F.col("_life").alias("life")), "pos")
     few = few.withColumn("life", min_max("life", flat="sign"))
     few = few.select("query_id", "pos", "embedding", combined(F.col("score"), F.col("life"), config).alias("score"))
     kept = semantic_dedup(few, config.similarity)

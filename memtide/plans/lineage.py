@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder. A local one is made only for a local session that has none."""
@@ -25,6 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._memtide_cut = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
@@ -36,6 +42,24 @@ def uncut(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def settled(work: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``work()``, written; the tables that :func:`cut` made on the way are deleted, also after a failure."""
+    outer = _made.get()
+    token = _made.set([])
+    out = None
+    try:
+        out = cut(work())
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        for table in made:
+            if table is not out:
+                uncut(table)
+    if outer is not None:
+        outer.append(out)
+    return out
+
+
 def drain(stream: DataFrame, mode: str = "update") -> DataFrame:
     """Runs a stream over all there is; what it emitted is in the shared folder, a batch that is tried again once."""
     spark, root = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/memtide/stream-{uuid.uuid4().hex}"

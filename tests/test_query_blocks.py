@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 from memtide.catalog import QUERIES
-from memtide.operators import retrieval
+from memtide.operators import matrix, retrieval
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -18,7 +18,7 @@ def test_more_queries_than_a_block_score_the_same(spark, monkeypatch) -> None:
         return [sorted((r["query_id"], r["pos"], round(r["score"], 9)) for r in f(queries, memories).collect()) for f in (retrieval.vector_scores, retrieval.bm25_scores)]
 
     whole = scores()
-    monkeypatch.setattr(retrieval, "MAX_QUERIES", 6)
+    monkeypatch.setattr(matrix, "MAX_CELLS", 12)
     assert scores() == whole and len(whole[0]) == 400
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from memtide.functions.text import tokenize
 from memtide.functions.vec import cosine
 from memtide.operators import postings
-from memtide.operators.matrix import matrix_places, matrix_scores, matrix_top
+from memtide.operators.matrix import matrix_ends, matrix_keys, matrix_places, matrix_scores, matrix_top
 from memtide.plans.lineage import cut, settled
 
 
@@ -153,121 +153,118 @@ Fusion = Callable[[Sequence[DataFrame]], DataFrame]
 class Ranking(Protocol):
     """A ranking of rows for each query that is not written out: its ends, and the places of given rows."""
 
-    def first(self, k: int) -> DataFrame:
-        """``(query_id, pos, rank)`` of the first ``k``."""
+    def ends(self, first: int, last: int, also: DataFrame | None = None) -> DataFrame:
+        """``(query_id, pos, key, front, back, length, absent)``: the first and last rows with their places from either end,
+        null beyond it, and the keys of those of ``also(query_id, pos)`` that are ranked. ``length`` and ``absent`` are how
+        many rows are ranked and how many not; rows that are not, key null, are there too if they are ``last`` at most."""
 
-    def last(self, k: int) -> DataFrame:
-        """``(query_id, pos, rank)`` of the last ``k``; the very last has rank 1."""
+    def keys(self, pairs: DataFrame, most: int) -> DataFrame:
+        """``(query_id, pos, key)`` of those of ``pairs(query_id, pos)`` that are ranked, at most ``most`` a query."""
 
-    def places(self, pairs: DataFrame, most: int) -> DataFrame:
-        """``(query_id, pos, rank)`` of those of ``pairs(query_id, pos)`` that are ranked, at most ``most`` a query."""
+    def places(self, keyed: DataFrame, most: int) -> DataFrame:
+        """``(query_id, pos, rank)`` of ``(query_id, pos, key)``, at most ``most`` a query."""
 
-    def lengths(self) -> DataFrame:
-        """``(query_id, n)``: how many rows are ranked."""
+    def within(self, some: DataFrame) -> Ranking:
+        """The same for the queries ``some(query_id)`` alone."""
 
 
 class VectorRanking:
-    """By cosine, ties by position."""
+    """By cosine, ties by position; every row with a vector of the query's length is ranked."""
 
     def __init__(self, queries: DataFrame, memories: DataFrame) -> None:
-        self.queries, self.rows = queries.select("query_id", "embedding"), memories.select("pos", "embedding").where("embedding is not null")
+        self.queries, self.rows = queries.select("query_id", "embedding"), memories.select("pos", "embedding")
 
-    def first(self, k: int) -> DataFrame:
-        return truncate(matrix_top(self.queries, self.rows, k), k, keep="rank").select("query_id", "pos", "rank")
+    def ends(self, first: int, last: int, also: DataFrame | None = None) -> DataFrame:
+        found = cut(matrix_ends(self.queries, self.rows, first, last))
+        order = [F.col("score").desc(), F.col("pos").asc()]
+        place = lambda *o: F.row_number().over(Window.partitionBy("query_id").orderBy(*o))
+        front = found.withColumn("front", place(*order)).where(F.col("front") <= first).drop("score")
+        back = found.withColumn("back", place(F.col("score").asc(), F.col("pos").desc())).where(F.col("back") <= last).drop("score")
+        sizes = self.rows.groupBy(F.size("embedding").alias("_d")).agg(F.count("embedding").alias("length"))
+        lengths = self.queries.select("query_id", F.size("embedding").alias("_d")).join(F.broadcast(sizes), "_d").select("query_id", "length")
+        numbered = found.distinct().join(front, ["query_id", "pos"], "left").join(back, ["query_id", "pos"], "left").where("front is not null or back is not null")
+        return numbered.join(lengths, "query_id").select("query_id", "pos", F.col("score").alias("key"), "front", "back", "length", F.lit(None).cast("bigint").alias("absent"))
 
-    def last(self, k: int) -> DataFrame:
-        ends = matrix_top(self.queries, self.rows, k, last=True)
-        return truncate(ends, k, F.round("score", 9).asc(), F.col("pos").desc(), keep="rank").select("query_id", "pos", "rank")
+    def keys(self, pairs: DataFrame, most: int) -> DataFrame:
+        return matrix_keys(self.queries, self.rows, pairs, most).withColumnRenamed("score", "key")
 
-    def places(self, pairs: DataFrame, most: int) -> DataFrame:
-        return matrix_places(self.queries, self.rows, pairs, most)
+    def places(self, keyed: DataFrame, most: int) -> DataFrame:
+        return matrix_places(self.queries, self.rows, keyed.withColumnRenamed("key", "score"), most)
 
-    def lengths(self) -> DataFrame:
-        sizes = self.rows.groupBy(F.size("embedding").alias("_d")).agg(F.count("*").alias("n"))
-        return self.queries.where("embedding is not null").select("query_id", F.size("embedding").alias("_d")).join(F.broadcast(sizes), "_d").select("query_id", "n")
+    def within(self, some: DataFrame) -> VectorRanking:
+        return VectorRanking(self.queries.join(some, "query_id", "left_semi"), self.rows)
 
 
 class TermRanking:
     """By BM25 over an index; rows without a term of the query are not ranked."""
 
-    def __init__(self, queries: DataFrame, memories: DataFrame) -> None:
-        self.asked = postings.ask(queries, postings.build_index(memories))
+    def __init__(self, asked: postings.Asked) -> None:
+        self.asked = asked
 
-    def first(self, k: int) -> DataFrame:
-        return postings.top(self.asked, k).select("query_id", "pos", "rank")
+    def ends(self, first: int, last: int, also: DataFrame | None = None) -> DataFrame:
+        return postings.ends(self.asked, first, last, also).withColumn("n", F.when(F.col("n") > 0, F.col("n"))).withColumnRenamed("n", "key")
 
-    def last(self, k: int) -> DataFrame:
-        return postings.bottom(self.asked, k).select("query_id", "pos", "rank")
+    def keys(self, pairs: DataFrame, most: int) -> DataFrame:
+        return self.ends(0, 0, pairs).select("query_id", "pos", "key")
 
-    def places(self, pairs: DataFrame, most: int) -> DataFrame:
-        return postings.places(self.asked, pairs)
+    def places(self, keyed: DataFrame, most: int) -> DataFrame:
+        return postings.places(self.asked, keyed.withColumnRenamed("key", "n"))
 
-    def lengths(self) -> DataFrame:
-        return postings.matched(self.asked)
+    def within(self, some: DataFrame) -> TermRanking:
+        return TermRanking(replace(self.asked, told=self.asked.told.join(some, "query_id", "left_semi"), weighed=self.asked.weighed.join(some, "query_id", "left_semi")))
 
 
-def _fused(rankings: Sequence[Ranking], pairs: DataFrame, known: Sequence[DataFrame], most: int, c: int) -> DataFrame:
-    """``(query_id, pos, score)`` of ``pairs`` by their places, some of which are ``known``, a table for each ranking."""
-    parts = []
-    for ranking, told in zip(rankings, known, strict=True):
-        missing = cut(pairs.join(told, ["query_id", "pos"], "left_anti"))
-        parts += [told.join(pairs, ["query_id", "pos"], "left_semi"), ranking.places(missing, most)]
-    return _union([p.select("query_id", "pos", "rank") for p in parts]).groupBy("query_id", "pos").agg(F.sum(F.lit(1.0) / (c + F.col("rank"))).alias("score"))
+#: Rows that are read at the end of a ranking, at least.
+LEAST_ENDS = 64
 
 
-def top_fusion(rankings: Sequence[Ranking], k: int, c: int = 60) -> DataFrame:
-    """``(query_id, pos, score)``: a superset of the ``k`` best by the sum of 1 / (c + rank), with exact scores.
+def fused_ends(rankings: Sequence[Ranking], total: int, k: int, c: int = 60) -> DataFrame:
+    """``(query_id, pos, score, low, high)``: rows among which are the ``k`` best of each query by the sum of 1 / (c + rank),
+    and the least and largest sum that any ranked row has; of ``total`` rows. Sums are exact, though no ranking is written.
 
-    The first P = m * (c + k) - c rows of each of m rankings are read. A row in none of these prefixes has m / (c + P + 1)
-    at most, which is less than 1 / (c + k), and that the ``k`` first rows of any ranking have; so one reading is enough,
-    whatever the rankings' lengths. Of the rows read, those whose bound stays below the k-th best are dropped, and the rest
-    asked for in the other rankings.
-    """
-    m = len(rankings)
-    prefix = m * (c + k) - c
-    known = [cut(r.first(prefix).select("query_id", "pos", "rank")) for r in rankings]
-    seen = _union(known).groupBy("query_id", "pos").agg(F.sum(F.lit(1.0) / (c + F.col("rank"))).alias("least"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("least")))  # m prefixes
-    seen = cut(seen.withColumn("_r", place).withColumn("bound", F.col("least") + (m - F.col("n")) / (c + prefix + 1)))
-    kth = seen.where(F.col("_r") == k).select("query_id", F.col("least").alias("kth"))
-    pairs = cut(seen.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-9)).select("query_id", "pos"))
-    return _fused(rankings, pairs, known, m * prefix, c)
-
-
-def least_fusion(rankings: Sequence[Ranking], total: int, c: int = 60) -> DataFrame:
-    """``(query_id, low)``: the smallest sum of 1 / (c + rank) that any ranked row has, of ``total`` rows that there are.
-
-    The last P rows of each ranking are read. A row in none of them is ranked before, so a ranking of n rows that has it
-    adds 1 / (c + n - P) at least; a ranking of all rows surely has it, others need not. Queries whose smallest sum so far
-    is above what is left for such rows are asked again with eight times P, until P is the whole length. P starts at twice
-    the root of n: the rows there are in one ranking's end at random places of the other, one of which is near its end.
+    *Best.* The first P = m * (c + k) - c rows of each of m rankings are read. A row in none of these has m / (c + P + 1) at
+    most, which is less than 1 / (c + k), and that much the ``k`` first rows of any ranking have. So one reading is enough.
+
+    *Least.* The last rows of each ranking are read, at first twice the root of ``total``: that many stand at random places
+    of the other ranking, one of them near its end. A row in none of these ends is ranked before, so a ranking of n rows
+    that has it adds 1 / (c + n - last) at least; a ranking of all rows, or one whose absent rows are all known, surely has
+    it. Queries whose least sum so far is above that are asked again, with ends eight times as long.
+
+    What is read at an end of one ranking is asked for in the others.
     """
-    lengths = [cut(r.lengths()) for r in rankings]
-    open_ = cut(_union(lengths).groupBy("query_id").agg(F.max("n").alias("n")))
-    longest = open_.agg(F.max("n")).first()[0] or 0
-    depth, done = max(64, int(2 * longest**0.5)), []
-    while not open_.isEmpty():
-        known = []
-        for ranking, n in zip(rankings, lengths, strict=True):
-            ends = ranking.last(depth).join(open_, "query_id", "left_semi").withColumnRenamed("rank", "_r")
-            known.append(cut(ends.join(n, "query_id").select("query_id", "pos", (F.col("n") - F.col("_r") + 1).alias("rank"))))
-        pairs = cut(_union(known).select("query_id", "pos").distinct())
-        low = _fused(rankings, pairs, known, len(rankings) * depth, c).groupBy("query_id").agg(F.min("score").alias("low"))
-        left = F.when(F.col("n") > depth, 1.0 / (c + F.col("n") - depth)).otherwise(F.lit(float("inf")))
-        bounds = _union(lengths).withColumns({"left": left, "all": F.col("n") == total}).groupBy("query_id").agg(F.sum(F.when(F.col("all"), F.col("left"))).alias("sure"), F.min("left").alias("any"))
-        told = cut(low.join(bounds, "query_id").select("query_id", "low", (F.col("low") <= F.coalesce("sure", "any")).alias("ok")))
-        done.append(told.where("ok").select("query_id", "low"))
-        open_ = cut(open_.join(told.where("ok"), "query_id", "left_anti")) if depth < longest else open_.limit(0)
-        depth *= 8
-    return _union(done) if done else open_.select("query_id", F.lit(0.0).alias("low"))
+    first, last, done = len(rankings) * (c + k) - c, max(LEAST_ENDS, int(2 * total**0.5)), []
+    while True:
+        most, seen, ends, parts = 2 * len(rankings) * (first + last), None, [], []
+        for ranking in rankings:
+            ends.append(cut(ranking.ends(first, last, seen)))
+            seen = ends[-1].select("query_id", "pos") if seen is None else seen.union(ends[-1].select("query_id", "pos")).distinct()
+        for i, (ranking, told) in enumerate(zip(rankings, ends, strict=True)):
+            placed = F.col("front").isNotNull() | F.col("back").isNotNull()
+            keyed = told.where(F.col("key").isNotNull() & ~placed).select("query_id", "pos", "key")
+            if i + 1 < len(rankings):  # the last one was asked for all that the others found
+                keyed = cut(keyed.union(ranking.keys(seen.join(told, ["query_id", "pos"], "left_anti"), most).select("query_id", "pos", "key")))
+            known = told.where(placed).select("query_id", "pos", F.coalesce("front", F.col("length") - F.col("back") + 1).alias("rank"))
+            parts += [known, ranking.places(keyed, most).select("query_id", "pos", "rank")]
+        sums = cut(_union(parts).groupBy("query_id", "pos").agg(F.sum(F.lit(1.0) / (c + F.col("rank"))).alias("score")))
+        left = F.when(F.col("length") > first + last, 1.0 / (c + F.col("length") - last)).otherwise(F.lit(float("inf")))
+        sure = (F.col("length") == total) | (F.col("absent") <= last)
+        each = _union([e.groupBy("query_id").agg(F.max("length").alias("length"), F.max("absent").alias("absent")) for e in ends]).withColumns({"left": left, "sure": sure})
+        bounds = each.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("sure"), F.col("left"))), F.min("left")).alias("bound"))
+        span = cut(sums.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high")).join(bounds, "query_id"))
+        ok = F.col("low") <= F.col("bound") if last < total else F.lit(True)
+        done.append(sums.join(span.where(ok).drop("bound"), "query_id"))
+        open_ = span.where(~ok).select("query_id")
+        if last >= total or open_.isEmpty():
+            return _union(done)
+        rankings, last = [r.within(open_) for r in rankings], last * 8
 
 
 def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig = RecallConfig(), scorers: Sequence[Scorer] | None = None, fuse: Fusion | None = None) -> DataFrame:
     """Hybrid recall of ``queries(query_id, text, embedding)`` over ``memories(pos, text, embedding, ...)``.
 
     ``lifecycle`` is a score over columns of ``memories``. Returns ``(query_id, rank, pos, score)``, written. By default
-    cosine and BM25 are fused by reciprocal ranks, and only the ends of either ranking are read (:func:`top_fusion`,
-    :func:`least_fusion`). Otherwise any function of queries and memories that returns ``(query_id, pos, score)`` is a
+    cosine and BM25 are fused by reciprocal ranks, and only the ends of either ranking are read (:func:`fused_ends`).
+    Otherwise any function of queries and memories that returns ``(query_id, pos, score)`` is a
     scorer, any of rankings a fusion, and every score is ranked.
     """
     return settled(lambda: _recall(queries, memories, lifecycle, config, scorers, fuse))
@@ -276,11 +273,10 @@ def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: R
 def _recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig, scorers: Sequence[Scorer] | None, fuse: Fusion | None) -> DataFrame:
     queries, memories = cut(queries.select("query_id", "text", "embedding")), cut(memories.withColumn("_life", lifecycle).select("pos", "text", "embedding", "_life"))
     if scorers is None and fuse is None:
-        rankings = [VectorRanking(queries, memories), TermRanking(queries, memories)]
-        best = cut(top_fusion(rankings, config.candidates))
-        ends = best.groupBy("query_id").agg(F.max("score").alias("_high")).join(least_fusion(rankings, memories.count()), "query_id")
-        scaled = F.when(F.col("_high") == F.col("low"), F.lit(1.0)).otherwise((F.col("score") - F.col("low")) / (F.col("_high") - F.col("low")))
-        fused = best.join(ends, "query_id").select("query_id", "pos", scaled.alias("score"))
+        index = postings.build_index(memories)
+        ends = fused_ends([VectorRanking(queries, memories), TermRanking(postings.ask(queries, index))], index.n, config.candidates)
+        scaled = F.when(F.col("high") == F.col("low"), F.lit(1.0)).otherwise((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")))
+        fused = ends.select("query_id", "pos", scaled.alias("score"))
     else:
         fused = normalized((fuse or reciprocal_rank_fusion)([score(queries, memories) for score in scorers or (vector_scores, bm25_scores)]))
     few = truncate(fused.where(F.col("score") >= config.min_score), config.candidates)

@@ -409,7 +409,8 @@ def nearest_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {PROTO}, n as (select id, arg_max(proto_id, (round(sim, 12), -proto_id)) as proto_id from sim group by id)
 select count(*) as updated, count(distinct proto_id) as unique_updated, 1.0::double as capacity_usage from n""")
 def learn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prototypes.learn_report(vectors(spark, sf_dir), protos(spark, sf_dir))
+    before = protos(spark, sf_dir)
+    return prototypes.learn_report(prototypes.nearest(vectors(spark, sf_dir), before), before)
 
 
 @query(f"""with recursive {PROTO},

@@ -45,6 +45,14 @@ def self_surprise(edges: DataFrame, items: DataFrame, n_items: int, smoothing: f
     return surprise(edges, items.select(F.col("item").alias("prev"), F.col("item").alias("next")), n_items, smoothing).select(F.col("prev").alias("item"), "surprise")
 
 
+def chained(items: DataFrame, last: str | None) -> DataFrame:
+    """``items(step, item)`` as one session that goes on after ``last``, the last item of the call before."""
+    rows = items.select(F.lit(0).alias("session"), F.col("step").cast("bigint").alias("step"), F.col("item").cast("string").alias("item"))
+    if last is None:
+        return rows
+    return rows.unionByName(items.sparkSession.createDataFrame([(0, -1, last)], "session int, step bigint, item string"))
+
+
 class FirstOrder:
     """The default policy: transition counts with additive smoothing over ``n_items``."""
 

@@ -6,13 +6,14 @@ number of rows. They are sent to the vectors' tasks as long as they have at most
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memtide.functions.vec import add, cosine, norm, normalize, scale
@@ -120,15 +121,16 @@ def oja(p: np.ndarray, n: int, x: np.ndarray, importance: float, config: Learnin
 FOLDED = "proto_id int, _vec array<double>, _n bigint, _s double"
 
 
-def learn(vectors: DataFrame, protos: DataFrame, step: int = 0, config: LearningConfig = LearningConfig(), decay: bool = True, rule: Rule = oja) -> DataFrame:
-    """``vectors(id, embedding[, importance])`` -> the new prototype table. ``rule`` makes the new vector of one update.
+def learn(vectors: DataFrame, protos: DataFrame, step: int = 0, config: LearningConfig = LearningConfig(), decay: bool = True, rule: Rule = oja, assigned: DataFrame | None = None) -> DataFrame:
+    """``vectors(id, embedding[, importance])`` -> the new prototype table. ``rule`` makes the new vector of one update, of
+    the row at unit length. ``assigned`` is :func:`nearest` of the rows, if the caller has it.
 
     Rows are assigned against the matrix before the batch and then fold, in order of id, into their prototype; updates of
     different prototypes don't touch. Decay follows once. The rows of a prototype are streamed, so a popular one takes no
     more memory than another.
     """
     rows = vectors if "importance" in vectors.columns else vectors.withColumn("importance", F.lit(1.0))
-    mine = nearest(rows, protos).select("id", F.col("proto_id").cast("int").alias("proto_id")).join(rows.select("id", "embedding", "importance"), "id")
+    mine = (nearest(rows, protos) if assigned is None else assigned).select("id", F.col("proto_id").cast("int").alias("proto_id")).join(rows.select("id", "embedding", "importance"), "id")
     start = protos.select(F.col("proto_id").cast("int").alias("proto_id"), F.col("vec").cast("array<double>").alias("v"), F.col("access_count").cast("bigint").alias("n"), F.col("strength").cast("double").alias("s"))
     ordered = mine.withColumn("first", F.lit(0)).select("proto_id", "first", "id", F.col("embedding").cast("array<double>").alias("v"), F.col("importance").cast("double").alias("s"), F.lit(0).cast("bigint").alias("n"))
     # A prototype's own row opens its run.
@@ -146,7 +148,8 @@ def learn(vectors: DataFrame, protos: DataFrame, step: int = 0, config: Learning
                     now, state, hit = proto, (np.asarray(v, float), int(n), float(s)), False
                     continue
                 p, count, strength = state
-                state = rule(p, count, np.asarray(v, float), float(s), config), count + 1, min(strength + 1 / (1 + 0.2 * count), config.max_strength)
+                x = np.asarray(v, float)
+                state = rule(p, count, x / max(float(np.linalg.norm(x)), 1e-12), float(s), config), count + 1, min(strength + 1 / (1 + 0.2 * count), config.max_strength)
                 hit = True
             yield pd.DataFrame(done, columns=names)
         if hit:
@@ -168,13 +171,23 @@ def capacity_usage(protos: DataFrame, init_scale: float = 0.01) -> DataFrame:
     return protos.agg(F.avg((norm(F.col("vec")) > 3 * init_scale).cast("double")).alias("capacity_usage"))
 
 
-def learn_report(vectors: DataFrame, protos: DataFrame, init_scale: float = 0.01) -> DataFrame:
-    """One row: rows seen, distinct prototypes hit, and the share of prototypes in use."""
-    hit = nearest(vectors, protos).agg(F.count("*").alias("updated"), F.count_distinct("proto_id").alias("unique_updated"))
+def learn_report(assigned: DataFrame, protos: DataFrame, init_scale: float = 0.01) -> DataFrame:
+    """One row of what a batch of learning did: rows seen, distinct prototypes hit, and the share of prototypes in use.
+
+    ``assigned``: :func:`nearest` of the batch before the update; ``protos``: the table after it.
+    """
+    hit = assigned.agg(F.count("*").alias("updated"), F.count_distinct("proto_id").alias("unique_updated"))
     return hit.crossJoin(capacity_usage(protos, init_scale))
 
 
-def initial(vectors: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` rows of ``vectors(id, embedding)`` by id, at unit length, as a fresh prototype table."""
-    first = vectors.orderBy("id").limit(k).select(F.row_number().over(Window.orderBy("id")).alias("r"), "embedding")
-    return first.select((F.col("r") - 1).cast("int").alias("proto_id"), normalize(F.col("embedding")).alias("vec"), F.lit(1.0).alias("strength"), F.lit(0).cast("bigint").alias("access_count"), F.lit(-1).alias("created_step"), F.lit(-1).alias("last_access_step"))
+def initial(spark: SparkSession, k: int, dim: int, seed: int = 0) -> DataFrame:
+    """A fresh prototype table: ``k`` directions drawn evenly, at unit length, the same for the same seed.
+
+    Each number is a normal one made from two hashes of its place (Box and Muller), so the table is the same on any cluster.
+    """
+    place = lambda salt: (F.pmod(F.xxhash64("id", F.col("d"), F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    cells = spark.range(k).select("id", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("d"))
+    cells = cells.withColumn("x", F.sqrt(-2 * F.log(place(1))) * F.cos(2 * math.pi * place(2)))
+    rows = cells.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("r"))
+    fresh = F.lit(-1)
+    return rows.select(F.col("id").cast("int").alias("proto_id"), normalize(F.col("r.x")).alias("vec"), F.lit(1.0).alias("strength"), F.lit(0).cast("bigint").alias("access_count"), fresh.alias("created_step"), fresh.alias("last_access_step"))

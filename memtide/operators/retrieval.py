@@ -259,30 +259,35 @@ def fused_ends(rankings: Sequence[Ranking], total: int, k: int, c: int = 60) ->
         rankings, last = [r.within(open_) for r in rankings], last * 8
 
 
-def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig = RecallConfig(), scorers: Sequence[Scorer] | None = None, fuse: Fusion | None = None) -> DataFrame:
+def recall(queries: DataFrame, memories: DataFrame, lifecycle: Column | None, config: RecallConfig = RecallConfig(), scorers: Sequence[Scorer] | None = None, fuse: Fusion | None = None, use_terms: bool = True) -> DataFrame:
     """Hybrid recall of ``queries(query_id, text, embedding)`` over ``memories(pos, text, embedding, ...)``.
 
-    ``lifecycle`` is a score over columns of ``memories``. Returns ``(query_id, rank, pos, score)``, written. By default
+    ``lifecycle`` is a score over columns of ``memories``; without one the fused score is the score. ``use_terms=False``
+    leaves BM25 out. Returns ``(query_id, rank, pos, score)``, written. By default
     cosine and BM25 are fused by reciprocal ranks, and only the ends of either ranking are read (:func:`fused_ends`).
     Otherwise any function of queries and memories that returns ``(query_id, pos, score)`` is a
     scorer, any of rankings a fusion, and every score is ranked.
     """
-    return settled(lambda: _recall(queries, memories, lifecycle, config, scorers, fuse))
+    return settled(lambda: _recall(queries, memories, lifecycle, config, scorers, fuse, use_terms))
 
 
-def _recall(queries: DataFrame, memories: DataFrame, lifecycle: Column, config: RecallConfig, scorers: Sequence[Scorer] | None, fuse: Fusion | None) -> DataFrame:
-    queries, memories = cut(queries.select("query_id", "text", "embedding")), cut(memories.withColumn("_life", lifecycle).select("pos", "text", "embedding", "_life"))
+def _recall(queries: DataFrame, memories: DataFrame, lifecycle: Column | None, config: RecallConfig, scorers: Sequence[Scorer] | None, fuse: Fusion | None, use_terms: bool) -> DataFrame:
+    queries, memories = cut(queries.select("query_id", "text", "embedding")), cut(memories.withColumn("_life", F.lit(0.0) if lifecycle is None else lifecycle).select("pos", "text", "embedding", "_life"))
     if scorers is None and fuse is None:
-        index = postings.build_index(memories)
-        ends = fused_ends([VectorRanking(queries, memories), TermRanking(postings.ask(queries, index))], index.n, config.candidates)
+        rankings: list[Ranking] = [VectorRanking(queries, memories)]
+        if use_terms:
+            rankings.append(TermRanking(postings.ask(queries, postings.build_index(memories))))
+        ends = fused_ends(rankings, memories.count(), config.candidates)
         scaled = F.when(F.col("high") == F.col("low"), F.lit(1.0)).otherwise((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")))
         fused = ends.select("query_id", "pos", scaled.alias("score"))
     else:
         fused = normalized((fuse or reciprocal_rank_fusion)([score(queries, memories) for score in scorers or (vector_scores, bm25_scores)]))
     few = truncate(fused.where(F.col("score") >= config.min_score), config.candidates)
     few = few.join(memories.select("pos", "embedding", F.col("_life").alias("life")), "pos")
-    few = few.withColumn("life", min_max("life", flat="sign"))
-    few = few.select("query_id", "pos", "embedding", combined(F.col("score"), F.col("life"), config).alias("score"))
+    if lifecycle is not None:
+        few = few.withColumn("life", min_max("life", flat="sign"))
+        few = few.withColumn("score", combined(F.col("score"), F.col("life"), config))
+    few = few.select("query_id", "pos", "embedding", "score")
     kept = semantic_dedup(few, config.similarity)
     return truncate(rank(kept), config.top_k).select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,19 +43,25 @@ def uncut(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def settled(work: Callable[[], DataFrame]) -> DataFrame:
-    """The result of ``work()``, written; the tables that :func:`cut` made on the way are deleted, also after a failure."""
-    outer = _made.get()
-    token = _made.set([])
-    out = None
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Tables that :func:`cut` makes inside are deleted at the end, also after a failure; one taken off the list stays."""
+    made: list[DataFrame] = []
+    token = _made.set(made)
     try:
-        out = cut(work())
+        yield made
     finally:
-        made = _made.get()
         _made.reset(token)
         for table in made:
-            if table is not out:
-                uncut(table)
+            uncut(table)
+
+
+def settled(work: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``work()``, written; the tables that were made on the way are deleted."""
+    outer = _made.get()
+    with scope() as made:
+        out = cut(work())
+        made.remove(out)
     if outer is not None:
         outer.append(out)
     return out

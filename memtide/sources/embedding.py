@@ -113,6 +113,12 @@ def create_engine(backend: str, **options: object) -> Engine:
     return BACKENDS[backend](**options)
 
 
+def dimension(make: Callable[[], Engine]) -> int:
+    """How long an engine's vectors are: as it says, or else as those of a word are."""
+    engine = make()
+    return int(getattr(engine, "dim", 0)) or len(np.asarray(engine.encode(["dimension"]))[0])
+
+
 def embed(text: Column, make: Callable[[], Engine]) -> Column:
     """Vectors of a text column; the engine is made once a task."""
 

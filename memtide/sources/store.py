@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from memtide.functions.lifecycle import memory_key
 from memtide.functions.vec import norm
-from memtide.plans.lineage import cut
+from memtide.plans.lineage import cut, uncut
 from memtide.plans.ranks import numbered
 from memtide.sources import schemas
 
@@ -47,6 +47,20 @@ def merge_memories(disk: DataFrame, memory: DataFrame) -> DataFrame:
     return kept.where("_src = 0").select(*disk.columns).unionByName(new)
 
 
+def merged(disk: DataFrame, new: DataFrame, most: int = 10_000) -> DataFrame:
+    """The last ``most`` rows of :func:`merge_memories`."""
+    return merge_memories(disk, new).orderBy(F.col("pos").desc()).limit(most)
+
+
+def with_counter(counters: DataFrame, **values: int) -> DataFrame:
+    """``counters`` with some set anew."""
+    return counters.where(~F.col("name").isin(*values)).unionByName(counters.sparkSession.createDataFrame(list(values.items()), schemas.COUNTER))
+
+
+def counter(counters: DataFrame, name: str) -> int | None:
+    return counters.where(F.col("name") == name).agg(F.max("value")).first()[0]
+
+
 def bounded(memories: DataFrame, most: int = 10_000, by: str = "workspace") -> DataFrame:
     """The last ``most`` rows of each workspace."""
     newest = Window.partitionBy(by).orderBy(F.col("pos").desc())
@@ -82,6 +96,8 @@ class Repository(Protocol):
 
     def merge(self, memories: DataFrame) -> None: ...
 
+    def commit(self, make: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]]) -> None: ...
+
     def recover(self) -> dict[str, str]: ...
 
     def step(self) -> int: ...
@@ -149,18 +165,29 @@ class Store:
 
     def _change(self, table: str, make: Callable[[dict[str, str]], DataFrame], tries: int = 20) -> None:
         """Write ``make(pointers)`` as the new version of a table; made anew when another writer was first."""
+        self._commit(lambda now: {table: make(now)}, tries)
+
+    def _commit(self, make: Callable[[dict[str, str]], dict[str, DataFrame]], tries: int = 20) -> None:
+        """Write new versions of some tables, ``make(pointers)``, under one manifest: either all count or none. They are made
+        anew when another writer has changed one of them meanwhile."""
         for _ in range(tries):
             number, pointers = self._latest("current")
-            version = uuid.uuid4().hex
-            make(pointers).write.parquet(sandboxed(self.root, f"{table}/{version}"))
+            versions = {}
+            for table, df in make(pointers).items():
+                versions[table] = uuid.uuid4().hex
+                df.write.parquet(sandboxed(self.root, f"{table}/{versions[table]}"))
             while True:
-                if self._point("current", pointers | {table: version}, number):
+                if self._point("current", pointers | versions, number):
                     return
                 number, now = self._latest("current")
-                if now.get(table) != pointers.get(table):
-                    break  # the table itself was changed meanwhile
+                if any(now.get(t) != pointers.get(t) for t in versions):
+                    break
                 pointers = now
-        raise RuntimeError(f"{table}: other writers were first {tries} times")
+        raise RuntimeError(f"{sorted(versions)}: other writers were first {tries} times")
+
+    def commit(self, make: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]]) -> None:
+        """``make(read)`` gives new versions of some tables from the current ones; all are in force at once, or none."""
+        self._commit(lambda now: make(lambda table: self._read(table, now)))
 
     def read(self, table: str, name: str = "current") -> DataFrame:
         """The current version; an empty table where there is none."""
@@ -199,7 +226,8 @@ class Store:
     def merge(self, memories: DataFrame, most: int = 10_000) -> None:
         """Read, merge, bound and write: rows that another writer has stored meanwhile stay."""
         new = cut(memories)
-        self._change("memories", lambda now: merge_memories(self._read("memories", now), new).orderBy(F.col("pos").desc()).limit(most))
+        self.commit(lambda read: {"memories": merged(read("memories"), new, most)})
+        uncut(new)
 
     def checkpoint(self, name: str) -> str:
         while not self._point(valid_name(name), self._pointers("current")):
@@ -226,11 +254,10 @@ class Store:
 
     def step(self) -> int:
         """How many times the prototypes have learned."""
-        return self.read("counters").where("name = 'step'").agg(F.coalesce(F.sum("value"), F.lit(0))).first()[0]
+        return counter(self.read("counters"), "step") or 0
 
     def set_step(self, value: int) -> None:
-        rest = self.read("counters").where("name <> 'step'")
-        self.write("counters", rest.unionByName(self.spark.createDataFrame([("step", value)], schemas.COUNTER)))
+        self.write("counters", with_counter(self.read("counters"), step=value))
 
     def status(self) -> dict[str, object]:
         """Counts, the share of prototypes in use, the step and the checkpoints in order of their names."""

@@ -29,7 +29,7 @@ def test_engine_round_trip(spark, tmp_path) -> None:
     engine.forget()
     assert engine.status()["memory_count"] == 0
     engine.restore("one")
-    assert engine.status() == {"workspace": f"file://{tmp_path}/ws", "memory_count": 3, "prototypes": 0, "capacity_usage": 0.0, "prototype_capacity": 4, "skills": 0, "step": 0, "checkpoints": ["one"], "load_errors": []}
+    assert engine.status() == {"workspace": f"file://{tmp_path}/ws", "memory_count": 3, "prototypes": 4, "capacity_usage": 1.0, "prototype_capacity": 4, "skills": 0, "step": 0, "checkpoints": ["one"], "load_errors": []}
     assert engine.listing().first()["memory_count"] == 3
     with pytest.raises(FileNotFoundError):
         engine.restore("two")
@@ -59,7 +59,7 @@ def test_processed_items_are_learned(spark, tmp_path) -> None:
     assert engine.process(items, datetime(2024, 1, 1)) == 2
     assert engine.process(items, datetime(2024, 1, 1)) == 0  # a batch that comes again
     status = engine.status()
-    assert (status["memory_count"], status["step"], status["prototypes"]) == (2, 1, 2) and status["capacity_usage"] == 1.0
+    assert (status["memory_count"], status["step"], status["prototypes"]) == (2, 1, 4) and status["capacity_usage"] == 1.0
     assert engine.tables.read("transitions").agg(F.sum("cnt")).first()[0] == 1
     (tmp_path / "in").mkdir()
     spark.createDataFrame([(5, "A third memory that is of another kind")], "pos bigint, text string").write.json(f"{tmp_path}/in/a")
@@ -68,9 +68,55 @@ def test_processed_items_are_learned(spark, tmp_path) -> None:
     assert engine.status()["memory_count"] == 3 and engine.status()["step"] == 2
 
 
+def test_items_stored_one_by_one_are_learned_as_a_chain(spark, tmp_path) -> None:
+    engine = MemoryEngine(spark, f"file://{tmp_path}/ws", embedding.HashEngine, n_prototypes=4, prediction=markov.FirstOrder(4))
+    heard = []
+    engine.subscribe(heard.append)
+    start = [np.array(r["vec"]) for r in engine.tables.read("prototypes").orderBy("proto_id").collect()]
+    assert len(start) == 4 and all(abs(np.linalg.norm(v) - 1) < 1e-12 for v in start)
+    texts = ["We decided to use Spark for the backend", "The port of the service is 8080", "The team prefers small commits", "Backups run every night at two"]
+    table, counts, chain = np.array(start), [0] * 4, []
+    for day, text in enumerate(texts):
+        assert engine.process(spark.createDataFrame([(0, text)], "pos bigint, text string"), datetime(2024, 1, 1 + day)) == 1
+        x = embedding.HashEngine().encode([text])[0]
+        near = int(np.argmax(table / np.linalg.norm(table, axis=1, keepdims=True) @ x))
+        y = table[near] @ x
+        moved = table[near] + 0.1 / (1 + 0.01 * counts[near]) * y * (x - y * table[near])
+        table[near] = moved / np.linalg.norm(moved)
+        table, counts[near] = table * 0.995, counts[near] + 1
+        chain.append(near)
+    rows = engine.tables.read("prototypes").orderBy("proto_id").collect()
+    assert np.allclose([r["vec"] for r in rows], table) and [r["access_count"] for r in rows] == counts
+    edges = {(r["prev"], r["next"]): r["cnt"] for r in engine.tables.read("transitions").collect()}
+    assert sum(edges.values()) == 3 and edges == {(str(a), str(b)): list(zip(chain, chain[1:], strict=False)).count((a, b)) for a, b in zip(chain, chain[1:], strict=False)}
+    learned = [e["report"] for e in heard if e["type"] == "learn"]
+    assert [r["updated_ids"] for r in learned] == [[c] for c in chain] and [r["step"] for r in learned] == [0, 1, 2, 3] and all(r["unique_updated"] == 1 for r in learned)
+    left = sum(n for (a, _), n in edges.items() if a == str(chain[-1]))
+    again = edges.get((str(chain[-1]),) * 2, 0)
+    assert learned[-1]["surprise_score"] == (1 - (again + 1) / (left + 4) if left else 1.0)
+    assert engine.predict_next(chain[0]) is not None and {e["type"] for e in heard} == {"encode", "learn"}
+    engine.unsubscribe(heard.append)
+    engine.forget()
+    assert engine.predict_next() is None and engine.status()["step"] == 0 and np.allclose([r["vec"] for r in engine.tables.read("prototypes").orderBy("proto_id").collect()], start)
+
+
+def test_a_crash_while_learning_leaves_nothing_half_done(spark, tmp_path, monkeypatch) -> None:
+    engine = MemoryEngine(spark, f"file://{tmp_path}/ws", embedding.HashEngine, n_prototypes=4, prediction=markov.FirstOrder(4), learn_on_observe=True)
+    items = spark.createDataFrame([(0, "We decided to use Spark for the backend")], "pos bigint, text string")
+    with monkeypatch.context() as m:
+        m.setattr(engine.prediction, "update", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            engine.process(items, datetime(2024, 1, 1))
+    assert (engine.status()["memory_count"], engine.status()["step"]) == (0, 0)
+    assert engine.process(items, datetime(2024, 1, 1)) == 1 and (engine.status()["memory_count"], engine.status()["step"]) == (1, 1)
+    assert engine.store(spark.createDataFrame([(0, "The port of the service is 8080")], "pos bigint, text string")) == 1 and engine.status()["step"] == 2
+    plain = engine.recall(["Spark backend"], use_bm25=False, use_lifecycle=False).orderBy("rank").collect()
+    assert len(plain) == 2 and {round(r["score"], 6) for r in plain} == {0.0, 1.0}
+
+
 def test_hook_handlers(spark, tmp_path) -> None:
     engine = MemoryEngine(spark, f"file://{tmp_path}/ws", embedding.HashEngine, n_prototypes=4)
-    assert engine.on_session_start() == {"memory_count": 0, "capacity_usage": 0.0}
+    assert engine.on_session_start() == {"memory_count": 0, "capacity_usage": 1.0}
     told = "We decided to always use the Spark engine for the important backend jobs"
     stop = [{"messages": [{"role": "user", "content": "old"}, {"role": "user", "content": told}, {"role": "assistant", "content": "ok"}], "last_assistant_message": "The goal is confirmed: password=hunter2hunter must never be logged"}, {"last_assistant_message": ""}, {}]
     payloads = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(stop)], "event_id bigint, payload string")

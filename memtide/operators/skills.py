@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memtide.plans.lineage import cut
+
 #: Commands that only read, and the reading subcommands of git.
 SAFE_VERBS = ("cat", "ls", "find", "grep", "rg", "head", "tail", "wc", "sort", "uniq", "diff", "stat", "echo", "pwd", "which", "git")
 SAFE_GIT = ("status", "log", "show", "branch", "remote", "diff", "ls-files", "ls-tree")
@@ -124,12 +126,29 @@ def template_regex(template: Column) -> Column:
     return F.concat(F.lit(r"\A\s*"), F.array_join(F.transform(command_tokens(template), part), r"\s+"), F.lit(r"\s*\z"))
 
 
+#: Templates, and shapes of templates, that are sent to every task; more are shuffled.
+MAX_TEMPLATES = 1_000_000
+
+
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(MAX_TEMPLATES + 1).count() <= MAX_TEMPLATES else table
+
+
 def match_templates(commands: DataFrame, skills: DataFrame) -> DataFrame:
-    """Each command with the first skill, in store order, whose template it fits."""
-    s = skills.where(~F.col("deprecated")).select("id", "position", template_regex(F.coalesce("template", "expansion")).alias("_re"))
-    hits = commands.crossJoin(s).where(F.expr("command rlike _re"))
-    first = hits.groupBy("event_id").agg(F.min_by("id", "position").alias("skill_id"))
-    return commands.join(first, "event_id", "left")
+    """Each command with the first skill, in store order, whose template it fits.
+
+    A template's shape says which of its words are slots. A command is looked up once for each shape of as many words, by
+    the words that stand where the shape has none, so no template is tried that does not fit. ``_`` is a word, ``*`` a slot.
+    """
+    slot = lambda t: t.rlike(r"\A\{.*\}\z")
+    t = skills.where(~F.col("deprecated")).select("id", "position", command_tokens(F.coalesce("template", "expansion")).alias("t")).where("t is not null")
+    t = t.select("id", "position", F.array_join(F.transform("t", lambda x: F.when(slot(x), "*").otherwise("_")), "").alias("shape"), F.filter("t", lambda x: ~slot(x)).alias("words"))
+    t = cut(t.groupBy("shape", "words").agg(F.min_by(F.struct("position", "id"), "position").alias("first")))
+    shapes = t.select("shape", F.length("shape").alias("n")).distinct()
+    told = commands.select("event_id", F.filter(F.split("command", r"\s+"), lambda x: x != "").alias("_w")).withColumn("n", F.size("_w"))
+    keyed = told.join(_few(shapes), "n").select("event_id", "shape", F.filter("_w", lambda x, i: F.substring(F.col("shape"), i + 1, F.lit(1)) == "_").alias("words"))
+    first = keyed.join(_few(t), ["shape", "words"]).groupBy("event_id").agg(F.min("first").alias("first"))
+    return commands.join(first, "event_id", "left").select(*commands.columns, F.col("first.id").alias("skill_id"))
 
 
 FOLDED = "confidence double, usage_count int, failure_count int, deprecated boolean"

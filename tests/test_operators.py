@@ -135,3 +135,22 @@ def test_rank_by_ranges(spark) -> None:
     assert ranks(retrieval.rank_by_ranges(df, 6)) == ranks(retrieval.rank(df))
     fused = lambda **k: {(r["query_id"], r["pos"]): r["score"] for r in retrieval.reciprocal_rank_fusion([df], **k).collect()}
     assert fused(partitions=4) == fused()
+
+
+def test_many_templates_fit_as_their_patterns_do(spark) -> None:
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(("run", "git", "{v}", "{path2}", "a.b*", "--k", "x\\E", "é"))
+    told = [" ".join(word() for _ in range(rnd.randrange(0, 5))) for _ in range(300)]
+    rows = [(f"s{i}", i, t if i % 3 else None, None if i % 3 else t, i % 11 == 0) for i, t in enumerate(told)] + [("none", 400, None, None, False)]
+    templates = spark.createDataFrame(rows, "id string, position int, template string, expansion string, deprecated boolean").orderBy(F.desc("position"))
+    said = [" \t".join(rnd.choice(("run", "git", "7", "a.b*", "--k", "x\\E", "é", "{v}", "\u00a0")) for _ in range(rnd.randrange(0, 6))) + " " * (i % 3) for i in range(200)] + [None]
+    events = spark.createDataFrame(list(enumerate(said)), "event_id bigint, command string")
+    compiled = spark.createDataFrame(rows, templates.schema).where("not deprecated").select("id", skills.template_regex(F.coalesce("template", "expansion")).alias("re")).collect()
+    java = spark.sparkContext._jvm.java.util.regex.Pattern
+    patterns = [(r["id"], java.compile(r["re"])) for r in compiled if r["re"] is not None]
+    want = {i: next((k for k, p in patterns if c is not None and p.matcher(c).find()), None) for i, c in enumerate(said)}
+    got = {r["event_id"]: r["skill_id"] for r in skills.match_templates(events, templates).collect()}
+    assert got == want and len({v for v in want.values()}) > 10
+    many = spark.range(100_000).select(F.col("id").cast("string"), F.col("id").cast("int").alias("position"), F.concat(F.lit("run {x} job"), F.col("id")).alias("template"), F.lit(None).cast("string").alias("expansion"), F.lit(False).alias("deprecated"))
+    asked = spark.range(1000).select(F.col("id").alias("event_id"), F.concat(F.lit("run it job"), F.col("id") * 90).alias("command"))
+    assert skills.match_templates(asked, many).where("skill_id = event_id * 90").count() == 1000

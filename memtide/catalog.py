@@ -16,7 +16,8 @@ from memtide.functions import text as T
 from memtide.functions.lifecycle import becomes_stale, content_dedup, lifecycle_score, memory_key
 from memtide.functions.redact import MARK, PATTERNS, redact
 from memtide.functions.rules import SCRIPT_BLOCKS, default_packs
-from memtide.operators import filtering, gate, markov, metrics, prototypes, retrieval, skills
+from memtide.functions.vec import norm
+from memtide.operators import filtering, gate, markov, metrics, pivots, prototypes, retrieval, skills
 from memtide.plans.lineage import drain
 from memtide.sources import embedding, store
 from memtide.sources.scan import spread
@@ -351,6 +352,22 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.contradictions(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "text").unionByName(more))
 
 
+@query(ORACLES["vector_topk"])
+def vector_topk_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``vector_topk``, over an index that leaves out what is too far."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), _vec().alias("embedding"))
+    found, _ = pivots.pivot_top(e.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), pivots.build_pivots(e), 10)
+    return retrieval.truncate(found, 10).select("query_id", "pos", F.round("score", 6).alias("score"))
+
+
+@query(ORACLES["duplicate_gate"])
+def duplicate_gate_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``duplicate_gate``, over an index of the existing rows."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("text"), _vec().alias("embedding"), "label")
+    old = e.where("label >= 5").drop("label")
+    return gate.duplicate_gate(e.where("label < 5").drop("label"), old, 0.3, pivots.build_pivots(old)).select("pos", "ok", "reason", "similar_memory")
+
+
 @query("""
 with c as (select doc_id, unnest(list_transform(range(greatest(1, cast(ceil(length(text) / 4096.0) as bigint))), lambda i: substr(text, i * 4096 + 1, 4096))) as c from documents)
 select doc_id, count(*) as n_chunks, round(avg(length(c)), 6) as mean_chars, round(avg(length(c) - length(replace(c, ' ', ''))), 6) as mean_blanks from c group by doc_id""")
@@ -415,7 +432,7 @@ def learn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with recursive {PROTO},
 n as (select id, arg_max(proto_id, (round(sim, 12), -proto_id)) as proto_id from sim group by id),
-o as (select n.proto_id, v.e, row_number() over (partition by n.proto_id order by n.id) as i from n join v using (id)),
+o as (select n.proto_id, list_transform(v.e, lambda x: x / sqrt(list_dot_product(v.e, v.e))) as e, row_number() over (partition by n.proto_id order by n.id) as i from n join v using (id)),
 f as (
   select proto_id, 0::bigint as i, vec as v, 1.0::double as s from pr
   union all
@@ -436,9 +453,10 @@ def residual_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.residual_norm(vectors(spark, sf_dir), protos(spark, sf_dir), prototypes.LearningConfig()).select(F.round("residual_norm", 6).alias("residual_norm"))
 
 
-@query("select round(pow(0.995, 100), 6) as strength_ratio")
+@query(f"with {PROTO} select proto_id, round((1 + proto_id) * pow(0.995, 100), 6) as strength, round(sqrt(list_dot_product(vec, vec)) * pow(0.995, 100), 6) as length from pr")
 def decay_forgetting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.forgetting_suite(protos(spark, sf_dir)).select(F.round("strength_ratio", 6).alias("strength_ratio"))
+    after = prototypes.decayed(protos(spark, sf_dir).withColumn("strength", 1.0 + F.col("proto_id")), 100)
+    return after.select("proto_id", F.round("strength", 6).alias("strength"), F.round(norm(F.col("vec")), 6).alias("length"))
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -570,13 +588,12 @@ def skill_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMMANDS = ("ls -la", "git status", "git push", "GIT log", "rm -rf x", "", "git", "cat a | wc", "  head f")
 
 
-@query("""
-with v as (select * from (values ('ls -la', true), ('git status', true), ('git push', false), ('GIT log', true), ('rm -rf x', false), ('', false), ('git', false), ('cat a | wc', true), ('  head f', true)) as t(command, safe)),
-t as (select event_id, false as safe from events where event_id % 5 = 0)
-select command, safe from v""")
+@query("select event_id, [true, true, false, true, false, false, false, true, true][event_id % 9 + 1] and user_id % 4 < 3 as safe from events")
 def safe_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.createDataFrame([(x,) for x in COMMANDS], "command string")
-    return c.select("command", skills.is_safe(F.lit("Shell"), F.col("command")).alias("safe"))
+    """A command of every event, with the user's number as its last word; those of every fourth user are another tool's."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id") % len(COMMANDS)
+    command = F.concat_ws(" ", F.get(F.array(*map(F.lit, COMMANDS)), n.cast("int")), F.col("user_id").cast("string"))
+    return e.select("event_id", skills.is_safe(F.when(F.col("user_id") % 4 < 3, "Shell").otherwise("Read"), command).alias("safe"))
 
 
 @query("""
@@ -606,22 +623,27 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
 
 
-PAYLOADS = ('{"user_prompt": "a"}', '{"prompt": "b"}', '{"prompt": [{"type": "text", "text": "c"}, {"type": "image"}, {"type": "text", "text": "d"}]}', '{"hook_input": {"content": "e"}}', '{"matcher": "f"}', "{}", '{"user_prompt": "", "prompt": "g"}', "not json")
-
-
-@query("select * from (values (0, 'a'), (1, 'b'), (2, 'c' || chr(10) || 'd'), (3, 'e'), (4, 'f'), (5, ''), (6, 'g'), (7, '')) as t(n, user_text)")
+@query("""select conv_id, turn, case (conv_id + turn) % 7 when 2 then text || case when text = '' then '' else chr(10) end || 'd' when 5 then '' when 6 then case when text = '' then 'g' else text end else text end as user_text from conversations""")
 def user_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(PAYLOADS)), "n int, payload string")
-    return rows.select("n", hooks.user_text(F.col("payload")).alias("user_text"))
-
-
-RESULTS = ('{"tool_result": true}', '{"tool_result": false}', '{"tool_result": {"exit_code": 0}}', '{"tool_result": {"exit_code": 2}}', '{"tool_result": {"error": "x"}}', '{"tool_result": {"success": false}}', '{"tool_result": {"stdout": "ok"}}', '{"tool_result": "Error: no"}', '{"tool_result": "fine"}', "{}", '{"tool_result": 3}')
+    """Every turn's text in the places of a payload where it may stand, one after the other, and in none."""
+    t = F.col("text")
+    struct = lambda **k: F.to_json(F.struct(*(v.alias(n) for n, v in k.items())))
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    shapes = [struct(user_prompt=t), struct(prompt=t), struct(prompt=F.array(part("text", t), part("image", F.lit(None).cast("string")), part("text", F.lit("d")))), struct(hook_input=F.struct(t.alias("content"))), struct(matcher=t), F.concat(F.lit("not json "), t), struct(user_prompt=t, prompt=F.lit("g"))]
+    payload = F.get(F.array(*shapes), ((F.col("conv_id") + F.col("turn")) % len(shapes)).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", hooks.user_text(payload).alias("user_text"))
 
 
-@query("select * from (values (0, true), (1, false), (2, true), (3, false), (4, false), (5, false), (6, true), (7, false), (8, true), (9, null), (10, null)) as t(n, ok)")
+@query("""select event_id, case event_id % 7 when 0 then user_id % 3 = 0 when 1 then event_type = 'click' when 2 then user_id % 2 = 0 when 3 then event_type = 'view' when 4 then user_id % 2 = 1 when 5 then true end as ok from events""")
 def tool_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(RESULTS)), "n int, payload string")
-    return rows.select("n", hooks.tool_result(F.col("payload")).alias("ok"))
+    """What a tool returned, in all its forms: exit code, boolean, text, success, error, output, and nothing."""
+    user, kind = F.col("user_id"), F.col("event_type")
+    told = [
+        F.struct((user % 3).alias("exit_code")), kind == "click", F.when(user % 2 == 0, kind).otherwise(F.concat(F.lit("Error: "), kind)),
+        F.struct((kind == "view").alias("success")), F.struct(F.when(user % 2 == 0, kind).alias("error"), F.lit("x").alias("stdout")), F.struct(kind.alias("stdout")), F.lit(None).cast("string"),
+    ]
+    payload = F.get(F.array(*(F.to_json(F.struct(x.alias("tool_result"))) for x in told)), (F.col("event_id") % len(told)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", hooks.tool_result(payload).alias("ok"))
 
 
 @query("select doc_id from documents where text not in (select text from benchmark)")

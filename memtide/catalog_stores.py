@@ -332,3 +332,68 @@ def formatted_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES, ORACLES = C.QUERIES, C.ORACLES
+
+
+# Learning over calls
+
+
+CALLS = 5
+
+
+def _calls_sql() -> str:
+    said = f"with recursive {C.PROTO}, pr0 as (select proto_id, vec, 0::bigint as n, 1.0::double as s from pr)"
+    for b in range(CALLS):
+        said += f""",
+a{b} as materialized (select id, e, arg_max(proto_id, (round(sim, 12), -proto_id)) as proto_id from (select v.id, v.e, p.proto_id, list_cosine_similarity(v.e, p.vec) as sim from v, pr{b} p where v.id % {CALLS} = {b}) group by id, e),
+o{b} as materialized (select proto_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e, row_number() over (partition by proto_id order by id) as i from a{b}),
+f{b} as (
+  select proto_id, 0::bigint as i, vec as v, n, s from pr{b}
+  union all
+  select proto_id, i, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))), n + 1, least(s + 1 / (1 + 0.2 * n), 5.0) from (
+    select f.proto_id, o.i, f.n, f.s, list_transform(range(1, len(f.v) + 1), lambda d: f.v[d] + 0.1 / (1 + 0.01 * f.n) * list_dot_product(f.v, o.e) * (o.e[d] - list_dot_product(f.v, o.e) * f.v[d])) as raw
+    from f{b} f join o{b} o on o.proto_id = f.proto_id and o.i = f.i + 1)),
+pr{b + 1} as materialized (select proto_id, list_transform(arg_max(v, i), lambda x: 0.995 * x) as vec, max(n) as n, 0.995 * arg_max(s, i) as s from f{b} group by proto_id)"""
+    hits = " union all ".join(f"select {b} as b, id, proto_id from a{b}" for b in range(CALLS))
+    return said + f""",
+hit as ({hits}), edge as (select lag(proto_id) over (order by b, id) as prev, proto_id as next from hit)
+select 'vec' as kind, proto_id::bigint as a, d::bigint as b, round(x, 6) as value from (select proto_id, unnest(vec) as x, unnest(range(len(vec))) as d from pr{CALLS})
+union all select 'count', proto_id, 0, n from pr{CALLS} union all select 'strength', proto_id, 0, round(s, 6) from pr{CALLS}
+union all select 'edge', prev, next, count(*) from edge where prev is not null group by all
+union all select 'report', b, count(distinct proto_id), count(*) from hit group by b"""
+
+
+def _learner(spark: SparkSession, sf_dir: str) -> MemoryEngine:
+    engine = MemoryEngine(spark, folder(spark), HashEngine, prediction=markov.FirstOrder(64))
+    engine.tables.write("prototypes", C.protos(spark, sf_dir).select("proto_id", F.col("vec").cast("array<double>").alias("vec"), "strength", "access_count", "created_step", "last_access_step"))
+    return engine
+
+
+def _state(engine: MemoryEngine, reports: list[tuple]) -> DataFrame:
+    p = engine.tables.read("prototypes")
+    row = lambda kind, a, b, value: (F.lit(kind).alias("kind"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), value.cast("double").alias("value"))
+    n = F.lit(0)
+    vec = p.select("proto_id", F.posexplode("vec").alias("d", "x")).select(*row("vec", F.col("proto_id"), F.col("d"), F.round("x", 6)))
+    edges = engine.tables.read("transitions").select(*row("edge", F.col("prev"), F.col("next"), F.col("cnt")))
+    told = engine.spark.createDataFrame(reports, "step long, hit long, n long").select(*row("report", F.col("step"), F.col("hit"), F.col("n")))
+    return vec.unionByName(p.select(*row("count", F.col("proto_id"), n, F.col("access_count")))).unionByName(p.select(*row("strength", F.col("proto_id"), n, F.round("strength", 6)))).unionByName(edges).unionByName(told)
+
+
+@query(_calls_sql())
+def learning_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five learn calls over all embeddings: prototypes, the chain of transitions over the calls, and the reports."""
+    engine, e = _learner(spark, sf_dir), C.vectors(spark, sf_dir)
+    reports = [engine.learn(e.where(F.col("id") % CALLS == b)).first() for b in range(CALLS)]
+    return _state(engine, [(r["step"], r["unique_updated"], r["updated"]) for r in reports])
+
+
+@query(_calls_sql())
+def streaming_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of five files, a micro-batch each, as a subscriber hears of it."""
+    engine, e, path = _learner(spark, sf_dir), C.vectors(spark, sf_dir), folder(spark)
+    reports = []
+    engine.subscribe(lambda event: reports.append((event["step"], event["report"]["unique_updated"], event["report"]["updated"])))
+    for b in range(CALLS):
+        e.where(F.col("id") % CALLS == b).coalesce(1).write.parquet(f"{path}/in/{b}")
+    stream = spark.readStream.schema("id bigint, embedding array<double>").option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    engine.learn_stream(stream).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return _state(engine, reports)

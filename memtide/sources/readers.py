@@ -30,13 +30,13 @@ def skill_by_id(skills: DataFrame, skill_id: str) -> DataFrame:
     return skills.where(F.col("id") == skill_id).limit(1)
 
 
-def transcript(spark: SparkSession, path: str, last: int = 2) -> DataFrame:
+def transcript(spark: SparkSession, path: str | Sequence[str], last: int = 2) -> DataFrame:
     """The last messages of each JSONL transcript: ``(path, n, role, content)``, oldest first.
 
     Wrapped items are unwrapped; only messages of a user or assistant with text count; bad lines are left out.
     """
     item = "type string, role string, content array<struct<type:string,text:string>>"
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"), F.from_json("value", f"{item}, payload struct<{item.replace(' ', ':', 1).replace(', role ', ',role:').replace(', content ', ',content:')}>").alias("j"))
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"), F.from_json("value", f"{item}, payload struct<{item.replace(' ', ':', 1).replace(', role ', ',role:').replace(', content ', ',content:')}>").alias("j"))
     inner = F.when((F.col("j.type") == "response_item") & F.col("j.payload").isNotNull(), F.col("j.payload")).otherwise(F.struct("j.type", "j.role", "j.content"))
     rows = lines.where("j is not null").select("path", "line", inner.alias("m")).where("m.type = 'message' and m.role in ('user', 'assistant')")
     texts = F.filter("m.content", lambda p: p["type"].isin("input_text", "output_text") & (F.coalesce(p["text"], F.lit("")) != ""))

@@ -172,8 +172,10 @@ class Store:
         anew when another writer has changed one of them meanwhile."""
         for _ in range(tries):
             number, pointers = self._latest("current")
-            versions = {}
-            for table, df in make(pointers).items():
+            versions, new = {}, make(pointers)
+            if not new:
+                return
+            for table, df in new.items():
                 versions[table] = uuid.uuid4().hex
                 df.write.parquet(sandboxed(self.root, f"{table}/{versions[table]}"))
             while True:

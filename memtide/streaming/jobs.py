@@ -10,29 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from memtide.functions.redact import redact
-from memtide.operators import gate, skills
-from memtide.operators.filtering import decide
+from memtide.operators import skills
 from memtide.plans.lineage import cut, uncut
 from memtide.sources.store import Store, bounded, upsert_skills
 
 TRACKED = "workspace string, event_id bigint, cluster_key string, repeat_count bigint, template string, fixed_part string, fixed_ratio double, frustration double, ready boolean"
 
 
-def store_queue(items: DataFrame, existing: Callable[[], DataFrame], append: Callable[[DataFrame], None], threshold: float = 0.95) -> DataStreamWriter:
-    """Items ``(id, text, importance, embedding)`` -> batches that pass the filter and the duplicate gate, appended.
-
-    The checkpoint replaces the queue and its worker: the source's rate limit bounds a batch, ``availableNow`` or
-    ``processAllAvailable`` flushes, and an item is never lost by a restart. A batch sees what earlier ones appended.
-    """
-
-    def batch(df: DataFrame, _: int) -> None:
-        fit = decide(df).where("store").drop("store", "score", "reason").withColumnRenamed("id", "pos")
-        passed = gate.duplicate_gate(fit, existing(), threshold).where("ok")
-        append(passed.drop("ok", "reason", "similar_memory"))
-
-    return items.writeStream.foreachBatch(batch)
-
-
 class Tracker(StatefulProcessor):
     """The last ``window`` commands of a workspace; emits the state of the cluster that each event falls into.
 

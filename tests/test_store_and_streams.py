@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memtide.engine import MemoryEngine
 from memtide.operators import markov
 from memtide.sources import embedding, readers, schemas, store
-from memtide.streaming import jobs
+from memtide.streaming import backlog, jobs
 
 
 def test_engine_round_trip(spark, tmp_path) -> None:
@@ -233,15 +233,42 @@ def test_skill_upsert(spark) -> None:
     assert got == {"a": (2, "t0"), "b": (1, "t0")}
 
 
-def test_store_queue(spark, tmp_path) -> None:
-    rows = [(1, "We decided to use Spark", 1.0, [1.0, 0.0]), (2, "aaaaaaaa", 1.0, [0.0, 1.0]), (3, "The same again but close", 1.0, [0.999, 0.01])]
-    schema = "id bigint, text string, importance double, embedding array<double>"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stored = str(tmp_path / "stored")
-    empty = spark.createDataFrame([(0, "old", [0.999, 0.02])], "pos bigint, text string, embedding array<double>")
-    writer = jobs.store_queue(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda: empty, lambda df: df.write.mode("append").parquet(stored), 0.9999)
-    writer.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r["pos"] for r in spark.read.parquet(stored).collect()) == [1]
+def test_backlog_refuses_flushes_stops_and_goes_on(spark, tmp_path) -> None:
+    engine = MemoryEngine(spark, f"file://{tmp_path}/ws", embedding.HashEngine, n_prototypes=4)
+    queue = backlog.Backlog(engine, f"file://{tmp_path}/q", max_pending=3)
+    queue.put(["We decided to use Spark for the backend", ("The port of the service is 8080", 2.0)])
+    with pytest.raises(backlog.Full):
+        queue.put(["one", "two"])
+    assert queue.pending() == 2 and not queue.alive() and not queue.flush(0.1)
+    queue.start()
+    assert queue.alive() and queue.flush() and queue.pending() == 0 and queue.stop(60) and not queue.alive()
+    assert engine.status()["memory_count"] == 2
+    queue.put(["The team prefers small commits"])
+    again = backlog.Backlog(engine, f"file://{tmp_path}/q", max_pending=3)
+    assert again.pending() == 1
+    again.start()
+    assert again.flush() and again.stop(60) and engine.status()["memory_count"] == 3 and again.pending() == 0
+    step = engine.status()["step"]
+    again._batch(spark.createDataFrame([(2, "The team prefers small commits", 1.0)], backlog.ITEM), 1)  # comes again
+    assert again.pending() == 0 and engine.status()["memory_count"] == 3 and engine.status()["step"] == step
+
+
+def test_a_learned_batch_is_not_learned_again(spark, tmp_path) -> None:
+    engine = MemoryEngine(spark, f"file://{tmp_path}/ws", embedding.HashEngine, n_prototypes=4)
+    rows = spark.createDataFrame([(i, [float(i == d) for d in range(64)]) for i in range(3)], "id bigint, embedding array<double>")
+    assert engine.learn(rows, batch=0).first()["updated"] == 3 and engine.learn(rows, batch=0) is None
+    other = MemoryEngine(spark, f"file://{tmp_path}/ws", embedding.HashEngine, n_prototypes=4)
+    assert other.learn(rows, batch=0) is None and other.learn(rows, batch=1).first()["step"] == 1 and other.status()["step"] == 2
+
+
+def test_stop_reads_the_transcript_when_there_are_no_messages(spark, tmp_path) -> None:
+    engine = MemoryEngine(spark, f"file://{tmp_path}/ws", embedding.HashEngine, n_prototypes=4)
+    told = "We decided to always use the Spark engine for the important backend jobs"
+    line = {"type": "message", "role": "user", "content": [{"type": "input_text", "text": told}]}
+    (tmp_path / "t.jsonl").write_text("broken\n" + json.dumps(line) + "\n")
+    payloads = spark.createDataFrame([(0, json.dumps({"transcript_path": str(tmp_path / "t.jsonl")})), (1, json.dumps({"messages": [], "transcript_path": str(tmp_path / "none.jsonl")}))], "event_id bigint, payload string")
+    assert engine.on_stop(payloads, datetime(2024, 1, 1)) == 1
+    assert [r["text"] for r in engine.tables.read("memories").collect()] == [told]
 
 
 def test_streams_equal_batches(spark, tmp_path) -> None:

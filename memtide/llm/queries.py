@@ -59,6 +59,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(docs, min_cost=10.0, min_chars=8, words=secrets.corpus_words(docs, most=50_000)))
 
 
+@settles
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), min_match=5, min_coverage=0.5)
 

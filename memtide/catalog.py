@@ -107,16 +107,16 @@ s as (select q.pos as query_id, tf.pos, {BM25} as score from tf join df using (t
 """
 
 
-@query(f"{_BM25_DOCS} select query_id, pos, round(score, 6) as score from s")
+@query(f"{_BM25_DOCS} select query_id, pos, score from s")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
-    return retrieval.bm25_scores(docs.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), docs).select("query_id", "pos", F.round("score", 6).alias("score"))
+    return retrieval.bm25_scores(docs.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), docs)
 
 
-@query(f"{_BM25_DOCS} select query_id, pos, round(score, 6) as score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as rank from s) where rank <= 50")
+@query(f"{_BM25_DOCS} select query_id, pos, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as rank from s) where rank <= 50")
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
-    return retrieval.bm25_top(docs.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), docs, 50).select("query_id", "pos", F.round("score", 6).alias("score"), "rank")
+    return retrieval.bm25_top(docs.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), docs, 50)
 
 
 @query(f"with {MEM} select query_id, pos, round(score, 9) as score from rrf")
@@ -432,7 +432,7 @@ def learn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with recursive {PROTO},
 n as (select id, arg_max(proto_id, (round(sim, 12), -proto_id)) as proto_id from sim group by id),
-o as (select n.proto_id, list_transform(v.e, lambda x: x / sqrt(list_dot_product(v.e, v.e))) as e, row_number() over (partition by n.proto_id order by n.id) as i from n join v using (id)),
+o as (select n.proto_id, v.e, row_number() over (partition by n.proto_id order by n.id) as i from n join v using (id)),
 f as (
   select proto_id, 0::bigint as i, vec as v, 1.0::double as s from pr
   union all

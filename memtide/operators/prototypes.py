@@ -122,8 +122,8 @@ FOLDED = "proto_id int, _vec array<double>, _n bigint, _s double"
 
 
 def learn(vectors: DataFrame, protos: DataFrame, step: int = 0, config: LearningConfig = LearningConfig(), decay: bool = True, rule: Rule = oja, assigned: DataFrame | None = None) -> DataFrame:
-    """``vectors(id, embedding[, importance])`` -> the new prototype table. ``rule`` makes the new vector of one update, of
-    the row at unit length. ``assigned`` is :func:`nearest` of the rows, if the caller has it.
+    """``vectors(id, embedding[, importance])`` -> the new prototype table. ``rule`` makes the new vector of one update.
+    ``assigned`` is :func:`nearest` of the rows, if the caller has it.
 
     Rows are assigned against the matrix before the batch and then fold, in order of id, into their prototype; updates of
     different prototypes don't touch. Decay follows once. The rows of a prototype are streamed, so a popular one takes no
@@ -148,8 +148,7 @@ def learn(vectors: DataFrame, protos: DataFrame, step: int = 0, config: Learning
                     now, state, hit = proto, (np.asarray(v, float), int(n), float(s)), False
                     continue
                 p, count, strength = state
-                x = np.asarray(v, float)
-                state = rule(p, count, x / max(float(np.linalg.norm(x)), 1e-12), float(s), config), count + 1, min(strength + 1 / (1 + 0.2 * count), config.max_strength)
+                state = rule(p, count, np.asarray(v, float), float(s), config), count + 1, min(strength + 1 / (1 + 0.2 * count), config.max_strength)
                 hit = True
             yield pd.DataFrame(done, columns=names)
         if hit:

@@ -107,16 +107,25 @@ s as (select q.pos as query_id, tf.pos, {BM25} as score from tf join df using (t
 """
 
 
-@query(f"{_BM25_DOCS} select query_id, pos, score from s")
+#: To six places from whole billionths, as neither engine's own rounding of halves can be told from the other's.
+_SIX = "((score * 1000000000)::bigint + 500) // 1000 / 1000000.0::double as score"
+
+
+def _six(score: Column) -> Column:
+    units = F.round(score * 1_000_000_000).cast("bigint") + 500
+    return ((units - F.pmod(units, F.lit(1000))) / 1000 / 1_000_000.0).alias("score")
+
+
+@query(f"{_BM25_DOCS} select query_id, pos, {_SIX} from s")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
-    return retrieval.bm25_scores(docs.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), docs)
+    return retrieval.bm25_scores(docs.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), docs).select("query_id", "pos", _six(F.col("score")))
 
 
-@query(f"{_BM25_DOCS} select query_id, pos, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as rank from s) where rank <= 50")
+@query(f"{_BM25_DOCS} select query_id, pos, {_SIX}, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) as rank from s) where rank <= 50")
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
-    return retrieval.bm25_top(docs.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), docs, 50)
+    return retrieval.bm25_top(docs.where("pos % 50 = 0").withColumnRenamed("pos", "query_id"), docs, 50).select("query_id", "pos", _six(F.col("score")), "rank")
 
 
 @query(f"with {MEM} select query_id, pos, round(score, 9) as score from rrf")

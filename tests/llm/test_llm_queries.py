@@ -26,7 +26,8 @@ def test_query_runs_over_all_documents(spark, name: str) -> None:
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name: str) -> None:
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     ours, theirs = QUERIES[name](spark, str(DATA)).toPandas(), con.execute(ORACLES[name]).df()
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)

@@ -81,8 +81,9 @@ def build_pivots(rows: DataFrame, k: int = PIVOTS, sample: int = SAMPLE) -> Pivo
     return PivotIndex(cut(placed.repartitionByRange(parts, "pivot", "angle", "pos").sortWithinPartitions("pivot", "angle", "pos")), dim, known, pivots)
 
 
-def _searched(queries: DataFrame, index: PivotIndex, k: int | None, threshold: float | None) -> DataFrame:
-    """``SCORED`` rows that reach what their query needs; and a row a task and block with ``query_id`` null, the number of
+def _searched(queries: DataFrame, index: PivotIndex, k: int | None, threshold: float | None, best: bool = False) -> DataFrame:
+    """``SCORED`` rows that reach what their query needs, with ``best`` only the best of each query and task, which then is
+    what the query needs; and a row a task and block with ``query_id`` null, the number of
     products in ``pos`` and of those skipped in ``score``."""
     spark, dim = index.rows.sparkSession, index.dim
     asked = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -106,6 +107,7 @@ def _searched(queries: DataFrame, index: PivotIndex, k: int | None, threshold: f
 
         def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
             ids, q, need, to_pivot = sent.value
+            need, top, where = need.copy(), np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
             # What is below this angle can reach what is needed.
             reach = np.arccos(np.clip(need - SLACK, -1, 1))
             products = skipped = 0
@@ -123,9 +125,21 @@ def _searched(queries: DataFrame, index: PivotIndex, k: int | None, threshold: f
                         if not len(live):
                             continue
                         scores = np.round(_rows(batch.column("embedding").slice(at, size), dim) @ q[live].T, 9)
-                        r, j = np.nonzero(scores >= need[live] - SLACK)
                         pos = batch.column("pos").slice(at, size).to_numpy()
+                        if best:
+                            order = np.argsort(pos, kind="stable")
+                            r = order[scores[order].argmax(axis=0)]
+                            most = scores[r, np.arange(len(live))]
+                            better = (most > top[live]) | ((most == top[live]) & (pos[r] < where[live]))
+                            top[live[better]], where[live[better]] = most[better], pos[r[better]]
+                            need = np.maximum(need, top)
+                            reach = np.arccos(np.clip(need - SLACK, -1, 1))
+                            continue
+                        r, j = np.nonzero(scores >= need[live] - SLACK)
                         yield pa.RecordBatch.from_arrays([pa.array(ids[live[j]]), pa.array(pos[r]), pa.array(scores[r, j])], names=["query_id", "pos", "score"])
+            found = np.flatnonzero(top > -np.inf)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(where[found]), pa.array(top[found])], names=["query_id", "pos", "score"])
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([products]), pa.array([float(skipped)])], names=["query_id", "pos", "score"])
 
         some = cut(index.rows.mapInArrow(run, SCORED))
@@ -139,6 +153,13 @@ def pivot_matches(queries: DataFrame, index: PivotIndex, threshold: float) -> tu
     return found.where((F.col("query_id").isNotNull()) & (F.col("score") >= threshold)), saved(found)
 
 
+def pivot_nearest(queries: DataFrame, index: PivotIndex, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``(query_id, pos, score)``: each task's best row of a query, the earliest of ties, if it reaches ``threshold``; and what
+    :func:`saved` says. A row a query and task is all that moves."""
+    found = _searched(queries, index, None, threshold, best=True)
+    return found.where((F.col("query_id").isNotNull()) & (F.col("score") >= threshold)), saved(found)
+
+
 def pivot_top(queries: DataFrame, index: PivotIndex, k: int) -> tuple[DataFrame, DataFrame]:
     """``(query_id, pos, score)``: a superset of each query's ``k`` best rows, to be cut by the caller; and what
     :func:`saved` says."""

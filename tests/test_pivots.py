@@ -54,6 +54,22 @@ def test_top_is_that_of_all_products(tables, monkeypatch, k: int, sample: int) -
         assert saved.first()["skipped"] > 0
 
 
+@pytest.mark.parametrize("threshold", [0.95, 0.3])
+def test_nearest_is_the_earliest_of_the_best(tables, threshold: float) -> None:
+    queries, rows, x = tables
+    found, saved = pivots.pivot_nearest(queries, pivots.build_pivots(rows, 10, 200), threshold)
+    best = {}
+    for r in found.collect():
+        best[r["query_id"]] = max(best.get(r["query_id"], (-2.0, 0)), (r["score"], -r["pos"]))
+    want = {}
+    for i, q in [*((i, x[i]) for i in range(0, 900, 30)), (5002, -x[7])]:
+        s = cosines(x, q)
+        p = min(range(900), key=lambda p: (-s[p], p))
+        if s[p] >= threshold:
+            want[i] = (s[p], -p)
+    assert best == want and saved.first()["skipped"] > 0 and found.count() <= 31 * rows.sparkSession.sparkContext.defaultParallelism * 4
+
+
 def test_pivots_of_nothing(spark, tables) -> None:
     queries, rows, _ = tables
     empty = pivots.build_pivots(rows.limit(0))

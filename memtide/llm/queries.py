@@ -54,9 +54,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
 
 
+@settles
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return secrets.digests(secrets.scan(docs, min_cost=10.0, min_chars=8, words=secrets.corpus_words(docs, most=50_000)))
+    return secrets.digests(secrets.scan(docs, min_cost=10.0, min_chars=8, counts=secrets.word_counts(docs), json_path=tokenizer_files()["json_path"], min_per_char=0.9))
 
 
 @settles

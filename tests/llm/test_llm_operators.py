@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -492,15 +493,48 @@ def test_planted_secrets_and_ordinary_words(spark) -> None:
     planted = [f'{rnd.choice(prose)} {rnd.choice(["pwd", "client_secret", "passphrase", "private_key"])}: "{x}" and so on' for x in hidden]
     rows = list(enumerate([*prose, *ordinary, *planted, *planted[:5] * 20]))
     docs = frame(spark, rows)
-    dictionary = secrets.corpus_words(docs)
+    counts = secrets.word_counts(docs)
+    dictionary = {r["w"]: r["n"] for r in counts.collect()}
     assert {"authentication", "documentation"} <= set(dictionary) and not {x.lower() for x in hidden} & set(dictionary)
-    found = {r["doc_id"]: [(f["start"], f["end"]) for f in r["findings"]] for r in secrets.scan(docs, words=dictionary).collect()}
+    found = {r["doc_id"]: [(f["kind"], f["start"], f["end"]) for f in r["findings"]] for r in secrets.scan(docs, counts=counts).collect()}
     base = len(prose) + len(ordinary)
-    right = sum(any(x in rows[base + i][1][a:b] for a, b in found[base + i]) for i, x in enumerate(hidden))
+    right = sum(any(x in rows[base + i][1][a:b] for _, a, b in found[base + i]) for i, x in enumerate(hidden))
     # The fixed patterns take any value of six characters or more; only the costed ones are held against ordinary words.
-    wrong = sum(any(k == 3 for _, k, _ in secrets.scan_text(t, ranks=secrets.ranks_of(dictionary))) for _, t in rows[:base])
+    wrong = sum(any(k == "guess" for k, _, _ in found[i]) for i in range(base))
     bare = sum(any(k == 3 for _, k, _ in secrets.scan_text(t)) for _, t in rows[:base])
     assert right >= 0.99 * len(hidden) and wrong == 0 < bare
+    # Against one text at a time with all words of the documents in one table.
+    low = lambda n: n if n < 32 else n >> (n.bit_length() - 5) << (n.bit_length() - 5)
+    ranks = secrets.ranks_of() | {w: len(secrets.WORDS) + sum(low(m) >= low(n) for m in dictionary.values()) for w, n in dictionary.items() if w not in secrets.WORDS}
+    for i, t in rows:
+        assert found[i] == [(secrets.KINDS[k], a, b) for a, k, b in secrets.scan_text(t, ranks=ranks)], t
+
+
+def test_costed_values_are_joined_with_all_words_of_the_documents(spark) -> None:
+    """Ties, repeated rows, null ids, a long value, and words beyond any list: a word costs what its frequency says."""
+    names = ["".join(p) for p in itertools.product("bdfg", "aeiou", "lmnr", "aeiou", "stvz", "aeiou")]  # 8000 words, each in three texts
+    texts = [" ".join(names[i : i + 400]) for i in range(0, len(names), 400)] * 3
+    value = "-".join(names[:4])
+    odd = [(7, f'pwd: "{value}"'), (7, f'pwd: "{value}"'), (None, f"pwd={value} passphrase={'Zq7#' * 3000}x"), (8, "pwd: " + "k3V" + "".join(random.Random(2).choice("abcdefxyz0123456789") for _ in range(20_000)))]
+    docs = frame(spark, [*((100 + i, t) for i, t in enumerate(texts)), *odd])
+    counts = secrets.word_counts(docs)
+    assert counts.count() == len(names) and {r["n"] for r in counts.collect()} == {3}
+    cost = secrets.guess_cost(value, secrets.ranks_of([*["zzzzzzzz" + str(i) for i in range(len(names) - 4)], *names[:4]]))
+    assert abs(cost - secrets.guess_cost(value, {n: len(secrets.WORDS) + len(names) for n in names[:4]})) < 0.01 < secrets.guess_cost(value) - cost
+    said = lambda c, bound: sorted((str(r["doc_id"]), len(r["findings"])) for r in secrets.scan(docs, min_cost=bound, counts=c).collect() if r["findings"])
+    assert said(counts, cost + 0.1) == [("8", 1)] and said(None, cost + 0.1) == [("7", 1), ("7", 1), ("8", 1), ("None", 1)]
+    assert secrets.scan(docs, counts=counts.limit(0)).count() == docs.count()
+
+
+def test_references_are_no_secrets() -> None:
+    """With the parameters of the query and a dictionary that no document takes part in."""
+    ranks = secrets.ranks_of(secrets.vocabulary_words(tokenizer_files()["json_path"]))
+    reported = lambda v: secrets.is_secret(v, 10.0, 0.9, ranks)
+    for value in ("documentation", "getAuthenticationToken", "process.env.API_TOKEN", "{{ secrets.GITHUB_TOKEN }}", "https://example.com/login", "self.password_field", "${DATABASE_PASSWORD}"):
+        assert not reported(value), value
+    rnd = random.Random(8)
+    for letters in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "0123456789abcdef"):
+        assert sum(reported("".join(rnd.choice(letters) for _ in range(rnd.randrange(14, 40)))) for _ in range(300)) >= 297, letters
 
 
 # 9

@@ -228,7 +228,7 @@ def word_ranks(values: DataFrame, counts: DataFrame) -> DataFrame:
     A word's rank is the number of fixed words and of words at least as frequent; frequencies are as alike as bins of a
     sixteenth. So the order of words that tie plays no part, and no list of all words is sorted or sent anywhere.
     """
-    counts = counts.withColumn("bin", sketch_bin(F.col("n")))
+    counts = materialize(counts, "counts").withColumn("bin", sketch_bin(F.col("n")))  # read twice
     bins = counts.groupBy("bin").agg(F.count("*").alias("words"))  # a thousand at most, as counts are longs
     bins = bins.select("bin", (F.sum("words").over(Window.orderBy(F.col("bin").desc())) + len(WORDS)).alias("rank"))
     pieces = materialize(_pieces(values), "pieces")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memtide.llm.rows import by_size
 from memtide.llm.scratch import materialize
 
 #: Ratio, least slack above its upper fence, slack below its lower fence (None: no lower fence).
@@ -26,6 +27,8 @@ RULES = {
 FENCE = 3
 #: Documents that the parent's fences count for.
 PRIOR = 200
+#: Groups whose limits may be sent to every task; more meet their documents in a shuffle.
+MAX_GROUPS = 100_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -104,8 +107,9 @@ def quality_rules(docs: DataFrame, fence: int = FENCE, prior: int = PRIOR) -> Da
     """
     stats = ratios(base_stats(docs)).withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
     stats = materialize(stats, "stats")
-    limits = cutoffs(sketches(stats.where(~F.col("base_failed")), ["lang", "source"]), fence, prior)
-    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    sketch = materialize(sketches(stats.where(~F.col("base_failed")), ["lang", "source"]), "sketch")  # read for each level
+    limits = cutoffs(sketch, fence, prior).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = by_size(materialize(limits, "limits"), MAX_GROUPS)  # a row a group: the documents are not shuffled on few keys
     judged = stats.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     beyond = F.lit(False)
     for name, (_, below) in RULES.items():

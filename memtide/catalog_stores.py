@@ -147,6 +147,22 @@ def touched_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.touch(rows, ids.unionByName(ids), F.expr(C.NOW)).select("pos", "lifecycle.access_count", "lifecycle.last_accessed_at")
 
 
+@query("""
+select doc_id as pos, case when doc_id % 3 = 0 then 0 else doc_id % 7 end + (doc_id % 4 = 0)::int + (doc_id % 6 = 0)::int + (doc_id % 10 = 0)::int as access_count,
+  case when doc_id % 10 = 0 then timestamp '2024-01-15' when doc_id % 6 = 0 then timestamp '2024-02-02' when doc_id % 4 = 0 then timestamp '2024-02-01' end as last_accessed_at from documents""")
+def touched_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three calls that touch memories of a store, read back; the last is dated before the others, and a merge comes between."""
+    tables, rows = store.Store(spark, folder(spark)), lifecycle.with_lifecycle(stored(spark, sf_dir))
+    tables.write("memories", rows)
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    ids = rows.where("pos % 4 = 0").select("pos")
+    tables.touch(ids.unionByName(ids), at("2024-02-01"))
+    tables.touch(rows.where("pos % 6 = 0").select("pos").unionByName(spark.sql("select -1L as pos union all select null")), at("2024-02-02"))
+    tables.commit(lambda read: {"memories": read("memories")})
+    tables.touch(rows.where("pos % 10 = 0").select("pos"), at("2024-01-15"))
+    return tables.read("memories").select("pos", "lifecycle.access_count", "lifecycle.last_accessed_at")
+
+
 @query("select avg((sqrt(list_dot_product(v, v)) * (vec_id % 8) / 50 > 0.03)::int) as capacity_usage from (select vec_id, embedding::double[] as v from embeddings)")
 def prototype_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 8) / 50)

@@ -55,6 +55,15 @@ def touch(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return memories.join(hit, "pos", "left").withColumn("lifecycle", F.when(F.col("_hit"), new).otherwise(life)).drop("_hit")
 
 
+def accessed(memories: DataFrame, accesses: DataFrame) -> DataFrame:
+    """``memories`` after the ``(pos, at, seq)`` of an append-only table: counts go up by its rows, and the time is that of the
+    largest ``seq``. The same rows as :func:`touch` called for each ``seq`` in turn; positions that are not there have no effect."""
+    sums = accesses.groupBy("pos").agg(F.count("*").alias("_more"), F.max_by("at", "seq").alias("_at"))
+    life = F.col("lifecycle")
+    new = life.withField("access_count", life["access_count"] + F.col("_more")).withField("last_accessed_at", F.col("_at"))
+    return memories.join(sums, "pos", "left").withColumn("lifecycle", F.when(F.col("_more").isNotNull(), new).otherwise(life)).select(*memories.columns)
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

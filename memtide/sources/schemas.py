@@ -10,6 +10,7 @@ SKILL = "id string, type string, name string, trigger_pattern string, expansion
 EVENT = "event_id bigint, workspace string, tool string, command string, ok boolean"
 LONGMEMEVAL = "question_id string, question_type string, question string, question_date string, answer string, answer_session_ids array<string>, haystack_dates array<string>, haystack_session_ids array<string>, haystack_sessions array<array<struct<role:string,content:string>>>"
 STORE_ITEM = "id bigint, text string, importance double, embedding array<double>"
+ACCESS = "pos bigint, at timestamp_ntz, seq bigint"
 COUNTER = "name string, value bigint"
 EDGE = "prev string, next string, cnt bigint"
 EXCHANGE = "struct<role:string,content:string>"

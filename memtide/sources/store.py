@@ -9,10 +9,10 @@ from collections.abc import Callable
 from typing import Protocol
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memtide.functions.lifecycle import memory_key
+from memtide.functions.lifecycle import accessed, memory_key
 from memtide.functions.vec import norm
 from memtide.plans.lineage import cut, uncut
 from memtide.plans.ranks import numbered
@@ -96,6 +96,8 @@ class Repository(Protocol):
 
     def merge(self, memories: DataFrame) -> None: ...
 
+    def touch(self, ids: DataFrame, now: Column) -> None: ...
+
     def commit(self, make: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]]) -> None: ...
 
     def recover(self) -> dict[str, str]: ...
@@ -116,9 +118,16 @@ class Repository(Protocol):
 
 
 class Store:
-    """Tables of a workspace under one root. A write makes a new version and then a new manifest that points at it."""
+    """Tables of a workspace under one root. A write makes a new version and then a new manifest that points at it.
+
+    Accesses to memories are appended: a version of that table is a list of parts, and a touch writes a part with the
+    positions it names, whatever the size of the memories. Reading memories adds the accesses up, and so any new version of
+    the memories has them and starts with none.
+    """
 
-    TABLES = {"memories": schemas.MEMORY, "prototypes": schemas.PROTOTYPE, "skills": schemas.SKILL, "transitions": schemas.EDGE, "events": schemas.EVENT, "counters": schemas.COUNTER}
+    #: Parts of accesses that a read puts together; the touch after that folds them into the memories.
+    MAX_PARTS = 64
+    TABLES = {"accesses": schemas.ACCESS, "memories": schemas.MEMORY, "prototypes": schemas.PROTOTYPE, "skills": schemas.SKILL, "transitions": schemas.EDGE, "events": schemas.EVENT, "counters": schemas.COUNTER}
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -167,22 +176,25 @@ class Store:
         """Write ``make(pointers)`` as the new version of a table; made anew when another writer was first."""
         self._commit(lambda now: {table: make(now)}, tries)
 
-    def _commit(self, make: Callable[[dict[str, str]], dict[str, DataFrame]], tries: int = 20) -> None:
+    def _commit(self, make: Callable[[dict[str, str]], dict[str, DataFrame]], tries: int = 20, append: bool = False) -> None:
         """Write new versions of some tables, ``make(pointers)``, under one manifest: either all count or none. They are made
-        anew when another writer has changed one of them meanwhile."""
+        anew when another writer has changed one of them meanwhile. ``append``: what is made comes beside what is there."""
         for _ in range(tries):
             number, pointers = self._latest("current")
             versions, new = {}, make(pointers)
             if not new:
                 return
             for table, df in new.items():
-                versions[table] = uuid.uuid4().hex
-                df.write.parquet(sandboxed(self.root, f"{table}/{versions[table]}"))
+                part = uuid.uuid4().hex
+                df.write.parquet(sandboxed(self.root, f"{table}/{part}"))
+                versions[table] = ",".join(filter(None, [pointers.get(table), part])) if append else part
+            if "memories" in versions:
+                versions["accesses"] = ""
             while True:
                 if self._point("current", pointers | versions, number):
                     return
                 number, now = self._latest("current")
-                if any(now.get(t) != pointers.get(t) for t in versions):
+                if any((now.get(t) or "") != (pointers.get(t) or "") for t in versions):
                     break
                 pointers = now
         raise RuntimeError(f"{sorted(versions)}: other writers were first {tries} times")
@@ -196,15 +208,15 @@ class Store:
         return self._read(table, self._pointers(name))
 
     def _read(self, table: str, pointers: dict[str, str]) -> DataFrame:
-        version, schema = pointers.get(table), self.TABLES[table]
-        path = version and sandboxed(self.root, f"{table}/{version}")
-        if not path or not self._fs.exists(self._path(path)):
+        schema = self.TABLES[table]
+        paths = [sandboxed(self.root, f"{table}/{version}") for version in (pointers.get(table) or "").split(",") if version]
+        if not paths or not all(self._fs.exists(self._path(p)) for p in paths):
             return self.spark.createDataFrame([], schema)
-        found = self.spark.read.parquet(path)
+        found = self.spark.read.parquet(*paths)
         missing = set(self.spark.createDataFrame([], schema).columns) - set(found.columns)
         if missing:
             raise ValueError(f"{table} lacks {sorted(missing)}")
-        return found
+        return accessed(found, self._read("accesses", pointers)) if table == "memories" and pointers.get("accesses") else found
 
     def recover(self) -> dict[str, str]:
         """Reset tables whose files can't be read to empty ones; what failed, by table. The others stay as they are."""
@@ -220,11 +232,22 @@ class Store:
     def write(self, table: str, df: DataFrame) -> None:
         version = uuid.uuid4().hex
         df.write.parquet(sandboxed(self.root, f"{table}/{version}"))
+        new = {table: version} | ({"accesses": ""} if table == "memories" else {})
         while True:
             number, pointers = self._latest("current")
-            if self._point("current", pointers | {table: version}, number):
+            if self._point("current", pointers | new, number):
                 return
 
+    def touch(self, ids: DataFrame, now: Column) -> None:
+        """One more access, at ``now``, for each memory whose ``pos`` is in ``ids``; null and unknown ones have no effect.
+
+        What is written grows with ``ids`` alone. A position counts once a call."""
+        if self._pointers("current").get("accesses", "").count(",") + 1 >= self.MAX_PARTS:
+            self.commit(lambda read: {"memories": read("memories")})
+        hit = ids.select(F.col("pos").cast("bigint").alias("pos")).where("pos is not null").distinct()
+        place = lambda pointers: F.lit(len(pointers.get("accesses") or "")).cast("bigint")  # noqa: E731  grows with each part
+        self._commit(lambda pointers: {"accesses": hit.select("pos", now.alias("at"), place(pointers).alias("seq"))}, append=True)
+
     def merge(self, memories: DataFrame, most: int = 10_000) -> None:
         """Read, merge, bound and write: rows that another writer has stored meanwhile stay."""
         new = cut(memories)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memtide.engine import MemoryEngine
+from memtide.functions import lifecycle
 from memtide.operators import markov
 from memtide.sources import embedding, readers, schemas, store
 from memtide.streaming import backlog, jobs
@@ -53,6 +54,52 @@ def test_positions_stay_unique_over_stores(spark, tmp_path) -> None:
     assert [r["lifecycle"]["access_count"] for r in engine.tables.read("memories").orderBy("pos").collect()] == [0, 1, 0, 0]
 
 
+def test_touches_are_appended(spark, tmp_path) -> None:
+    """Bytes written go by the ids, memories' files stay as they are, and parts are folded when there are many."""
+    tables = store.Store(spark, f"file://{tmp_path}/ws")
+    tables.touch(spark.range(3).withColumnRenamed("id", "pos"), F.expr("timestamp_ntz'2024-01-01'"))  # before there is any memory
+    at = F.expr("timestamp_ntz'2024-01-01'")
+    rows = spark.range(2000).select(F.col("id").alias("pos"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20).alias("text"), F.lit(None).cast("array<double>").alias("embedding"), at.alias("created_at"), F.lit(None).cast(schemas.MESSAGE).alias("source"), F.lit(None).cast(schemas.LIFECYCLE).alias("lifecycle"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    tables.write("memories", lifecycle.with_lifecycle(rows))
+    counts = lambda: {r["pos"]: (r["n"], r["day"]) for r in tables.read("memories").select("pos", F.col("lifecycle.access_count").alias("n"), F.dayofmonth("lifecycle.last_accessed_at").alias("day")).collect() if r["n"]}
+    assert counts() == {}
+    versions = lambda: sorted(p.name for p in (tmp_path / "ws" / "memories").iterdir())
+    before, want = versions(), {}
+    for day in (9, 3, 5):
+        tables.touch(spark.createDataFrame([(day % 3,), (7,), (7,), (None,), (5000,)], "pos bigint"), F.expr(f"timestamp_ntz'2024-01-0{day}'"))
+        for pos in {day % 3, 7}:
+            want[pos] = (want.get(pos, (0, 0))[0] + 1, day)
+    assert counts() == want and versions() == before
+    size = lambda folder: sum(p.stat().st_size for p in (tmp_path / "ws" / folder).rglob("*.parquet"))
+    assert size("accesses") < size("memories") / 10
+    tables.checkpoint("three")
+    tables.MAX_PARTS = 3
+    tables.touch(spark.createDataFrame([(7,)], "pos bigint"), F.expr("timestamp_ntz'2024-01-06'"))
+    assert counts() == want | {7: (4, 6)} and len(versions()) == len(before) + 1 and tables.read("accesses").count() == 1
+    tables.restore("three")
+    assert counts() == want
+    tables.forget()
+    assert counts() == {} and tables.read("accesses").isEmpty()
+
+
+def test_a_touch_and_a_merge_at_once_both_count(spark, tmp_path) -> None:
+    one, other = (store.Store(spark, f"file://{tmp_path}/ws") for _ in range(2))
+    life = "named_struct('importance', 1d, 'access_count', 0L, 'last_accessed_at', cast(null as timestamp_ntz), 'created_at', timestamp_ntz'2024-01-01', 'content_hash', '', 'stale', false)"
+    row = lambda pos: spark.sql(f"select {pos}L as pos, 'm{pos}' as text, cast(null as array<double>) as embedding, timestamp_ntz'2024-01-01' as created_at, cast(null as {schemas.MESSAGE}) as source, {life} as lifecycle, cast(null as map<string,string>) as metadata")
+    one.merge(row(0))
+    tried = []
+
+    def make(read):
+        tried.append(1)
+        if len(tried) == 1:
+            other.touch(spark.createDataFrame([(0,)], "pos bigint"), F.expr("timestamp_ntz'2024-01-02'"))
+        return {"memories": store.merged(read("memories"), row(1))}
+
+    one.commit(make)
+    assert len(tried) == 2  # made anew over what the other writer touched
+    assert [(r["text"], r["lifecycle"]["access_count"]) for r in one.read("memories").orderBy("pos").collect()] == [("m0", 1), ("m1", 0)]
+
+
 def test_processed_items_are_learned(spark, tmp_path) -> None:
     engine = MemoryEngine(spark, f"file://{tmp_path}/ws", embedding.HashEngine, n_prototypes=4, prediction=markov.FirstOrder(4))
     items = spark.createDataFrame([(0, "We decided to use Spark for the backend"), (1, "The port of the service is 8080"), (2, "")], "pos bigint, text string")

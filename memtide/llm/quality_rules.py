@@ -3,9 +3,11 @@
 Ratios of each document go, as whole numbers, into log-linear histograms per language and source. A histogram is a
 mergeable quantile sketch: adding counts bin by bin merges two of them exactly, in any order, and a bin is at most 1/16
 wide, so every quantile is within that. The sketches of a language and of the corpus are sums of those of the groups.
-The fences ``q75 + k * (q75 - q25) + slack`` (and likewise below, for word length) of a language are drawn towards the
-corpus's as if ``PRIOR`` documents had those, and a group's towards its language's, so that a group speaks for itself the
-more the larger it is. A document is dropped when one ratio lies beyond a fence of its group.
+A fence is ``tail + FENCE * (tail - median)``, with the quantiles read off the sketch, upper ends of their bins, and no
+constant added; word length has one below as well. The fences of a language are drawn towards the corpus's as if ``PRIOR``
+documents had those, and a group's towards its language's, so that a group speaks for itself the more the larger it is. A
+document is dropped when one ratio lies beyond a fence of its group. A text's ratios leave its first symbol, repeated line
+or capital out, as one alone can make any ratio in a short text.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ from pyspark.sql import functions as F
 from memtide.llm.rows import by_size
 from memtide.llm.scratch import materialize
 
-#: Ratio, least slack above its upper fence, slack below its lower fence (None: no lower fence).
+#: Ratio, quantile (per mille) that its fence starts from, and whether there is one below. Junk is full of symbols and of
+#: overlong words, so those start inside what most documents do; repeats and capitals also occur in ordinary ones.
 RULES = {
-    "symbol_pm": (200, None),  # symbols per 1000 words
-    "dup_line_pm": (400, None),  # repeated lines per 1000 lines
-    "repeat_pm": (150, None),  # words in repeated windows per 1000 words
-    "shout_pm": (250, None),  # capitals and exclamation marks per 1000 characters of words
-    "word_len_cm": (200, 200),  # mean characters of a word, times 100
+    "symbol_pm": (900, False),  # symbols beyond the first, per 1000 words
+    "dup_line_pm": (990, False),  # repeated lines beyond the first, per 1000 lines
+    "repeat_pm": (990, False),  # words in repeated windows per 1000 words
+    "shout_pm": (990, False),  # capitals and exclamation marks beyond the first, per 1000 characters of words
+    "word_len_cm": (900, True),  # mean characters of a word, times 100
 }
 FENCE = 3
 #: Documents that the parent's fences count for.
@@ -57,7 +60,7 @@ def base_stats(docs: DataFrame, window: int = 5) -> DataFrame:
 def ratios(stats: DataFrame) -> DataFrame:
     """Adds the ratios of RULES; null for a text without a word."""
     per = lambda a, b, k: F.expr(f"case when {b} > 0 then {k} * {a} div {b} end")
-    return stats.withColumns({"symbol_pm": per("n_symbols", "n_words", 1000), "dup_line_pm": per("n_dup_lines", "n_full_lines", 1000), "repeat_pm": per("n_repeat_words", "n_words", 1000), "shout_pm": per("n_shout", "word_chars", 1000), "word_len_cm": per("word_chars", "n_words", 100)})
+    return stats.withColumns({"symbol_pm": per("greatest(n_symbols - 1, 0)", "n_words", 1000), "dup_line_pm": per("greatest(n_dup_lines - 1, 0)", "n_full_lines", 1000), "repeat_pm": per("n_repeat_words", "n_words", 1000), "shout_pm": per("greatest(n_shout - 1, 0)", "word_chars", 1000), "word_len_cm": per("word_chars", "n_words", 100)})
 
 
 def sketch_bin(value: Column) -> Column:
@@ -79,14 +82,16 @@ def cutoffs(sketch: DataFrame, fence: int = FENCE, prior: int = PRIOR) -> DataFr
     group = ["level", "a", "b", "ratio"]
     up = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = merged.withColumns({"upto": F.sum("n").over(up), "total": F.sum("n").over(Window.partitionBy(*group))})
-    q = at.groupBy(*group).agg(F.max("total").alias("total"), F.min(F.expr("if(4 * upto >= total, bin, null)")).alias("q25"), F.min(F.expr("if(4 * upto >= 3 * total, bin, null)")).alias("q75"))
+    tail = F.expr(f"case ratio {' '.join(f"when '{r}' then {t}" for r, (t, _) in RULES.items())} end")
+    top = F.expr("bin + shiftleft(1, greatest(length(bin(bin)) - 5, 0)) - 1")
+    reach = lambda share, value: F.min(F.when(1000 * F.col("upto") >= share * F.col("total"), value))
+    q = at.groupBy(*group).agg(F.max("total").alias("total"), reach(1000 - tail, F.col("bin")).alias("low"), reach(F.lit(500), top).alias("mid"), reach(tail, top).alias("high"))
     pick = []
-    for name, (above, below) in RULES.items():
+    for name, (_, below) in RULES.items():
         here = lambda x, name=name: F.max(F.when(F.col("ratio") == name, x))
-        spread = F.col("q75") - F.col("q25")
-        pick.append(here(F.col("q75") + fence * spread + above).alias(f"hi_{name}"))
-        if below is not None:
-            pick.append(here(F.col("q25") - fence * spread - below).alias(f"lo_{name}"))
+        pick.append(here(F.col("high") + fence * (F.col("high") - F.col("mid"))).alias(f"hi_{name}"))
+        if below:
+            pick.append(here(F.col("low") - fence * (F.col("mid") - F.col("low"))).alias(f"lo_{name}"))
     wide = q.groupBy("level", "a", "b").agg(F.max("total").alias("total"), *pick)
     names = [c for c in wide.columns if c[:3] in ("hi_", "lo_")]
     own, lang, every = (wide.where(f"level = {i}").select("a", "b", "total", *(F.col(c).alias(f"{c}_{i}") for c in names)) for i in range(3))
@@ -114,7 +119,7 @@ def quality_rules(docs: DataFrame, fence: int = FENCE, prior: int = PRIOR) -> Da
     beyond = F.lit(False)
     for name, (_, below) in RULES.items():
         beyond = beyond | (F.col(name) > F.col(f"hi_{name}"))
-        if below is not None:
+        if below:
             beyond = beyond | (F.col(name) < F.col(f"lo_{name}"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False))).alias("kept"))
 
@@ -126,7 +131,9 @@ def _oracle() -> str:
     own = lambda c: f"coalesce((o.total * o.{c} + {PRIOR} * {lang(c)}) / (o.total + {PRIOR}), {lang(c)})"
     beyond = " or ".join(f"coalesce(s.{r} > {own(r)}, false)" for r in RULES)
     low = f"coalesce(s.word_len_cm < {own('low')}, false)"
-    wide = ", ".join(f"max(q75 + {FENCE} * (q75 - q25) + {RULES[r][0]}) filter (where ratio = '{r}') as {r}" for r in RULES)
+    wide = ", ".join(f"max(high + {FENCE} * (high - mid)) filter (where ratio = '{r}') as {r}" for r in RULES)
+    tail = f"case ratio {' '.join(f"when '{r}' then {t}" for r, (t, _) in RULES.items())} end"
+    top = "bin + (1 << greatest(length(bin(bin)) - 5, 0)) - 1"
     return rf"""
 with w as (
   select doc_id, lang, source, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda x: x <> '') as ws,
@@ -141,8 +148,8 @@ b as (
   from w left join c on w.doc_id = c.doc_id),
 s as (
   select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-    case when n_words > 0 then 1000 * n_symbols // n_words end as symbol_pm, case when n_full > 0 then 1000 * n_dup_lines // n_full end as dup_line_pm,
-    case when n_words > 0 then 1000 * n_repeat_words // n_words end as repeat_pm, case when word_chars > 0 then 1000 * n_shout // word_chars end as shout_pm,
+    case when n_words > 0 then 1000 * greatest(n_symbols - 1, 0) // n_words end as symbol_pm, case when n_full > 0 then 1000 * greatest(n_dup_lines - 1, 0) // n_full end as dup_line_pm,
+    case when n_words > 0 then 1000 * n_repeat_words // n_words end as repeat_pm, case when word_chars > 0 then 1000 * greatest(n_shout - 1, 0) // word_chars end as shout_pm,
     case when n_words > 0 then 100 * word_chars // n_words end as word_len_cm from b),
 v as (
   select unnest([struct_pack(level := 0, a := lang, b := source), struct_pack(level := 1, a := lang, b := null), struct_pack(level := 2, a := null, b := null)]) as g, r.ratio, r.v
@@ -151,8 +158,10 @@ h as (
   select g.level as level, g.a as a, g.b as b, ratio, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) as bin, count(*) as n from v group by all),
 u as (
   select *, sum(n) over (partition by level, a, b, ratio order by bin rows unbounded preceding) as upto, sum(n) over (partition by level, a, b, ratio) as total from h),
-q as (select level, a, b, ratio, max(total) as total, min(bin) filter (where 4 * upto >= total) as q25, min(bin) filter (where 4 * upto >= 3 * total) as q75 from u group by all),
-t as (select level, a, b, max(total) as total, {wide}, max(q25 - {FENCE} * (q75 - q25) - {RULES["word_len_cm"][1]}) filter (where ratio = 'word_len_cm') as low from q group by level, a, b)
+q as (
+  select level, a, b, ratio, max(total) as total, min(bin) filter (where 1000 * upto >= (1000 - {tail}) * total) as low,
+    min({top}) filter (where 2 * upto >= total) as mid, min({top}) filter (where 1000 * upto >= {tail} * total) as high from u group by all),
+t as (select level, a, b, max(total) as total, {wide}, max(low - {FENCE} * (mid - low)) filter (where ratio = 'word_len_cm') as low from q group by level, a, b)
 select s.doc_id, s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, s.base_failed, not s.base_failed and not ({beyond} or {low}) as kept
 from s left join t o on o.level = 0 and o.a is not distinct from s.lang and o.b is not distinct from s.source
   left join t l on l.level = 1 and l.a is not distinct from s.lang left join t e on e.level = 2

@@ -129,9 +129,10 @@ def test_cut_offs_of_groups(spark) -> None:
         for name in names:
             bins = sorted(low_bin(r[name]) for r in group if r[name] is not None)
             if bins:
-                q25, q75 = (next(b for k, b in enumerate(bins) if f * (k + 1) >= part * len(bins)) for f, part in ((4, 1), (4, 3)))
-                above, below = quality_rules.RULES[name]
-                out[name] = (q75 + 3 * (q75 - q25) + above, q25 - 3 * (q75 - q25) - below if below is not None else -math.inf)
+                tail, below = quality_rules.RULES[name]
+                low, mid, high = (next(b for k, b in enumerate(bins) if 1000 * (k + 1) >= part * len(bins)) for part in (1000 - tail, 500, tail))
+                mid, high = (b + (1 << max(b.bit_length() - 5, 0)) - 1 for b in (mid, high))
+                out[name] = (high + quality_rules.FENCE * (high - mid), low - quality_rules.FENCE * (mid - low) if below else -math.inf)
         return out
 
     drawn = lambda n, own, up: {k: tuple((n * o + quality_rules.PRIOR * u) / (n + quality_rules.PRIOR) for o, u in zip(own.get(k, up[k]), up[k], strict=True)) for k in up}

@@ -134,6 +134,15 @@ def by_url(docs: DataFrame, url: str = "url") -> DataFrame:
     return docs.withColumns({"host": host, "path": F.when(host.isNotNull(), F.concat(F.lit("/"), part))})
 
 
+def page_text(html: str = "html") -> Column:
+    """The readable text of a page: no head, scripts, styles or tags, and the commonest entities as characters."""
+    body = F.regexp_replace(F.col(html), r"(?is)<(head|script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    body = F.regexp_replace(F.regexp_replace(body, r"(?i)<(?:/?p|br|/?div|/?li|/?h[1-6]|/?tr)\b[^>]*>", "\n"), r"<[^>]*>", " ")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        body = F.replace(body, F.lit(entity), F.lit(char))
+    return body
+
+
 def _with_sites(rows: DataFrame, sites: DataFrame) -> DataFrame:
     """``rows`` with the rates of their site. Too many sites are shuffled, but large ones never: those go to every task."""
     same = F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))
@@ -153,7 +162,11 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     rows count each; other columns are ignored; an empty table gives an empty one; without labels of both kinds the
     evidence is 0 and everything is judged by an even corpus rate.
     """
-    model = train(docs, labels, max_labelled)
+    return judge(docs, train(docs, labels, max_labelled), host, path)
+
+
+def judge(docs: DataFrame, model: ShapeModel | None, host: str, path: str) -> DataFrame:
+    """As :func:`quality`, by a model that was fitted elsewhere, such as on documents for the texts of pages."""
     rows = materialize(evidence(docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text"), model), "evidence")
     base = model.base if model is not None else 0.0
     p = F.round(UNIT / (1 + F.exp(-(F.col("llr") + base)))).cast("bigint")

@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all other labelled-sample texts are read without their label. With the class
-prior p, the risk of a classifier is p * E_pos[loss(+)] + max(0, E_unl[loss(-)] - p * E_pos[loss(-)]) (Kiryo et al.
+Confirmed toxic texts are the positives; the unlabelled texts are a sample of all documents outside the held-out fold,
+whether labelled or not. No other label is read, and the class prior is estimated from those two alone. With the prior p, the risk of a classifier is p * E_pos[loss(+)] + max(0, E_unl[loss(-)] - p * E_pos[loss(-)]) (Kiryo et al.
 2017): what the positives would add to the unlabelled negatives' loss is taken out, and the rest may not fall below zero,
 else the step goes the other way. Linear models over words and beginnings of words are trained in numpy on bags of the
 unlabelled texts and averaged. Fitting sees a bounded sample; the scan scores every whole text.
@@ -78,53 +78,76 @@ class ToxicModel:
         return score
 
 
+def nnpu_step(theta: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float, ridge: float) -> tuple[float, np.ndarray]:
+    """What the negatives' loss comes to, and the direction to step against: the risk's gradient, or, where that loss is
+    below zero, the gradient of its opposite. The ridge is on the weights, not on the bias, which comes last."""
+    w = theta[:-1].astype(pos.dtype)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    zp, zu = pos @ w + theta[-1], unl @ w + theta[-1]
+    rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    as_pos, as_neg, of_unl = -prior * sigmoid(-zp) / len(zp), -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+    gp, gu = (as_pos + as_neg, of_unl) if rest >= 0 else (-as_neg, -of_unl)
+    return float(rest), np.append(pos.T @ gp.astype(pos.dtype) + unl.T @ gu.astype(pos.dtype) + ridge * theta[:-1], gp.sum() + gu.sum())
+
+
 def nnpu_fit(pos: np.ndarray, unl: np.ndarray, prior: float, ridge: float = 1e-4, steps: int = 600, rate: float = 0.05) -> np.ndarray:
     """Weights and, last, bias of a logistic model under the non-negative risk. Rows are texts, columns 0/1 features."""
     width = pos.shape[1]
     theta, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     theta[-1] = np.log(prior / (1 - prior))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for t in range(1, steps + 1):
-        w = theta[:-1].astype(np.float32)
-        zp, zu = pos @ w + theta[-1], unl @ w + theta[-1]
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        as_pos, as_neg, of_unl = -prior * sigmoid(-zp) / len(zp), -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
-        gp, gu = (as_pos + as_neg, of_unl) if rest >= 0 else (-as_neg, -of_unl)
-        grad = np.append(pos.T @ gp.astype(np.float32) + unl.T @ gu.astype(np.float32) + ridge * theta[:-1], gp.sum() + gu.sum())
+        _, grad = nnpu_step(theta, pos, unl, prior, ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return theta
 
 
-def choose_features(sampled: DataFrame, n_pos: int, n_unl: int, prior: float, most: int, least_z: float) -> np.ndarray:
-    """Features most of whose holders must be toxic, ``prior * P(feature | toxic) / P(feature) >= 1/2``, by standard score.
+def feature_counts(sampled: DataFrame) -> DataFrame:
+    """``(p, f)`` -> ``(f, a, b)``: confirmed and unlabelled texts that have a feature, for those of three confirmed or more."""
+    counts = sampled.select("p", F.explode("f").alias("f")).groupBy("f").agg(F.sum(F.col("p").cast("int")).alias("a"), F.sum((~F.col("p")).cast("int")).alias("b"))
+    return counts.where("a >= 3")
+
+
+def class_prior(counts: DataFrame, n_pos: int, n_unl: int) -> float:
+    """The share of toxic texts among the unlabelled ones, from confirmed and unlabelled texts alone.
 
+    ``P(f) >= prior * P(f | toxic)`` for any feature, with equality where only toxic texts have it. So the prior is at most
+    the least quotient, and close to it if any feature is that of toxic texts alone. Each rate is moved by its standard
+    error to the side that makes the quotient larger, so that the least of many is not one of chance. Between 0.001 and 0.9.
+    """
+    p, u = F.col("a") / n_pos, F.col("b") / n_unl
+    low = p - F.sqrt(p * (1 - p) / n_pos)
+    high = u + F.sqrt(F.greatest(u, F.lit(1 / n_unl)) / n_unl)
+    least = counts.where((F.col("a") > 9) | (F.col("a") == n_pos)).agg(F.min(high / low)).first()[0]
+    return min(0.9, max(0.001, least if least is not None else 0.5))
+
+
+def choose_features(counts: DataFrame, n_pos: int, n_unl: int, prior: float, most: int, least_z: float) -> np.ndarray:
+    """Features most of whose holders must be toxic, ``prior * P(feature | toxic) / P(feature) >= 1/2``, by their deviance.
+
+    The score is the signed root of the Poisson deviance of the confirmed holders against those that the unlabelled texts
+    lead one to expect, one more being counted among these; it holds for small counts too, where a standard score does not.
     The sample has very many features, so a score below ``least_z`` is taken for chance. Ties are settled by hash. The
-    counts stay in Spark; at most ``most`` features come back.
+    counts stay in Spark; at most ``most`` features come back, those of the highest scores.
     """
-    counts = sampled.select("p", F.explode("f").alias("f")).groupBy("f").agg(F.sum(F.col("p").cast("int")).alias("a"), F.sum((~F.col("p")).cast("int")).alias("b"))
-    rates = counts.where("a >= 3").select("f", (F.col("a") / n_pos).alias("p"), (F.col("b") / n_unl).alias("u")).where(prior * F.col("p") >= 0.5 * F.col("u"))
-    floor = F.greatest(F.col("u"), F.lit(0.5 / n_unl))
-    z = (F.col("p") - F.col("u")) / F.sqrt(floor * (1 - F.least(floor, F.lit(0.999))) / n_pos)
-    rows = rates.select("f", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.round("z", 9).desc(), "f").limit(most).collect()
+    likely = counts.where(prior * F.col("a") / n_pos >= 0.5 * F.col("b") / n_unl)
+    want = (F.col("b") + 1) * (n_pos / n_unl)
+    z = F.sqrt(2 * (F.col("a") * F.ln(F.col("a") / want) - (F.col("a") - want)))
+    rows = likely.where(F.col("a") > want).select("f", F.round(z, 9).alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "f").limit(most).collect()
     return np.array([r["f"] for r in rows], np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 12000, max_features: int = 600, least_z: float = 3.5, bags: int = 3) -> ToxicModel:
-    """Fit on labelled rows outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 12000, max_features: int = 600, least_z: float = 4.0, bags: int = 3) -> ToxicModel:
+    """Fit on confirmed toxic texts and unlabelled ones, both outside the held-out fold.
 
-    ``max_positive`` confirmed toxic texts and ``max_unlabelled`` texts of any label, whose label is not read, bound the
-    sample; rows are taken by a hash of their id, so it is the same each time. The class prior is the confirmed share
-    among the labelled rows of the training folds.
+    ``max_positive`` confirmed texts and ``max_unlabelled`` documents, labelled or not, bound the sample; they are taken by
+    a hash of their id, so it is the same each time, and the model is a fit of bounded size at any number of rows. No label
+    but ``toxic = 1`` is read. At most ``max_features`` features are used; beyond that the weaker ones are left out.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    told = known.agg(F.count("toxic").alias("n"), F.sum((F.col("toxic") == 1).cast("int")).alias("t")).first()
-    if not told["t"]:
-        return ToxicModel()
-    prior = min(0.9, told["t"] / told["n"])
+    known = labels.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0) & (F.col("toxic") == 1)).select("doc_id").distinct()
     order = F.xxhash64("doc_id"), F.col("doc_id")
-    pos = known.where("toxic = 1").orderBy(*order).limit(max_positive).select("doc_id", F.lit(True).alias("p"))
-    unl = known.orderBy(*order).limit(max_unlabelled).select("doc_id", F.lit(False).alias("p"))
+    pos = known.orderBy(*order).limit(max_positive).select("doc_id", F.lit(True).alias("p"))
+    unl = docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id").distinct().orderBy(*order).limit(max_unlabelled).select("doc_id", F.lit(False).alias("p"))
     sample = F.broadcast(pos.unionByName(unl).withColumnRenamed("doc_id", "_id"))  # at most max_positive + max_unlabelled rows
 
     @frugal
@@ -138,8 +161,11 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
     sampled = materialize(sampled.distinct(), "sampled")
     sizes = {r["p"]: r["n"] for r in sampled.groupBy("p").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
+        release(sampled)
         return ToxicModel()
-    chosen = choose_features(sampled, sizes[True], sizes[False], prior, max_features, least_z)
+    counts = materialize(feature_counts(sampled), "features")
+    prior = class_prior(counts, sizes[True], sizes[False])
+    chosen = choose_features(counts, sizes[True], sizes[False], prior, max_features, least_z)
 
     @frugal
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
         return np.array(bits, np.float32).reshape(len(bits), len(chosen))
 
     release(sampled)
+    release(counts)
     x_pos, x_unl = matrix(True), matrix(False)
     fits = [nnpu_fit(x_pos, x_unl[np.arange(len(x_unl)) % bags != b] if bags > 1 and len(x_unl) > 10 * bags else x_unl, prior) for b in range(bags)]
     theta = np.mean(fits, axis=0)

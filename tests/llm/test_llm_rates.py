@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+
+import numpy as np
+import pytest
 
 from memtide.llm import quality_bayes, quality_rules, toxicity
+from memtide.llm.queries import QUERIES
 
 FIELDS = "doc_id bigint, text string, host string, path string, n bigint, score double, p int, f string, _id bigint"
 
@@ -84,6 +90,81 @@ def test_hosts_and_paths_of_urls(spark) -> None:
     assert {r["url"]: (r["host"], r["path"]) for r in quality_bayes.by_url(df).collect()} == urls
 
 
+def test_text_of_pages(spark) -> None:
+    pages = {"<html><head><title>t</title></head><body><p>one &amp;lt; two</p><script>var a='</p>';</script><STYLE>p{}</STYLE >three<!-- x --></body>": "one &lt; two three", "<header>kept</header>": "kept", "": "", None: None, "a < b": "a < b"}
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    assert {r["html"]: r["t"] and " ".join(r["t"].split()) for r in df.select("html", quality_bayes.page_text().alias("t")).collect()} == pages
+
+
+def test_rates_of_pages(spark) -> None:
+    """Every page has the rates that a plain recomputation makes of the evidence of all pages."""
+    root = Path("/root/testdata/sf0.001")
+    if not root.is_dir():
+        pytest.skip("no driver tables")
+    urls = {r["page_id"]: r for r in quality_bayes.by_url(spark.read.parquet(f"{root}/pages.parquet")).select("page_id", "host", "path").collect()}
+    got = [r.asDict() | {"host": urls[r["page_id"]]["host"], "path": urls[r["page_id"]]["path"]} for r in QUERIES["pages_quality"](spark, str(root)).collect()]
+    assert sorted(r["page_id"] for r in got) == sorted(urls) and len({r["evidence"] for r in got}) > len(got) // 2
+    model = quality_bayes.train(spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet"))
+    want = slow_rates(got, model.base)
+    for r in got:
+        host_rate, path_rate = want[r["host"], r["path"]]
+        assert abs(r["host_rate"] - host_rate) < 1e-9 and abs(r["path_rate"] - path_rate) < 1e-9
+        assert abs(r["score"] - 1 / (1 + math.exp(-(r["evidence"] + odds(path_rate))))) < 2e-6
+
+
+def test_non_negative_risk() -> None:
+    """The step is the risk's gradient by finite differences, and turns where the negatives' loss falls below zero."""
+    rnd = np.random.default_rng(3)
+    pos, unl = (rnd.random((40, 6)) < 0.6).astype(float), (rnd.random((90, 6)) < 0.3).astype(float)
+    soft = lambda z: np.log1p(np.exp(z))
+
+    def parts(theta: np.ndarray, prior: float) -> tuple[float, float, float]:
+        zp, zu = pos @ theta[:-1] + theta[-1], unl @ theta[:-1] + theta[-1]
+        return prior * soft(-zp).mean(), soft(zu).mean() - prior * soft(zp).mean(), 0.05 * (theta[:-1] ** 2).sum()
+
+    seen = set()
+    for prior in (0.1, 0.3, 0.8):
+        for scale in (0.1, 1.0, 3.0):
+            theta = rnd.normal(size=7) * scale + 0.5
+            rest, grad = toxicity.nnpu_step(theta, pos, unl, prior, 0.1)
+            assert abs(rest - parts(theta, prior)[1]) < 1e-9
+            seen.add(rest >= 0)
+            aim = lambda t, up=rest >= 0, prior=prior: sum(parts(t, prior)) if up else parts(t, prior)[2] - parts(t, prior)[1]
+            for i in range(7):
+                step = np.eye(7)[i] * 1e-5
+                assert abs((aim(theta + step) - aim(theta - step)) / 2e-5 - grad[i]) < 1e-6
+    assert seen == {True, False}
+
+
+def test_prior_and_features_of_unlabelled_texts(spark) -> None:
+    """Counts, class prior and chosen features against a plain recomputation; only ``toxic = 1`` outside the fold is read."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice([f"word{k}" for k in range(60)]) for _ in range(12)) + (" slurone slurtwo" if i % 5 == 0 else " slurone" if i % 50 == 3 else "")) for i in range(900)]
+    docs = spark.createDataFrame([*rows, rows[7], (None, "slurone")], "doc_id bigint, text string").repartition(3)
+    toxic = [i for i, _ in rows if i % 15 == 0]  # a third of the toxic ones are confirmed; the rest has no label
+    labels = spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in range(1, 60, 7) if i % 15], "doc_id bigint, toxic int")
+    inside = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    pos = [set(toxicity.document_features(t)) for i, t in rows if i in toxic and inside(i)]
+    unl = [set(toxicity.document_features(t)) for i, t in rows if inside(i)]
+    a, b = (Counter(f for x in part for f in x) for part in (pos, unl))
+    least = []
+    for f in a:
+        p, u = a[f] / len(pos), b[f] / len(unl)
+        if a[f] > 9 and p > 0:
+            least.append((u + math.sqrt(u / len(unl))) / (p - math.sqrt(p * (1 - p) / len(pos))))
+    prior, want = min(least), set()
+    for f in a:
+        e = (b[f] + 1) * len(pos) / len(unl)
+        if a[f] >= 3 and prior * a[f] / len(pos) >= 0.5 * b[f] / len(unl) and a[f] > e and math.sqrt(2 * (a[f] * math.log(a[f] / e) - a[f] + e)) >= 4:
+            want.add(f)
+    model = toxicity.train(docs, labels)
+    assert abs(model.prior - prior) < 1e-9 and abs(prior - 0.2) < 0.05  # a fifth is toxic, a fifteenth confirmed
+    assert set(model.weights) == want and want
+    assert toxicity.train(docs, labels.where("toxic = 1")) == model
+    by = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert all(by[i] == (i % 5 == 0) for i, _ in rows if i % 50 != 3)
+
+
 def test_odd_rows_are_scored(spark) -> None:
     rnd = random.Random(2)
     good = lambda: " ".join(rnd.choice("lorem ipsum dolor sit amet vel".split()) for _ in range(30))

@@ -39,7 +39,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @settles
-def pages_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op_pages_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by host and first part of the path of their URL; the evidence is that of the documents' model."""
     model = quality_bayes.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     pages = spread(_table(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), "url", quality_bayes.page_text().alias("text"))
@@ -101,6 +101,6 @@ def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return innertop.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op3_toxicity, op4_quality_classifier, pages_quality, op5_quality_rules, op6_line_dedup, op7_suffix_dedup, op8_secret_scan, op9_decontamination, op10_best_fit_packing, op11_vector_codes, op12_whitening, op13_top_products)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op3_toxicity, op4_quality_classifier, op_pages_quality, op5_quality_rules, op6_line_dedup, op7_suffix_dedup, op8_secret_scan, op9_decontamination, op10_best_fit_packing, op11_vector_codes, op12_whitening, op13_top_products)}
 
 ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.ORACLE, "op6_line_dedup": linededup.ORACLE, "op11_vector_codes": vectorcodes.ORACLE, "op13_top_products": innertop.ORACLE}

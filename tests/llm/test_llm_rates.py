@@ -102,7 +102,7 @@ def test_rates_of_pages(spark) -> None:
     if not root.is_dir():
         pytest.skip("no driver tables")
     urls = {r["page_id"]: r for r in quality_bayes.by_url(spark.read.parquet(f"{root}/pages.parquet")).select("page_id", "host", "path").collect()}
-    got = [r.asDict() | {"host": urls[r["page_id"]]["host"], "path": urls[r["page_id"]]["path"]} for r in QUERIES["pages_quality"](spark, str(root)).collect()]
+    got = [r.asDict() | {"host": urls[r["page_id"]]["host"], "path": urls[r["page_id"]]["path"]} for r in QUERIES["op_pages_quality"](spark, str(root)).collect()]
     assert sorted(r["page_id"] for r in got) == sorted(urls) and len({r["evidence"] for r in got}) > len(got) // 2
     model = quality_bayes.train(spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet"))
     want = slow_rates(got, model.base)

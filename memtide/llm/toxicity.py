@@ -108,18 +108,26 @@ def feature_counts(sampled: DataFrame) -> DataFrame:
     return counts.where("a >= 3")
 
 
+#: Shares of the confirmed texts that a feature must have to speak for the class prior; the first that any feature has counts.
+SUPPORT = (0.1, 0.02, 0.0)
+
+
 def class_prior(counts: DataFrame, n_pos: int, n_unl: int) -> float:
     """The share of toxic texts among the unlabelled ones, from confirmed and unlabelled texts alone.
 
     ``P(f) >= prior * P(f | toxic)`` for any feature, with equality where only toxic texts have it. So the prior is at most
     the least quotient, and close to it if any feature is that of toxic texts alone. Each rate is moved by its standard
-    error to the side that makes the quotient larger, so that the least of many is not one of chance. Between 0.001 and 0.9.
+    error to the side that makes the quotient larger. That doesn't do for tens of thousands of rare features, the least of
+    whose quotients is one of chance: only features of a tenth of the confirmed texts are asked, if there are such
+    (``SUPPORT``). Where no feature says anything, the prior is the share of confirmed texts, below a half. Between 0.001
+    and 0.9.
     """
     p, u = F.col("a") / n_pos, F.col("b") / n_unl
     low = p - F.sqrt(p * (1 - p) / n_pos)
     high = u + F.sqrt(F.greatest(u, F.lit(1 / n_unl)) / n_unl)
-    least = counts.where((F.col("a") > 9) | (F.col("a") == n_pos)).agg(F.min(high / low)).first()[0]
-    return min(0.9, max(0.001, least if least is not None else 0.5))
+    least = F.coalesce(*(F.min(F.when(F.col("a") >= share * n_pos, high / low)) for share in SUPPORT))
+    found = counts.where((F.col("a") > 9) | (F.col("a") == n_pos)).agg(least).first()[0]
+    return min(0.9, max(0.001, found if found is not None else min(0.45, n_pos / (n_pos + n_unl))))
 
 
 def choose_features(counts: DataFrame, n_pos: int, n_unl: int, prior: float, most: int, least_z: float) -> np.ndarray:

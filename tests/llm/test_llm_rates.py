@@ -165,6 +165,20 @@ def test_prior_and_features_of_unlabelled_texts(spark) -> None:
     assert all(by[i] == (i % 5 == 0) for i, _ in rows if i % 50 != 3)
 
 
+def test_prior_is_not_that_of_rare_features(spark) -> None:
+    """Many rare features that no unlabelled text happens to have say little; one that a fifth of the toxic texts have does."""
+    rare = [(i, 12 + i % 20, 0) for i in range(3000)]
+    counts = spark.createDataFrame([*rare, (9000, 1200, 240), (9001, 600, 900)], "f bigint, a bigint, b bigint")
+    assert 0.09 < toxicity.class_prior(counts, 6000, 12000) < 0.12
+
+
+def test_too_few_confirmed_texts_reject_nothing(spark) -> None:
+    docs = spark.createDataFrame([(i, " ".join(f"word{chr(97 + i % 26)}{chr(97 + (i * k) % 23)}" for k in range(5))) for i in range(120)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 9)) for i in range(60)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    assert not model.weights and toxicity.reject(docs, model).count() == 120
+
+
 def test_odd_rows_are_scored(spark) -> None:
     rnd = random.Random(2)
     good = lambda: " ".join(rnd.choice("lorem ipsum dolor sit amet vel".split()) for _ in range(30))

@@ -25,6 +25,8 @@ SAMPLE = 4096
 PIVOTS = 64
 #: Rows of a stretch.
 STRETCH = 256
+#: Queries that are multiplied with a stretch at once: 8 MB of cosines.
+COLUMNS = 4096
 SLACK = 1e-7
 
 
@@ -124,19 +126,23 @@ def _searched(queries: DataFrame, index: PivotIndex, k: int | None, threshold: f
                         products, skipped = products + size * len(ids), skipped + size * (len(ids) - len(live))
                         if not len(live):
                             continue
-                        scores = np.round(_rows(batch.column("embedding").slice(at, size), dim) @ q[live].T, 9)
-                        pos = batch.column("pos").slice(at, size).to_numpy()
+                        left, pos = _rows(batch.column("embedding").slice(at, size), dim), batch.column("pos").slice(at, size).to_numpy()
                         if best:
                             order = np.argsort(pos, kind="stable")
-                            r = order[scores[order].argmax(axis=0)]
-                            most = scores[r, np.arange(len(live))]
-                            better = (most > top[live]) | ((most == top[live]) & (pos[r] < where[live]))
-                            top[live[better]], where[live[better]] = most[better], pos[r[better]]
-                            need = np.maximum(need, top)
-                            reach = np.arccos(np.clip(need - SLACK, -1, 1))
-                            continue
-                        r, j = np.nonzero(scores >= need[live] - SLACK)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[live[j]]), pa.array(pos[r]), pa.array(scores[r, j])], names=["query_id", "pos", "score"])
+                            left, pos = left[order], pos[order]
+                        for some in (live[i : i + COLUMNS] for i in range(0, len(live), COLUMNS)):
+                            scores = left @ q[some].T
+                            np.round(scores, 9, out=scores)
+                            if best:
+                                r = scores.argmax(axis=0)
+                                most = scores[r, np.arange(len(some))]
+                                better = (most > top[some]) | ((most == top[some]) & (pos[r] < where[some]))
+                                top[some[better]], where[some[better]] = most[better], pos[r[better]]
+                                need[some] = np.maximum(need[some], top[some])
+                                reach[some] = np.arccos(np.clip(need[some] - SLACK, -1, 1))
+                                continue
+                            r, j = np.nonzero(scores >= need[some] - SLACK)
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[some[j]]), pa.array(pos[r]), pa.array(scores[r, j])], names=["query_id", "pos", "score"])
             found = np.flatnonzero(top > -np.inf)
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(where[found]), pa.array(top[found])], names=["query_id", "pos", "score"])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memtide.operators import markov, metrics, prototypes, retrieval, skills
+from memtide.operators import gate, markov, metrics, prototypes, retrieval, skills
 
 MEM = "pos bigint, text string, embedding array<double>"
 
@@ -154,3 +154,16 @@ def test_many_templates_fit_as_their_patterns_do(spark) -> None:
     many = spark.range(100_000).select(F.col("id").cast("string"), F.col("id").cast("int").alias("position"), F.concat(F.lit("run {x} job"), F.col("id")).alias("template"), F.lit(None).cast("string").alias("expansion"), F.lit(False).alias("deprecated"))
     asked = spark.range(1000).select(F.col("id").alias("event_id"), F.concat(F.lit("run it job"), F.col("id") * 90).alias("command"))
     assert skills.match_templates(asked, many).where("skill_id = event_id * 90").count() == 1000
+
+
+def test_contradictions_in_groups_of_any_size(spark, monkeypatch) -> None:
+    """Every pair that the hint names, however the rows are dealt; a position that comes twice is no pair with itself."""
+    rnd = random.Random(4)
+    pick = lambda: " ".join(rnd.choice("ab1 cd ef gh ij kl mn not never".split()) for _ in range(rnd.randrange(1, 9)))
+    rows = [(i, pick()) for i in range(70)] + [(3, "ab1 cd ef"), (3, "ab1 cd not ef"), (90, "We ab1 cd"), (91, "do not ab1 cd"), (92, None), (93, "")]
+    texts = spark.createDataFrame(rows, "pos bigint, text string")
+    a, b = texts.toDF("i", "a"), texts.toDF("j", "b")
+    want = a.crossJoin(b).where("i < j").select("i", "j", gate.contradiction_hint(F.col("a"), F.col("b")).alias("hint")).where("hint is not null")
+    monkeypatch.setattr(gate, "NEGATED_ROWS", 9)
+    monkeypatch.setattr(gate, "OTHER_ROWS", 5)
+    assert sorted(map(tuple, gate.contradictions(texts).collect())) == sorted(map(tuple, want.collect()))

@@ -79,6 +79,33 @@ def test_a_block_scores_exactly_what_reaches_the_threshold(need: int) -> None:
     assert ((want[block.docs] == got) | ((want[block.docs] < need) & (got < need))).all()
 
 
+@pytest.mark.parametrize("share", [0.0, 1 / 32, 0.4, 2.0])
+def test_near_scores_are_settled_to_exact_ones(monkeypatch, share: float) -> None:
+    """Ends, bounds and copies are those of exact sums, whether terms are columns of the matrix or not."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(postings, "DENSE_SHARE", share)
+    rnd = np.random.default_rng(3)
+    names = [f"t{i}" for i in range(40)]
+    rows = rnd.random((40, 300)) * (rnd.random((40, 300)) < rnd.random((40, 1)) ** 2)
+    rows[:, 250:] = rows[:, :50]  # copies tie exactly
+    rows[:, 7] = 0
+    rows[0, 7], rows[1:, 8], rows[0, 8] = 1e-12, 0, 2e-9  # scores about a unit
+    held = [np.flatnonzero(r) for r in rows]
+    block = postings.Block([pa.RecordBatch.from_pydict({"term": names, "top": rows.max(axis=1), "docs": [h.tolist() for h in held], "part": [r[h].tolist() for r, h in zip(rows, held, strict=True)]})])
+    queries = [{"terms": [*names[i::3], "absent"], "weights": [*(rnd.random(len(names[i::3])) * 5), 2.0]} for i in range(3)]
+    for q, near in zip(queries, block.near(queries), strict=True):
+        want = block.scores(q["terms"], q["weights"], 0)
+        live = np.flatnonzero(want > 0)
+        order = live[np.lexsort((block.docs[live], -want[live]))]
+        assert (np.abs(near.total - want) <= near.margin).all() and ((near.total > 0) == (want > 0)).all()
+        for need in (0, int(want[order[10]]), int(want[order[10]]) + 1):
+            assert near.first(20, need).tolist() == [x for x in order if want[x] >= need][:20]
+        assert near.last(30).tolist() == order[::-1][:30].tolist() and near.first(0).tolist() == near.last(0).tolist() == []
+        told = np.r_[order[:20], order[-30:]]
+        assert (near.total[told] == want[told]).all()
+
+
 @pytest.mark.parametrize(("n", "k", "same"), [(150, 3, False), (150, 60, False), (40, 3, True), (150, 3, True)])
 def test_ends_of_rankings_give_the_fusion_of_whole_ones(spark, monkeypatch, n: int, k: int, same: bool) -> None:
     monkeypatch.setattr(postings, "BLOCK_ROWS", 32)

@@ -7,8 +7,8 @@ those as tell the table's texts apart, and what 0.8 makes likely in all 64. One
 together miss one at the threshold with the probability ``MISS``; their number follows from the count of texts.
 
 No link rests on prints: every one is confirmed by the exact similarity of both texts. Within a group of the walk a print
-first meets its smallest partner; what that leaves in different components of one cluster meets pair by pair, so no
-candidate pair that could join two components goes untested.
+first meets its smallest partner; what that leaves in different components of one cluster meets wherever the sizes and
+rarest shingles of two texts leave it open, so no pair that could join two components goes untested.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ from memtide.llm.workers import frugal, give_back
 
 MISS = 0.005
 BLOCK = 128
+RARE = 8
+#: Words of 64 bits in the bitmap of a text's shingles.
+WIDTH = 8
+EPSILON = 1e-9
 MAX_SENT = 1_000_000
 
 
@@ -151,30 +155,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: flo
 def _across(parted: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links between different components inside clusters of candidates: ``(cluster, h, part)`` -> ``(u, v)``.
 
-    A cluster is dealt in blocks of about ``BLOCK`` texts: a large component has blocks of its own, small ones share some.
-    Each pair of blocks is a group, but for two of the same component, which have nothing to test. So no task gathers a
-    cluster, and the groups follow the texts outside the largest component. A group counts common shingles by postings.
+    A cluster of up to ``BLOCK`` texts is a group, which counts common shingles by postings. Texts of larger ones meet where
+    they could be alike (:func:`_openings`), so that no task gathers a cluster and no text is sent to all others of it.
     """
-    sizes = parted.groupBy("cluster", "part").agg(F.count("*").alias("n")).withColumn("pure", F.when(F.col("n") >= BLOCK, F.col("part")))
-    blocks = sizes.groupBy("cluster", "pure").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("m"))
-    told = sizes.join(blocks.select(F.col("cluster").alias("_c"), F.col("pure").alias("_p"), "m"), (F.col("cluster") == F.col("_c")) & F.col("pure").eqNullSafe(F.col("_p"))).select("cluster", "part", "pure", "m")
-    nodes = materialize(parted.join(told, ["cluster", "part"]).select("cluster", "h", "part", "pure", F.expr("cast(pmod(xxhash64(h), m) as int)").alias("block")), "nodes", "none")
-    each = blocks.select("cluster", "pure", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("block"), F.struct(F.col("pure").isNotNull().alias("own"), F.coalesce("pure", F.lit(0)).alias("pure")).alias("kind"))
-    left, right = (each.select("cluster", *(F.col(c).alias(f"{c}_{k}") for c in ("pure", "block", "kind"))) for k in "ab")
-    later = (F.col("kind_a") < F.col("kind_b")) | ((F.col("kind_a") == F.col("kind_b")) & F.col("pure_a").isNull() & (F.col("block_a") <= F.col("block_b")))
-    pairs = materialize(left.join(right, "cluster").where(later).select("cluster", "pure_a", "block_a", "pure_b", "block_b"), "pairs", "none")
-
-    def side(k: str) -> DataFrame:
-        own = nodes.select(F.col("cluster").alias("_c"), "h", "part", F.col("pure").alias("_p"), F.col("block").alias("_b"))
-        met = pairs.join(own, (F.col("cluster") == F.col("_c")) & F.col(f"pure_{k}").eqNullSafe(F.col("_p")) & (F.col(f"block_{k}") == F.col("_b")))
-        return met.select("cluster", "pure_a", "block_a", "pure_b", "block_b", "h", "part", F.lit(k == "a").alias("first"))
-
-    itself = F.col("pure_a").eqNullSafe(F.col("pure_b")) & (F.col("block_a") == F.col("block_b"))
-    dealt = side("a").withColumn("itself", itself).unionByName(side("b").where(~itself).withColumn("itself", F.lit(False))).join(texts, "h")
-
-    def test(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        h, part, first = (group[c].to_numpy() for c in ("h", "part", "first"))
-        second = first if group["itself"].iloc[0] else ~first
+    large = parted.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cluster")
+    large = by_size(materialize(large, "large", "none"), MAX_SENT)
+
+    def test(group: pd.DataFrame) -> pd.DataFrame:
+        h, part = group["h"].to_numpy(), group["part"].to_numpy()
         sets = [shingles(words_of(t), shingle) for t in group["text"]]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         _, term = np.unique(np.concatenate(sets), return_inverse=True)
@@ -182,16 +170,75 @@ def _across(parted: DataFrame, texts: DataFrame, shingle: int, similarity: float
         holder, begin = np.repeat(np.arange(len(sets)), size)[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         ends = np.cumsum(size)
-        for a in np.flatnonzero(first):
+        for a in range(len(sets)):
             mine = term[ends[a] - size[a] : ends[a]]
             low, many = begin[mine], begin[mine + 1] - begin[mine]
             at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
             common = np.bincount(holder[at], minlength=len(sets))
-            b = np.flatnonzero((common / (size[a] + size - common) >= similarity) & second & (part != part[a]))
+            b = np.flatnonzero((common / (size[a] + size - common) >= similarity) & (h < h[a]) & (part != part[a]))
             found.append((np.full(len(b), h[a]), h[b]))
         return pd.DataFrame({"u": np.concatenate([u for u, _ in found]), "v": np.concatenate([v for _, v in found])})
 
-    return dealt.groupBy("cluster", "pure_a", "block_a", "pure_b", "block_b").applyInPandas(test, "u bigint, v bigint")
+    few = parted.join(large, "cluster", "left_anti").join(texts, "h").groupBy("cluster").applyInPandas(test, "u bigint, v bigint")
+    pairs = materialize(_openings(parted.join(large, "cluster", "left_semi").join(texts, "h").select("h", "part", "text"), shingle, similarity), "pairs", "none")
+    return few.unionByName(_confirmed(pairs, texts, shingle, similarity))
+
+
+def _openings(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(h, part, text)`` -> the distinct pairs ``(u, v)`` of different parts that can be as similar as asked; all that are.
+
+    A prefix join: with the shingles of all texts in one order, the common ones last, two texts that are alike have their
+    first common shingle among the first of either, in the smaller one nearer still to its beginning. A pair that meets
+    there goes on if what follows in both is long enough, and if the sets' bitmaps differ in few enough bits (a shingle
+    that only one of two sets has changes one bit at most). The order has no bearing on what is found, only on how many
+    meet: shingles that more than ``RARE`` texts have come by their number, unless ``MAX_SENT`` rows would not hold them.
+    """
+
+    @frugal
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingles(words_of(t.as_py()), shingle) for t in batch.column(0).slice(at, 256)]
+                s, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["s", "n"])
+
+    held = rows.select("text").mapInArrow(listed, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+    held = materialize(held.where(F.col("n") > RARE), "held", "none")
+    least = max(RARE, (held.agg(F.sum("n")).first()[0] or 0) // MAX_SENT)
+    often = held.where(F.col("n") > least).toArrow()  # MAX_SENT rows of 16 bytes at most
+    common, many = often.column("s").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(common)
+    sent = rows.sparkSession.sparkContext.broadcast((common[order], many[order]))
+    bits = [f"b{i}" for i in range(WIDTH)]
+
+    @frugal
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, many = sent.value
+        for batch in batches:
+            for h, part, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                s = shingles(words_of(text.as_py()), shingle)
+                n = np.zeros(len(s), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    n = np.where(common[at] == s, many[at], 0)
+                first = s[np.lexsort((s, n))][: len(s) - math.ceil(similarity * len(s) - EPSILON) + 1]
+                k = len(first)
+                odd = np.bincount(((s >> np.uint64(7)) % np.uint64(64 * WIDTH)).astype(np.int64), minlength=64 * WIDTH) % 2
+                sketch = np.packbits(odd.astype(bool)).view(np.int64)
+                fields = [np.full(k, h.as_py(), np.int64), np.full(k, part.as_py(), np.int64), np.full(k, len(s), np.int64), np.arange(k), first.view(np.int64), *(np.full(k, x, np.int64) for x in sketch)]
+                yield pa.RecordBatch.from_arrays([pa.array(f) for f in fields], names=["h", "part", "size", "place", "s", *bits])
+
+    names = ["h", "part", "size", "place", "s", *bits]
+    start = materialize(rows.select("h", "part", "text").mapInArrow(begun, ", ".join(f"{c} bigint" for c in names)), "starts", "none")
+    x, y = (start.select("s", *(F.col(c).alias(f"{k}_{c}") for c in names if c != "s")) for k in "xy")
+    y = y.where(F.col("y_place") <= F.col("y_size") - F.ceil(2 * similarity / (1 + similarity) * F.col("y_size") - EPSILON))
+    both = F.col("x_size") + F.col("y_size")
+    need = F.ceil(similarity / (1 + similarity) * both - EPSILON)  # so many shingles are common, at least
+    smaller = (F.col("y_size") < F.col("x_size")) | ((F.col("y_size") == F.col("x_size")) & (F.col("y_h") < F.col("x_h")))
+    apart = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits), F.lit(0))
+    follows = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place")) >= need
+    met = x.join(y, (x["s"] == y["s"]) & smaller & (F.col("x_part") != F.col("y_part")) & follows & (apart <= both - 2 * need))
+    return met.select(F.greatest("x_h", "y_h").alias("u"), F.least("x_h", "y_h").alias("v")).distinct()
 
 
 def near_links(classes: DataFrame, texts_of: DataFrame, faces: int, budget: Budget, shingle: int, similarity: float) -> DataFrame:

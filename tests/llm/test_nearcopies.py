@@ -66,6 +66,26 @@ def test_links_across_components_of_large_clusters(spark, monkeypatch) -> None:
         assert got == {(i, j) for i, j in near if part(i) != part(j)}
 
 
+def test_few_pairs_of_a_large_cluster_meet(spark) -> None:
+    """Copies of one text, each edited elsewhere, are alike but seldom near copies: those that are meet, and few others."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(120), 1 if i % 50 == 0 else 5):
+            copy[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [nearcopies.shingles(nearcopies.words_of(t)) for t in texts]
+    alike = {(i, j) for i in range(300) for j in range(i) if (s := nearcopies.jaccard(sets[i], sets[j])) >= 0.5}
+    near = {(i, j) for i, j in alike if nearcopies.jaccard(sets[i], sets[j]) >= 0.8}
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "h bigint, part bigint, text string")
+    met = {(r["u"], r["v"]) for r in nearcopies._openings(rows, 5, 0.8).collect()}
+    assert near and near <= met and len(met) < 300 < 10_000 < len(alike)
+    parted = rows.selectExpr("7L as cluster", "h", "part")
+    assert {(r["u"], r["v"]) for r in nearcopies._across(parted, rows.select("h", "text"), 5, 0.8).collect()} == near
+
+
 def test_verdicts_are_by_row(spark) -> None:
     a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "a text of quite another kind here")
     assert sorted(keep(spark, [(3, a), (3, b), (4, b.upper()), (None, a), (None, c), (5, c), (None, "no copy of this is anywhere")]), key=repr) == sorted([(3, a), (3, b), (5, c), (None, "no copy of this is anywhere")], key=repr)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from memtide.functions.lifecycle import accessed, memory_key
 from memtide.functions.vec import norm
-from memtide.plans.lineage import cut, uncut
+from memtide.plans.lineage import cut, scope
 from memtide.plans.ranks import numbered
 from memtide.sources import schemas
 
@@ -48,8 +48,14 @@ def merge_memories(disk: DataFrame, memory: DataFrame) -> DataFrame:
 
 
 def merged(disk: DataFrame, new: DataFrame, most: int = 10_000) -> DataFrame:
-    """The last ``most`` rows of :func:`merge_memories`."""
-    return merge_memories(disk, new).orderBy(F.col("pos").desc()).limit(most)
+    """The last ``most`` rows of :func:`merge_memories`. Where there are more, their positions alone are put in order, by
+    ranges; no task gathers the rows."""
+    whole = cut(merge_memories(disk, new))
+    if whole.count() <= most:
+        return whole
+    key = memory_key(F.col("text"), F.col("created_at").cast("string"))  # no two rows share it
+    edge = numbered(whole.select("pos", key.alias("_key")), "_place", F.col("pos").desc(), "_key").where(F.col("_place") == most).first()
+    return whole.where((F.col("pos") > edge["pos"]) | ((F.col("pos") == edge["pos"]) & (key < edge["_key"])))
 
 
 def with_counter(counters: DataFrame, **values: int) -> DataFrame:
@@ -250,9 +256,9 @@ class Store:
 
     def merge(self, memories: DataFrame, most: int = 10_000) -> None:
         """Read, merge, bound and write: rows that another writer has stored meanwhile stay."""
-        new = cut(memories)
-        self.commit(lambda read: {"memories": merged(read("memories"), new, most)})
-        uncut(new)
+        with scope():
+            new = cut(memories)
+            self.commit(lambda read: {"memories": merged(read("memories"), new, most)})
 
     def checkpoint(self, name: str) -> str:
         while not self._point(valid_name(name), self._pointers("current")):

@@ -369,3 +369,14 @@ def test_custom_scorer_and_block(spark) -> None:
     assert recall_block(out, 0.7).first()["block"].startswith("Relevant memories:\n1. text 2")
     row = spark.createDataFrame([("Read", '{"b": 1, "a": 2}')], "t string, i string")
     assert row.select(tool_command(F.col("t"), F.col("i"))).first()[0] == '{"a":2,"b":1}'
+
+
+def test_a_bounded_merge_gathers_no_rows_in_one_task(spark, tmp_path) -> None:
+    schema = "pos bigint, text string, created_at string"
+    disk = spark.createDataFrame([(i, f"t{i}", "2024") for i in range(40)], schema)
+    new = spark.createDataFrame([(i, f"t{i}", "2024") for i in range(30, 60)], schema)
+    for most in (25, 60, 61):
+        out = store.merged(disk, new, most)
+        assert "Limit" not in out._jdf.queryExecution().toString() and "TakeOrdered" not in out._jdf.queryExecution().toString()
+        assert sorted(r["pos"] for r in out.collect()) == list(range(max(0, 60 - most), 60))
+    assert store.merged(disk, new, 0).count() == 0

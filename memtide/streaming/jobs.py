@@ -13,8 +13,11 @@ from memtide.functions.redact import redact
 from memtide.operators import skills
 from memtide.plans.lineage import cut, uncut
 from memtide.sources.store import Store, bounded, upsert_skills
+from memtide.streaming.ordered import in_order
 
 TRACKED = "workspace string, event_id bigint, cluster_key string, repeat_count bigint, template string, fixed_part string, fixed_ratio double, frustration double, ready boolean"
+#: Rows that a key emits at once.
+EMITTED = 10_000
 
 
 class Tracker(StatefulProcessor):
@@ -31,21 +34,26 @@ class Tracker(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = [tuple(r) for r in self.state.get()]
+        told = lambda out: pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")])
         out = []
-        for event in sorted((e for frame in rows for e in frame.itertuples()), key=lambda e: e.event_id):
-            last = [*last, (int(event.event_id), event.cluster_key, event.command)][-self.window :]
-            same = [c for _, k, c in last if k == event.cluster_key]
+        events = (e for frame in rows for e in zip(*(frame[c].tolist() for c in ("event_id", "cluster_key", "command")), strict=True))
+        for event_id, cluster, command in in_order(events):
+            last = [*last, (int(event_id), cluster, command)][-self.window :]
+            same = [c for _, k, c in last if k == cluster]
             # Below the least repetitions nothing can be ready, and no skeleton is made.
             template, fixed, ratio, _ = skills.skeleton(same) if len(same) >= self.least else ("", "", 0.0, 0)
             score = max(0, len(same) - self.least) * len(fixed) * ratio
             ready = ratio >= self.min_ratio and score >= self.threshold
-            out.append((key[0], int(event.event_id), event.cluster_key, len(same), template, fixed, float(ratio), float(score), ready))
+            out.append((key[0], int(event_id), cluster, len(same), template, fixed, float(ratio), float(score), ready))
             if ready:
-                last = [x for x in last if x[1] != event.cluster_key]
+                last = [x for x in last if x[1] != cluster]
+            if len(out) == EMITTED:
+                yield told(out)
+                out = []
         self.state.clear()
         if last:
             self.state.put(last)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")])
+        yield told(out)
 
     def close(self) -> None:
         pass

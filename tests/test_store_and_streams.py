@@ -4,6 +4,7 @@ import json
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from memtide.engine import MemoryEngine
 from memtide.functions import lifecycle
 from memtide.operators import markov
 from memtide.sources import embedding, readers, schemas, store
-from memtide.streaming import backlog, jobs
+from memtide.streaming import backlog, jobs, ordered
 
 
 def test_engine_round_trip(spark, tmp_path) -> None:
@@ -371,6 +372,19 @@ def test_custom_scorer_and_block(spark) -> None:
     assert row.select(tool_command(F.col("t"), F.col("i"))).first()[0] == '{"a":2,"b":1}'
 
 
+def test_rows_of_a_key_are_put_in_order_in_bounded_memory() -> None:
+    n, alive = 5000, []
+    told = [(i * 7919 % n // 2, i) for i in range(n)]
+
+    real = ordered._written
+    for runs in (64, 4):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ordered, "RUNS", runs)
+            patch.setattr(ordered, "_written", lambda rows: alive.append(len(rows) if isinstance(rows, list) else 0) or real(rows))
+            assert list(ordered.in_order(iter(told), held=300)) == sorted(told, key=lambda r: r[0])
+    assert len(alive) > 30 and max(alive) <= 300
+
+
 def test_a_bounded_merge_gathers_no_rows_in_one_task(spark, tmp_path) -> None:
     schema = "pos bigint, text string, created_at string"
     disk = spark.createDataFrame([(i, f"t{i}", "2024") for i in range(40)], schema)
@@ -380,3 +394,12 @@ def test_a_bounded_merge_gathers_no_rows_in_one_task(spark, tmp_path) -> None:
         assert "Limit" not in out._jdf.queryExecution().toString() and "TakeOrdered" not in out._jdf.queryExecution().toString()
         assert sorted(r["pos"] for r in out.collect()) == list(range(max(0, 60 - most), 60))
     assert store.merged(disk, new, 0).count() == 0
+
+
+def test_tracker_emits_in_parts() -> None:
+    job, rows = jobs.Tracker(), [(i, "k", f"run {i}") for i in range(2 * jobs.EMITTED + 5)]
+    kept = []
+    job.state = type("S", (), {"get": lambda self: iter(()), "clear": lambda self: None, "put": lambda self, x: kept.extend(x)})()
+    frames = (pd.DataFrame(rows[at : at + 3000], columns=["event_id", "cluster_key", "command"]) for at in range(len(rows) // 3000 * 3000, -1, -3000))
+    sizes = [out["event_id"].tolist() for out in job.handleInputRows(("w",), frames, None)]
+    assert max(map(len, sizes)) <= jobs.EMITTED and sum(sizes, []) == [i for i, *_ in rows] and kept[-1][0] == rows[-1][0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +18,8 @@ from memtide.streaming.ordered import in_order
 TRACKED = "workspace string, event_id bigint, cluster_key string, repeat_count bigint, template string, fixed_part string, fixed_ratio double, frustration double, ready boolean"
 #: Rows that a key emits at once.
 EMITTED = 10_000
+#: Counts of a session that are Python objects at once.
+EDGES = 100_000
 
 
 class Tracker(StatefulProcessor):
@@ -72,19 +74,30 @@ class OnlineTransitions(StatefulProcessor):
         self.last = handle.getValueState("last", "item string")
         self.counts = handle.getMapState("counts", "prev string, next string", "cnt bigint")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        before = self.last.get()[0] if self.last.exists() else None
-        for event in sorted((e for frame in rows for e in frame.itertuples()), key=lambda e: (e.step, e.tie)):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.last.exists()  # a new session has no counts
+        before = self.last.get()[0] if known else None
+        counts: dict[tuple, int] = {}  # each edge is read and written once, not once an event
+        for step, _, item in in_order(((r["step"], r["tie"], r["item"]) for r in rows), keys=2):
             if before is not None:
-                edge = (before, event.item)
-                n = (self.counts.getValue(edge)[0] if self.counts.containsKey(edge) else 0) + 1
-                self.counts.updateValue(edge, (n,))
-                out.append((key[0], int(event.step), before, event.item, n))
-            before = event.item
+                edge = (before, item)
+                if edge not in counts:
+                    if len(counts) >= EDGES:
+                        self._put(counts)
+                        known = True
+                    found = self.counts.getValue(edge) if known else None
+                    counts[edge] = found[0] if found else 0
+                counts[edge] += 1
+                yield Row(session=key[0], step=step, prev=before, next=item, cnt=counts[edge])
+            before = item
+        self._put(counts)
         if before is not None:
             self.last.update((before,))
-        yield pd.DataFrame(out, columns=["session", "step", "prev", "next", "cnt"])
+
+    def _put(self, counts: dict[tuple, int]) -> None:
+        for edge, n in counts.items():
+            self.counts.updateValue(edge, (n,))
+        counts.clear()
 
     def close(self) -> None:
         pass
@@ -93,7 +106,7 @@ class OnlineTransitions(StatefulProcessor):
 def online_transitions(events: DataFrame) -> DataFrame:
     """``(session, step, item[, tie])`` -> ``(session, step, prev, next, cnt)``; ``tie`` orders events of one step."""
     tie = F.col("tie") if "tie" in events.columns else F.lit(0)
-    return events.select("session", "step", tie.cast("bigint").alias("tie"), "item").groupBy("session").transformWithStateInPandas(OnlineTransitions(), "session string, step bigint, prev string, next string, cnt bigint", "Update", "None")
+    return events.select("session", "step", tie.cast("bigint").alias("tie"), "item").groupBy("session").transformWithState(OnlineTransitions(), "session string, step bigint, prev string, next string, cnt bigint", "Update", "None")
 
 
 def route(events: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> DataStreamWriter:

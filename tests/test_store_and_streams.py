@@ -6,6 +6,7 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from memtide.engine import MemoryEngine
@@ -385,6 +386,40 @@ def test_rows_of_a_key_are_put_in_order_in_bounded_memory() -> None:
     assert len(alive) > 30 and max(alive) <= 300
 
 
+class _States(dict):
+    """What a stateful processor asks of its states, and how often."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.asked, self.value = 0, None
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+
+    def update(self, value: tuple) -> None:
+        self.value = value
+
+    def getValue(self, key: tuple) -> tuple | None:  # noqa: N802
+        self.asked += 1
+        return dict.get(self, key)
+
+    def containsKey(self, key: tuple) -> bool:  # noqa: N802
+        self.asked += 1
+        return key in self
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        self.asked += 1
+        self[key] = value
+
+
+def test_transitions_ask_the_state_once_an_edge() -> None:
+    job = jobs.OnlineTransitions()
+    job.last, job.counts = _States(), _States()
+    made = lambda low, high: [r["cnt"] for r in job.handleInputRows(("s",), (Row(step=i, tie=0, item="ab"[i % 2]) for i in reversed(range(low, high))), None)]
+    assert made(0, 1000) == [i // 2 + 1 for i in range(999)] and made(1000, 2000) == [i // 2 + 1 for i in range(999, 1999)]
+    assert job.counts == {("a", "b"): (1000,), ("b", "a"): (999,)} and job.counts.asked <= 6
+
+
 def test_a_bounded_merge_gathers_no_rows_in_one_task(spark, tmp_path) -> None:
     schema = "pos bigint, text string, created_at string"
     disk = spark.createDataFrame([(i, f"t{i}", "2024") for i in range(40)], schema)

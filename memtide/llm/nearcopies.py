@@ -36,6 +36,8 @@ RARE = 8
 WIDTH = 8
 EPSILON = 1e-9
 MAX_SENT = 1_000_000
+#: Shingles that a task counts at once (8 MB), and texts whose shingles a task counts, more or less.
+COUNTED, TEXTS = 1 << 20, 4096
 
 
 def faces_for(n: int, similarity: float) -> tuple[int, Budget]:
@@ -158,8 +160,9 @@ def _across(parted: DataFrame, texts: DataFrame, shingle: int, similarity: float
     A cluster of up to ``BLOCK`` texts is a group, which counts common shingles by postings. Texts of larger ones meet where
     they could be alike (:func:`_openings`), so that no task gathers a cluster and no text is sent to all others of it.
     """
-    large = parted.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cluster")
-    large = by_size(materialize(large, "large", "none"), MAX_SENT)
+    large = materialize(parted.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large", "none")
+    n = large.agg(F.sum("n")).first()[0] or 0
+    large = by_size(large.select("cluster"), MAX_SENT)
 
     def test(group: pd.DataFrame) -> pd.DataFrame:
         h, part = group["h"].to_numpy(), group["part"].to_numpy()
@@ -180,12 +183,39 @@ def _across(parted: DataFrame, texts: DataFrame, shingle: int, similarity: float
         return pd.DataFrame({"u": np.concatenate([u for u, _ in found]), "v": np.concatenate([v for _, v in found])})
 
     few = parted.join(large, "cluster", "left_anti").join(texts, "h").groupBy("cluster").applyInPandas(test, "u bigint, v bigint")
-    pairs = materialize(_openings(parted.join(large, "cluster", "left_semi").join(texts, "h").select("h", "part", "text"), shingle, similarity), "pairs", "none")
+    pairs = materialize(_openings(parted.join(large, "cluster", "left_semi").join(texts, "h").select("h", "part", "text"), shingle, similarity, n), "pairs", "none")
     return few.unionByName(_confirmed(pairs, texts, shingle, similarity))
 
 
-def _openings(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``(h, part, text)`` -> the distinct pairs ``(u, v)`` of different parts that can be as similar as asked; all that are.
+def _shared(texts: DataFrame, shingle: int, n: int = 0) -> DataFrame:
+    """About ``n`` rows ``(text)`` -> ``(s, n)``: in how many texts a shingle is, of those that several have.
+
+    Most shingles of a text are its own. A task counts runs of ``COUNTED`` shingles and tells those that a run has twice,
+    so that what it makes does not grow with the shingles that no two texts share. A count can fall short by a text a run.
+    """
+
+    @frugal
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(sets: list[np.ndarray]) -> pa.RecordBatch:
+            s, n = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(s[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["s", "n"])
+
+        run, size = [], 0
+        for text in (t for batch in batches for t in batch.column(0)):
+            run.append(shingles(words_of(text.as_py()), shingle))
+            size += len(run[-1])
+            if size >= COUNTED:
+                yield told(run)
+                run, size = [], 0
+        if run:
+            yield told(run)
+
+    tasks = max(2 * texts.sparkSession.sparkContext.defaultParallelism, n // TEXTS)
+    return texts.coalesce(tasks).mapInArrow(listed, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+
+
+def _openings(rows: DataFrame, shingle: int, similarity: float, n: int = 0) -> DataFrame:
+    """About ``n`` rows ``(h, part, text)`` -> the distinct pairs ``(u, v)`` of different parts that can be as similar as asked; all that are.
 
     A prefix join: with the shingles of all texts in one order, the common ones last, two texts that are alike have their
     first common shingle among the first of either, in the smaller one nearer still to its beginning. A pair that meets
@@ -194,15 +224,7 @@ def _openings(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     meet: shingles that more than ``RARE`` texts have come by their number, unless ``MAX_SENT`` rows would not hold them.
     """
 
-    @frugal
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = [shingles(words_of(t.as_py()), shingle) for t in batch.column(0).slice(at, 256)]
-                s, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["s", "n"])
-
-    held = rows.select("text").mapInArrow(listed, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+    held = _shared(rows.select("text"), shingle, n)
     held = materialize(held.where(F.col("n") > RARE), "held", "none")
     least = max(RARE, (held.agg(F.sum("n")).first()[0] or 0) // MAX_SENT)
     often = held.where(F.col("n") > least).toArrow()  # MAX_SENT rows of 16 bytes at most

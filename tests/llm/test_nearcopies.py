@@ -89,3 +89,20 @@ def test_few_pairs_of_a_large_cluster_meet(spark) -> None:
 def test_verdicts_are_by_row(spark) -> None:
     a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "a text of quite another kind here")
     assert sorted(keep(spark, [(3, a), (3, b), (4, b.upper()), (None, a), (None, c), (5, c), (None, "no copy of this is anywhere")]), key=repr) == sorted([(3, a), (3, b), (5, c), (None, "no copy of this is anywhere")], key=repr)
+
+
+def test_shingles_of_one_text_are_not_counted(spark, monkeypatch) -> None:
+    own = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(40)]
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string").repartition(16)
+    assert nearcopies._shared(frame(own), 5).count() == 0
+    counts = [r["n"] for r in nearcopies._shared(frame([f"a b c d e {t}" for t in own]), 5).collect()]
+    assert len(counts) == 1 and 16 < counts[0] <= 40
+    # However few are counted, all that are alike meet.
+    texts = edited_copies()[:60]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "h bigint, part bigint, text string")
+    met = {(r["u"], r["v"]) for r in nearcopies._openings(rows, 5, 0.8).collect()}
+    monkeypatch.setattr(nearcopies, "COUNTED", 1)
+    blind = {(r["u"], r["v"]) for r in nearcopies._openings(rows, 5, 0.8).collect()}
+    sets = [nearcopies.shingles(nearcopies.words_of(t)) for t in texts]
+    near = {(i, j) for i in range(60) for j in range(i) if nearcopies.jaccard(sets[i], sets[j]) >= 0.8}
+    assert near and near <= met and near <= blind

@@ -147,3 +147,13 @@ def test_recall_of_rows_without_vectors_or_texts(spark) -> None:
         found[r["query_id"]].append(r["pos"])
     assert found[0][0] == 0 and set(found[0]) == {0, 1, 2} and found[1] == [2, 0] and found[2] == [0, 1] and 3 not in found
     assert retrieval.recall(queries, memories.limit(0), F.lit(1.0)).count() == 0
+
+
+def test_queries_are_not_written_once_a_block(corpus, monkeypatch) -> None:
+    monkeypatch.setattr(postings, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(postings, "MAX_TOLD", 100)
+    queries, docs, want = corpus
+    scores = retrieval.bm25_scores(queries, docs)
+    plan = scores._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan.split("== Physical Plan ==")[1].replace("LeftSemi", "").replace("BroadcastHashJoin", "")
+    assert {(r["query_id"], r["pos"]): r["score"] for r in scores.collect()} == {(q, p): x for q, s in want.items() for p, x in s.items()}

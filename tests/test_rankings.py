@@ -157,3 +157,22 @@ def test_queries_are_not_written_once_a_block(corpus, monkeypatch) -> None:
     plan = scores._jdf.queryExecution().toString()
     assert "Generate" not in plan and "Join" not in plan.split("== Physical Plan ==")[1].replace("LeftSemi", "").replace("BroadcastHashJoin", "")
     assert {(r["query_id"], r["pos"]): r["score"] for r in scores.collect()} == {(q, p): x for q, s in want.items() for p, x in s.items()}
+
+
+@pytest.mark.parametrize(("cells", "told"), [(4_000_000, 4_000_000), (300, 200)])
+def test_lists_are_fused_like_rows(spark, corpus, monkeypatch, cells: int, told: int) -> None:
+    from memtide.operators import lists
+
+    monkeypatch.setattr(lists, "CELLS", cells)
+    monkeypatch.setattr(postings, "MAX_TOLD", told)
+    monkeypatch.setattr(postings, "BLOCK_ROWS", 32)
+    rnd = random.Random(3)
+    vector = lambda i: None if i % 17 == 0 else [0.0] * 4 if i % 19 == 0 else [1.0, 2.0] if i % 23 == 0 else [rnd.choice((-1.0, 0.5, 1.0)) for _ in range(4)]
+    rows = [(i, x, vector(i)) for i, x in enumerate(texts(150))]
+    memories = spark.createDataFrame([*rows, (7, "w1 w2", [1.0, 1.0, 1.0, 1.0])], "pos bigint, text string, embedding array<double>").repartition(3)
+    queries = memories.where("pos % 6 = 1 or pos in (34, 46)").dropDuplicates(["pos"]).withColumnRenamed("pos", "query_id").localCheckpoint()
+    got = {(r["query_id"], r["pos"]): round(r["score"], 12) for r in retrieval.rank_fusion(queries, memories).collect()}
+    rankings = [retrieval.vector_scores(queries, memories), retrieval.bm25_scores(queries, memories)]
+    assert got == {(r["query_id"], r["pos"]): round(r["score"], 12) for r in retrieval.reciprocal_rank_fusion(rankings).collect()}
+    monkeypatch.setattr(lists, "MOST", 10)
+    assert got == {(r["query_id"], r["pos"]): round(r["score"], 12) for r in retrieval.rank_fusion(queries, memories).collect()}

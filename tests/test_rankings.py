@@ -176,3 +176,18 @@ def test_lists_are_fused_like_rows(spark, corpus, monkeypatch, cells: int, told:
     assert got == {(r["query_id"], r["pos"]): round(r["score"], 12) for r in retrieval.reciprocal_rank_fusion(rankings).collect()}
     monkeypatch.setattr(lists, "MOST", 10)
     assert got == {(r["query_id"], r["pos"]): round(r["score"], 12) for r in retrieval.rank_fusion(queries, memories).collect()}
+
+
+def test_recall_by_lists_is_recall_by_ends(spark, monkeypatch) -> None:
+    from memtide.operators import lists
+
+    rnd = random.Random(5)
+    memories = spark.createDataFrame([(i, x, [rnd.gauss(0, 1) for _ in range(4)]) for i, x in enumerate(texts(150))], "pos bigint, text string, embedding array<double>")
+    queries = memories.where("pos % 40 = 0").withColumnRenamed("pos", "query_id")
+    found = lambda: sorted(map(tuple, retrieval.recall(queries, memories, None, retrieval.RecallConfig(candidates=10)).collect()))
+    ends = []
+    monkeypatch.setattr(retrieval, "fused_ends", lambda *x, f=retrieval.fused_ends: ends.append(1) or f(*x))
+    by_lists = found()
+    assert by_lists and not ends  # no rounds of many jobs
+    monkeypatch.setattr(lists, "MOST", 10)
+    assert found() == by_lists and ends

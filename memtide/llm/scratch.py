@@ -10,7 +10,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memtide.plans.lineage import shared_folder
+from memtide.plans.lineage import shared_folder, tidy
 
 FILE_BYTES = 256 << 20
 _made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
@@ -30,7 +30,8 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None, few: bo
     spark, df = df.sparkSession, sized(df) if few else df
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write
-    (writer.option("compression", compression) if compression else writer).parquet(path)
+    with tidy(spark):
+        (writer.option("compression", compression) if compression else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._memtide_path = path
     if (made := _made.get()) is not None:

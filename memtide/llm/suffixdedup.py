@@ -23,7 +23,8 @@ Equality of windows is of bytes, that of chunks of digests; other hashes only de
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ BLOCK_DOCS = 16384
 CHUNK_RUNS = 64
 #: The windows of an anchor that so many blocks share are aggregated one by one.
 HOT_BLOCKS = 512
+#: Bytes of the documents' files whose blocks are shuffled at once, about, and the most rounds that makes.
+ROUND_BYTES, ROUNDS = 128 << 20, 8
 #: Stands for the bucket of such windows.
 HOT = -2
 NO_ID = np.iinfo(np.int64).max
@@ -441,7 +444,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
     doc_id counts as larger than any other. An empty table gives an empty one.
 
     A block sends a row to every bucket that it has an anchor for, so rows grow with blocks times buckets: with executors
-    that hold more, larger ``block_bytes`` and fewer ``buckets`` spare them.
+    that hold more, larger ``block_bytes`` and fewer ``buckets`` spare them. Each step is written before the next one, and
+    blocks and buckets are shuffled in rounds, so that little more than the blocks and their strings is on disk at once.
     """
     if length < 33 or length > 64:
         raise ValueError("length must be 33 to 64")
@@ -454,8 +458,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
             for r in frame.itertuples():
                 yield _ask(Block(r.ids, r.sizes, r.data, length, buckets), r.block)
 
+    rounds = min(ROUNDS, 1 + scan_bytes(docs) // ROUND_BYTES)
+    turn = lambda df, key, i: df if rounds == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == i)
+
+    def in_turns(part: Callable[[int], DataFrame], tag: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [materialize(part(i), tag) for i in range(rounds)])
+
     sent = blocks.mapInPandas(anchors, "block bigint, bucket bigint, data binary, many binary, chunks binary")
-    reply = sent.groupBy("bucket").applyInPandas(lambda g: _shared_anchors(g, hot_blocks), "block bigint, bucket bigint, data binary, chunks binary")
+    reply = materialize(sent.groupBy("bucket").applyInPandas(lambda g: _shared_anchors(g, hot_blocks), "block bigint, bucket bigint, data binary, chunks binary"), "replies")
 
     def candidates(mine: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -465,12 +475,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         return pd.DataFrame(rows, columns=["block", "bucket", "kind", "data"])
 
     schema = "block bigint, bucket bigint, kind int, data binary"
-    strings = materialize(blocks.groupBy("block").cogroup(reply.groupBy("block")).applyInPandas(candidates, schema), "strings")
-    settled = strings.where("kind = 1").groupBy("bucket").applyInPandas(lambda g: _settle(g, length), schema)
+    strings = in_turns(lambda i: turn(blocks, "block", i).groupBy("block").cogroup(turn(reply, "block", i).groupBy("block")).applyInPandas(candidates, schema), "strings")
+    settled = in_turns(lambda i: turn(strings.where("kind = 1"), "bucket", i).groupBy("bucket").applyInPandas(lambda g: _settle(g, length), schema), "settled")
     hot = strings.where("kind = 2").mapInPandas(lambda x: _hot_windows(x, length), "block bigint, place int, window binary, doc bigint")
     least = hot.groupBy("window").agg(F.min("doc").alias("least"))
     beaten = hot.join(least, "window").where("least < doc").groupBy("block").agg(F.collect_list("place").alias("places"))  # a block's own windows
-    marks = strings.where("kind = 0").unionByName(settled).unionByName(beaten.mapInPandas(_hot_marks, schema))
+    marks = strings.where("kind = 0").unionByName(settled).unionByName(materialize(beaten.mapInPandas(_hot_marks, schema), "hot"))
 
     def finish(mine: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         done = []
@@ -482,4 +492,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         return pd.concat(done) if done else pd.DataFrame({c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)})
 
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
-    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(finish, out)
+    return in_turns(lambda i: turn(blocks, "block", i).groupBy("block").cogroup(turn(marks, "block", i).groupBy("block")).applyInPandas(finish, out), "reports")

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from memtide.llm import suffixdedup
 from memtide.llm.scratch import materialize
+from memtide.operators import lists, retrieval
 from memtide.plans.lineage import cut
 
 
@@ -54,3 +55,18 @@ def test_repeats_are_removed_in_rounds_with_one_round_on_disk(spark, monkeypatch
     out = suffixdedup.remove_repeats(docs, block_bytes=4000)
     assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in out.collect()} == want
     assert [tag for tag, _ in made].count("reports") == suffixdedup.ROUNDS and all(n <= before for _, n in made)
+
+
+def test_recall_holds_one_round_of_scores_on_disk(spark, monkeypatch) -> None:
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choices([f"w{j}" for j in range(40)], k=12)), [rnd.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    memories = spark.createDataFrame(rows, "pos bigint, text string, embedding array<double>").localCheckpoint()
+    queries = memories.where("pos % 10 = 0").withColumnRenamed("pos", "query_id")
+    found = lambda: sorted(map(tuple, retrieval.recall(queries, memories, None, retrieval.RecallConfig(candidates=10)).collect()))
+    want, sizes = found(), []
+    monkeypatch.setattr(lists, "PAIRS", 1)
+    monkeypatch.setattr(lists, "ASKING", 6)  # of 30 queries
+    before = shuffle_bytes(spark) + 10_000  # counts; all scores are ten times that
+    monkeypatch.setattr(lists, "cut", lambda df: sizes.append(settled_bytes(spark, before)) or cut(df))
+    assert found() == want
+    assert len(sizes) == 2 + 5 and max(sizes) <= before

@@ -6,11 +6,12 @@ import hashlib
 import random
 import time
 
+import pytest
 from pyspark.sql import SparkSession
 
 from memtide.llm import suffixdedup
 from memtide.llm.scratch import materialize
-from memtide.operators import lists, retrieval
+from memtide.operators import lists, postings, retrieval
 from memtide.plans.lineage import cut
 
 
@@ -70,3 +71,20 @@ def test_recall_holds_one_round_of_scores_on_disk(spark, monkeypatch) -> None:
     monkeypatch.setattr(lists, "cut", lambda df: sizes.append(settled_bytes(spark, before)) or cut(df))
     assert found() == want
     assert len(sizes) == 2 + 5 and max(sizes) <= before
+
+
+@pytest.mark.parametrize("told", [4_000_000, 60])
+def test_weighted_search_shuffles_no_pairs(spark, monkeypatch, told: int) -> None:
+    monkeypatch.setattr(postings, "MAX_TOLD", told)
+    monkeypatch.setattr(postings, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(postings, "BATCH", 3)
+    rnd = random.Random(8)
+    vector = lambda i: None if i % 17 == 0 else [1.0, 2.0] if i % 23 == 0 else [rnd.gauss(0, 1) for _ in range(4)]
+    rows = [(i, None if i % 13 == 0 else " ".join(rnd.choices([f"w{j}" for j in range(30)], k=8)), vector(i)) for i in range(130)]
+    memories = spark.createDataFrame(rows, "pos bigint, text string, embedding array<double>").localCheckpoint()
+    queries = memories.where("pos % 9 = 1 or pos in (13, 17, 23, 34)").withColumnRenamed("pos", "query_id")
+    rankings = [retrieval.vector_scores(queries, memories), retrieval.bm25_scores(queries, memories)]
+    values = lambda df: {(r["query_id"], r["pos"]): round(r["score"], 9) for r in df.collect()}
+    out = retrieval.weighted_search(queries, memories, 0.7, 0.3)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert values(out) == values(retrieval.weighted_fusion(rankings, [0.7, 0.3]))

@@ -8,6 +8,7 @@ import time
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from memtide.llm import suffixdedup
 from memtide.llm.scratch import materialize
@@ -88,3 +89,19 @@ def test_weighted_search_shuffles_no_pairs(spark, monkeypatch, told: int) -> Non
     out = retrieval.weighted_search(queries, memories, 0.7, 0.3)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert values(out) == values(retrieval.weighted_fusion(rankings, [0.7, 0.3]))
+
+
+def test_queries_of_the_best_documents_are_not_shuffled(spark, monkeypatch) -> None:
+    monkeypatch.setattr(postings, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(postings, "MAX_TOLD", 150)
+    rnd = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices([f"w{j}" for j in range(50)], k=20)) + (" É漢🦊 x" if i % 3 else "")) for i in range(200)], "pos bigint, text string").localCheckpoint()
+    queries = docs.where("pos % 9 = 0").withColumnRenamed("pos", "query_id")
+    asked = postings.ask(queries, postings.build_index(docs))
+    monkeypatch.setattr(postings, "_search", None)
+    best = {(r["query_id"], r["rank"]): (r["pos"], r["n"]) for r in postings.top(asked, 5).collect()}
+    every = postings.first(postings.scores(asked), 5)
+    assert best == {(r["query_id"], r["rank"]): (r["pos"], r["n"]) for r in every.collect()} and len(best) == 5 * 23
+    slow = postings.build_index(docs, tokenizer=lambda x: postings.tokenize(x))
+    rows = lambda index: {(r["term"], tuple(sorted(zip(r["docs"], r["part"], strict=True)))) for r in index.lists.groupBy("term").agg(F.flatten(F.collect_list("docs")).alias("docs"), F.flatten(F.collect_list("part")).alias("part")).collect()}
+    assert rows(postings.build_index(docs)) == rows(slow)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from memtide.llm import suffixdedup
 from memtide.llm.scratch import materialize
-from memtide.operators import lists, postings, retrieval
+from memtide.operators import gate, lists, postings, retrieval
 from memtide.plans.lineage import cut
 
 
@@ -105,3 +105,16 @@ def test_queries_of_the_best_documents_are_not_shuffled(spark, monkeypatch) -> N
     slow = postings.build_index(docs, tokenizer=lambda x: postings.tokenize(x))
     rows = lambda index: {(r["term"], tuple(sorted(zip(r["docs"], r["part"], strict=True)))) for r in index.lists.groupBy("term").agg(F.flatten(F.collect_list("docs")).alias("docs"), F.flatten(F.collect_list("part")).alias("part")).collect()}
     assert rows(postings.build_index(docs)) == rows(slow)
+
+
+def test_contradictions_shuffle_no_pairs(spark, monkeypatch) -> None:
+    rnd = random.Random(10)
+    said = ["I use the red fox", "I do not use the red fox", "use the red fox", "not a red fox in use", "We never use red foxes"]
+    texts = [*said, *(" ".join(rnd.choices(["red", "fox", "use", "not", "never", "the", "tea", "we"], k=6)) for _ in range(60)), said[1], said[0]]
+    rows = spark.createDataFrame([(i % 60, t) for i, t in enumerate(texts)], "pos bigint, text string").localCheckpoint()  # a position may come twice
+    a, b = rows.select(F.col("pos").alias("i"), F.col("text").alias("a")), rows.select(F.col("pos").alias("j"), F.col("text").alias("b"))
+    want = sorted(map(tuple, a.join(b, F.col("i") < F.col("j")).select("i", "j", gate.contradiction_hint(F.col("a"), F.col("b")).alias("hint")).where("hint is not null").collect()))
+    monkeypatch.setattr(gate, "MAX_TOLD", 40)
+    out = gate.contradictions(rows)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == want and any(h.startswith("negation") for *_, h in want) and any(h.startswith("opp") for *_, h in want)

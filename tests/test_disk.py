@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
@@ -118,3 +119,13 @@ def test_contradictions_shuffle_no_pairs(spark, monkeypatch) -> None:
     out = gate.contradictions(rows)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == want and any(h.startswith("negation") for *_, h in want) and any(h.startswith("opp") for *_, h in want)
+
+
+def test_scores_are_made_without_a_shuffle(spark, monkeypatch) -> None:
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} x") for i in range(50)], "pos bigint, text string").localCheckpoint()
+    indexes = []
+    monkeypatch.setattr(postings, "build_index", lambda *x, f=postings.build_index: indexes.append(f(*x)) or indexes[-1])
+    scores = retrieval.bm25_scores(docs.where("pos % 10 = 0").withColumnRenamed("pos", "query_id"), docs)
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert scores.count() == 5 * 50  # though the lists are gone
+    assert not Path(indexes[0].lists._memtide_cut.removeprefix("file://")).exists()
